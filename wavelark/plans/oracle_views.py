@@ -90,3 +90,56 @@ temporal AS (SELECT source_dataset, session_id, network_identity_id, network_gro
     arg_max(rssi_mean_dbm, b.window_start_ms) - arg_min(rssi_mean_dbm, b.window_start_ms) AS rssi_delta_db,
     count(*) AS window_count FROM beacon b GROUP BY 1, 2, 3, 4, 5, 6, 7, 8)
 """
+
+# Reference of the first two sessions, hidden rows counted for the only SSID of their BSSID.
+CONTEXT = HASHED + """,
+refrow AS (SELECT * FROM hobs WHERE session_id <= 'sess_01'),
+member AS (SELECT DISTINCT ssid_hash, bssid_hash FROM refrow WHERE ssid_hash IS NOT NULL),
+owner AS (SELECT bssid_hash, count(*) AS ssid_count, CASE WHEN count(*) = 1 THEN min(ssid_hash) END AS only_ssid FROM member GROUP BY 1),
+fact AS (SELECT ssid_hash, channel, security_type, configured_beacon_interval_ms AS itv, 1 AS seen FROM refrow WHERE ssid_hash IS NOT NULL
+    UNION ALL SELECT only_ssid, channel, security_type, NULL, 0 FROM refrow r JOIN owner o USING (bssid_hash)
+    WHERE r.ssid_hash IS NULL AND only_ssid IS NOT NULL),
+rnk AS (SELECT *, CASE security_type WHEN 'OPEN' THEN 0 WHEN 'WEP' THEN 1 WHEN 'WPA' THEN 2 WHEN 'WPA2' THEN 3 WHEN 'WPA3' THEN 4 END AS rk FROM fact),
+prof AS (SELECT ssid_hash, list_sort(list(DISTINCT channel)) AS channels, list_sort(list(DISTINCT security_type)) AS security_types,
+    quantile_cont(CAST(rk AS DOUBLE), 0.5) AS security_rank_median,
+    quantile_cont(itv, 0.5) AS configured_beacon_interval_median_ms, sum(seen)::BIGINT AS observations,
+    (SELECT count(*) FROM member m WHERE m.ssid_hash = rnk.ssid_hash) AS bssid_count FROM rnk GROUP BY ssid_hash),
+resolved AS (SELECT h.*, CASE WHEN p.ssid_hash IS NOT NULL THEN h.ssid_hash ELSE o.only_ssid END AS resolved_ssid_hash,
+    CASE WHEN p.ssid_hash IS NOT NULL THEN 'ssid' WHEN o.only_ssid IS NOT NULL THEN 'bssid_fallback' ELSE 'none' END AS context_resolution
+    FROM hobs h LEFT JOIN prof p ON h.ssid_hash = p.ssid_hash LEFT JOIN owner o ON h.bssid_hash = o.bssid_hash),
+ctx0 AS (SELECT r.event_id, r.source_dataset, r.session_id, r.elapsed_ms, r.ssid_hash, r.bssid_hash,
+    p.ssid_hash IS NOT NULL AS context_available, r.context_resolution,
+    CAST(r.ssid IS NULL AS DOUBLE) AS ssid_missing,
+    r.configured_beacon_interval_ms - p.configured_beacon_interval_median_ms AS configured_beacon_interval_delta_ms,
+    r.label, r.attack_type, r.is_synthetic, CAST(p.bssid_count AS DOUBLE) AS ssid_bssid_count,
+    CASE WHEN p.ssid_hash IS NOT NULL THEN CAST(NOT EXISTS (SELECT 1 FROM member m WHERE m.ssid_hash = r.resolved_ssid_hash
+        AND m.bssid_hash = r.bssid_hash) AS DOUBLE) END AS bssid_changed,
+    CAST(NOT list_contains(p.channels, r.channel) AS DOUBLE) AS channel_changed,
+    CAST(NOT list_contains(p.security_types, r.security_type) AS DOUBLE) AS security_changed,
+    CASE r.security_type WHEN 'OPEN' THEN 0 WHEN 'WPA' THEN 2 WHEN 'WPA2' THEN 3 END - p.security_rank_median AS security_strength_delta,
+    CAST(r.is_hidden AS DOUBLE) AS is_hidden, r.configured_beacon_interval_ms
+    FROM resolved r LEFT JOIN prof p ON p.ssid_hash = r.resolved_ssid_hash),
+ctx AS (SELECT *, context_available AND ssid_bssid_count IS NOT NULL AND bssid_changed IS NOT NULL AND channel_changed IS NOT NULL
+    AND security_changed IS NOT NULL AND security_strength_delta IS NOT NULL AS feature_complete FROM ctx0)
+"""
+
+# Desktop reference of the given sessions and the four features of every row.
+DESKTOP_CONTEXT = DESKTOP + """,
+dref AS (SELECT * FROM desk WHERE session_id <= 'sess_00' AND ssid_hash IS NOT NULL AND bssid_hash IS NOT NULL),
+dmember AS (SELECT DISTINCT ssid_hash, bssid_hash FROM dref),
+downer AS (SELECT bssid_hash, CASE WHEN count(*) = 1 THEN min(ssid_hash) END AS only_ssid FROM dmember GROUP BY 1),
+dprof AS (SELECT ssid_hash, count(DISTINCT bssid_hash) AS bssid_count, list_sort(list(DISTINCT security_type)) AS security_types,
+    quantile_cont(CAST(security_strength AS DOUBLE), 0.5) AS security_strength_median, count(*) AS reference_rows,
+    count(DISTINCT session_id) AS reference_sessions FROM dref GROUP BY 1),
+dres AS (SELECT d.*, CASE WHEN p.ssid_hash IS NOT NULL THEN d.ssid_hash ELSE o.only_ssid END AS context_ssid_hash,
+    CASE WHEN p.ssid_hash IS NOT NULL THEN 'ssid_hash' WHEN o.only_ssid IS NOT NULL THEN 'bssid_fallback' ELSE 'unresolved' END AS context_resolution
+    FROM desk d LEFT JOIN dprof p ON d.ssid_hash = p.ssid_hash LEFT JOIN downer o ON d.bssid_hash = o.bssid_hash),
+dctx0 AS (SELECT r.*, p.ssid_hash IS NOT NULL AS context_available, CAST(p.bssid_count AS DOUBLE) AS ssid_bssid_count,
+    CASE WHEN p.ssid_hash IS NOT NULL THEN CAST(NOT EXISTS (SELECT 1 FROM dmember m WHERE m.ssid_hash = r.context_ssid_hash
+        AND m.bssid_hash = r.bssid_hash) AS DOUBLE) END AS bssid_changed,
+    CAST(NOT list_contains(p.security_types, r.security_type) AS DOUBLE) AS security_changed,
+    r.security_strength - p.security_strength_median AS security_strength_delta
+    FROM dres r LEFT JOIN dprof p ON p.ssid_hash = r.context_ssid_hash),
+dctx AS (SELECT *, context_available AND security_changed IS NOT NULL AND security_strength_delta IS NOT NULL
+    AND bssid_changed IS NOT NULL AS feature_complete FROM dctx0)
+"""
