@@ -82,5 +82,5 @@ if __name__ == "__main__":
             problem, n = f"{type(e).__name__}: {str(e)[:600]}", 0
         failed += problem is not None
         mark = "ok  " if problem is None else "FAIL"
-        print(f"{mark} {name} rows={n} {time.time() - start:.1f}s {'' if name in ORACLES else '(rows only)'} {problem or ''}", flush=True)
+        print(f"{mark} {name} rows={n} {time.time() - start:.1f}s {'' if name in ORACLES else '(rows only)'} {(problem or '')[:900]}", flush=True)
     print("failed", failed, "of", len(names))

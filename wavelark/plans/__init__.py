@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from wavelark.plans import context_queries, window_queries  # noqa: F401
+from wavelark.plans import context_queries, model_queries, window_queries  # noqa: F401
 from wavelark.plans.catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
