@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wavelark.operators.ordering import exact_quantiles
+from wavelark.operators.ordering import fold_values, folded_quantiles
 
 
 def calibrate(scores: DataFrame, fpr: float = 0.05, score: str = "anomaly_score") -> DataFrame:
@@ -12,12 +12,12 @@ def calibrate(scores: DataFrame, fpr: float = 0.05, score: str = "anomaly_score"
         raise ValueError("the target false positive rate must lie between 0 and 1")
     value = F.col(score).cast("double")
     finite = value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))
-    checked = scores.select(
-        F.when(finite, value).otherwise(F.raise_error(F.lit("calibration: score is not finite"))).alias(score))
-    cut = exact_quantiles(checked, score, {"threshold": 1.0 - fpr})
-    threshold = cut.select("threshold").scalar()
-    out = checked.agg(F.count(F.lit(1)).alias("validation_rows"),
-                      F.count_if(F.col(score) > threshold).alias("_over"))
+    folded = fold_values(scores.select(
+        F.when(finite, value).otherwise(F.raise_error(F.lit("calibration: score is not finite"))).alias(score)), score)
+    threshold = folded_quantiles(folded, score, {"threshold": 1.0 - fpr}).select("threshold").scalar()
+    out = folded.withColumn("_cut", threshold).agg(
+        F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("validation_rows"),
+        F.sum(F.when(F.col(score) > F.col("_cut"), F.col("n")).otherwise(0)).alias("_over"))
     empty = F.when(F.col("validation_rows") == 0, F.raise_error(F.lit("calibration: no validation scores")))
     return out.select(
         F.coalesce(empty.cast("double"), threshold).alias("threshold"),

@@ -8,15 +8,16 @@ from wavelark.functions.radio import channel_mismatch, valid_advertised_channel
 from wavelark.functions.text import number
 from wavelark.operators.checks import require_columns
 from wavelark.operators.context import Reference, _absent, _resolve, bssid_ssids
+from wavelark.session import stored
 
 
 def build_channel_reference(df: DataFrame) -> Reference:
     """Known advertised channels per SSID. An SSID that never advertised one has no profile."""
     require_columns(df, ["ssid", "bssid", "advertised_channel"], "channel reference")
-    combos = df.select(
+    combos = stored(df.select(
         hash_ssid(F.col("ssid")).alias("ssid_hash"), hash_bssid(F.col("bssid")).alias("bssid_hash"),
         valid_advertised_channel(number(F.col("advertised_channel"))).alias("channel"),
-    ).distinct()
+    ).distinct(), "channel-facts")
     named = combos.where(F.col("ssid_hash").isNotNull())
     members = named.where(F.col("bssid_hash").isNotNull()).select("ssid_hash", "bssid_hash").distinct()
     single = bssid_ssids(members).where(F.col("ssid_hash").isNotNull()).select("bssid_hash", "ssid_hash")

@@ -52,14 +52,14 @@ def build_reference(df: DataFrame) -> Reference:
     """Reference from normal rows. Rows without an SSID count for the only SSID of their BSSID."""
     require_columns(df, ["ssid", "bssid", "channel", "security_type"], "reference")
     # Distinct combinations with their multiplicity: everything below runs on this small table.
-    combos = df.select(
+    combos = stored(df.select(
         hash_ssid(F.col("ssid")).alias("ssid_hash"),
         hash_bssid(F.col("bssid")).alias("bssid_hash"),
         number(F.col("channel")).cast("long").alias("channel"),
         normalize_security(F.col("security_type")).alias("security"),
         number(optional(df, "configured_beacon_interval_ms", "double")).alias("interval"),
     ).groupBy("ssid_hash", "bssid_hash", "channel", "security", "interval").agg(
-        F.count(F.lit(1)).alias("n"))
+        F.count(F.lit(1)).alias("n")), "reference-facts")
     named = combos.where(F.col("ssid_hash").isNotNull())
     members = named.where(F.col("bssid_hash").isNotNull()).select("ssid_hash", "bssid_hash").distinct()
     single = bssid_ssids(members).where(F.col("ssid_hash").isNotNull()).select("bssid_hash", "ssid_hash")
@@ -175,11 +175,11 @@ def build_desktop_reference(df: DataFrame) -> Reference:
     """Reference from imported desktop rows that carry both hashes."""
     require_columns(df, ["ssid_hash", "bssid_hash", "security_type", "security_strength", "session_id"],
                     "desktop reference")
-    combos = df.where(F.col("ssid_hash").isNotNull() & F.col("bssid_hash").isNotNull()).select(
+    combos = stored(df.where(F.col("ssid_hash").isNotNull() & F.col("bssid_hash").isNotNull()).select(
         "ssid_hash", "bssid_hash", "security_type",
         number(F.col("security_strength")).alias("strength"), "session_id",
     ).groupBy("ssid_hash", "bssid_hash", "security_type", "strength", "session_id").agg(
-        F.count(F.lit(1)).alias("n"))
+        F.count(F.lit(1)).alias("n")), "desktop-reference-facts")
     members = combos.select("ssid_hash", "bssid_hash").distinct()
     sizes = members.groupBy("ssid_hash").agg(F.count(F.lit(1)).alias("bssid_count"))
     sessions = combos.select("ssid_hash", "session_id").distinct().groupBy("ssid_hash").agg(

@@ -6,36 +6,43 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavelark.operators.checks import rate
-from wavelark.operators.ordering import cumulative_counts, exact_quantiles
+from wavelark.operators.ordering import fold_values, folded_quantiles, running_counts
 
 
 def _cut(threshold) -> Column:
     return threshold if isinstance(threshold, Column) else F.lit(float(threshold))
 
 
-def ranking_metrics(scores: DataFrame, label: str = "label", score: str = "anomaly_score") -> DataFrame:
-    """ROC-AUC with averaged ties and step-wise average precision, in one row."""
+def _folded_labels(scores: DataFrame, label: str, score: str) -> DataFrame:
     attack = (F.col(label) == 1).cast("long")
-    ranked = cumulative_counts(scores, score, {"pos": attack, "neg": 1 - attack})
-    totals = ranked.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    return fold_values(scores, score, counts={"pos": attack, "neg": 1 - attack})
+
+
+def _ranking(folded: DataFrame, score: str) -> DataFrame:
+    totals = folded.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     t = totals.select(F.struct("p", "n").alias("t")).scalar()
-    positives, negatives = t["p"], t["n"]
+    ranked = running_counts(folded, score, ["pos", "neg"]).withColumns({"_p": t["p"], "_n": t["n"]})
     below = F.col("cum_neg") - F.col("neg")
-    caught = positives - F.col("cum_pos") + F.col("pos")
-    flagged = caught + negatives - below
+    caught = F.col("_p") - F.col("cum_pos") + F.col("pos")
+    flagged = caught + F.col("_n") - below
     return ranked.agg(
-        F.sum(F.col("pos") * (below + F.col("neg") / 2.0)).alias("_area"),
-        F.sum(F.when(F.col("pos") > 0, F.col("pos") * caught / flagged)).alias("_precision"),
-    ).select(
-        (F.col("_area") / (positives * negatives)).alias("roc_auc"),
-        (F.col("_precision") / positives).alias("pr_auc"))
+        (F.sum(F.col("pos") * (below + F.col("neg") / 2.0)) / (F.max("_p") * F.max("_n").cast("double"))).alias("roc_auc"),
+        (F.sum(F.when(F.col("pos") > 0, F.col("pos") * caught / flagged)) / F.max("_p")).alias("pr_auc"))
+
+
+def ranking_metrics(scores: DataFrame, label: str = "label", score: str = "anomaly_score") -> DataFrame:
+    """ROC-AUC with averaged ties and step-wise average precision, in one row."""
+    return _ranking(_folded_labels(scores, label, score), score)
 
 
-def confusion(scores: DataFrame, threshold, label: str = "label", score: str = "anomaly_score") -> DataFrame:
+def _confusion(folded: DataFrame, threshold, score: str) -> DataFrame:
     over = F.col(score) > _cut(threshold)
-    counts = scores.agg(
-        F.count_if((F.col(label) == 0) & ~over).alias("tn"), F.count_if((F.col(label) == 0) & over).alias("fp"),
-        F.count_if((F.col(label) == 1) & ~over).alias("fn"), F.count_if((F.col(label) == 1) & over).alias("tp"))
+
+    def total(count, condition):
+        return F.coalesce(F.sum(F.when(condition, F.col(count))), F.lit(0).cast("long"))
+
+    counts = folded.agg(total("neg", ~over).alias("tn"), total("neg", over).alias("fp"),
+                        total("pos", ~over).alias("fn"), total("pos", over).alias("tp"))
     tn, fp, fn, tp = (F.col(c) for c in ("tn", "fp", "fn", "tp"))
     one_class = F.when(((tn + fp) == 0) | ((fn + tp) == 0),
                        F.raise_error(F.lit("evaluation needs normal and attack scores")))
@@ -48,47 +55,62 @@ def confusion(scores: DataFrame, threshold, label: str = "label", score: str = "
 
 
 def binary_metrics(scores: DataFrame, threshold, label: str = "label", score: str = "anomaly_score") -> DataFrame:
-    """Confusion counts, rates and ranking metrics in one row."""
-    ranks = ranking_metrics(scores, label, score).select(F.struct("roc_auc", "pr_auc").alias("r")).scalar()
-    return confusion(scores, threshold, label, score).withColumns({
+    """Confusion counts, rates and ranking metrics in one row, from one pass over the scores."""
+    folded = _folded_labels(scores, label, score)
+    ranks = _ranking(folded, score).select(F.struct("roc_auc", "pr_auc").alias("r")).scalar()
+    return _confusion(folded, threshold, score).withColumns({
         "roc_auc": ranks["roc_auc"], "pr_auc": ranks["pr_auc"]})
 
 
+def _spread(folded: DataFrame, keys: list[str], threshold, quantiles: dict[str, float], score: str) -> DataFrame:
+    """Row count, moments, range, exceedance and quantiles per group of folded scores."""
+    n, x = F.col("n"), F.col(score)
+    means = folded.groupBy(*keys).agg(
+        F.sum("n").alias("rows"), (F.sum(n * x) / F.sum("n")).alias("score_mean"),
+        F.min(score).alias("score_min"), F.max(score).alias("score_max"),
+        F.sum(F.when(x > _cut(threshold), n).otherwise(0)).alias("threshold_exceedance_count"))
+    picks = folded_quantiles(folded, score, quantiles, keys)
+    if keys:
+        centred = folded.join(means.select(*keys, "score_mean"), keys)
+        out = means.join(picks, keys)
+    else:
+        centred = folded.withColumn("score_mean", means.select("score_mean").scalar())
+        q = picks.select(F.struct(*quantiles).alias("q")).scalar()
+        out = means.withColumns({name: q[name] for name in quantiles})
+    gap = x - F.col("score_mean")
+    deviation = centred.groupBy(*keys).agg(F.sqrt(F.sum(n * gap * gap) / F.sum("n")).alias("score_std"))
+    out = out.join(deviation, keys) if keys else out.withColumn("score_std", deviation.select("score_std").scalar())
+    return out.withColumn("threshold_exceedance_rate", F.col("threshold_exceedance_count") / F.col("rows"))
+
+
 def normal_summary(scores: DataFrame, threshold, score: str = "anomaly_score") -> DataFrame:
-    median = exact_quantiles(scores, score, {"m": 0.5}).select("m").scalar()
-    over = F.count_if(F.col(score) > _cut(threshold))
-    return scores.agg(
-        F.count(F.lit(1)).alias("rows"), over.alias("false_positive_count"),
-        F.avg(score).alias("score_mean"), F.min(score).alias("score_min"), F.max(score).alias("score_max"),
-    ).withColumns({
-        "true_negative_count": F.col("rows") - F.col("false_positive_count"),
-        "false_positive_rate": F.col("false_positive_count") / F.col("rows"),
-        "score_median": median,
-    })
+    s = _spread(fold_values(scores, score), [], threshold, {"score_median": 0.5}, score)
+    return s.select(
+        "rows", F.col("threshold_exceedance_count").alias("false_positive_count"), "score_mean", "score_min",
+        "score_max", (F.col("rows") - F.col("threshold_exceedance_count")).alias("true_negative_count"),
+        F.col("threshold_exceedance_rate").alias("false_positive_rate"), "score_median")
 
 
 def recall_by(scores: DataFrame, column: str, threshold, with_median: bool = True,
               score: str = "anomaly_score") -> DataFrame:
     """Detected share per value of a column; rows without one count as `unknown`."""
     named = scores.withColumn(column, F.coalesce(F.col(column).cast("string"), F.lit("unknown")))
-    found = named.groupBy(column).agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if(F.col(score) > _cut(threshold)).alias("detected"),
-    ).withColumn("recall", F.col("detected") / F.col("rows"))
+    over = F.col(score) > _cut(threshold)
     if not with_median:
-        return found
-    return found.join(exact_quantiles(named, score, {"score_median": 0.5}, [column]), column, "left")
+        return named.groupBy(column).agg(
+            F.count(F.lit(1)).alias("rows"), F.count_if(over).alias("detected"),
+        ).withColumn("recall", F.col("detected") / F.col("rows"))
+    folded = fold_values(named, score, [column])
+    found = folded.groupBy(column).agg(
+        F.sum("n").alias("rows"), F.sum(F.when(over, F.col("n")).otherwise(0)).alias("detected"))
+    return found.join(folded_quantiles(folded, score, {"score_median": 0.5}, [column]), column).withColumn(
+        "recall", F.col("detected") / F.col("rows"))
 
 
 def score_distribution(scores: DataFrame, group: Sequence[str] | str, threshold,
                        quantiles: dict[str, float] | None = None, score: str = "anomaly_score") -> DataFrame:
     keys = [group] if isinstance(group, str) else list(group)
-    picks = exact_quantiles(scores, score, {"score_median": 0.5, **(quantiles or {})}, keys)
-    return scores.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("rows"), F.avg(score).alias("score_mean"),
-        F.stddev_pop(score).alias("score_std"), F.min(score).alias("score_min"), F.max(score).alias("score_max"),
-        F.count_if(F.col(score) > _cut(threshold)).alias("threshold_exceedance_count"),
-    ).withColumn("threshold_exceedance_rate", F.col("threshold_exceedance_count") / F.col("rows")).join(
-        picks, keys, "left")
+    return _spread(fold_values(scores, score, keys), keys, threshold, {"score_median": 0.5, **(quantiles or {})}, score)
 
 
 def controlled_eligibility(features: DataFrame, environment: str, min_rate: float = 0.70) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from wavelark.operators.checks import require_columns
 from wavelark.operators.ordering import with_position, with_previous
 from wavelark.schema import SPLIT_SEED
+from wavelark.session import stored
 
 SPLITS = ["train", "validation", "test"]
 # Sources whose groups are networks; all others are grouped by session.
@@ -110,13 +111,13 @@ def group_split(df: DataFrame, ratios: Sequence[float] = (0.70, 0.15, 0.15),
     named = F.when(group.isNull(), F.raise_error(F.lit("group split: row without a group"))).otherwise(group)
     rows = df.withColumns({"split_group_type": kind, "split_group_id": named.cast("string")})
     sizes = rows.groupBy("source_dataset", "split_group_id").agg(F.count(F.lit(1)).alias("size"))
-    sizes = sizes.withColumn("_hash", F.substring(
-        F.sha2(F.concat(F.lit(f"{seed}|"), "split_group_id"), 256), 1, 16))
+    sizes = stored(sizes.withColumn("_hash", F.substring(
+        F.sha2(F.concat(F.lit(f"{seed}|"), "split_group_id"), 256), 1, 16)), "group-sizes")
     keys, order = ["source_dataset", "size"], ["_hash", "split_group_id"]
     block = F.substring("_hash", 1, 2)
     placed = with_position(sizes, keys, [F.col(c) for c in order], block, "position", "groups")
     chained = with_previous(placed, keys, order, block, {"before_1": "split_group_id"})
-    chained = with_previous(chained, keys, order, block, {"before_2": "before_1"})
+    chained = stored(with_previous(chained, keys, order, block, {"before_2": "before_1"}), "group-order")
     last = chained.where(F.col("position") == F.col("groups") - 1).select(
         *keys, "groups", F.col("split_group_id").alias("last_group"), F.col("before_1").alias("second_last"))
     states = last.groupBy("source_dataset").applyInPandas(

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wavelark.operators.ordering import cumulative_counts
+from wavelark.operators.ordering import fold_values, running_counts
 from wavelark.schema import SPLIT_SEED
 from wavelark.session import stored
 
@@ -33,7 +33,7 @@ def score_one_class(df: DataFrame, support: DataFrame, rho: Column | float, gamm
 
     Equal support vectors are merged, and the rest reach the tasks in slices of bounded size.
     """
-    merged = support.groupBy(*features).agg(F.sum("alpha").alias("alpha"))
+    merged = stored(support.groupBy(*features).agg(F.sum("alpha").alias("alpha")), "support")
     slices = max(-(-merged.count() // SLICE), 1)
     # Sorting fixes the order in which floating sums are taken.
     packed = F.sort_array(F.collect_list(F.struct(*features, "alpha"))).alias("v")
@@ -48,11 +48,11 @@ def score_one_class(df: DataFrame, support: DataFrame, rho: Column | float, gamm
 
     total = None
     for i in range(slices):
-        vectors = merged.where(part == i).agg(packed).scalar()
-        share = F.aggregate(vectors, F.lit(0.0), lambda acc, v: acc + kernel(v))
+        df = df.withColumn(f"_sv{i}", merged.where(part == i).agg(packed).scalar())
+        share = F.aggregate(F.col(f"_sv{i}"), F.lit(0.0), lambda acc, v: acc + kernel(v))
         total = share if total is None else total + share
     bias = rho if isinstance(rho, Column) else F.lit(float(rho))
-    return df.withColumn(score, bias - total)
+    return df.withColumn(score, bias - total).drop(*[f"_sv{i}" for i in range(slices)])
 
 
 @dataclass(frozen=True)
@@ -123,7 +123,7 @@ def fit_one_class(df: DataFrame, features: Sequence[str], nu: float = 0.05, gamm
         [(i, omega[i].tolist(), float(offset[i]), float(weights[i])) for i in range(rff)],
         "term long, omega array<double>, offset double, weight double")
     scores = _random_feature_scores(folded, features, omega, offset, weights, "raw")
-    ranked = cumulative_counts(scores, "raw", {"n": F.col("n")})
+    ranked = running_counts(fold_values(scores, "raw", counts={"n": F.col("n")}), "raw")
     rows = ranked.agg(F.sum("n").alias("t")).scalar()
     bias = ranked.where(F.col("cum_n") >= rows * nu).agg(F.min("raw").alias("rho"))
     return OneClassModel(terms, bias, tuple(features))

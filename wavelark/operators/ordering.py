@@ -10,12 +10,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wavelark.session import stored
 
-def _keyed(df: DataFrame, by: Sequence[str], block: Column) -> tuple[DataFrame, list[str]]:
-    """Adds never-NULL copies of the group keys plus the block, so joins can be plain equi-joins."""
+# Distinct values up to this many may be ranked by a single task.
+DIRECT_LIMIT = 1_000_000
+
+
+def _keyed(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Adds never-NULL copies of the group keys, so joins on them can be plain equi-joins."""
     keys = [f"_key_{i}" for i in range(len(by))]
-    made = {k: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for k, c in zip(keys, by)}
-    return df.withColumns({**made, "_block": block}), keys
+    return df.withColumns({
+        k: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for k, c in zip(keys, by)}), keys
 
 
 def with_position(df: DataFrame, by: Sequence[str], order: Sequence[Column], block: Column,
@@ -24,7 +29,7 @@ def with_position(df: DataFrame, by: Sequence[str], order: Sequence[Column], blo
 
     `block` must be non-NULL and must not decrease along `order`.
     """
-    rows, keys = _keyed(df, by, block)
+    rows, keys = _keyed(df.withColumn("_block", block), by)
     sizes = rows.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n"))
     group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     before = group.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
@@ -46,68 +51,67 @@ def with_previous(df: DataFrame, by: Sequence[str], order: Sequence[str], block:
                   values: dict[str, str]) -> DataFrame:
     """Adds, per `values` entry (new name -> column), the value of the preceding row.
 
-    Blocks may be long spans: the carried value of an earlier block comes from its last row.
+    The first row of a block takes the value from the last row of the block before. Those first
+    rows meet in one window per group, which holds as many rows as the group has blocks.
     """
-    rows, keys = _keyed(df, by, block)
-    last = [F.max_by(F.struct(*values.values()), F.struct(*order)).alias("_last")]
-    ends = rows.groupBy(*keys, "_block").agg(*last)
-    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    carried = ends.select(
-        *keys, "_block", F.lag("_last").over(group.orderBy("_block")).alias("_carried"))
-    inner = Window.partitionBy(*keys, "_block").orderBy(*order)
-    out = rows.withColumns({
+    inner = Window.partitionBy(*by, "_block").orderBy(*order)
+    whole = inner.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = df.withColumn("_block", block).withColumns({
         "_rank": F.row_number().over(inner),
         **{f"_lag_{new}": F.lag(col).over(inner) for new, col in values.items()},
-    }).join(carried, [*keys, "_block"])
-    return out.withColumns({
-        new: F.when(F.col("_rank") == 1, F.col("_carried")[col]).otherwise(F.col(f"_lag_{new}"))
-        for new, col in values.items()
-    }).drop(*keys, "_block", "_rank", "_carried", *[f"_lag_{new}" for new in values])
+        **{f"_end_{new}": F.last(col).over(whole) for new, col in values.items()},
+    })
+    first = F.col("_rank") == 1
+    across = Window.partitionBy(*by, first, F.when(~first, F.col("_block"))).orderBy("_block")
+    return rows.withColumns({
+        new: F.when(first, F.lag(f"_end_{new}").over(across)).otherwise(F.col(f"_lag_{new}")) for new in values
+    }).drop("_block", "_rank", *[f"_{kind}_{new}" for new in values for kind in ("lag", "end")])
 
 
-def cumulative_counts(df: DataFrame, value: str, counts: dict[str, Column],
-                      by: Sequence[str] = (), blocks: int = 64) -> DataFrame:
-    """One row per group and distinct value with each count and its running total `cum_*`.
+def fold_values(df: DataFrame, value: str, by: Sequence[str] = (),
+                counts: dict[str, Column] | None = None) -> DataFrame:
+    """Distinct values per group with their counts, written once so that ranking reads no raw row again."""
+    counts = counts or {"n": F.lit(1)}
+    return stored(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(
+        *[F.sum(c).cast("long").alias(name) for name, c in counts.items()]), "values")
 
-    Values are first folded to distinct ones, then cut into blocks of similar size at
-    approximate quantiles. The cuts only balance the work; the totals are exact.
+
+def running_counts(folded: DataFrame, value: str, counts: Sequence[str] = ("n",), by: Sequence[str] = (),
+                   blocks: int = 64, direct_limit: int = DIRECT_LIMIT) -> DataFrame:
+    """Folded values with the running total `cum_*` of each count along the value.
+
+    Beyond `direct_limit` rows the values are cut at approximate quantiles into blocks of similar
+    size. The cuts only balance the work; the totals are exact either way.
     """
     by = list(by)
-    folded = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(
-        *[F.sum(c).cast("long").alias(name) for name, c in counts.items()])
+    upto = (Window.unboundedPreceding, Window.currentRow)
+    if folded.count() <= direct_limit:
+        window = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(value).rowsBetween(*upto)
+        return folded.withColumns({f"cum_{n}": F.sum(n).over(window) for n in counts})
     shares = F.array(*[F.lit(i / blocks) for i in range(1, blocks)])
-    rows, keys = _keyed(folded, by, F.lit(0))
+    rows, keys = _keyed(folded, by)
     cuts = rows.groupBy(*keys).agg(F.percentile_approx(value, shares, F.lit(1000)).alias("_cuts"))
-    if keys:
-        rows = rows.join(cuts, keys)
-    else:
-        rows = rows.withColumn("_cuts", cuts.select("_cuts").scalar())
-    rows = rows.withColumn(
-        "_block", F.size(F.filter("_cuts", lambda cut: cut < F.col(value)))).drop("_cuts")
+    rows = rows.join(cuts, keys) if keys else rows.withColumn("_cuts", cuts.select("_cuts").scalar())
+    rows = rows.withColumn("_block", F.size(F.filter("_cuts", lambda cut: cut < F.col(value)))).drop("_cuts")
     sums = rows.groupBy(*keys, "_block").agg(*[F.sum(n).alias(f"_s_{n}") for n in counts])
     group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     before = group.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(*keys, "_block", *[
         F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in counts])
-    inner = Window.partitionBy(*keys, "_block").orderBy(value).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
+    inner = Window.partitionBy(*keys, "_block").orderBy(value).rowsBetween(*upto)
     return (
         rows.withColumns({f"_r_{n}": F.sum(n).over(inner) for n in counts})
         .join(offsets, [*keys, "_block"])
-        .select(*by, value, *counts,
-                *[(F.col(f"_b_{n}") + F.col(f"_r_{n}")).alias(f"cum_{n}") for n in counts])
+        .withColumns({f"cum_{n}": F.col(f"_b_{n}") + F.col(f"_r_{n}") for n in counts})
+        .drop(*keys, "_block", *[f"_{kind}_{n}" for n in counts for kind in "rb"])
     )
 
 
 def _picked(ranked: DataFrame, value: str, quantiles: dict[str, float], by: list[str]) -> DataFrame:
-    """Linear quantiles out of the running counts of distinct values."""
-    totals = ranked.groupBy(*by).agg(F.max("cum_n").alias("_total"))
-    if by:
-        keyed, keys = _keyed(ranked, by, F.lit(0))
-        tk, _ = _keyed(totals, by, F.lit(0))
-        rows = keyed.drop("_block").join(tk.select(*keys, "_total"), keys).drop(*keys)
-    else:
-        rows = ranked.withColumn("_total", totals.select("_total").scalar())
+    """Linear quantiles out of the running counts."""
+    rows, keys = _keyed(ranked, by)
+    totals = rows.groupBy(*keys).agg(F.max("cum_n").alias("_total"))
+    rows = rows.join(totals, keys) if keys else rows.withColumn("_total", totals.select("_total").scalar())
     picks = []
     for name, q in quantiles.items():
         at = (F.col("_total") - 1) * F.lit(float(q))
@@ -122,24 +126,35 @@ def _picked(ranked: DataFrame, value: str, quantiles: dict[str, float], by: list
         for n in quantiles])
 
 
-def exact_quantiles(df: DataFrame, value: str, quantiles: dict[str, float],
-                    by: Sequence[str] = (), direct_limit: int = 1_000_000) -> DataFrame:
-    """Exact linear quantiles, globally or per group.
+def folded_quantiles(folded: DataFrame, value: str, quantiles: dict[str, float], by: Sequence[str] = (),
+                     direct_limit: int = DIRECT_LIMIT) -> DataFrame:
+    """Exact linear quantiles of folded values, globally or per group.
 
-    Groups up to `direct_limit` distinct values are folded directly; wider ones go through
+    Groups up to `direct_limit` distinct values are aggregated directly; wider ones go through
     the blocked running counts. Both ways give the same numbers.
     """
     by = list(by)
-    present = df.where(F.col(value).isNotNull())
+
+    def direct(df):
+        return df.groupBy(*by).agg(*[
+            F.percentile(value, F.lit(float(q)), F.col("n")).alias(name) for name, q in quantiles.items()])
+
+    if folded.count() <= direct_limit:
+        return direct(folded)
     if not by:
-        return _picked(cumulative_counts(present, value, {"n": F.lit(1)}), value, quantiles, by)
-    folded, keys = _keyed(present.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n")), by, F.lit(0))
+        return _picked(running_counts(folded, value, direct_limit=direct_limit), value, quantiles, by)
+    rows, keys = _keyed(folded, by)
     # At most (distinct values / direct_limit) groups can be wide, which bounds this table.
-    wide = (folded.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d"))
-            .where(F.col("_d") > direct_limit).select(*keys))
-    narrow = folded.join(F.broadcast(wide), keys, "left_anti").groupBy(*by).agg(*[
-        F.percentile(value, F.lit(float(q)), F.col("_n")).alias(n) for n, q in quantiles.items()])
-    rest = folded.join(F.broadcast(wide), keys, "left_semi").drop("_block")
-    blocked = _picked(
-        cumulative_counts(rest.drop(*keys), value, {"n": F.col("_n")}, by), value, quantiles, by)
-    return narrow.unionByName(blocked)
+    wide = stored(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d"))
+                  .where(F.col("_d") > direct_limit).select(*keys), "wide")
+    if wide.isEmpty():
+        return direct(folded)
+    narrow = rows.join(F.broadcast(wide), keys, "left_anti").drop(*keys)
+    rest = rows.join(F.broadcast(wide), keys, "left_semi").drop(*keys)
+    ranked = running_counts(rest, value, by=by, direct_limit=direct_limit)
+    return direct(narrow).unionByName(_picked(ranked, value, quantiles, by))
+
+
+def exact_quantiles(df: DataFrame, value: str, quantiles: dict[str, float], by: Sequence[str] = (),
+                    direct_limit: int = DIRECT_LIMIT) -> DataFrame:
+    return folded_quantiles(fold_values(df, value, by), value, quantiles, by, direct_limit)

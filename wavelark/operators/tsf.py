@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from wavelark.functions.identity import clean_mac, hash_bssid, hash_identifier, local_admin_bit, multicast_bit
 from wavelark.functions.text import number
 from wavelark.operators.checks import require_columns
-from wavelark.operators.ordering import exact_quantiles
+from wavelark.operators.ordering import fold_values, folded_quantiles
 
 
 def build_tsf_reference(df: DataFrame) -> DataFrame:
@@ -17,9 +17,10 @@ def build_tsf_reference(df: DataFrame) -> DataFrame:
         number(F.col("beacon_timestamp_us")).alias("tsf_us"),
     ).dropna(subset=["session_id", "bssid_hash", "tsf_us"])
     keys = ["session_id", "bssid_hash"]
-    ranges = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("count"), F.min("tsf_us").alias("min_tsf_us"), F.max("tsf_us").alias("max_tsf_us"))
-    return ranges.join(exact_quantiles(rows, "tsf_us", {"median_tsf_us": 0.5}, keys), keys)
+    folded = fold_values(rows, "tsf_us", keys)
+    ranges = folded.groupBy(*keys).agg(
+        F.sum("n").alias("count"), F.min("tsf_us").alias("min_tsf_us"), F.max("tsf_us").alias("max_tsf_us"))
+    return ranges.join(folded_quantiles(folded, "tsf_us", {"median_tsf_us": 0.5}, keys), keys)
 
 
 def transform_tsf(df: DataFrame, reference: DataFrame, session_col: str = "session_id") -> DataFrame:
