@@ -28,7 +28,7 @@ def content_digest(df: DataFrame, columns: Sequence[str], by: Sequence[str], nam
     Each row's SHA-256 is cut into twelve 20-bit numbers that are summed. Sums combine before the
     shuffle, so a group of any size costs one small record per task.
     """
-    text = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in sorted(columns)])
+    text = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x1e")) for c in sorted(columns)])
     hashed = df.select(*by, F.sha2(text, 256).alias("_h"))
     lanes = [F.sum(F.conv(F.substring("_h", 1 + 5 * i, 5), 16, 10).cast("long")).alias(f"_l{i}") for i in range(LANES)]
     sums = hashed.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *lanes)

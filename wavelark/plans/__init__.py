@@ -1,6 +1,8 @@
 """All registered queries."""
 
-from wavelark.plans import context_queries, model_queries, window_queries  # noqa: F401
+from wavelark.plans import (  # noqa: F401
+    window_queries, context_queries, model_queries, integrity_queries, store_queries,
+)
 from wavelark.plans.catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -7,7 +7,12 @@ from wavelark.plans.views import desktop_rows, observations
 
 
 def early(df):
-    return df.where(F.col("session_id") <= "sess_01")
+    """Two early sessions on the lower channels: some networks are known, some only in part."""
+    return df.where((F.col("session_id") <= "sess_01") & (F.col("channel") <= 9))
+
+
+def early_desktop(df):
+    return df.where((F.col("session_id") <= "sess_00") & (F.col("center_frequency_khz") <= 2_452_000))
 
 
 def reference(spark, sf_dir):
@@ -15,8 +20,7 @@ def reference(spark, sf_dir):
 
 
 def desktop_reference(spark, sf_dir):
-    rows = desktop_rows(spark, sf_dir).where(F.col("session_id") <= "sess_00")
-    return context.freeze(context.build_desktop_reference(rows))
+    return context.freeze(context.build_desktop_reference(early_desktop(desktop_rows(spark, sf_dir))))
 
 
 def desktop_features(spark, sf_dir):
@@ -60,7 +64,7 @@ def contextual_core_v2(spark, sf_dir):
 
 
 CHANNEL = HASHED + """,
-cref AS (SELECT *, CASE WHEN advertised_channel > 0 THEN advertised_channel END AS adv FROM hobs WHERE session_id <= 'sess_01'),
+cref AS (SELECT *, CASE WHEN advertised_channel > 0 THEN advertised_channel END AS adv FROM hobs WHERE session_id <= 'sess_01' AND channel <= 9),
 cmember AS (SELECT DISTINCT ssid_hash, bssid_hash FROM cref WHERE ssid_hash IS NOT NULL),
 cowner AS (SELECT bssid_hash, CASE WHEN count(*) = 1 THEN min(ssid_hash) END AS only_ssid FROM cmember GROUP BY 1),
 cpair AS (SELECT DISTINCT coalesce(r.ssid_hash, o.only_ssid) AS ssid_hash, adv FROM cref r LEFT JOIN cowner o ON o.bssid_hash = r.bssid_hash
@@ -129,8 +133,7 @@ def local_admin_bits(spark, sf_dir):
 @query("desktop_reference", f"""WITH {DESKTOP_CONTEXT} SELECT ssid_hash, bssid_count, array_to_string(security_types, ',') AS security_types,
     security_strength_median, reference_rows, reference_sessions FROM dprof""")
 def desktop_reference_profiles(spark, sf_dir):
-    rows = desktop_rows(spark, sf_dir).where(F.col("session_id") <= "sess_00")
-    profiles = context.build_desktop_reference(rows).profiles
+    profiles = context.build_desktop_reference(early_desktop(desktop_rows(spark, sf_dir))).profiles
     return profiles.withColumn("security_types", F.array_join("security_types", ","))
 
 

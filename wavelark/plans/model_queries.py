@@ -121,7 +121,7 @@ def variance_report(spark, sf_dir):
 # A plain score on desktop features that both engines compute exactly.
 SCORED = DESKTOP_CONTEXT + """,
 scored AS (SELECT d.*, o.label AS truth, o.attack_type AS attack, 2 * bssid_changed + security_changed * 0.5::DOUBLE
-    - security_strength_delta * 0.25::DOUBLE + ssid_bssid_count * 0.0625::DOUBLE + d.rssi_dbm / -1024 AS anomaly_score
+    - security_strength_delta * 0.25::DOUBLE + ssid_bssid_count * 0.0625::DOUBLE + d.rssi_dbm / -1000 AS anomaly_score
     FROM dctx d JOIN obs o USING (event_id) WHERE d.context_available AND d.feature_complete)
 """
 
@@ -130,7 +130,7 @@ def scored(spark, sf_dir):
     truth = observations(spark, sf_dir).select("event_id", F.col("label").alias("truth"), F.col("attack_type").alias("attack"))
     rows = desktop_features(spark, sf_dir).where(context.eligible())
     score = (2 * F.col("bssid_changed") + F.col("security_changed") * 0.5 - F.col("security_strength_delta") * 0.25
-             + F.col("ssid_bssid_count") * 0.0625 + F.col("rssi_dbm") / -1024)
+             + F.col("ssid_bssid_count") * 0.0625 + F.col("rssi_dbm") / -1000)
     return rows.withColumn("anomaly_score", score).join(truth, "event_id")
 
 

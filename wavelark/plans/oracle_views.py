@@ -93,7 +93,7 @@ temporal AS (SELECT source_dataset, session_id, network_identity_id, network_gro
 
 # Reference of the first two sessions, hidden rows counted for the only SSID of their BSSID.
 CONTEXT = HASHED + """,
-refrow AS (SELECT * FROM hobs WHERE session_id <= 'sess_01'),
+refrow AS (SELECT * FROM hobs WHERE session_id <= 'sess_01' AND channel <= 9),
 member AS (SELECT DISTINCT ssid_hash, bssid_hash FROM refrow WHERE ssid_hash IS NOT NULL),
 owner AS (SELECT bssid_hash, count(*) AS ssid_count, CASE WHEN count(*) = 1 THEN min(ssid_hash) END AS only_ssid FROM member GROUP BY 1),
 fact AS (SELECT ssid_hash, channel, security_type, configured_beacon_interval_ms AS itv, 1 AS seen FROM refrow WHERE ssid_hash IS NOT NULL
@@ -125,7 +125,7 @@ ctx AS (SELECT *, context_available AND ssid_bssid_count IS NOT NULL AND bssid_c
 
 # Desktop reference of the given sessions and the four features of every row.
 DESKTOP_CONTEXT = DESKTOP + """,
-dref AS (SELECT * FROM desk WHERE session_id <= 'sess_00' AND ssid_hash IS NOT NULL AND bssid_hash IS NOT NULL),
+dref AS (SELECT * FROM desk WHERE session_id <= 'sess_00' AND center_frequency_khz <= 2452000 AND ssid_hash IS NOT NULL AND bssid_hash IS NOT NULL),
 dmember AS (SELECT DISTINCT ssid_hash, bssid_hash FROM dref),
 downer AS (SELECT bssid_hash, CASE WHEN count(*) = 1 THEN min(ssid_hash) END AS only_ssid FROM dmember GROUP BY 1),
 dprof AS (SELECT ssid_hash, count(DISTINCT bssid_hash) AS bssid_count, list_sort(list(DISTINCT security_type)) AS security_types,

@@ -60,7 +60,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def desktop_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def desktop_rows(spark: SparkSession, sf_dir: str, clear: bool = False) -> DataFrame:
     """Imported desktop observations: hashed identifiers and numeric security strength."""
     o = observations(spark, sf_dir)
     captured = F.timestamp_micros(
@@ -91,4 +91,5 @@ def desktop_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(0).cast("long").alias("label"),
         F.lit(None).cast("string").alias("attack_type"),
         F.lit(False).alias("is_synthetic"),
+        *(["ssid", "bssid"] if clear else []),
     )
