@@ -22,7 +22,7 @@ def calibrate(scores: DataFrame, fpr: float = 0.05, score: str = "anomaly_score"
     return out.select(
         F.coalesce(empty.cast("double"), threshold).alias("threshold"),
         F.lit(fpr).alias("target_false_positive_rate"),
-        (F.col("_over") / F.col("validation_rows")).alias("validation_realized_false_positive_rate"),
+        F.try_divide("_over", "validation_rows").alias("validation_realized_false_positive_rate"),
         "validation_rows", F.lit(1.0 - fpr).alias("quantile"))
 
 

@@ -26,8 +26,10 @@ def _ranking(folded: DataFrame, score: str) -> DataFrame:
     caught = F.col("_p") - F.col("cum_pos") + F.col("pos")
     flagged = caught + F.col("_n") - below
     return ranked.agg(
-        (F.sum(F.col("pos") * (below + F.col("neg") / 2.0)) / (F.max("_p") * F.max("_n").cast("double"))).alias("roc_auc"),
-        (F.sum(F.when(F.col("pos") > 0, F.col("pos") * caught / flagged)) / F.max("_p")).alias("pr_auc"))
+        F.try_divide(F.sum(F.col("pos") * (below + F.col("neg") / 2.0)),
+                     F.max("_p") * F.max("_n").cast("double")).alias("roc_auc"),
+        F.try_divide(F.sum(F.when(F.col("pos") > 0, F.col("pos") * caught / flagged)),
+                     F.max("_p")).alias("pr_auc"))
 
 
 def ranking_metrics(scores: DataFrame, label: str = "label", score: str = "anomaly_score") -> DataFrame:
@@ -48,7 +50,7 @@ def _confusion(folded: DataFrame, threshold, score: str) -> DataFrame:
                        F.raise_error(F.lit("evaluation needs normal and attack scores")))
     return counts.select(
         (tn + fp).alias("normal_rows"), (fn + tp).alias("attack_rows"), "tn", "fp", "fn", "tp",
-        F.coalesce(one_class.cast("double"), (tn + tp) / (tn + fp + fn + tp)).alias("accuracy"),
+        F.coalesce(one_class.cast("double"), F.try_divide(tn + tp, tn + fp + fn + tp)).alias("accuracy"),
         rate(tp, tp + fp).alias("precision"), rate(tp, tp + fn).alias("recall"),
         rate(2 * tp, 2 * tp + fp + fn).alias("f1"),
         rate(fp, fp + tn).alias("false_positive_rate"), rate(fn, fn + tp).alias("false_negative_rate"))

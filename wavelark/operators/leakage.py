@@ -26,13 +26,13 @@ def source_leakage(train: DataFrame, tests: dict[str, DataFrame],
     """One row of classification metrics per test split."""
     features = RADIO_FEATURE_SETS[feature_set] if isinstance(feature_set, str) else list(feature_set)
     scaler = fit_scaler(train, features)
-    pack = VectorAssembler(inputCols=features, outputCol="x")
+    pack = VectorAssembler(inputCols=features, outputCol="_packed")
 
     def prepared(df):
         return pack.transform(apply_scaler(source_target(df), scaler, features))
 
     rows = train.count()
-    model = LogisticRegression(featuresCol="x", labelCol="source_target", maxIter=2000, regParam=1.0 / rows,
+    model = LogisticRegression(featuresCol="_packed", labelCol="source_target", maxIter=2000, regParam=1.0 / rows,
                                standardization=False).fit(prepared(train))
     out = None
     for split, df in tests.items():

@@ -19,8 +19,8 @@ class ReconstructionModel:
 
 def fit_reconstruction(df: DataFrame, features: Sequence[str], k: int = 2) -> ReconstructionModel:
     features = list(features)
-    packed = VectorAssembler(inputCols=features, outputCol="x").transform(df.select(*features))
-    components = PCA(k=k, inputCol="x", outputCol="z").fit(packed).pc.toArray()
+    packed = VectorAssembler(inputCols=features, outputCol="_packed").transform(df.select(*features))
+    components = PCA(k=k, inputCol="_packed", outputCol="_components").fit(packed).pc.toArray()
     means = df.agg(*[F.avg(f).alias(f) for f in features]).first()
     return ReconstructionModel(tuple(features), tuple(means), tuple(map(tuple, components.tolist())))
 
