@@ -29,7 +29,8 @@ def _grow(features, sample, seed):
                 out.append((tree, node, -1, 0.0, len(rows), len(x)))
                 continue
             f = int(rng.choice(open_features))
-            cut = float(rng.uniform(low[f], high[f]))
+            # Staying below the highest value keeps both sides filled even when the range is one bit wide.
+            cut = min(float(rng.uniform(low[f], high[f])), float(np.nextafter(high[f], low[f])))
             left = x[rows, f] <= cut
             out.append((tree, node, f, cut, len(rows), len(x)))
             todo += [(2 * node + 1, rows[left], depth + 1), (2 * node + 2, rows[~left], depth + 1)]
