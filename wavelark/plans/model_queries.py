@@ -9,6 +9,7 @@ from wavelark.plans.context_queries import desktop_features, desktop_reference,
 from wavelark.plans.oracle_views import CONTEXT, DESKTOP_CONTEXT, OBS, TEMPORAL
 from wavelark.plans.views import desktop_rows, observations
 from wavelark.schema import CONTEXTUAL_FULL_V1, DESKTOP_FEATURES, RADIO_FEATURE_SETS
+from wavelark.session import stored
 
 
 def temporal(spark, sf_dir):
@@ -353,9 +354,9 @@ kscore AS (SELECT r.*, round(score, 7) AS score FROM krow r LEFT JOIN kval USING
 def kernel_parts(spark, sf_dir):
     rows = desktop_features(spark, sf_dir).where(context.eligible())
     train = rows.where(F.col("session_id") <= "sess_04").select(*DESKTOP_FEATURES)
-    scaler = matrix.fit_scaler(train, DESKTOP_FEATURES)
-    total = train.agg(F.count(F.lit(1)).alias("n")).scalar()
-    folded = train.groupBy(*DESKTOP_FEATURES).agg(F.count(F.lit(1)).alias("_n"))
+    scaler = stored(matrix.fit_scaler(train, DESKTOP_FEATURES), "scaler")
+    folded = stored(train.groupBy(*DESKTOP_FEATURES).agg(F.count(F.lit(1)).alias("_n")), "training-vectors")
+    total = folded.agg(F.sum("_n").alias("n")).scalar()
     support = matrix.apply_scaler(folded.withColumn("alpha", F.col("_n") / total), scaler, DESKTOP_FEATURES)
     return rows, scaler, support.select(*DESKTOP_FEATURES, "alpha")
 
@@ -385,7 +386,8 @@ def runtime_decisions(spark, sf_dir):
 
 
 def radio_rows(spark, sf_dir):
-    rich = temporal_rich(spark, sf_dir).withColumn("row_key", F.concat_ws("|", "network_group_id", "window_start_ms", "label"))
+    key = F.concat_ws("|", "network_group_id", "window_start_ms", "label")
+    rich = stored(temporal_rich(spark, sf_dir).select(key.alias("row_key"), "label", *COMPLETE), "radio-rows")
     return matrix.apply_scaler(rich, matrix.fit_scaler(rich.where(F.col("label") == 0), COMPLETE), COMPLETE)
 
 
@@ -412,6 +414,6 @@ def reconstruction_error(spark, sf_dir):
 
 @query("source_leakage_probe")
 def source_leakage_probe(spark, sf_dir):
-    rows = temporal_rich(spark, sf_dir)
+    rows = stored(temporal_rich(spark, sf_dir), "probe-rows")
     late = F.col("session_id") >= "sess_05"
     return leakage.source_leakage(rows.where(~late), {"validation": rows.where(late)}, "conservative_v2")
