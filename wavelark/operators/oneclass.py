@@ -29,10 +29,12 @@ def scale_gamma(df: DataFrame, features: Sequence[str], weight: str | None = Non
 
 def score_one_class(df: DataFrame, support: DataFrame, rho: Column | float, gamma: float,
                     features: Sequence[str], score: str = "anomaly_score") -> DataFrame:
-    """rho - sum(alpha * exp(-gamma * |x - sv|^2)) for every row.
+    """rho - sum(alpha * exp(-gamma * |x - sv|^2)) for every row; NULL where a feature is.
 
-    Equal support vectors are merged, and the rest reach the tasks in slices of bounded size.
+    Each distinct vector is scored once and joined back. Equal support vectors are merged, and the
+    rest reach the tasks in slices of bounded size.
     """
+    features = list(features)
     merged = stored(support.groupBy(*features).agg(F.sum("alpha").alias("alpha")), "support")
     slices = max(-(-merged.count() // SLICE), 1)
     # Sorting fixes the order in which floating sums are taken.
@@ -46,13 +48,16 @@ def score_one_class(df: DataFrame, support: DataFrame, rho: Column | float, gamm
             distance = step if distance is None else distance + step
         return v["alpha"] * F.exp(F.lit(-float(gamma)) * distance)
 
+    vectors = stored(df.select(*features).dropna().distinct(), "vectors")
     total = None
     for i in range(slices):
-        df = df.withColumn(f"_sv{i}", merged.where(part == i).agg(packed).scalar())
+        vectors = vectors.withColumn(f"_sv{i}", merged.where(part == i).agg(packed).scalar())
         share = F.aggregate(F.col(f"_sv{i}"), F.lit(0.0), lambda acc, v: acc + kernel(v))
         total = share if total is None else total + share
     bias = rho if isinstance(rho, Column) else F.lit(float(rho))
-    return df.withColumn(score, bias - total).drop(*[f"_sv{i}" for i in range(slices)])
+    scores = stored(vectors.select(*features, (bias - total).alias(score)), "vector-scores")
+    kept = [c for c in df.columns if c != score]
+    return df.select(*kept).join(scores, features, "left").select(*kept, score)
 
 
 @dataclass(frozen=True)

@@ -352,13 +352,14 @@ kscore AS (SELECT r.*, round(score, 7) AS score FROM krow r LEFT JOIN kval USING
 
 
 def kernel_parts(spark, sf_dir):
-    rows = desktop_features(spark, sf_dir).where(context.eligible())
+    ref = desktop_reference(spark, sf_dir)
+    rows = context.transform_desktop(desktop_rows(spark, sf_dir), ref).where(context.eligible())
     train = rows.where(F.col("session_id") <= "sess_04").select(*DESKTOP_FEATURES)
     scaler = stored(matrix.fit_scaler(train, DESKTOP_FEATURES), "scaler")
     folded = stored(train.groupBy(*DESKTOP_FEATURES).agg(F.count(F.lit(1)).alias("_n")), "training-vectors")
     total = folded.agg(F.sum("_n").alias("n")).scalar()
     support = matrix.apply_scaler(folded.withColumn("alpha", F.col("_n") / total), scaler, DESKTOP_FEATURES)
-    return rows, scaler, support.select(*DESKTOP_FEATURES, "alpha")
+    return rows, ref, scaler, support.select(*DESKTOP_FEATURES, "alpha")
 
 
 def kernel_score(support):
@@ -370,7 +371,7 @@ def kernel_score(support):
 
 @query("kernel_scores", f"WITH {KERNEL} SELECT event_id, score + 0.0 AS anomaly_score FROM kscore WHERE feature_complete")
 def kernel_scores(spark, sf_dir):
-    rows, scaler, support = kernel_parts(spark, sf_dir)
+    rows, _, scaler, support = kernel_parts(spark, sf_dir)
     scaled = matrix.apply_scaler(rows, scaler, DESKTOP_FEATURES)
     return kernel_score(support)(scaled).select("event_id", "anomaly_score")
 
@@ -380,8 +381,8 @@ def kernel_scores(spark, sf_dir):
     CASE WHEN feature_complete THEN score > 0.25 END AS is_anomaly,
     CASE WHEN NOT feature_complete THEN 'unavailable' WHEN score > 0.25 THEN 'high' ELSE 'low' END AS suspicion_level FROM kscore""")
 def runtime_decisions(spark, sf_dir):
-    _, scaler, support = kernel_parts(spark, sf_dir)
-    out = decisions.decide(desktop_rows(spark, sf_dir), desktop_reference(spark, sf_dir), scaler, kernel_score(support), 0.25)
+    _, ref, scaler, support = kernel_parts(spark, sf_dir)
+    out = decisions.decide(desktop_rows(spark, sf_dir), ref, scaler, kernel_score(support), 0.25)
     return out.select("event_id", "status", "anomaly_score", "threshold", "is_anomaly", "suspicion_level")
 
 

@@ -2,7 +2,6 @@ from pyspark.sql import functions as F
 
 from wavelark.plans.capture_queries import scan_documents
 from wavelark.plans.catalog import query, rounded
-from wavelark.plans.context_queries import desktop_reference
 from wavelark.plans.model_queries import KERNEL, kernel_parts, kernel_score
 from wavelark.plans.oracle_views import DESKTOP, OBS
 from wavelark.plans.views import EPOCH_US, desktop_rows, observations, ticks
@@ -32,9 +31,9 @@ def collected(stream, name):
 def scan_stream_scoring(spark, sf_dir):
     path = fresh_path(spark, "scan-stream")
     scan_documents(spark, sf_dir).write.json(path)
-    _, scaler, support = kernel_parts(spark, sf_dir)
+    _, ref, scaler, support = kernel_parts(spark, sf_dir)
     out = fresh_path(spark, "scored")
-    jobs.score_stream(stream_scan_jsonl(spark, path), desktop_reference(spark, sf_dir), scaler, kernel_score(support), 0.25,
+    jobs.score_stream(stream_scan_jsonl(spark, path), ref, scaler, kernel_score(support), 0.25,
                       out, fresh_path(spark, "scored-state"), "home").awaitTermination()
     return spark.read.parquet(f"{out}/detection").select("session_id", "scan_index", "status", "anomaly_score", "is_anomaly")
 
