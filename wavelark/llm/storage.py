@@ -3,6 +3,7 @@
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wavelark.session import shared_folder
 
@@ -16,3 +17,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: A side of a join with at most so many rows of a few numbers is sent whole to every executor.
+BROADCAST_ROWS = 1_000_000
+
+
+def sized(keys: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Marks a stored table of narrow rows for broadcasting if it is counted to be small; else joins shuffle."""
+    return F.broadcast(keys) if keys.count() <= rows else keys
