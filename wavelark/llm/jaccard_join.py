@@ -4,10 +4,10 @@
    Equal sets are folded to the row with the smallest id.
 2. Stars: sets that share a bin minimum are compared with the most central set of that group only.
    This joins large families of near copies with a number of comparisons in proportion to their size.
-3. Completeness: two sets above the threshold share a shingle of their prefixes, the first few shingles in
-   one global order (rare before common). Sets that meet in a prefix shingle are put into tiles of one
-   size band each; in a tile, the bit count of two xored bitmaps bounds the overlap from above, and only
-   pairs of different components that pass go on.
+3. Completeness: two sets above the threshold share shingles of their prefixes, the first few shingles in one
+   global order (rare before common), and the more the larger they are. Sets that meet in a prefix shingle are
+   put into tiles of one size band each; in a tile, the bit count of two xored bitmaps bounds the overlap
+   from above, and only pairs of different components that pass and meet often enough go on.
 4. Candidates of 2 and 3 are decided by intersecting the sorted shingles of the two texts.
 
 No step lists all pairs of a group whose members are already known to be connected.
@@ -29,6 +29,7 @@ BINS = 8
 BITMAP_WORDS = 8
 _BUCKET_BITS = 20
 _SALTS = 8
+_SHARED = 64
 
 
 def _signature(values: np.ndarray) -> tuple[bytes, list, list[int]]:
@@ -93,7 +94,7 @@ def _ranks(table: DataFrame) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, size: int, percent: int, ranks: np.ndarray) -> DataFrame:
-    """(key, doc_id, content, common): the shingles of which two similar sets share at least one."""
+    """(key, doc_id, content, common): the shingles of which similar sets of n or more share at least 1 + n // _SHARED."""
     schema = T.StructType([
         T.StructField("key", T.LongType()), docs.schema["doc_id"], T.StructField("content", T.LongType()),
         T.StructField("common", T.BooleanType())])
@@ -107,7 +108,7 @@ def _prefixes(docs: DataFrame, size: int, percent: int, ranks: np.ndarray) -> Da
             for i in range(batch.num_rows):
                 values = shingle_set(words[at[i]:at[i + 1]], size)
                 n = len(values)
-                take = n - (percent * n + 99) // 100 + 1 if n else 0
+                take = n - (percent * n + 99) // 100 + 1 + n // _SHARED if n else 0
                 rank = ranks[(values >> np.uint64(64 - _BUCKET_BITS)).astype(np.int64)]
                 plain = np.flatnonzero(rank == 0)[:take]
                 if len(plain) < take:
@@ -115,7 +116,7 @@ def _prefixes(docs: DataFrame, size: int, percent: int, ranks: np.ndarray) -> Da
                     plain = np.concatenate([plain, rest[np.argsort(rank[rest], kind="stable")][:take - len(plain)]])
                 keys.append(values[plain])
                 common.append(rank[plain] > 0)
-                contents.append(mix(values.sum(dtype=np.uint64)))
+                contents.append(mix(values.sum(dtype=np.uint64, keepdims=True))[0] if n else 0)
                 lengths.append(take)
             ids = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), lengths)))
             yield pa.RecordBatch.from_arrays([
@@ -205,7 +206,9 @@ def _tile_candidates(prefixes: DataFrame, sets: DataFrame, percent: int) -> Data
     ordered = (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("a") < F.col("b")))
     return smaller.hint("merge").join(larger, ["key", "tile", "salt"]).where(
         (F.col("c1") != F.col("c2")) & ordered & _sizes_fit(percent, "n1", "n2")
-        & _overlap_possible(percent, "n1", "n2", "bits1", "bits2")).select("a", "b").distinct()
+        & _overlap_possible(percent, "n1", "n2", "bits1", "bits2")).groupBy("a", "b").agg(
+        F.count(F.lit(1)).alias("shared"), F.min("n1").alias("n")).where(
+        F.col("shared") >= 1 + F.floor(F.col("n") / _SHARED)).select("a", "b")
 
 
 def _linked(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
