@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavelark.llm import contamination, jaccard_join, language_id, lattice_lm, packing, secret_scan, weak_labels
+from wavelark.llm import contamination, jaccard_join, language_id, lattice_lm, packing, secret_scan, voronoi_join, weak_labels
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -47,6 +47,11 @@ def op7_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.score_documents(table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_voronoi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voronoi_join.top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 @query
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn(
