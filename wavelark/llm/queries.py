@@ -5,7 +5,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavelark.llm import contamination, jaccard_join, language_id, lattice_lm, packing, secret_scan, voronoi_join, weak_labels
+from wavelark.llm import contamination, jaccard_join, language_id, lattice_lm, packing, secret_scan, voronoi_join, warc, weak_labels
+from wavelark.llm.storage import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,6 +38,21 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_groups(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    warc.register(spark)
+    path = shared_path(spark, "archive")
+    warc.write_pages(table(spark, sf_dir, "pages"), path)
+    page = F.substring_index("record_id", ":", -1).cast("long").alias("page_id")
+    responses = warc.read_archive(spark, path).where("record_type = 'response'").select(
+        page, F.length("payload").cast("long").alias("payload_bytes"), warc.base32_sha1(F.col("payload")).alias("payload_digest"),
+        "record_type", F.lit(None).cast("long").alias("refers_to"))
+    revisits = warc.read_archive(spark, path, payload=False).where("record_type = 'revisit'").select(
+        page, F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type",
+        F.substring_index("refers_to", ":", -1).cast("long").alias("refers_to"))
+    return responses.unionByName(revisits)
+
+
 @query
 def op6_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
