@@ -5,8 +5,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavelark.llm import contamination, jaccard_join, language_id, lattice_lm, packing, secret_scan, voronoi_join, warc, weak_labels
-from wavelark.llm.storage import shared_path
+from wavelark.llm import contamination, jaccard_join, language_id, lattice_lm, packing, secret_scan, training_order, voronoi_join, warc, weak_labels
+from wavelark.llm.storage import shared_path, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,6 +27,14 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+@query
+def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "shards")
+    placed = stored(training_order.materialise(training_order.token_sequences(table(spark, sf_dir, "documents")), path), "placed")
+    read = training_order.read_slots(spark, path).select("slot", F.crc32("ids").alias("ids_crc32"))
+    return placed.join(read, "slot")
+
+
 @query
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_labels.assess(table(spark, sf_dir, "documents")).select(
