@@ -25,7 +25,8 @@ from wavelark.llm.words import SPACED, mix, slices, text_buffer, word_spans
 #: Words whose counts and scores are sent to every task, at most.
 HOT = 400_000
 SMOOTHING = 0.1
-_AT_ONCE = 8192
+_AT_ONCE = 4096
+_TEXT_AT_ONCE = 2 << 20
 _LONG = 96
 _FILTER_BITS = 20
 _VALUES = np.random.default_rng(77).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -180,7 +181,7 @@ def _decoded(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> list[byt
 def word_counts(texts: DataFrame) -> DataFrame:
     """(hash, word, n) of all words of the column `text`."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", _TEXT_AT_ONCE):
             data, unique, begins, ends, _, which = _distinct(batch.column(0))
             yield pa.RecordBatch.from_arrays([
                 pa.array(unique.view(np.int64)), pa.array(_decoded(data, begins, ends), pa.binary()),
@@ -275,7 +276,7 @@ def score_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice, (keys, numbers, scores) = shared.value, known.value
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", _TEXT_AT_ONCE):
             rows = batch.num_rows
             data, unique, begins, ends, doc, which = _distinct(batch.column("text"))
             at = np.minimum(np.searchsorted(keys, unique), max(len(keys) - 1, 0))

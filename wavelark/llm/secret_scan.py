@@ -50,7 +50,7 @@ def corpus_model(docs: DataFrame) -> tuple[np.ndarray, frozenset[str]]:
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = np.zeros(65536, np.int64)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 4 << 20):
             data, offsets = text_buffer(batch.column(0))
             lower = SPACED_LOWER[data[int(offsets[0]):int(offsets[-1])]]
             both = (lower[1:] > 0) & (lower[:-1] > 0)

@@ -5,6 +5,8 @@ text come out of one cumulative sum. Blocks end at separators, which bounds memo
 any length.
 """
 
+import contextlib
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -61,7 +63,14 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), at
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def _return_memory() -> None:
+    """Gives what a task has freed back to the system; workers live on and serve other stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only one C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that each holds at most `limit` bytes of text, or a single row."""
     for batch in batches:
         if not batch.num_rows:
@@ -72,6 +81,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20)
             end = max(begin + 1, int(np.searchsorted(at, at[begin] + limit, side="right")) - 1)
             yield batch.slice(begin, end - begin)
             begin = end
+    _return_memory()
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, alphabet: Alphabet = SPACED,
