@@ -6,26 +6,33 @@ from tests.conftest import one
 from wavelark.operators import calibration, evaluation, matrix, ordering
 
 
-def test_quantiles_agree_on_every_path(frame):
+def test_quantiles_do_not_depend_on_partitions(spark, frame):
+    """The same bits for random doubles, whatever the number of ranges the values are cut into."""
     rng = np.random.default_rng(3)
-    rows = [(g, None if i % 41 == 0 else float(np.round(rng.normal(), 2))) for i in range(900) for g in ("a", "b")][:1300]
-    rows += [("c", 1.0), ("d", None)]
-    df = frame(rows, "g string, v double").repartition(6)
-    want = {g: np.quantile([v for k, v in rows if k == g and v is not None], [0.5, 0.95]) for g in "abc"}
-    for limit in (10**6, 20, 1):
-        got = {r["g"]: (r["m"], r["p"]) for r in ordering.exact_quantiles(df, "v", {"m": 0.5, "p": 0.95}, ["g"], limit).collect()}
-        assert set(got) == set("abc")
-        for g in got:
-            assert np.allclose(got[g], want[g])
-        whole = one(ordering.exact_quantiles(df, "v", {"m": 0.5, "p": 0.95}, direct_limit=limit))
-        assert np.allclose([whole["m"], whole["p"]], np.quantile([v for _, v in rows if v is not None], [0.5, 0.95]))
-
-
-def test_running_counts_in_blocks(frame):
-    df = ordering.fold_values(frame([(float(v % 57),) for v in range(500)], "v double"), "v")
-    plain = {r["v"]: r["cum_n"] for r in ordering.running_counts(df, "v").collect()}
-    blocked = {r["v"]: r["cum_n"] for r in ordering.running_counts(df, "v", blocks=8, direct_limit=1).collect()}
-    assert plain == blocked and max(plain.values()) == 500
+    rows = [(f"g{i % 40}", None if i % 41 == 0 else float(rng.normal())) for i in range(1200)] + [("single", 1.0), ("none", None)]
+    held, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for parts in (1, 4, 64):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+            df = frame(rows, "g string, v double").repartition(parts)
+            got = {r["g"]: (r["m"], r["p"]) for r in ordering.exact_quantiles(df, "v", {"m": 0.5, "p": 0.95}, ["g"]).collect()}
+            whole = one(ordering.exact_quantiles(df, "v", {"m": 0.5, "p": 0.95}))
+            found.append((got, tuple(whole)))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert found[0] == found[1] == found[2]
+    assert set(found[0][0]) == {r[0] for r in rows} - {"none"}
+    for g, values in found[0][0].items():
+        assert np.allclose(values, np.quantile([v for k, v in rows if k == g and v is not None], [0.5, 0.95]))
+
+
+def test_running_counts(frame):
+    values = [float(v % 57) for v in range(500)]
+    df = ordering.fold_values(frame([(v,) for v in values], "v double").repartition(5), "v")
+    got = {r["v"]: r["cum_n"] for r in ordering.running_counts(df, "v").collect()}
+    assert got == {v: sum(x <= v for x in values) for v in set(values)}
 
 
 def test_positions_in_blocks(frame):

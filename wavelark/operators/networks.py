@@ -2,10 +2,11 @@
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavelark.functions.text import strip
+from wavelark.operators.ordering import with_position
 
 SEARCHED = ["ssid", "bssid", "security_type", "phy_type", "suspicion_level"]
 # Order of the levels and the text shown for a network without a name.
@@ -22,15 +23,32 @@ def search(df: DataFrame, q: str, level: str = "all") -> DataFrame:
     return rows.where(reduce(lambda a, b: a | b, hits))
 
 
-def sort(df: DataFrame, mode: str = "default") -> DataFrame:
-    rank = reduce(lambda acc, kv: acc.when(F.col("suspicion_level") == kv[0], kv[1]), LEVEL_RANK.items(), F)
-    name = F.lower(F.coalesce(F.nullif("ssid", F.lit("")), F.lit(UNNAMED)))
+def _level() -> Column:
+    return reduce(lambda acc, kv: acc.when(F.col("suspicion_level") == kv[0], kv[1]), LEVEL_RANK.items(), F)
+
+
+def _order(mode: str) -> list[Column]:
+    # Names follow the Portuguese collation: base letters first, neither case nor accents count.
+    name = F.collate(F.coalesce(F.nullif("ssid", F.lit("")), F.lit(UNNAMED)), "pt_CI_AI")
     stable = [F.desc("rssi_dbm"), F.lower(F.coalesce("ssid", F.lit(""))), F.col("bssid")]
     first = {"default": [], "signal_desc": [F.desc("rssi_dbm")], "signal_asc": [F.asc("rssi_dbm")],
-             "ssid_asc": [name], "suspicion_desc": [rank.desc()]}
+             "ssid_asc": [name], "suspicion_desc": [_level().desc()]}
     if mode not in first:
         raise ValueError(f"unknown order {mode}")
-    return df.orderBy(*first[mode], *stable)
+    return [*first[mode], *stable]
+
+
+def sort(df: DataFrame, mode: str = "default") -> DataFrame:
+    return df.orderBy(*_order(mode))
+
+
+def positions(df: DataFrame, mode: str, tie: str) -> DataFrame:
+    """Adds the place of every network in an order by level or signal, counted through in blocks of one dBm."""
+    signal = F.coalesce(F.least(F.greatest(F.floor(-F.col("rssi_dbm")), F.lit(0)), F.lit(998)), F.lit(999))
+    blocks = {"default": signal, "signal_desc": signal, "suspicion_desc": (4 - _level()) * 1000 + signal}
+    if mode not in blocks:
+        raise ValueError(f"no positions for order {mode}")
+    return with_position(df, [], [*_order(mode), F.col(tie)], blocks[mode])
 
 
 def suspicion_counts(df: DataFrame) -> DataFrame:

@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 
 from wavelark.session import stored
 
-# Distinct values up to this many may be ranked by a single task.
-DIRECT_LIMIT = 1_000_000
-
 
 def _keyed(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
     """Adds never-NULL copies of the group keys, so joins on them can be plain equi-joins."""
@@ -70,35 +67,29 @@ def with_previous(df: DataFrame, by: Sequence[str], order: Sequence[str], block:
 
 def fold_values(df: DataFrame, value: str, by: Sequence[str] = (),
                 counts: dict[str, Column] | None = None) -> DataFrame:
-    """Distinct values per group with their counts, written once so that ranking reads no raw row again."""
+    """Distinct values per group with their counts, written once so that ranking reads no raw row again.
+
+    The rows are dealt out in ranges of group and value, and `_block` numbers the range. How many ranges there
+    are follows from the data; they only balance the work of the running counts, which are exact for any of them.
+    """
     counts = counts or {"n": F.lit(1)}
-    return stored(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(
-        *[F.sum(c).cast("long").alias(name) for name, c in counts.items()]), "values")
+    folded = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(
+        *[F.sum(c).cast("long").alias(name) for name, c in counts.items()])
+    return stored(folded.repartitionByRange(*by, value).withColumn("_block", F.spark_partition_id()), "values")
 
 
-def running_counts(folded: DataFrame, value: str, counts: Sequence[str] = ("n",), by: Sequence[str] = (),
-                   blocks: int = 64, direct_limit: int = DIRECT_LIMIT) -> DataFrame:
+def running_counts(folded: DataFrame, value: str, counts: Sequence[str] = ("n",), by: Sequence[str] = ()) -> DataFrame:
     """Folded values with the running total `cum_*` of each count along the value.
 
-    Beyond `direct_limit` rows the values are cut at approximate quantiles into blocks of similar
-    size. The cuts only balance the work; the totals are exact either way.
+    Sums per range are put in order per group, which is a row per range, and ranges are counted through one by one.
     """
-    by = list(by)
-    upto = (Window.unboundedPreceding, Window.currentRow)
-    if folded.count() <= direct_limit:
-        window = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(value).rowsBetween(*upto)
-        return folded.withColumns({f"cum_{n}": F.sum(n).over(window) for n in counts})
-    shares = F.array(*[F.lit(i / blocks) for i in range(1, blocks)])
-    rows, keys = _keyed(folded, by)
-    cuts = rows.groupBy(*keys).agg(F.percentile_approx(value, shares, F.lit(1000)).alias("_cuts"))
-    rows = rows.join(cuts, keys) if keys else rows.withColumn("_cuts", cuts.select("_cuts").scalar())
-    rows = rows.withColumn("_block", F.size(F.filter("_cuts", lambda cut: cut < F.col(value)))).drop("_cuts")
+    rows, keys = _keyed(folded, list(by))
     sums = rows.groupBy(*keys, "_block").agg(*[F.sum(n).alias(f"_s_{n}") for n in counts])
     group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     before = group.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(*keys, "_block", *[
         F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in counts])
-    inner = Window.partitionBy(*keys, "_block").orderBy(value).rowsBetween(*upto)
+    inner = Window.partitionBy(*keys, "_block").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
         rows.withColumns({f"_r_{n}": F.sum(n).over(inner) for n in counts})
         .join(offsets, [*keys, "_block"])
@@ -107,9 +98,10 @@ def running_counts(folded: DataFrame, value: str, counts: Sequence[str] = ("n",)
     )
 
 
-def _picked(ranked: DataFrame, value: str, quantiles: dict[str, float], by: list[str]) -> DataFrame:
-    """Linear quantiles out of the running counts."""
-    rows, keys = _keyed(ranked, by)
+def folded_quantiles(folded: DataFrame, value: str, quantiles: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
+    """Exact linear quantiles of folded values, globally or per group, by one formula for inputs of any size."""
+    by = list(by)
+    rows, keys = _keyed(running_counts(folded, value, by=by), by)
     totals = rows.groupBy(*keys).agg(F.max("cum_n").alias("_total"))
     rows = rows.join(totals, keys) if keys else rows.withColumn("_total", totals.select("_total").scalar())
     picks = []
@@ -126,35 +118,5 @@ def _picked(ranked: DataFrame, value: str, quantiles: dict[str, float], by: list
         for n in quantiles])
 
 
-def folded_quantiles(folded: DataFrame, value: str, quantiles: dict[str, float], by: Sequence[str] = (),
-                     direct_limit: int = DIRECT_LIMIT) -> DataFrame:
-    """Exact linear quantiles of folded values, globally or per group.
-
-    Groups up to `direct_limit` distinct values are aggregated directly; wider ones go through
-    the blocked running counts. Both ways give the same numbers.
-    """
-    by = list(by)
-
-    def direct(df):
-        return df.groupBy(*by).agg(*[
-            F.percentile(value, F.lit(float(q)), F.col("n")).alias(name) for name, q in quantiles.items()])
-
-    if folded.count() <= direct_limit:
-        return direct(folded)
-    if not by:
-        return _picked(running_counts(folded, value, direct_limit=direct_limit), value, quantiles, by)
-    rows, keys = _keyed(folded, by)
-    # At most (distinct values / direct_limit) groups can be wide, which bounds this table.
-    wide = stored(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d"))
-                  .where(F.col("_d") > direct_limit).select(*keys), "wide")
-    if wide.isEmpty():
-        return direct(folded)
-    narrow = rows.join(F.broadcast(wide), keys, "left_anti").drop(*keys)
-    rest = rows.join(F.broadcast(wide), keys, "left_semi").drop(*keys)
-    ranked = running_counts(rest, value, by=by, direct_limit=direct_limit)
-    return direct(narrow).unionByName(_picked(ranked, value, quantiles, by))
-
-
-def exact_quantiles(df: DataFrame, value: str, quantiles: dict[str, float], by: Sequence[str] = (),
-                    direct_limit: int = DIRECT_LIMIT) -> DataFrame:
-    return folded_quantiles(fold_values(df, value, by), value, quantiles, by, direct_limit)
+def exact_quantiles(df: DataFrame, value: str, quantiles: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
+    return folded_quantiles(fold_values(df, value, by), value, quantiles, by)

@@ -7,12 +7,12 @@ from wavelark.plans.views import desktop_rows, observations
 
 
 def early(df):
-    """Two early sessions on the lower channels: some networks are known, some only in part."""
-    return df.where((F.col("session_id") <= "sess_01") & (F.col("channel") <= 9))
+    """The first two sessions; networks that drift later are unknown to them, or known in part."""
+    return df.where(F.col("session_id") <= "sess_01")
 
 
 def early_desktop(df):
-    return df.where((F.col("session_id") <= "sess_00") & (F.col("center_frequency_khz") <= 2_452_000))
+    return df.where(F.col("session_id") <= "sess_00")
 
 
 def reference(spark, sf_dir):
@@ -64,7 +64,7 @@ def contextual_core_v2(spark, sf_dir):
 
 
 CHANNEL = HASHED + """,
-cref AS (SELECT *, CASE WHEN advertised_channel > 0 THEN advertised_channel END AS adv FROM hobs WHERE session_id <= 'sess_01' AND channel <= 9),
+cref AS (SELECT *, CASE WHEN advertised_channel > 0 THEN advertised_channel END AS adv FROM hobs WHERE session_id <= 'sess_01'),
 cmember AS (SELECT DISTINCT ssid_hash, bssid_hash FROM cref WHERE ssid_hash IS NOT NULL),
 cowner AS (SELECT bssid_hash, CASE WHEN count(*) = 1 THEN min(ssid_hash) END AS only_ssid FROM cmember GROUP BY 1),
 cpair AS (SELECT DISTINCT coalesce(r.ssid_hash, o.only_ssid) AS ssid_hash, adv FROM cref r LEFT JOIN cowner o ON o.bssid_hash = r.bssid_hash

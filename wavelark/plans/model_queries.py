@@ -128,11 +128,11 @@ scored AS (SELECT d.*, o.label AS truth, o.attack_type AS attack, 2 * bssid_chan
 
 
 def scored(spark, sf_dir):
-    truth = observations(spark, sf_dir).select("event_id", F.col("label").alias("truth"), F.col("attack_type").alias("attack"))
-    rows = desktop_features(spark, sf_dir).where(context.eligible())
+    rows = context.transform_desktop(
+        desktop_rows(spark, sf_dir, truth=True), desktop_reference(spark, sf_dir)).where(context.eligible())
     score = (2 * F.col("bssid_changed") + F.col("security_changed") * 0.5 - F.col("security_strength_delta") * 0.25
              + F.col("ssid_bssid_count") * 0.0625 + F.col("rssi_dbm") / -1000)
-    return rows.withColumn("anomaly_score", score).join(truth, "event_id")
+    return rows.withColumn("anomaly_score", score)
 
 
 THRESHOLD = 1.0
@@ -395,7 +395,7 @@ def radio_rows(spark, sf_dir):
 @query("one_class_fit")
 def one_class_fit(spark, sf_dir):
     rows = radio_rows(spark, sf_dir)
-    model = oneclass.fit_one_class(rows.where(F.col("label") == 0), COMPLETE, iters=15)
+    model = oneclass.fit_one_class(rows.where(F.col("label") == 0), COMPLETE)
     return oneclass.score_random_features(rows, model).select("row_key", "label", "anomaly_score")
 
 

@@ -22,7 +22,6 @@ scan AS (SELECT scan_id AS id, min(observed_us) AS observed_us, count(*) AS tota
 model AS (SELECT CASE WHEN session_id < 'sess_05' THEN 1 ELSE 2 END AS id, CASE WHEN session_id < 'sess_05' THEN 'desktop-a' ELSE 'desktop-b' END AS version_name,
     min(epoch_us(captured_at_utc)) AS created_us, min(session_id) >= 'sess_05' AS active, count(*) AS detection_count FROM st0 GROUP BY 1, 2)
 """
-_WRITTEN: dict[tuple[str, str], str] = {}
 
 
 def scored_scans(spark, sf_dir):
@@ -60,14 +59,11 @@ def registry(spark, sf_dir):
 
 
 def database(spark, sf_dir):
-    """The store of one data folder, written on first use."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _WRITTEN:
-        root = fresh_path(spark, "store")
-        tables = store.persist_scans(scored_scans(spark, sf_dir))
-        store.append_scans({**tables, "model_version": registry(spark, sf_dir)}, root)
-        _WRITTEN[key] = root
-    return store.read_store(spark, _WRITTEN[key])
+    """The store of one data folder, written anew for every query."""
+    root = fresh_path(spark, "store")
+    tables = store.persist_scans(scored_scans(spark, sf_dir))
+    store.append_scans({**tables, "model_version": registry(spark, sf_dir)}, root)
+    return store.read_store(spark, root)
 
 
 def micros(df, **names):
@@ -216,12 +212,11 @@ def network_search(spark, sf_dir):
         "event_id", "ssid", "bssid", "security_type", "suspicion_level")
 
 
-@query("network_order", f"""WITH {STORE} SELECT event_id, suspicion_level FROM st
+@query("network_order", f"""WITH {STORE} SELECT event_id, suspicion_level, row_number() OVER (
 ORDER BY CASE suspicion_level WHEN 'high' THEN 4 WHEN 'medium' THEN 3 WHEN 'unavailable' THEN 2 ELSE 1 END DESC, rssi_dbm DESC,
-    lower(coalesce(ssid, '')), bssid, event_id LIMIT 100""")
+    lower(coalesce(ssid, '')), bssid, event_id) - 1 AS position FROM st""")
 def network_order(spark, sf_dir):
-    # The first hundred rows, so that the comparison depends on the order.
-    return networks.sort(listed(spark, sf_dir), "suspicion_desc").select("event_id", "suspicion_level").limit(100)
+    return networks.positions(listed(spark, sf_dir), "suspicion_desc", "event_id").select("event_id", "suspicion_level", "position")
 
 
 @query("network_suspicion_counts", f"""WITH {STORE} SELECT l.v AS suspicion_level, count(st.event_id) AS networks

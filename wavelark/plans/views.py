@@ -60,8 +60,11 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def desktop_rows(spark: SparkSession, sf_dir: str, clear: bool = False) -> DataFrame:
-    """Imported desktop observations: hashed identifiers and numeric security strength."""
+def desktop_rows(spark: SparkSession, sf_dir: str, clear: bool = False, truth: bool = False) -> DataFrame:
+    """Imported desktop observations: hashed identifiers and numeric security strength.
+
+    On demand with clear identifiers, and with the label and attack that the import does not know.
+    """
     o = observations(spark, sf_dir)
     captured = F.timestamp_micros(
         F.lit(EPOCH_US) + F.substring("session_id", 6, 2).cast("long") * SESSION_US
@@ -92,4 +95,5 @@ def desktop_rows(spark: SparkSession, sf_dir: str, clear: bool = False) -> DataF
         F.lit(None).cast("string").alias("attack_type"),
         F.lit(False).alias("is_synthetic"),
         *(["ssid", "bssid"] if clear else []),
+        *([F.col("label").alias("truth"), F.col("attack_type").alias("attack")] if truth else []),
     )
