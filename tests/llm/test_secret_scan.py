@@ -1,0 +1,77 @@
+import random
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from wavelark.llm import secret_scan as S
+
+
+def key(rng):
+    return "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16))
+
+
+def text_with(prose, seed, *inserted):
+    words = prose(seed, 60).split()
+    rng = random.Random(seed)
+    for piece in inserted:
+        words.insert(rng.randrange(len(words)), piece)
+    return " ".join(words)
+
+
+def planted(prose, n=40):
+    rng, rows, secrets = random.Random(1), [], {}
+    for i in range(n):
+        value = [key(rng), "%018x" % rng.getrandbits(72), "%040x" % rng.getrandbits(160)][i % 3]
+        piece = [value, f"password={value}", f'token = "{value}"'][i % 3]
+        rows.append((i, text_with(prose, i, piece, f"user{i}.name42@mail.example.com"), "en", "src"))
+        secrets[i] = value
+    rows += [(100 + i, text_with(prose, 200 + i, f"https://host{i}.example.com/page/12345", "INTERNATIONALISATION"), "en", "docs") for i in range(n)]
+    return rows, secrets
+
+
+def test_finds_planted_secrets_only(docs, prose):
+    rows, secrets = planted(prose)
+    rows += [(500, None), (501, ""), (502, rows[0][1]), (502, rows[0][1]), (503, prose(5, 30_000) + " password=0123456789abcdef0123"), (None, rows[1][1])]
+    texts = dict((r[0], r[1]) for r in rows)
+    found = [r for r in S.find_secrets(docs(rows)).collect() if r.secret]
+    got = {(r.doc_id, texts[r.doc_id][r.start:r.start + r.length]) for r in found}
+    want = {(i, v) for i, v in secrets.items()} | {(502, secrets[0]), (503, "0123456789abcdef0123"), (None, secrets[1])}
+    assert got == want
+    assert sum(r.doc_id == 502 for r in found) == 2
+
+
+def test_redaction(docs, prose):
+    rows, secrets = planted(prose, 9)
+    rows += [(50, "é password=" + "a1" * 12 + " and password=" + "b2" * 12 + " end"), (51, None), (52, ""), (None, rows[0][1])]
+    df = docs(rows)
+    out = S.redact(df, S.find_secrets(df))
+    assert out.columns == df.columns
+    clean = out.collect()
+    assert len(clean) == len(rows)
+    by_id = {r.doc_id: r for r in clean}
+    assert by_id[50].text == "é password=<SECRET> and password=<SECRET> end" and by_id[50].n_chars == len(by_id[50].text)
+    assert all(v not in (r.text or "") for r in clean for v in secrets.values())
+    assert all(by_id[i].text == t for i, t, *_ in rows if i is not None and i >= 100)
+
+
+def test_reviewed_findings_decide(docs, prose):
+    """A reviewer who calls issued keys harmless and addresses secret is followed."""
+    rows, _ = planted(prose)
+    df = docs(rows).select(F.col("doc_id"), "text", F.col("source").alias("path"), F.md5("text").alias("content"))
+    found = S.candidates(df, S.corpus_model(df)).where("rule IS NOT NULL").select("features", (1 - F.col("rule")).alias("label"))
+    got = S.find_secrets(docs(rows), labelled=found).collect()
+    assert np.mean([r.secret for r in got if r.doc_id >= 100]) > 0.9
+    assert np.mean([r.secret for r in got if r.doc_id < 40 and r.length == 20]) < 0.1
+
+
+def test_empty_and_one_sided(docs):
+    assert S.find_secrets(docs([])).collect() == []
+    df = docs([(1, "nothing to see here"), (2, "password=0123456789abcdef01")])
+    assert [(r.doc_id, r.secret) for r in S.find_secrets(df).collect()] == [(2, True)]
+    none = docs([(1, "nothing"), (2, None)])
+    assert S.redact(none, S.find_secrets(none)).count() == 2
+
+
+def test_coverage():
+    words = frozenset({"the", "there", "sun"})
+    assert S.coverage("thereSUNxy", words) == 0.8 and S.coverage("", words) == 0.0

@@ -38,12 +38,18 @@ def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T
 
 
+def _by_length(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of (id, v) whose vectors have one length each."""
+    for batch in batches:
+        lengths = np.diff(batch.column(1).offsets.to_numpy())
+        for n in np.unique(lengths):
+            yield batch.filter(pa.array(lengths == n))
+
+
 def _folded(vectors: DataFrame, keep: int) -> DataFrame:
     """(v, ids): each distinct vector with its `keep` smallest ids, combined per batch before anything moves."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _by_length(batches):
             table = _matrix(batch.column(1)).astype(np.int64)
             hashes = np.zeros(len(table), np.uint64)
             for i in range(table.shape[1]):
