@@ -37,7 +37,7 @@ TEST_PATHS = ("test", "example", "sample", "mock", "fixture", "doc")
 FEATURES = ("length", "digits", "capitals", "lower", "signs", "entropy", "transition", "worst_transition", "coverage", "switches",
             "keyword", "assigned", "quoted", "placeholder", "test_path", "address_signs", "prose_neighbours")
 
-_VALUE = re.compile(r"""^[\W_]*?(?:([A-Za-z][\w\-.]*)\s*[=:]\s*)?(["'`]?)([A-Za-z0-9+/_=.@:%\-]{8,})""")
+_VALUE = re.compile(r"""^[\W_]*?(?:([A-Za-z][\w\-.]*)(?:=|:(?!//)))?(["'`]?)([A-Za-z0-9+/_=.@:%\-]{8,})""")
 _ISSUED = re.compile(r"AKIA[A-Z0-9]{16}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _ADDRESS = re.compile(r"[\w.+\-]+@[\w\-]+(\.[\w\-]+)+\.?|(https?:|www\.).*")
