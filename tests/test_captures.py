@@ -1,6 +1,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import one
 from wavelark.operators import elements, normalize, profiling, scan_flatten
@@ -147,8 +148,12 @@ def test_scan_documents(spark, frame, tmp_path):
     assert not one(scan_flatten.controlled_violations(controlled, manifest))["count_differs"]
     for bssid, label, target in (("t", 0, "true"), ("other", 1, "true"), ("t", 0, "false")):
         write(f"{tmp_path}/bad.jsonl", DOCUMENT % (bssid, label, target) + "\n")
-        with pytest.raises(Exception, match="disagree"):
+        with pytest.raises(Exception, match="disagree|differs"):
             scan_flatten.flatten_controlled(scans.read_scan_jsonl(spark, f"{tmp_path}/bad.jsonl"), manifest).collect()
+    with pytest.raises(Exception, match="without a manifest"):
+        scan_flatten.flatten_controlled(docs, manifest.where("session_id <> 's'")).collect()
+    with pytest.raises(Exception, match="number of target rows"):
+        scan_flatten.flatten_controlled(docs, manifest.withColumn("matched_observation_count", F.lit(3))).collect()
     write(f"{tmp_path}/broken.jsonl", '{"scan_index": \n')
     with pytest.raises(Exception, match="(?i)malformed"):
         scans.read_scan_jsonl(spark, f"{tmp_path}/broken.jsonl").collect()

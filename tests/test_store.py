@@ -40,8 +40,21 @@ def test_persist(db, frame):
     assert db["network_features"].count() == 9 and db["detection"].count() == 9
     assert db["network_observation"].where("ssid_hash is null").count() == 6
     assert "ssid" not in db["network_observation"].columns
-    again = store.persist_scans(frame(scored(4), SCORED), db["scan_session"])
+    again = store.persist_scans(frame(scored(4), SCORED), db["scan_session"], repeated="skip")
     assert again["scan_session"].count() == 1 and again["detection"].count() == 3
+    with pytest.raises(Exception, match="stored already"):
+        store.persist_scans(frame(scored(4), SCORED), db["scan_session"])["scan_session"].collect()
+
+
+def test_scans_without_networks(frame):
+    scans = frame([("scan0", T0, 1), ("empty", T0, 2)], "scan_id string, observed_at_utc timestamp, interface_count long")
+    got = {r["id"]: (r["total_networks"], r["interface_count"]) for r in store.persist_scans(frame(scored(1), SCORED), scans=scans)["scan_session"].collect()}
+    assert got["empty"] == (0, 2) and set(got) == {"scan0", "empty"}
+
+
+def test_pages_read_the_partitions_of_their_dates(db):
+    plan = history.list_scans(db, 2, 0)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PartitionFilters: [isnotnull(scan_date") >= 2
 
 
 def test_model_upsert(frame):

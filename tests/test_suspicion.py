@@ -34,6 +34,12 @@ def test_summary(frame):
     assert (s["rows"], s["eligible"], s["not_evaluable"], s["suspected"], s["high_suspicion"], s["suspected_rate"]) == (3, 2, 1, 1, 1, 0.5)
 
 
+def test_summary_tells_a_missing_key_from_the_total(frame):
+    rows = [("a", True, True, 1.0, 0.0, 0.0, 0.0), (None, True, True, 1.0, 1.0, 1.0, 0.0)]
+    got = suspicion.suspicion_summary(suspicion.suspicion(frame(rows, "k string, " + FEATURES)), "k").collect()
+    assert sorted((str(r["k"]), r["is_total"], r["rows"]) for r in got) == [("None", False, 1), ("None", True, 2), ("a", False, 1)]
+
+
 DESK = ("session_id string, scan_index long, ssid_hash string, bssid_hash string, security_type string, security_strength double, "
         "is_synthetic string, event_id long, label long")
 

@@ -45,7 +45,7 @@ def suspicion_distribution(db) -> DataFrame:
 def trends(db, limit: int = 30) -> DataFrame:
     """The newest scans with their counts, oldest first."""
     newest = page(db["scan_session"], [F.desc("observed_at_utc"), F.desc("id")], limit, 0)
-    return scan_counts(db, newest.select("id", "observed_at_utc", F.col("total_networks").alias("network_count"))).orderBy(
+    return scan_counts(db, newest.select("id", "observed_at_utc", "scan_date", F.col("total_networks").alias("network_count"))).orderBy(
         "observed_at_utc", "id")
 
 

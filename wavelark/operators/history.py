@@ -22,21 +22,24 @@ def total(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("total"))
 
 
+def _of_scans(table: DataFrame, few: DataFrame) -> DataFrame:
+    """Rows of the given few scans; only the partitions between their dates are read."""
+    first, last = few.agg(F.min("scan_date").alias("d")).scalar(), few.agg(F.max("scan_date").alias("d")).scalar()
+    return table.where(F.col("scan_date").between(first, last)).join(F.broadcast(few.select("scan_session_id")), "scan_session_id", "left_semi")
+
+
 def scan_counts(db: dict[str, DataFrame], scans: DataFrame) -> DataFrame:
     """The given few scans with their feature, detection, anomaly and undecided counts."""
-    few = F.broadcast(scans.select(F.col("id").alias("scan_session_id")))
-    observations = db["network_observation"].join(few, "scan_session_id", "left_semi").select(
-        "scan_session_id", F.col("id").alias("network_observation_id"))
-    features = db["network_features"].select("network_observation_id").join(
-        observations, "network_observation_id").groupBy("scan_session_id").agg(F.count(F.lit(1)).alias("feature_count"))
+    few = scans.select(F.col("id").alias("scan_session_id"), "scan_date")
+    features = _of_scans(db["network_features"], few).groupBy("scan_session_id").agg(F.count(F.lit(1)).alias("feature_count"))
     verdict = F.col("is_anomaly")
-    detections = db["detection"].join(few, "scan_session_id", "left_semi").groupBy("scan_session_id").agg(
+    detections = _of_scans(db["detection"], few).groupBy("scan_session_id").agg(
         F.count(F.lit(1)).alias("detection_count"), F.count_if(verdict).alias("anomaly_count"),
         F.count_if(~verdict).alias("normal_count"), F.count_if(verdict.isNull()).alias("insufficient_history_count"))
     out = scans.withColumn("scan_session_id", F.col("id")).join(features, "scan_session_id", "left").join(
         detections, "scan_session_id", "left")
     counts = ["feature_count", "detection_count", "anomaly_count", "normal_count", "insufficient_history_count"]
-    return out.select(*scans.columns, *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts])
+    return out.select(*[c for c in scans.columns if c != "scan_date"], *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts])
 
 
 def list_scans(db, limit: int = 25, offset: int = 0) -> DataFrame:
@@ -46,16 +49,18 @@ def list_scans(db, limit: int = 25, offset: int = 0) -> DataFrame:
 
 def _with_analysis(db, observations: DataFrame) -> DataFrame:
     """Observations with their features and latest detection."""
-    few = observations.select(F.col("id").alias("network_observation_id"))
-    features = db["network_features"].join(F.broadcast(few), "network_observation_id", "left_semi").select(
+    few = observations.select(F.col("id").alias("network_observation_id"), "scan_date")
+    first, last = few.agg(F.min("scan_date").alias("d")).scalar(), few.agg(F.max("scan_date").alias("d")).scalar()
+    dates, few = F.col("scan_date").between(first, last), few.drop("scan_date")
+    features = db["network_features"].where(dates).join(F.broadcast(few), "network_observation_id", "left_semi").select(
         "network_observation_id", *FEATURE_COLUMNS, "context_available", "context_resolution", "feature_complete")
-    latest = db["detection"].join(F.broadcast(few), "network_observation_id", "left_semi").groupBy(
+    latest = db["detection"].where(dates).join(F.broadcast(few), "network_observation_id", "left_semi").groupBy(
         "network_observation_id").agg(F.max_by(F.struct(
             F.col("id").alias("detection_id"), "model_version_id", "anomaly_score", "threshold", "is_anomaly",
             "suspicion_level"), "id").alias("d")).select("network_observation_id", "d.*")
     return observations.withColumn("network_observation_id", F.col("id")).join(
         features, "network_observation_id", "left").join(latest, "network_observation_id", "left").drop(
-        "network_observation_id")
+        "network_observation_id", "scan_date")
 
 
 def scan_observations(db, scan_id: str, limit: int = 50, offset: int = 0) -> DataFrame:
@@ -70,7 +75,7 @@ def scan_detail(db, scan_id: str) -> DataFrame:
 def list_detections(db, limit: int = 50, offset: int = 0, is_anomaly: bool | None = None,
                     suspicion_level: str | None = None, model_version_id: int | None = None) -> DataFrame:
     return page(filter_detections(db, is_anomaly, suspicion_level, model_version_id),
-                [F.desc("created_at_utc"), F.desc("id")], limit, offset)
+                [F.desc("created_at_utc"), F.desc("id")], limit, offset).drop("scan_date")
 
 
 def filter_detections(db, is_anomaly=None, suspicion_level=None, model_version_id=None) -> DataFrame:
@@ -87,11 +92,12 @@ def filter_detections(db, is_anomaly=None, suspicion_level=None, model_version_i
 def detection_detail(db, detection_id: int) -> DataFrame:
     """The detection with its observation, that observation's features and the model's record."""
     one = db["detection"].where(F.col("id") == detection_id)
-    d = one.select(*[F.col(c).alias(f"detection_{c}") for c in one.columns])
-    observations = db["network_observation"].join(
+    d = one.select(*[F.col(c).alias(f"detection_{c}") for c in one.columns if c != "scan_date"])
+    day = one.select("scan_date").scalar()
+    observations = db["network_observation"].where(F.col("scan_date") == day).drop("scan_date").join(
         F.broadcast(one.select(F.col("network_observation_id").alias("id"))), "id", "left_semi")
     o = observations.select(*[F.col(c).alias(f"observation_{c}") for c in observations.columns])
-    f = db["network_features"].join(F.broadcast(one.select("network_observation_id")), "network_observation_id", "left_semi").select(
+    f = db["network_features"].where(F.col("scan_date") == day).join(F.broadcast(one.select("network_observation_id")), "network_observation_id", "left_semi").select(
         F.col("network_observation_id").alias("_f"), *FEATURE_COLUMNS)
     m = list_models_of(db, one.select("model_version_id")).select(
         F.col("id").alias("_m"), "version_name", "algorithm", F.col("threshold").alias("model_threshold"), "active",

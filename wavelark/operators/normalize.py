@@ -141,7 +141,7 @@ def frame_profiles(df: DataFrame) -> dict[str, DataFrame]:
 
 
 def frame_summary(df: DataFrame) -> DataFrame:
-    """Per capture and overall (NULL): counts by kind, RSSI range and rows that break a rule."""
+    """Per capture and overall (`is_total`): counts by kind, RSSI range and rows that break a rule."""
     kind = F.col("frame_type")
     broken = ((F.col("label") != 0) | F.col("is_synthetic")
               | ((kind == "probe_request") & F.col("bssid").isNotNull()))
@@ -151,7 +151,7 @@ def frame_summary(df: DataFrame) -> DataFrame:
         F.count_if(kind == "probe_request").alias("probe_requests"),
         F.count_if(kind.isin("beacon", "probe_response")).alias("ap_frames"),
         F.min("rssi_dbm").alias("rssi_min_dbm"), F.max("rssi_dbm").alias("rssi_max_dbm"),
-        F.count_if(broken).alias("violations"))
+        F.count_if(broken).alias("violations"), (F.grouping("session_id") == 1).alias("is_total"))
 
 
 def parse_samples(aligned: DataFrame) -> DataFrame:

@@ -53,7 +53,7 @@ def aggregate_values(raw: DataFrame) -> DataFrame:
 
 
 def profile_fingerprints(samples: DataFrame) -> DataFrame:
-    """Per collection and overall (NULL): sessions, samples, readings, APs, missing channels, RSSI range.
+    """Per collection and overall (`is_total`): sessions, samples, readings, APs, missing channels, RSSI range.
 
     `samples` has collection, session_id and the maps rssis and channels.
     """
@@ -63,12 +63,14 @@ def profile_fingerprints(samples: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.count_if("lost").alias("lost"), F.min("rssi").alias("lo"), F.max("rssi").alias("hi"))
     aps = folded.rollup("collection").agg(
         F.sum("n").alias("observations"), F.count_distinct("ap_id").alias("unique_aps"),
-        F.sum("lost").alias("missing_channel"), F.min("lo").alias("rssi_min_dbm"), F.max("hi").alias("rssi_max_dbm"))
+        F.sum("lost").alias("missing_channel"), F.min("lo").alias("rssi_min_dbm"), F.max("hi").alias("rssi_max_dbm"),
+        (F.grouping("collection") == 1).alias("is_total"))
     sizes = samples.groupBy("collection", "session_id").agg(F.count(F.lit(1)).alias("n")).rollup("collection").agg(
-        F.count("session_id").alias("sessions"), F.sum("n").alias("samples"))
+        F.count("session_id").alias("sessions"), F.sum("n").alias("samples"), (F.grouping("collection") == 1).alias("is_total"))
     a, b = aps.alias("a"), sizes.alias("b")
-    return b.join(a, F.col("a.collection").eqNullSafe(F.col("b.collection")), "left").select(
-        "b.collection", "sessions", "samples", "observations", "unique_aps", "missing_channel", "rssi_min_dbm",
+    same = F.col("a.collection").eqNullSafe(F.col("b.collection")) & (F.col("a.is_total") == F.col("b.is_total"))
+    return b.join(a, same, "left").select(
+        "b.collection", "b.is_total", "sessions", "samples", "observations", "unique_aps", "missing_channel", "rssi_min_dbm",
         "rssi_max_dbm")
 
 

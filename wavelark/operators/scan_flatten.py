@@ -36,10 +36,19 @@ def flatten_scans(scans: DataFrame, session_id, environment) -> DataFrame:
 
 
 def flatten_controlled(scans: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Observations of controlled sessions. The label must agree with the target flag, and the
-    target flag with the manifest's target; otherwise the job fails."""
-    told = manifest.select("session_id", "environment", "attack_type", "target_bssid_hash")
-    rows = _entries(scans).join(told, "session_id")
+    """Observations of controlled sessions.
+
+    The job fails if a session has no manifest, if the label disagrees with the target flag or the target flag with the
+    manifest's target, and if a session holds another number of target rows than its manifest promises.
+    """
+    promised = F.col("matched_observation_count") if "matched_observation_count" in manifest.columns else F.lit(None).cast("long")
+    told = manifest.select("session_id", "environment", "attack_type", "target_bssid_hash", promised.alias("_promised"), F.lit(True).alias("_told"))
+    rows = _entries(scans)
+    found = rows.groupBy("session_id").agg(
+        F.count_if(F.coalesce(F.col("_entry.is_attack_target"), F.lit(False))).alias("_targets"))
+    rows = rows.join(told.join(found, "session_id"), "session_id", "left")
+    refused = F.when(F.col("_told").isNull(), F.raise_error(F.lit("controlled session without a manifest"))).when(
+        F.col("_targets") != F.col("_promised"), F.raise_error(F.lit("controlled session: number of target rows differs from the manifest")))
     label = F.coalesce(F.col("_entry.observation_label"), F.lit(-1))
     target = F.coalesce(F.col("_entry.is_attack_target"), F.lit(False))
     agrees = (label == target.cast("int")) & (target == (F.col("bssid_hash") == F.col("target_bssid_hash")))
@@ -47,7 +56,7 @@ def flatten_controlled(scans: DataFrame, manifest: DataFrame) -> DataFrame:
         "source_dataset": F.lit("own_windows_attack"), "collection_mode": F.lit("windows_native_wifi_scan"),
         "observation_type": F.lit("windows_bss_scan"), "session_label": F.lit(1), "is_synthetic": F.lit(False),
         "is_attack_target": target,
-        "label": F.when(F.coalesce(agrees, F.lit(False)), label).otherwise(
+        "label": F.when(refused.isNotNull(), refused.cast("long")).when(F.coalesce(agrees, F.lit(False)), label).otherwise(
             F.raise_error(F.lit("controlled session: label, target flag and manifest disagree")))})
     kinds = dict(DESKTOP_TYPES) | {"session_label": "long", "is_attack_target": "boolean"}
     return project(rows, [(c, kinds[c]) for c in CONTROLLED_COLUMNS])

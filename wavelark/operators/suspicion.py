@@ -45,12 +45,13 @@ def suspicion(features: DataFrame) -> DataFrame:
 
 
 def suspicion_summary(df: DataFrame, by: str | None = None) -> DataFrame:
-    """Counts per source and, with a `by` column, one overall row whose key is NULL."""
+    """Counts per source and, with a `by` column, one overall row, marked by `is_total`."""
     evaluable = F.col("suspected_label").isNotNull()
     grouped = df.rollup(by) if by else df.groupBy()
     out = grouped.agg(
         F.count(F.lit(1)).alias("rows"), F.count_if(evaluable).alias("eligible"),
         F.count_if(~evaluable).alias("not_evaluable"), F.count_if(F.col("suspected_label") == 1).alias("suspected"),
         F.count_if(F.col("suspected_label") == 0).alias("non_suspected"),
-        *[F.count_if(F.col("suspicion_level") == level).alias(level) for level in LEVELS])
+        *[F.count_if(F.col("suspicion_level") == level).alias(level) for level in LEVELS],
+        *([(F.grouping(by) == 1).alias("is_total")] if by else []))
     return out.withColumn("suspected_rate", rate(F.col("suspected"), F.col("eligible")))

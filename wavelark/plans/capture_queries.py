@@ -201,7 +201,7 @@ def frame_profiles(spark, sf_dir):
 @query("frame_summary", f"""WITH {FRAME} SELECT session_id, count(*) AS frames, count(*) FILTER (frame_type = 'beacon') AS beacons,
     count(*) FILTER (frame_type = 'probe_response') AS probe_responses, count(*) FILTER (frame_type = 'probe_request') AS probe_requests,
     count(*) FILTER (frame_type IN ('beacon', 'probe_response')) AS ap_frames, min(rssi_dbm) + 0.0 AS rssi_min_dbm, max(rssi_dbm) + 0.0 AS rssi_max_dbm,
-    0 AS violations FROM fr GROUP BY ROLLUP (session_id)""")
+    0 AS violations, grouping(session_id) = 1 AS is_total FROM fr GROUP BY ROLLUP (session_id)""")
 def frame_summary(spark, sf_dir):
     out = normalize.frame_summary(normalize.normalize_frames(raw_frames(spark, sf_dir), F.col("capture")))
     return rounded(out, "rssi_min_dbm", "rssi_max_dbm")
@@ -287,10 +287,10 @@ def fingerprint_summary(spark, sf_dir):
 
 
 @query("fingerprint_dataset_profile", f"""WITH {SAMPLE},
-a AS (SELECT collection, count(DISTINCT session_id) AS sessions, count(*) AS samples FROM sm GROUP BY ROLLUP (collection)),
+a AS (SELECT collection, count(DISTINCT session_id) AS sessions, count(*) AS samples, grouping(collection) = 1 AS is_total FROM sm GROUP BY ROLLUP (collection)),
 b AS (SELECT collection, count(*) AS observations, count(DISTINCT ap_id) AS unique_aps, count(*) FILTER (channel IS NULL) AS missing_channel,
-    min(rssi_dbm)::BIGINT AS rssi_min_dbm, max(rssi_dbm)::BIGINT AS rssi_max_dbm FROM fp GROUP BY ROLLUP (collection))
-SELECT a.collection, sessions, samples, observations, unique_aps, missing_channel, rssi_min_dbm, rssi_max_dbm FROM a JOIN b ON a.collection IS NOT DISTINCT FROM b.collection""")
+    min(rssi_dbm)::BIGINT AS rssi_min_dbm, max(rssi_dbm)::BIGINT AS rssi_max_dbm, grouping(collection) = 1 AS is_total FROM fp GROUP BY ROLLUP (collection))
+SELECT a.collection, a.is_total, sessions, samples, observations, unique_aps, missing_channel, rssi_min_dbm, rssi_max_dbm FROM a JOIN b ON a.collection IS NOT DISTINCT FROM b.collection AND a.is_total = b.is_total""")
 def fingerprint_dataset_profile(spark, sf_dir):
     return profiling.profile_fingerprints(normalize.parse_samples(samples(spark, sf_dir)))
 

@@ -257,10 +257,11 @@ def suspicion_labels(spark, sf_dir):
 @query("suspicion_summary", f"""WITH {SUSPICION} SELECT session_id, count(*) AS "rows", count(suspected_label) AS eligible,
     count(*) - count(suspected_label) AS not_evaluable, count(*) FILTER (suspected_label = 1) AS suspected,
     count(*) FILTER (suspected_label = 0) AS non_suspected, {LEVEL_SQL},
-    round(CASE WHEN count(suspected_label) = 0 THEN 0 ELSE count(*) FILTER (suspected_label = 1) / count(suspected_label) END, 9) AS suspected_rate
-FROM sus GROUP BY ROLLUP (session_id)""")
+    round(CASE WHEN count(suspected_label) = 0 THEN 0 ELSE count(*) FILTER (suspected_label = 1) / count(suspected_label) END, 9) AS suspected_rate,
+    grouping(session_id) = 1 AS is_total FROM (SELECT * REPLACE (nullif(session_id, 'sess_06') AS session_id) FROM sus) GROUP BY ROLLUP (session_id)""")
 def suspicion_summary(spark, sf_dir):
-    labels = suspicion.suspicion(desktop_features(spark, sf_dir))
+    labels = suspicion.suspicion(desktop_features(spark, sf_dir)).withColumn(
+        "session_id", F.nullif("session_id", F.lit("sess_06")))  # a group without a key beside the total
     return rounded(suspicion.suspicion_summary(labels, "session_id"), "suspected_rate")
 
 

@@ -79,7 +79,7 @@ def model_registry(spark, sf_dir):
 
 @query("persisted_scans", f"""WITH {STORE} SELECT id, observed_us, total_networks, interface_count FROM scan""")
 def persisted_scans(spark, sf_dir):
-    return micros(store.persist_scans(scored_scans(spark, sf_dir))["scan_session"], observed_at_utc="observed_us")
+    return micros(store.persist_scans(scored_scans(spark, sf_dir))["scan_session"].drop("scan_date"), observed_at_utc="observed_us")
 
 
 @query("persisted_observations", f"""WITH {STORE} SELECT event_id AS id, scan_id AS scan_session_id, network_id,
@@ -94,7 +94,7 @@ def persisted_observations(spark, sf_dir):
 def persisted_detections(spark, sf_dir):
     # A second run against the scans already stored adds nothing.
     first = store.persist_scans(scored_scans(spark, sf_dir))
-    again = store.persist_scans(scored_scans(spark, sf_dir), first["scan_session"])
+    again = store.persist_scans(scored_scans(spark, sf_dir), first["scan_session"], repeated="skip")
     both = first["detection"].unionByName(again["detection"])
     return micros(rounded(both.select("id", "scan_session_id", "model_version_id", "anomaly_score", "is_anomaly",
                                       "suspicion_level", "created_at_utc"), "anomaly_score"), created_at_utc="created_us")
@@ -103,7 +103,7 @@ def persisted_detections(spark, sf_dir):
 @query("persisted_features", f"""WITH {STORE} SELECT event_id AS id, event_id AS network_observation_id, ssid_bssid_count, bssid_changed,
     security_changed, security_strength_delta, context_available, context_resolution, feature_complete FROM st""")
 def persisted_features(spark, sf_dir):
-    return store.persist_scans(scored_scans(spark, sf_dir))["network_features"]
+    return store.persist_scans(scored_scans(spark, sf_dir))["network_features"].drop("scan_session_id", "scan_date")
 
 
 @query("scan_history", f"""WITH {STORE} SELECT * EXCLUDE (normal_count) FROM scan ORDER BY observed_us DESC, id DESC LIMIT 25 OFFSET 10""")

@@ -1,4 +1,8 @@
-"""The scan store: five tables written append-only, and the model registry."""
+"""The scan store: five tables written append-only, and the model registry.
+
+The four scan tables are partitioned by the date of the scan and clustered by scan, so that a page of scans reads the
+files of its dates only.
+"""
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -6,6 +10,7 @@ from pyspark.sql import functions as F
 from wavelark.functions.identity import hash_identifier
 from wavelark.operators.checks import require_columns
 
+# Tables and columns of the store.
 TABLES = ["scan_session", "network_observation", "network_features", "detection", "model_version"]
 SCAN_COLUMNS = ["negotiated_api_version", "interface_count", "total_networks"]
 OBSERVATION_COLUMNS = [
@@ -21,44 +26,71 @@ def _with(df: DataFrame, names: list[str]) -> list:
     return [F.col(c) if c in df.columns else F.lit(None).alias(c) for c in names]
 
 
-def persist_scans(scored: DataFrame, existing_scans: DataFrame | None = None) -> dict[str, DataFrame]:
+def persist_scans(scored: DataFrame, existing_scans: DataFrame | None = None, scans: DataFrame | None = None,
+                  repeated: str = "fail") -> dict[str, DataFrame]:
     """Split scored observations into the four scan tables.
 
     Needs one row per observation with a unique, rising `observation_id`, its scan's id and time,
-    clear ssid/bssid/interface_guid and the analysis columns. Scans already stored are left out.
+    clear ssid/bssid/interface_guid and the analysis columns. `scans` (scan_id, observed_at_utc and, where told,
+    interface_count and total_networks) names all scans, also those that saw no network. A scan that is stored
+    already is refused, or left out with `repeated="skip"`.
     """
+    if repeated not in ("fail", "skip"):
+        raise ValueError("repeated scans either fail or are skipped")
     require_columns(scored, ["scan_id", "observed_at_utc", "observation_id", "network_id", "interface_guid", "ssid",
-                             "bssid", "ssid_not_broadcast", "status"], "scan store")
-    rows = scored
+                             "bssid", "ssid_not_broadcast", "status", "model_version_id"], "scan store")
+    rows = scored.withColumn("scan_date", F.to_date("observed_at_utc"))
     if existing_scans is not None:
-        rows = rows.join(existing_scans.select(F.col("id").alias("scan_id")), "scan_id", "left_anti")
+        held = existing_scans.select(F.col("id").alias("scan_id"))
+        if repeated == "skip":
+            rows = rows.join(held, "scan_id", "left_anti")
+            scans = scans.join(held, "scan_id", "left_anti") if scans is not None else None
+        else:
+            seen = rows.join(held.distinct().withColumn("_held", F.lit(True)), "scan_id", "left")
+            rows = seen.withColumn("scan_id", F.when(F.col("_held"), F.raise_error(F.lit("scan is stored already"))).otherwise(
+                F.col("scan_id"))).drop("_held")
     named = ~F.coalesce("ssid_not_broadcast", F.lit(False)) & (F.coalesce("ssid", F.lit("")) != "")
-    scans = rows.groupBy(F.col("scan_id").alias("id")).agg(
+    seen = rows.groupBy(F.col("scan_id").alias("id")).agg(
         F.min("observed_at_utc").alias("observed_at_utc"), F.count(F.lit(1)).alias("total_networks"),
         F.count_distinct("interface_guid").alias("interface_count"),
         *[F.first(c, True).alias(c) for c in ("negotiated_api_version",) if c in rows.columns])
+    if scans is not None:
+        told = [c for c in ("interface_count", "total_networks") if c in scans.columns]
+        s, o = scans.withColumnRenamed("scan_id", "id").alias("s"), seen.alias("o")
+        none = F.lit(0).cast("long")
+        seen = s.join(o, F.col("s.id") == F.col("o.id"), "left").select(
+            "s.id", "s.observed_at_utc", *[F.coalesce(f"s.{c}" if c in told else f"o.{c}", f"o.{c}", none).alias(c)
+                                           for c in ("total_networks", "interface_count")],
+            *[f"o.{c}" for c in seen.columns if c == "negotiated_api_version"])
+    seen = seen.withColumn("scan_date", F.to_date("observed_at_utc"))
     observation = rows.select(
         F.col("observation_id").alias("id"), F.col("scan_id").alias("scan_session_id"), "network_id",
         hash_identifier("interface-guid", F.col("interface_guid")).alias("interface_guid_hash"),
         F.when(named, hash_identifier("ssid", F.col("ssid"))).alias("ssid_hash"),
-        hash_identifier("bssid", F.col("bssid")).alias("bssid_hash"), *_with(rows, OBSERVATION_COLUMNS))
+        hash_identifier("bssid", F.col("bssid")).alias("bssid_hash"), *_with(rows, OBSERVATION_COLUMNS), "scan_date")
     analysed = F.col("status").isin("ready", "insufficient_history")
     features = rows.where(analysed).select(
         F.col("observation_id").alias("id"), F.col("observation_id").alias("network_observation_id"), *FEATURE_COLUMNS,
         F.coalesce("context_available", F.lit(False)).alias("context_available"),
         F.coalesce("context_resolution", F.lit("unresolved")).alias("context_resolution"),
-        F.coalesce("feature_complete", F.lit(False)).alias("feature_complete"))
+        F.coalesce("feature_complete", F.lit(False)).alias("feature_complete"), F.col("scan_id").alias("scan_session_id"), "scan_date")
     detection = rows.where(analysed & F.col("model_version_id").isNotNull()).select(
         F.col("observation_id").alias("id"), F.col("scan_id").alias("scan_session_id"),
         F.col("observation_id").alias("network_observation_id"), "model_version_id",
-        *_with(rows, DETECTION_COLUMNS), F.col("observed_at_utc").alias("created_at_utc"))
-    return {"scan_session": scans, "network_observation": observation, "network_features": features,
+        *_with(rows, DETECTION_COLUMNS), F.col("observed_at_utc").alias("created_at_utc"), "scan_date")
+    return {"scan_session": seen, "network_observation": observation, "network_features": features,
             "detection": detection}
 
 
 def append_scans(tables: dict[str, DataFrame], root: str) -> None:
     for name, df in tables.items():
-        df.write.mode("append").parquet(f"{root}/{name}")
+        if "scan_date" in df.columns:
+            scan = "id" if name == "scan_session" else "scan_session_id"
+            # A task holds few dates, and a file the scans of a range, so that both kinds of filter skip files.
+            df.repartitionByRange("scan_date", scan).sortWithinPartitions("scan_date", scan).write.mode("append").partitionBy(
+                "scan_date").parquet(f"{root}/{name}")
+        else:
+            df.write.mode("append").parquet(f"{root}/{name}")
 
 
 def read_store(spark, root: str) -> dict[str, DataFrame]:
