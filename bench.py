@@ -14,14 +14,15 @@ HEADLINE = [
     "beacon_profile_1s", "rssi_temporal_5s", "contextual_features", "desktop_features", "contextual_split", "group_split",
     "balanced_sources", "threshold_calibration", "binary_metrics", "suspicion_summary", "runtime_decisions",
     "session_preflight", "session_overlaps", "tsf_features", "security_posture", "scan_history", "dashboard_overview",
-    "isolation_forest",
+    "isolation_forest", "scaler_transform", "score_distribution", "scenario_evaluation", "normalized_fingerprints",
+    "one_class_fit", "kernel_scores", "scan_stream_scoring",
 ]
 
 
 def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count()))
-    repeats = int(os.environ.get("BENCH_REPEATS", "1"))
+    repeats = int(os.environ.get("BENCH_REPEATS", "3"))
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName("bench").config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false").config("spark.sql.shuffle.partitions", cpus)
