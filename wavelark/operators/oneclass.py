@@ -14,6 +14,9 @@ from wavelark.session import stored
 
 BINS = 64
 SLICE = 4096
+#: Packed rows of support vectors that are broadcast, at most: a few megabytes.
+BROADCAST_SLICES = 32
+SALTS = 64
 
 
 def scale_gamma(df: DataFrame, features: Sequence[str], weight: str | None = None) -> float:
@@ -31,15 +34,17 @@ def score_one_class(df: DataFrame, support: DataFrame, rho: Column | float, gamm
                     features: Sequence[str], score: str = "anomaly_score") -> DataFrame:
     """rho - sum(alpha * exp(-gamma * |x - sv|^2)) for every row; NULL where a feature is.
 
-    Each distinct vector is scored once and joined back. Equal support vectors are merged, and the
-    rest reach the tasks in slices of bounded size.
+    Each distinct vector is scored once and joined back. Equal support vectors are merged and packed into rows of about
+    `SLICE` vectors; every vector meets every such row, and the partial sums are added up. The packed rows are
+    broadcast if their number, which is counted, is at most `BROADCAST_SLICES`; else both sides are dealt out by
+    slice and by a salt of the vectors. The plan does not depend on the number of support vectors.
     """
     features = list(features)
     merged = stored(support.groupBy(*features).agg(F.sum("alpha").alias("alpha")), "support")
     slices = max(-(-merged.count() // SLICE), 1)
     # Sorting fixes the order in which floating sums are taken.
-    packed = F.sort_array(F.collect_list(F.struct(*features, "alpha"))).alias("v")
-    part = F.pmod(F.xxhash64(*features), F.lit(slices))
+    packed = merged.groupBy(F.pmod(F.xxhash64(*features), F.lit(slices)).alias("_slice")).agg(
+        F.sort_array(F.collect_list(F.struct(*features, "alpha"))).alias("_support"))
 
     def kernel(v):
         distance = None
@@ -48,14 +53,17 @@ def score_one_class(df: DataFrame, support: DataFrame, rho: Column | float, gamm
             distance = step if distance is None else distance + step
         return v["alpha"] * F.exp(F.lit(-float(gamma)) * distance)
 
-    vectors = stored(df.select(*features).dropna().distinct(), "vectors")
-    total = None
-    for i in range(slices):
-        vectors = vectors.withColumn(f"_sv{i}", merged.where(part == i).agg(packed).scalar())
-        share = F.aggregate(F.col(f"_sv{i}"), F.lit(0.0), lambda acc, v: acc + kernel(v))
-        total = share if total is None else total + share
+    vectors = stored(df.select(*features).dropna().distinct(), "vectors").withColumns({
+        "_slice": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))),
+        "_salt": F.pmod(F.xxhash64(*features), F.lit(SALTS))})
+    if slices <= BROADCAST_SLICES:
+        met = vectors.join(F.broadcast(packed), "_slice")
+    else:
+        met = vectors.join(packed.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["_slice", "_salt"])
+    share = F.aggregate("_support", F.lit(0.0), lambda acc, v: acc + kernel(v))
     bias = rho if isinstance(rho, Column) else F.lit(float(rho))
-    scores = stored(vectors.select(*features, (bias - total).alias(score)), "vector-scores")
+    totals = met.groupBy(*features).agg(F.sum(share).alias("_total"))
+    scores = stored(totals.select(*features, (bias - F.col("_total")).alias(score)), "vector-scores")
     kept = [c for c in df.columns if c != score]
     return df.select(*kept).join(scores, features, "left").select(*kept, score)
 
