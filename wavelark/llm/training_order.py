@@ -2,7 +2,8 @@
 
 All texts become sequences of equal length, numbered without gaps. A keyed Feistel network permutes the numbers; values
 beyond the last are permuted again until they fall inside (cycle walking), so every sequence gets one global slot and
-no table of the order is kept. Slots are dealt out in ranges, one per shard, and a task writes its shard in order. The
+no table of the order is kept. Slots are dealt out in ranges, one per shard; a task lays the sequences of its range
+at their places, which takes the memory of one shard, and writes it in order. The
 place of a slot follows from the slot alone, so that a reader can start or resume anywhere.
 """
 
@@ -13,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -132,35 +134,54 @@ def materialise(sequences: DataFrame, path: str, key: str = "epoch-0", shard_slo
         out.write(json.dumps({"total": total, "stride": stride, "shard_slots": shard_slots, "key": key}).encode())
     shards = max(1, -(-total // shard_slots))
     placed = rows.join(first, "part").withColumn("slot", _slot(F.col("first") + F.col("number"), max(total, 1), key))
-    placed = placed.withColumn("shard", F.floor(F.col("slot") / shard_slots).cast("int"))
     schema = T.StructType([*T.StructType.fromDDL("slot long, shard long, part long, number long, filled long").fields, sequences.schema["doc_ids"]])
+    details = ["slot", "part", "number", "filled", "doc_ids"]
+    # One row per shard and batch: the sequences packed together, as they are rather large to be moved one by one.
+    packed = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("packed", T.BinaryType()),
+                           *(T.StructField(c, T.ArrayType(schema[c].dataType)) for c in details)])
+
+    def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            shard = batch.column("slot").to_numpy() // shard_slots
+            order = np.argsort(shard, kind="stable")
+            rows, shard = batch.take(pa.array(order)), shard[order]
+            first = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
+            ends = np.append(first, len(shard)).astype(np.int32)
+            ids = rows.column("ids").to_pylist()
+            yield pa.RecordBatch.from_arrays([
+                pa.array(shard[first].astype(np.int32)), pa.array([pack(b"".join(ids[a:b])) for a, b in zip(ends[:-1], ends[1:])], pa.binary()),
+                *(pa.ListArray.from_arrays(pa.array(ends), rows.column(c)) for c in details)], names=packed.names)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-        out, shard, name, expected = None, None, None, None
-
-        def close():
-            if out is not None:
-                out.close()
-                store.move(f"{root}/{name}", f"{root}/shard-{shard:08d}.bin")
-
+        held: dict[int, np.ndarray] = {}
+        filled: dict[int, int] = {}
         for batch in batches:
-            slots = batch.column("slot").to_numpy()
-            for slot, ids in zip(slots.tolist(), batch.column("ids")):
-                if slot // shard_slots != shard:
-                    close()
-                    shard, name = slot // shard_slots, f"_shard-{uuid.uuid4().hex}"
-                    out, expected = store.open_output_stream(f"{root}/{name}"), shard * shard_slots
-                data = ids.as_buffer()
-                if slot != expected or data.size != stride:
-                    raise ValueError(f"slot {slot} where {expected} was due, or a stride other than {stride}")
+            for i, shard in enumerate(batch.column("shard").to_pylist()):
+                base = shard * shard_slots
+                if shard not in held:
+                    held[shard], filled[shard] = np.zeros((min(shard_slots, total - base), stride), np.uint8), 0
+                slots = batch.column("slot")[i].values
+                data = np.frombuffer(zstandard.ZstdDecompressor().decompress(batch.column("packed")[i].as_py()), np.uint8)
+                if len(data) != len(slots) * stride:
+                    raise ValueError(f"sequences of another length than {stride} bytes")
+                held[shard][slots.to_numpy() - base] = data.reshape(len(slots), stride)
+                filled[shard] += len(slots)
+                yield pa.RecordBatch.from_arrays([slots, pa.array(np.full(len(slots), shard)),
+                                                  *(batch.column(c)[i].values for c in details[1:])], names=schema.names)
+        for shard, data in held.items():
+            if filled[shard] != len(data):
+                raise ValueError(f"shard {shard} has {filled[shard]} of {len(data)} sequences")
+            name = f"_shard-{uuid.uuid4().hex}"
+            with store.open_output_stream(f"{root}/{name}") as out:
                 out.write(data)
-                expected += 1
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(slots // shard_slots), *batch.columns[1:5]], names=schema.names)
-        close()
+            store.move(f"{root}/{name}", f"{root}/shard-{shard:08d}.bin")
 
-    return (placed.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot")
-            .select("slot", "part", "number", "filled", "doc_ids", "ids").mapInArrow(write, schema))
+    return (placed.select(*details, "ids").mapInArrow(bundle, packed)
+            .repartitionById(shards, F.col("shard")).mapInArrow(write, schema))
 
 
 def read_slots(spark: SparkSession, path: str, begin: int = 0, end: int | None = None, run_slots: int = 4096) -> DataFrame:
