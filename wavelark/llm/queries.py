@@ -5,12 +5,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavelark.llm import contamination, jaccard_join, language_id, lattice_lm, packing, secret_scan, training_order, voronoi_join, warc, weak_labels
+from wavelark.llm import contamination, jaccard_join, language_id, lattice_lm, oracles, packing, secret_scan, training_order, voronoi_join, warc, weak_labels
 from wavelark.llm.storage import shared_path, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_jaccard_join": oracles.JACCARD_JOIN,
+    "op5_warc": oracles.WARC,
+    "op6_contamination": oracles.CONTAMINATION,
+    "op8_voronoi_join": oracles.VORONOI_JOIN,
+}
 
 
 def query(fn: Query) -> Query:
