@@ -7,6 +7,10 @@ its lattice, from begin to end: its count less a discount, and the discounts of
 a word out of pieces. Pieces never cross a word's begin, so the probability of a document is the product over its
 words and its end, and the probabilities of all texts sum up to no more than 1.
 
+Within a document the words adapt: with m earlier words, of which j were the same, a word of model probability p has
+(j + PRIOR * p) / (m + PRIOR), a Dirichlet prior of the lattice model. A document keeps to one language and repeats its
+words, which counts over the corpus cannot tell.
+
 Counts of all words stay in a table. Words above a count that at most `HOT` words reach travel to every task; the
 rest, whose counts are bounded, meet the table in one join.
 """
@@ -25,6 +29,8 @@ from wavelark.llm.words import SPACED, mix, slices, text_buffer, word_spans
 #: Words whose counts and scores are sent to every task, at most.
 HOT = 400_000
 SMOOTHING = 0.1
+#: Weight of the lattice model against the words of the document so far, in words.
+PRIOR = 1000.0
 _AT_ONCE = 4096
 _TEXT_AT_ONCE = 2 << 20
 _LONG = 96
@@ -231,6 +237,23 @@ def _frequent(counts: DataFrame, limit: int) -> DataFrame:
     return counts.where(F.lit(False)) if least is None else counts.where(F.col("n") >= least)
 
 
+def _history(doc: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each word of a run of texts: how many words of its text precede it, and how many of them are the same."""
+    place = np.arange(len(doc))
+    before = place - np.searchsorted(doc, doc, side="left")
+    order = np.lexsort((word, doc))
+    first = np.ones(len(doc), bool)
+    first[1:] = (doc[order][1:] != doc[order][:-1]) | (word[order][1:] != word[order][:-1])
+    seen = np.empty(len(doc), np.int64)
+    seen[order] = place - np.maximum.accumulate(np.where(first, place, 0))
+    return before, seen
+
+
+def _adapted(score: np.ndarray, seen: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """log10 of a word's probability given the words of the text before it, from its log10 by the model."""
+    return np.where(seen == 0, score + np.log10(PRIOR), np.log10(seen + PRIOR * 10.0 ** score)) - np.log10(before + PRIOR)
+
+
 def _log_of_either(n: Column, spell: Column, discount: float, spelled: float, tokens: int) -> Column:
     """log10 of a word's own arc and its spelling together; without an arc, straight from the logarithm."""
     own = (n - F.lit(discount)) / F.lit(float(tokens + 1))
@@ -285,31 +308,34 @@ def score_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
             base[hot] = np.log10((numbers[at[hot]] + SMOOTHING) / scale)
             score[hot] = np.log10((numbers[at[hot]] - discount) / (tokens + 1) + spelled * np.exp(scores[at[hot]]))
             spell[~hot] = lattice.score(_decoded(data, begins[~hot], ends[~hot])) / np.log(10)
+            before, seen = _history(doc, which)
             rare = ~hot[which]
-            pairs, times = np.unique(np.stack([doc[rare], which[rare]]), axis=1, return_counts=True) if rare.any() else (
-                np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
-            starts = np.searchsorted(pairs[0], np.arange(rows + 1)).astype(np.int32)
+            own = _adapted(score[which], seen, before)
+            starts = np.searchsorted(doc[rare], np.arange(rows + 1)).astype(np.int32)
+            n = np.bincount(doc, minlength=rows)
+            end = np.log10(max(documents, 0.5) / (tokens + 1)) + np.log10(PRIOR / (n + PRIOR))
             yield pa.RecordBatch.from_arrays([
-                batch.column("key"), batch.column("doc_id"), batch.column("held_out"),
-                pa.array(np.bincount(doc, minlength=rows) + 1),
+                batch.column("key"), batch.column("doc_id"), batch.column("held_out"), pa.array(n + 1),
                 pa.array(np.bincount(doc, hot[which], rows).astype(np.int64) + (documents > 0)),
                 pa.array(np.bincount(doc, base[which], rows) + np.log10((documents + SMOOTHING) / scale)),
-                pa.array(np.bincount(doc, score[which], rows) + np.log10(max(documents, 0.5) / (tokens + 1))),
-                pa.ListArray.from_arrays(pa.array(starts), pa.array(unique[pairs[1]].view(np.int64))),
-                pa.ListArray.from_arrays(pa.array(starts), pa.array(spell[pairs[1]])),
-                pa.ListArray.from_arrays(pa.array(starts), pa.array(times))], names=schema.names)
+                pa.array(np.bincount(doc, np.where(rare, 0.0, own), rows) + end),
+                *(pa.ListArray.from_arrays(pa.array(starts), pa.array(x[rare])) for x in (
+                    unique.view(np.int64)[which], spell[which], seen, before))], names=schema.names)
 
     schema = T.StructType([T.StructField("key", T.LongType()), docs.schema["doc_id"], *T.StructType.fromDDL(
-        "held_out boolean, n_tokens long, n_known long, base_score double, score double, hashes array<long>, spells array<double>, times array<long>").fields])
+        "held_out boolean, n_tokens long, n_known long, base_score double, score double, hashes array<long>, spells array<double>, seen array<long>, before array<long>").fields])
     scored = stored(docs.withColumn("key", F.monotonically_increasing_id()).select("key", "doc_id", "held_out", "text").mapInArrow(run, schema), "scored")
-    rare = scored.select("key", F.explode(F.arrays_zip("hashes", "spells", "times")).alias("w")).select(
-        "key", F.col("w.hashes").alias("hash"), F.col("w.spells").alias("spell"), F.col("w.times").alias("times"))
+    rare = scored.select("key", F.explode(F.arrays_zip("hashes", "spells", "seen", "before")).alias("w")).select(
+        "key", F.col("w.hashes").alias("hash"), F.col("w.spells").alias("spell"), F.col("w.seen").alias("seen"), F.col("w.before").alias("before"))
     n = F.coalesce("n", F.lit(0))
+    plain = _log_of_either(n, F.col("spell"), discount, spelled, tokens)
+    prior = F.lit(PRIOR)
+    adapted = F.when(F.col("seen") == 0, plain + F.log10(prior / (F.col("before") + prior))).otherwise(
+        F.log10((F.col("seen") + prior * F.pow(F.lit(10.0), plain)) / (F.col("before") + prior)))
     rest = rare.join(counts.select("hash", "n"), "hash", "left").groupBy("key").agg(
-        F.sum(F.col("times") * F.log10((n + SMOOTHING) / F.lit(scale))).alias("more"),
-        F.sum(F.col("times") * _log_of_either(n, F.col("spell"), discount, spelled, tokens)).alias("more_score"),
-        F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("seen"))
-    return scored.drop("hashes", "spells", "times").join(rest, "key", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("seen", F.lit(0))).alias("n_known"),
+        F.sum(F.log10((n + SMOOTHING) / F.lit(scale))).alias("more"), F.sum(adapted).alias("more_score"),
+        F.count_if(n > 0).alias("known"))
+    return scored.drop("hashes", "spells", "seen", "before").join(rest, "key", "left").select(
+        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
         (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"))
