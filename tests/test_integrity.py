@@ -69,6 +69,9 @@ def test_overlaps_match_all_pairs(frame):
     for bucket in ("1 hour", "1 minute"):
         got = sorted((r["session_a"], r["session_b"]) for r in integrity.overlap_pairs(df, bucket).collect())
         assert got == want
+    counts = {r["session_id"]: r["overlapping_sessions"] for r in integrity.overlap_counts(df).collect()}
+    assert counts == {n: sum(n in pair for pair in want) for n, _, _ in spans}
+    assert {r["session_id"] for r in integrity.overlaps_of(df, "t3").collect()} == {x for pair in want if "t3" in pair for x in pair} - {"t3"}
 
 
 def test_drift_and_disjointness(frame):

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from wavelark.functions.text import number, strict_boolean, strip
 from wavelark.operators.checks import optional, rate
 from wavelark.operators.context import build_desktop_reference, coverage, transform_desktop
+from wavelark.operators.ordering import fold_values, running_counts
 from wavelark.operators.splits import session_split_plan
 from wavelark.schema import DESKTOP_SPLITS, SPLIT_SEED
+from wavelark.session import stored
 
 # Limits of the session checks.
 MINIMUM_SESSIONS, MINIMUM_SCANS = 5, 3
@@ -155,6 +157,33 @@ def overlap_pairs(sessions: DataFrame, bucket: str = "1 hour") -> DataFrame:
     return pairs.select(F.least("o_id", "i_id").alias("session_a"), F.greatest("o_id", "i_id").alias("session_b"))
 
 
+def overlap_counts(sessions: DataFrame) -> DataFrame:
+    """Per session with a time range, how many other sessions its closed range overlaps.
+
+    Those are all sessions that start before its end, less those that ended before its start: two running counts over
+    the distinct times, so the work grows with the sessions and not with the pairs.
+    """
+    timed = sessions.where(F.col("time_start_utc").isNotNull() & F.col("time_end_utc").isNotNull()).select(
+        "session_id", F.unix_micros("time_start_utc").alias("_s"), F.unix_micros("time_end_utc").alias("_e"))
+    points = timed.select(F.explode(F.array(
+        F.struct(F.col("_s").alias("at"), F.lit(1).alias("start"), F.lit(0).alias("end")),
+        F.struct(F.col("_e").alias("at"), F.lit(0).alias("start"), F.lit(1).alias("end")))).alias("p")).select("p.*")
+    folded = fold_values(points, "at", counts={"start": F.col("start"), "end": F.col("end")})
+    ranked = stored(running_counts(folded, "at", ["start", "end"]), "session-times")
+    begun = ranked.select(F.col("at").alias("_e"), F.col("cum_start").alias("_begun"))
+    over = ranked.select(F.col("at").alias("_s"), (F.col("cum_end") - F.col("end")).alias("_over"))
+    return timed.join(begun, "_e").join(over, "_s").select(
+        "session_id", (F.col("_begun") - F.col("_over") - 1).alias("overlapping_sessions"))
+
+
+def overlaps_of(sessions: DataFrame, session_id: str) -> DataFrame:
+    """The sessions that overlap one given session."""
+    own = sessions.where(F.col("session_id") == session_id).select(
+        F.struct(F.col("time_start_utc").alias("s"), F.col("time_end_utc").alias("e")).alias("t")).scalar()
+    return sessions.where((F.col("session_id") != session_id) & (F.col("time_start_utc") <= own["e"]) & (
+        F.col("time_end_utc") >= own["s"])).select("session_id")
+
+
 def coverage_dry_run(obs: DataFrame, sessions: DataFrame, seed: int = SPLIT_SEED) -> DataFrame:
     """Share of usable rows per split if the plan were frozen now."""
     plan = session_split_plan(sessions, seed).select("session_id", "split").where(F.col("split").isNotNull())

@@ -93,14 +93,25 @@ def session_preflight(spark, sf_dir):
                    "bssid_hash_coverage", "desktop_candidate_completeness")
 
 
-@query("session_overlaps", f"""WITH {DESKTOP}, s AS (SELECT session_id || '/' || ssid_hash AS id, min(captured_at_utc) AS a, max(captured_at_utc) AS b
-    FROM desk WHERE ssid_hash IS NOT NULL GROUP BY 1)
-SELECT x.id AS session_a, y.id AS session_b FROM s x JOIN s y ON x.id < y.id AND x.a <= y.b AND y.a <= x.b""")
-def session_overlaps(spark, sf_dir):
-    named = desktop_rows(spark, sf_dir).where(F.col("ssid_hash").isNotNull())
-    sessions = named.groupBy(F.concat_ws("/", "session_id", "ssid_hash").alias("session_id")).agg(
+PARTS_SQL = """parts AS (SELECT session_id || '/' || coalesce(ssid_hash, '-') AS id, min(captured_at_utc) AS a, max(captured_at_utc) AS b FROM desk GROUP BY 1)"""
+
+
+def parts(spark, sf_dir):
+    """Each network of a session as a session of its own, so that ranges overlap."""
+    return desktop_rows(spark, sf_dir).groupBy(F.concat_ws("/", "session_id", F.coalesce("ssid_hash", F.lit("-"))).alias("session_id")).agg(
         F.min("captured_at_utc").alias("time_start_utc"), F.max("captured_at_utc").alias("time_end_utc"))
-    return integrity.overlap_pairs(sessions, "6 hours")
+
+
+@query("session_overlaps", f"""WITH {DESKTOP}, {PARTS_SQL}
+SELECT x.id AS session_id, count(y.id) AS overlapping_sessions FROM parts x LEFT JOIN parts y ON x.id <> y.id AND x.a <= y.b AND y.a <= x.b GROUP BY 1""")
+def session_overlaps(spark, sf_dir):
+    return integrity.overlap_counts(parts(spark, sf_dir))
+
+
+@query("session_overlap_partners", f"""WITH {DESKTOP}, {PARTS_SQL}
+SELECT y.id AS session_id FROM parts x JOIN parts y ON x.id <> y.id AND x.a <= y.b AND y.a <= x.b WHERE x.id = 'sess_03/-'""")
+def session_overlap_partners(spark, sf_dir):
+    return integrity.overlaps_of(parts(spark, sf_dir), "sess_03/-")
 
 
 PLAN_SQL = """
