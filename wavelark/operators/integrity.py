@@ -16,9 +16,12 @@ from wavelark.session import stored
 # Limits of the session checks.
 MINIMUM_SESSIONS, MINIMUM_SCANS = 5, 3
 MIN_BSSID_COVERAGE, MIN_COMPLETENESS, MIN_ELIGIBLE = 0.99, 0.70, 0.70
+# Column names of the imported tables.
 CLEAR_IDENTIFIERS = ["ssid", "bssid", "ssid_clear", "bssid_clear", "raw_ssid", "raw_bssid"]
+# Column names of the imported tables.
 REQUIRED = ["source_dataset", "session_id", "environment", "ssid_hash", "bssid_hash", "security_type",
             "security_strength", "label", "attack_type", "is_synthetic"]
+# Column names of the imported tables.
 CANDIDATE_FIELDS = ["ssid_hash", "bssid_hash", "security_type", "security_strength"]
 SHA256 = "^[0-9a-fA-F]{64}$"
 LANES = 12

@@ -13,6 +13,7 @@ from wavelark.operators.ordering import with_previous
 
 MISSING_BSSID = "__MISSING_BSSID__"
 GROUP_KEYS = ["source_dataset", "session_id", "_attack", "_bssid"]
+# Columns of a profile, in order.
 PROFILE_COLUMNS = [
     "source_dataset", "session_id", "network_identity_id", "network_group_id",
     "window_start_ms", "label", "attack_type", "is_synthetic", "rssi_mean_dbm",

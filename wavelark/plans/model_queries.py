@@ -417,5 +417,10 @@ def reconstruction_error(spark, sf_dir):
 @query("source_leakage_probe")
 def source_leakage_probe(spark, sf_dir):
     rows = stored(temporal_rich(spark, sf_dir), "probe-rows")
-    late = F.col("session_id") >= "sess_05"
-    return leakage.source_leakage(rows.where(~late), {"validation": rows.where(late)}, "conservative_v2")
+    session = F.col("session_id")
+    held = {"validation": rows.where((session >= "sess_05") & (session < "sess_08")), "test": rows.where(session >= "sess_08")}
+    train, out = rows.where(session < "sess_05"), None
+    for name in RADIO_FEATURE_SETS:
+        part = leakage.source_leakage(train, held, name).withColumn("feature_set", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
