@@ -1,6 +1,7 @@
 """Secrets in texts, with false positives removed by a random forest (operator 10).
 
-Candidates are words that could be keys. Each gets features of its length, characters, character transitions
+Candidates are runs of value characters in words that could hold keys: a word is cut at quotes, brackets, commas, `&`, `;`,
+`=`, `:` and letters beyond ASCII, and every run is a candidate of its own. Each gets features of its length, characters, character transitions
 (a bigram model of the corpus), dictionary coverage (frequent words of the corpus), path and neighbouring words.
 A random forest trained from labelled findings decides. Where no labelled findings are given, formats that leave
 no doubt label a part of the candidates: issued key ids and keyword assignments of hexadecimal values are secrets;
@@ -37,7 +38,21 @@ TEST_PATHS = ("test", "example", "sample", "mock", "fixture", "doc")
 FEATURES = ("length", "digits", "capitals", "lower", "signs", "entropy", "transition", "worst_transition", "coverage", "switches",
             "keyword", "assigned", "quoted", "placeholder", "test_path", "address_signs", "prose_neighbours")
 
-_VALUE = re.compile(r"""^[\W_]*?(?:([A-Za-z][\w\-.]*)(?:=|:(?!//)))?(["'`]?)([A-Za-z0-9+/_=.@:%\-]{8,})""")
+#: Bytes of the shortest value, and of the text around a value that names it.
+_LEAST = 8
+_AROUND = 256
+_RUN = np.zeros(256, bool)
+_RUN[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.@%-")] = True
+_HEX_DIGIT = np.zeros(256, bool)
+_HEX_DIGIT[list(b"0123456789abcdefABCDEF")] = True
+
+_KEY = re.compile(r"""([A-Za-z][\w\-.]*)["'`\])]*(?:=>|[:=])+["'`(\[{<]*$""")
+_NAMES = re.compile(r"""["'`\])]*[:=](?!//)""")
+_SCHEME = re.compile(r"(?<![A-Za-z0-9+.\-])[A-Za-z][A-Za-z0-9+.\-]{0,6}:$")
+_PADDING = re.compile(r"={1,2}(?![\w+/=.@%\-])")
+_USER = re.compile(r"://[^\s/@:]*:$")
+_ISSUED_INSIDE = re.compile(r"(?<![A-Z0-9])AKIA[A-Z0-9]{16}(?![A-Z0-9])")
+_LINK_INSIDE = re.compile(_ISSUED_INSIDE.pattern + r"|(?<=://)[^/@]{8,}(?=@)|(?<=[^/]/)[\w\-]{16,}(?=/|$)")
 _ISSUED = re.compile(r"AKIA[A-Z0-9]{16}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _ADDRESS = re.compile(r"[\w.+\-]+@[\w\-]+(\.[\w\-]+)+\.?|(https?:|www\.).*")
@@ -121,6 +136,61 @@ def describe(value: str, key: str | None, quoted: bool, before: list[str], after
     ]
 
 
+def value_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of all runs of at least `_LEAST` value bytes; runs never reach over the end of a text."""
+    base = int(offsets[0])
+    raw = data[base:int(offsets[-1])]
+    run = _RUN[raw]
+    # A colon between pairs of hexadecimal digits belongs to a fingerprint.
+    colons = np.flatnonzero(raw == 58)
+    colons = colons[(colons >= 2) & (colons < len(raw) - 2)]
+    before, after = np.maximum(colons - 3, 0), np.minimum(colons + 3, len(raw) - 1)
+    pairs = _HEX_DIGIT[raw[colons - 2]] & _HEX_DIGIT[raw[colons - 1]] & _HEX_DIGIT[raw[colons + 1]] & _HEX_DIGIT[raw[colons + 2]]
+    pairs &= ((before == colons - 2) | ~run[before]) & ((after == colons + 2) | ~run[after])
+    run[colons[pairs]] = True
+    first, last = run.copy(), run.copy()
+    first[1:] &= ~run[:-1]
+    last[:-1] &= ~run[1:]
+    heads = offsets[(offsets > base) & (offsets < base + len(raw))] - base
+    first[heads] = run[heads]
+    last[heads - 1] = run[heads - 1]
+    begins, ends = np.flatnonzero(first) + base, np.flatnonzero(last) + base + 1
+    long = ends - begins >= _LEAST
+    return begins[long], ends[long]
+
+
+def values(run: str, prefix: str, suffix: str) -> list[tuple[int, str, str | None, bool]]:
+    """(place in the run, value, key, quoted) of every value of a run, from the text of its word before and behind it.
+
+    A link keeps its scheme, so a place can be negative; its user, its password and long parts of its path are values of their
+    own, as are issued key ids inside longer runs. Names of other values are none.
+    """
+    scheme = _SCHEME.search(prefix) if run.startswith("//") else None
+    shift = len(scheme[0]) if scheme else 0
+    run, prefix = (scheme[0] + run, prefix[:-shift]) if scheme else (run, prefix)
+    key, quoted = _KEY.search(prefix), prefix[-1:] in ("\"", "'", "`")
+    cuts = [(m.start(), m.end()) for m in (_LINK_INSIDE if scheme else _ISSUED_INSIDE).finditer(run)]
+    if not scheme and "@" in run and _USER.search(prefix):
+        at = run.rindex("@")
+        cuts = [(0, at), *((m.start(), m.end()) for m in _LINK_INSIDE.finditer(run, at))]
+    edges = [0, *(x for cut in cuts for x in cut), len(run)]
+    out = []
+    for begin, end in zip(edges, edges[1:]):
+        value = run[begin:end]
+        if begin and (begin, end) not in cuts:
+            value = value.lstrip("/@._-+%:")
+            begin = end - len(value)
+        padding = _PADDING.match(suffix) if end == len(run) else None
+        if padding and (len(value) + len(padding[0])) % 4 == 0 and (quoted or suffix[padding.end():][:1] not in ("\"", "'", "`")):
+            value += padding[0]
+        elif end == len(run) and sum(c.isdigit() for c in value) < 2 and not scheme and _NAMES.match(suffix):
+            continue
+        value = value.rstrip(".:,")
+        if len(value) >= _LEAST:
+            out.append((begin - shift, value, key and key[1], quoted and not begin))
+    return out
+
+
 def _rule_label(value: str, key: str | None, before: list[str]) -> int | None:
     named = [w.lower() for w in ([key] if key else []) + before[-2:]]
     if _ISSUED.fullmatch(value) or (_HEX.fullmatch(value) and any(k in w for w in named for k in KEYWORDS)):
@@ -131,7 +201,7 @@ def _rule_label(value: str, key: str | None, before: list[str]) -> int | None:
 
 
 def candidates(docs: DataFrame, model: tuple[np.ndarray, frozenset[str]]) -> DataFrame:
-    """(doc_id, content, start, length, features, rule) of every word that could hold a key; offsets in characters."""
+    """(doc_id, content, start, length, features, rule) of every value in words that could hold a key; offsets in characters."""
     schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL(
         "content string, start long, length long, features array<double>, rule int").fields])
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -158,28 +228,33 @@ def candidates(docs: DataFrame, model: tuple[np.ndarray, frozenset[str]]) -> Dat
                 return sums[ends - base] - sums[begins - base]
 
             digits = counted(digit)
-            chosen = np.flatnonzero((ends - begins >= 12) & ((digits >= 2) & (counted(letter) >= 2) | (counted(capital) >= 16)))
+            could = (ends - begins >= 12) & ((digits >= 2) & (counted(letter) >= 2) | (counted(capital) >= 16))
+            run_begins, run_ends = value_runs(data, offsets)
+            word = np.searchsorted(begins, run_begins, side="right") - 1
+            chosen = np.flatnonzero(could[word])
             if not len(chosen):
                 continue
-            doc = np.searchsorted(offsets, begins[chosen], side="right") - 1
+            doc = np.searchsorted(offsets, run_begins, side="right") - 1
             first = np.searchsorted(begins, offsets, side="left")
+            chars = np.cumsum((data[base:int(offsets[-1])] & 0xC0) != 0x80, dtype=np.int64)
             rows, which = [], []
-            for i, d in zip(chosen, doc):
-                word = data[begins[i]:ends[i]].tobytes().decode()
-                match = _VALUE.match(word)
-                if not match:
-                    continue
-                value = match[3].rstrip(".:,")
-                if len(value) < 8:
+
+            def text(begin, end):
+                return data[begin:end].tobytes().decode(errors="ignore")
+
+            for r in chosen:
+                i, d, begin, end = int(word[r]), int(doc[r]), int(run_begins[r]), int(run_ends[r])
+                found = values(text(begin, end), text(max(begins[i], begin - _AROUND), begin), text(end, min(ends[i], end + _AROUND)))
+                if not found:
                     continue
-                text = [data[begins[j]:ends[j]].tobytes().decode() for j in range(max(first[d], i - 3), min(first[d + 1], i + 3))]
-                here = i - max(first[d], i - 3)
-                before, after = text[:here], text[here + 1:]
-                start = int(np.count_nonzero((data[offsets[d]:begins[i]] & 0xC0) != 0x80)) + match.start(3)
-                path = batch.column("path")[int(d)].as_py()
-                rows.append((start, len(value), describe(value, match[1], bool(match[2]), before, after, path, transitions, dictionary),
-                             _rule_label(value, match[1], before)))
-                which.append(int(d))
+                before = [text(max(begins[j], ends[j] - _AROUND), ends[j]) for j in range(max(first[d], i - 3), i)]
+                after = [text(begins[j], min(ends[j], begins[j] + _AROUND)) for j in range(i + 1, min(first[d + 1], i + 3))]
+                path = batch.column("path")[d].as_py()
+                start = int(chars[begin - base] - chars[offsets[d] - base])
+                for place, value, key, quoted in found:
+                    rows.append((start + place, len(value), describe(value, key, quoted, before, after, path, transitions, dictionary),
+                                 _rule_label(value, key, before)))
+                    which.append(d)
             if rows:
                 which = pa.array(which)
                 yield pa.RecordBatch.from_arrays([
