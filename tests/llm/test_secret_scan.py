@@ -101,3 +101,11 @@ def test_values_of_a_run():
     assert S.values("YWJjZGVmZ2hpag", '"token":"', '=="') == [(0, "YWJjZGVmZ2hpag==", "token", True)]
     assert S.values("access_token", '{"', '":"x"}') == []
     assert S.values("9f8b9f8b9f8b@h.example.com", "https://bob:", "") == [(0, "9f8b9f8b9f8b", "bob", False), (13, "h.example.com", "bob", False)]
+
+
+def test_dictionary_is_the_corpus_count(docs, monkeypatch):
+    """Words spread thinly over slices and partitions count as often as they occur."""
+    monkeypatch.setattr(S, "DICTIONARY", 3)
+    rows = [(i, f"spread thin-{i} " + ("Crowded! " * 3 if i % 4 == 0 else "") + ("rare" if i < 5 else "often.")) for i in range(60)]
+    for parts in (1, 20):
+        assert S.corpus_model(docs(rows, parts))[1] == {"spread", "often", "crowded"}

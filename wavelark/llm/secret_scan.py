@@ -27,7 +27,6 @@ from wavelark.llm.words import SPACED, slices, text_buffer, word_spans
 #: Labelled findings that train the forest, in expectation.
 SAMPLE = 20_000
 DICTIONARY = 4096
-_FREQUENT = 32
 
 # Words that announce a secret, that announce a placeholder, and that mark test files in paths.
 KEYWORDS = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "api-key", "access_key", "auth", "credential",
@@ -61,7 +60,8 @@ _ADDRESS = re.compile(r"[\w.+\-]+@[\w\-]+(\.[\w\-]+)+\.?|(https?:|www\.).*")
 def corpus_model(docs: DataFrame) -> tuple[np.ndarray, frozenset[str]]:
     """Log probabilities of byte transitions inside words, and the frequent words of the corpus.
 
-    Transitions are counted over all texts; the driver reads 65 536 counts and `DICTIONARY` words at most.
+    Transitions and words are counted over all texts, and words are cut to the most frequent after the sum only; the driver
+    reads 65 536 counts and `DICTIONARY` words at most.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = np.zeros(65536, np.int64)
@@ -76,11 +76,11 @@ def corpus_model(docs: DataFrame) -> tuple[np.ndarray, frozenset[str]]:
             begins, ends, hashes = (np.concatenate(x) for x in zip(*spans))
             _, at, count = np.unique(hashes, return_index=True, return_counts=True)
             words, counts = [], []
-            for i, n in zip(at[count >= _FREQUENT], count[count >= _FREQUENT]):
-                word = data[begins[i]:ends[i]].tobytes().decode().strip(".,;:!?\"'").lower()
+            for begin, end, n in zip(begins[at].tolist(), ends[at].tolist(), count.tolist()):
+                word = data[begin:end].tobytes().decode().strip(".,;:!?\"'").lower()
                 if len(word) >= 3 and word.isalpha():
                     words.append(word)
-                    counts.append(int(n))
+                    counts.append(n)
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.nulls(len(words), pa.int64()), pa.array(counts, pa.int64())],
                                              names=["word", "pair", "n"])
         seen = np.flatnonzero(pairs)
