@@ -109,3 +109,33 @@ def test_dictionary_is_the_corpus_count(docs, monkeypatch):
     rows = [(i, f"spread thin-{i} " + ("Crowded! " * 3 if i % 4 == 0 else "") + ("rare" if i < 5 else "often.")) for i in range(60)]
     for parts in (1, 20):
         assert S.corpus_model(docs(rows, parts))[1] == {"spread", "often", "crowded"}
+
+
+def test_no_key_is_kept_from_the_forest(docs, prose):
+    """Passwords of letters or digits alone and random keys of any mixture are candidates, and reviewed findings bring them back."""
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    named = ["password=CorrectHorseBattery", "password: 481516234210", "token = correcthorse", 'say "correcthorse"', "the secret is correcthorse", "pwd=abcdefg1"]
+    random_keys = ["".join(rng.choice(letters) for _ in range(n)) for n in (12, 16, 20, 24) for _ in range(100)]
+    random_keys += ["".join(rng.choice(letters[:26]) for _ in range(24)) for _ in range(100)]
+    rows = [(i, text_with(prose, i, piece)) for i, piece in enumerate(named + random_keys)] + [(9000, prose(9000, 20_000))]
+    texts = dict(rows)
+    df = docs(rows).select("doc_id", "text", F.col("source").alias("path"), F.md5("text").alias("content"))
+    found = S.candidates(df, S.corpus_model(df)).collect()
+    got = {(r.doc_id, texts[r.doc_id][r.start:r.start + r.length]) for r in found}
+    wanted = [(i, piece.split()[-1].split("=")[-1].strip('"')) for i, piece in enumerate(named + random_keys)]
+    assert [w for w in wanted[:len(named)] if w not in got] == []
+    assert sum(w not in got for w in wanted) <= 5
+    usual = {w.strip(".") for w in texts[9000].split() if len(w.strip(".")) >= 8}
+    assert len({v for i, v in got if i == 9000}) < 0.1 * len(usual)
+    assert not any(r.rule == 0 for r in found if r.doc_id < 2 and r.length > 11)
+    labelled = df.sparkSession.createDataFrame(
+        [(r.features, int((r.doc_id, texts[r.doc_id][r.start:r.start + r.length]) in wanted)) for r in found], "features array<double>, label int")
+    secret = {(r.doc_id, texts[r.doc_id][r.start:r.start + r.length]) for r in S.find_secrets(docs(rows), labelled=labelled).collect() if r.secret}
+    assert set(wanted[:2]) <= secret
+
+
+def test_numbers_are_no_secrets(docs, prose):
+    rows, secrets = planted(prose)
+    rows += [(1000 + i, text_with(prose, 400 + i, str(4000_0000_0000_0000 + 7919 ** 4 * (i + 1)), f"152.143.12{i % 10}.131")) for i in range(40)]
+    assert {r.doc_id for r in S.find_secrets(docs(rows)).collect() if r.secret} == set(secrets)

@@ -1,7 +1,9 @@
 """Secrets in texts, with false positives removed by a random forest (operator 10).
 
 Candidates are runs of value characters in words that could hold keys: a word is cut at quotes, brackets, commas, `&`, `;`,
-`=`, `:` and letters beyond ASCII, and every run is a candidate of its own. Each gets features of its length, characters, character transitions
+`=`, `:` and letters beyond ASCII. Runs of at least 8 characters are candidates of their own if they have a digit, stand behind a
+keyword, an assignment or a quote, change their case inside, have at least 20 characters, or have transitions that are rare in the
+corpus. Only the rest, words of usual letters in plain prose, is left out. Each candidate gets features of its length, characters, character transitions
 (a bigram model of the corpus), dictionary coverage (frequent words of the corpus), path and neighbouring words.
 A random forest trained from labelled findings decides. Where no labelled findings are given, formats that leave
 no doubt label a part of the candidates: issued key ids and keyword assignments of hexadecimal values are secrets;
@@ -11,7 +13,7 @@ addresses, links and plain words are not.
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wavelark.llm.storage import sized, stored
-from wavelark.llm.words import SPACED, slices, text_buffer, word_spans
+from wavelark.llm.words import BLOCK, SPACED, slices, text_buffer, word_spans
 
 #: Labelled findings that train the forest, in expectation.
 SAMPLE = 20_000
@@ -40,11 +42,18 @@ FEATURES = ("length", "digits", "capitals", "lower", "signs", "entropy", "transi
 #: Bytes of the shortest value, and of the text around a value that names it.
 _LEAST = 8
 _AROUND = 256
+_ROWS_AT_ONCE = 8192
 _RUN = np.zeros(256, bool)
 _RUN[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.@%-")] = True
 _HEX_DIGIT = np.zeros(256, bool)
 _HEX_DIGIT[list(b"0123456789abcdefABCDEF")] = True
 
+#: Letters alone are no word of prose from this length on.
+_LONG = 20
+_KEYWORD = re.compile("|".join(sorted(KEYWORDS, key=len)).encode())
+_OPENS = np.zeros(256, bool)
+_OPENS[list(b"=:\"'`")] = True
+
 _KEY = re.compile(r"""([A-Za-z][\w\-.]*)["'`\])]*(?:=>|[:=])+["'`(\[{<]*$""")
 _NAMES = re.compile(r"""["'`\])]*[:=](?!//)""")
 _SCHEME = re.compile(r"(?<![A-Za-z0-9+.\-])[A-Za-z][A-Za-z0-9+.\-]{0,6}:$")
@@ -53,7 +62,8 @@ _USER = re.compile(r"://[^\s/@:]*:$")
 _ISSUED_INSIDE = re.compile(r"(?<![A-Z0-9])AKIA[A-Z0-9]{16}(?![A-Z0-9])")
 _LINK_INSIDE = re.compile(_ISSUED_INSIDE.pattern + r"|(?<=://)[^/@]{8,}(?=@)|(?<=[^/]/)[\w\-]{16,}(?=/|$)")
 _ISSUED = re.compile(r"AKIA[A-Z0-9]{16}")
-_HEX = re.compile(r"[0-9a-f]{16,}")
+_HEX = re.compile(r"(?=\d*[a-f])[0-9a-f]{16,}")
+_NUMBER = re.compile(r"[\d.,:/+%\-]+")
 _ADDRESS = re.compile(r"[\w.+\-]+@[\w\-]+(\.[\w\-]+)+\.?|(https?:|www\.).*")
 
 
@@ -159,11 +169,34 @@ def value_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return begins[long], ends[long]
 
 
-def values(run: str, prefix: str, suffix: str) -> list[tuple[int, str, str | None, bool]]:
+def rare_transition(transitions: np.ndarray) -> float:
+    """Mean log probability half-way between random letters and words of the corpus."""
+    letters = transitions[97:123, 97:123]
+    steps = np.exp(letters) / np.exp(letters).sum(1, keepdims=True)
+    share = np.full(26, 1 / 26)
+    for _ in range(50):
+        share = share @ steps
+    return float((letters.mean() + (share[:, None] * steps * letters).sum()) / 2)
+
+
+def _sums_before(raw: np.ndarray, each: Callable[[np.ndarray], np.ndarray], places: np.ndarray) -> np.ndarray:
+    """Sums of one number per byte (or per pair of bytes) before each of the ascending places, block by block."""
+    out, total = np.zeros(len(places)), 0.0
+    for at in range(0, len(raw), BLOCK):
+        sums = total + np.concatenate([[0], np.cumsum(each(raw[at:at + BLOCK + 1])[:BLOCK])])
+        low, high = np.searchsorted(places, (at, at + BLOCK))
+        out[low:high] = sums[places[low:high] - at]
+        total = sums[-1]
+    out[np.searchsorted(places, len(raw)):] = total
+    return out
+
+
+def values(run: str, prefix: str, suffix: str, odd: bool = False) -> list[tuple[int, str, str | None, bool]]:
     """(place in the run, value, key, quoted) of every value of a run, from the text of its word before and behind it.
 
     A link keeps its scheme, so a place can be negative; its user, its password and long parts of its path are values of their
-    own, as are issued key ids inside longer runs. Names of other values are none.
+    own, as are issued key ids inside longer runs. Names of other values are none, unless they are `odd`: letters and digits in an
+    unusual order.
     """
     scheme = _SCHEME.search(prefix) if run.startswith("//") else None
     shift = len(scheme[0]) if scheme else 0
@@ -183,7 +216,7 @@ def values(run: str, prefix: str, suffix: str) -> list[tuple[int, str, str | Non
         padding = _PADDING.match(suffix) if end == len(run) else None
         if padding and (len(value) + len(padding[0])) % 4 == 0 and (quoted or suffix[padding.end():][:1] not in ("\"", "'", "`")):
             value += padding[0]
-        elif end == len(run) and sum(c.isdigit() for c in value) < 2 and not scheme and _NAMES.match(suffix):
+        elif end == len(run) and sum(c.isdigit() for c in value) < 2 and not (scheme or odd and value.isalnum()) and _NAMES.match(suffix):
             continue
         value = value.rstrip(".:,")
         if len(value) >= _LEAST:
@@ -193,27 +226,31 @@ def values(run: str, prefix: str, suffix: str) -> list[tuple[int, str, str | Non
 
 def _rule_label(value: str, key: str | None, before: list[str]) -> int | None:
     named = [w.lower() for w in ([key] if key else []) + before[-2:]]
-    if _ISSUED.fullmatch(value) or (_HEX.fullmatch(value) and any(k in w for w in named for k in KEYWORDS)):
+    announced = any(k in w for w in named for k in KEYWORDS)
+    if _ISSUED.fullmatch(value) or (_HEX.fullmatch(value) and announced):
         return 1
-    if _ADDRESS.fullmatch(value) or value.isalpha():
+    if _ADDRESS.fullmatch(value) or (not announced and (value.isalpha() or _NUMBER.fullmatch(value))):
         return 0
     return None
 
 
 def candidates(docs: DataFrame, model: tuple[np.ndarray, frozenset[str]]) -> DataFrame:
-    """(doc_id, content, start, length, features, rule) of every value in words that could hold a key; offsets in characters."""
+    """(doc_id, content, start, length, features, rule) of every value that could be a key; offsets in characters."""
     schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL(
         "content string, start long, length long, features array<double>, rule int").fields])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    def table(batch: pa.RecordBatch, rows: list[tuple], which: list[int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([
+            batch.column("doc_id").take(pa.array(which)), batch.column("content").take(pa.array(which)),
+            *(pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.int32()]))],
+            names=schema.names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         transitions, dictionary = shared.value
-        digit = np.zeros(256, np.int32)
-        digit[48:58] = 1
-        capital = np.zeros(256, np.int32)
-        capital[65:91] = 1
-        letter = capital.copy()
-        letter[97:123] = 1
+        rare = rare_transition(transitions)
+        codes = np.arange(256)
+        digit, capital, small = ((codes >= low) & (codes <= high) for low, high in ((48, 57), (65, 90), (97, 122)))
         for batch in slices(batches, "text"):
             data, offsets = text_buffer(batch.column("text"))
             spans = list(word_spans(data, offsets, SPACED))
@@ -221,22 +258,31 @@ def candidates(docs: DataFrame, model: tuple[np.ndarray, frozenset[str]]) -> Dat
                 continue
             begins, ends, _ = (np.concatenate(x) for x in zip(*spans))
             base = int(offsets[0])
-
-            def counted(table):
-                sums = np.zeros(int(offsets[-1]) - base + 1, np.int32)
-                np.cumsum(table[data[base:int(offsets[-1])]], out=sums[1:])
-                return sums[ends - base] - sums[begins - base]
-
-            digits = counted(digit)
-            could = (ends - begins >= 12) & ((digits >= 2) & (counted(letter) >= 2) | (counted(capital) >= 16))
+            raw = data[base:int(offsets[-1])]
             run_begins, run_ends = value_runs(data, offsets)
             word = np.searchsorted(begins, run_begins, side="right") - 1
-            chosen = np.flatnonzero(could[word])
-            if not len(chosen):
-                continue
             doc = np.searchsorted(offsets, run_begins, side="right") - 1
             first = np.searchsorted(begins, offsets, side="left")
-            chars = np.cumsum((data[base:int(offsets[-1])] & 0xC0) != 0x80, dtype=np.int64)
+
+            def total(each, until):
+                """Sums of one number per byte, from the begin of each run to `until` before its end."""
+                return _sums_before(raw, each, run_ends - base - until) - _sums_before(raw, each, run_begins - base)
+
+            odd = total(lambda x: transitions[SPACED_LOWER[x[:-1]], SPACED_LOWER[x[1:]]], 1) / (run_ends - run_begins - 1) < rare
+            turns = total(lambda x: small[x[:-1]] & capital[x[1:]], 1)
+            announces = np.zeros(len(begins), bool)
+            places = np.fromiter((m.start() for m in _KEYWORD.finditer(raw.tobytes().lower())), np.int64) + base
+            announces[np.searchsorted(begins, places, side="right") - 1] = True
+            announced = announces[word]
+            for back in (1, 2, 3):
+                announced |= (word - back >= first[doc]) & announces[np.maximum(word - back, 0)]
+            opened = (run_begins > begins[word]) & _OPENS[data[run_begins - 1]]
+            opened |= (word > first[doc]) & _OPENS[data[ends[word - 1] - 1]]
+            chosen = np.flatnonzero((total(lambda x: digit[x], 0) > 0) | announced | opened | (turns > 0) | odd | (run_ends - run_begins >= _LONG))
+            if not len(chosen):
+                continue
+            signs = lambda x: (x & 0xC0) != 0x80
+            chars = (_sums_before(raw, signs, run_begins - base) - _sums_before(raw, signs, offsets - base)[doc]).astype(np.int64)
             rows, which = [], []
 
             def text(begin, end):
@@ -244,23 +290,22 @@ def candidates(docs: DataFrame, model: tuple[np.ndarray, frozenset[str]]) -> Dat
 
             for r in chosen:
                 i, d, begin, end = int(word[r]), int(doc[r]), int(run_begins[r]), int(run_ends[r])
-                found = values(text(begin, end), text(max(begins[i], begin - _AROUND), begin), text(end, min(ends[i], end + _AROUND)))
+                found = values(text(begin, end), text(max(begins[i], begin - _AROUND), begin), text(end, min(ends[i], end + _AROUND)), bool(odd[r]))
                 if not found:
                     continue
                 before = [text(max(begins[j], ends[j] - _AROUND), ends[j]) for j in range(max(first[d], i - 3), i)]
                 after = [text(begins[j], min(ends[j], begins[j] + _AROUND)) for j in range(i + 1, min(first[d + 1], i + 3))]
                 path = batch.column("path")[d].as_py()
-                start = int(chars[begin - base] - chars[offsets[d] - base])
+                start = int(chars[r])
                 for place, value, key, quoted in found:
                     rows.append((start + place, len(value), describe(value, key, quoted, before, after, path, transitions, dictionary),
                                  _rule_label(value, key, before)))
                     which.append(d)
+                if len(rows) >= _ROWS_AT_ONCE:
+                    yield table(batch, rows, which)
+                    rows, which = [], []
             if rows:
-                which = pa.array(which)
-                yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id").take(which), batch.column("content").take(which),
-                    *(pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.int32()]))],
-                    names=schema.names)
+                yield table(batch, rows, which)
 
     return docs.mapInArrow(run, schema)
 
