@@ -51,6 +51,19 @@ def test_expected_uses(lattice):
     assert (uses >= 0).all()
 
 
+def test_expected_uses_of_long_words(lattice, monkeypatch):
+    """Words without a space for 96 bytes and more fit the pieces like all others."""
+    model, pieces = lattice
+    long = [b"thenaaa" * 40, b"a" * 500, "é".encode() * 90, b"x" * 96]
+    assert np.isclose((model.expected(long) * [len(p) for p in pieces]).sum(), sum(len(w) + 1 for w in long))
+    words = [b"thenaaa" * 9, b"a" * 50, "été".encode() * 5, b"then", b"athen" * 7, b"x" * 20]
+    want = model.expected(words)
+    for cells in (1 << 18, 200):
+        monkeypatch.setattr(M, "_LONG", 20)
+        monkeypatch.setattr(M, "_CELLS", cells)
+        assert np.allclose(model.expected(words), want)
+
+
 def test_base_scores_and_splits(docs, prose):
     rows = [(i, prose(i % 30, 80 + i)) for i in range(80)] + [(100, None), (101, ""), (102, "ONE one\x0btwo"), (103, "z" * 3000), (103, "z" * 3000)]
     rows += [(200 + i, f"Neu{i} wort") for i in range(20)]

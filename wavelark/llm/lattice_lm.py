@@ -34,6 +34,8 @@ PRIOR = 1000.0
 _AT_ONCE = 4096
 _TEXT_AT_ONCE = 2 << 20
 _LONG = 96
+#: Bytes of long words whose lattices are walked side by side.
+_CELLS = 1 << 18
 _FILTER_BITS = 20
 _VALUES = np.random.default_rng(77).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = 0x9E3779B97F4A7C15
@@ -167,8 +169,63 @@ class Lattice:
             for k, m in enumerate(found, 1):
                 share = np.exp(alpha[:, :-k] + padded[m] + beta[:, k:] - alpha[:, -1:])
                 total += np.bincount(np.where(m < 0, len(total) - 1, m).ravel(), share.ravel(), len(total))
+        group: list[bytes] = []
+        for word in sorted((w for w in words if len(w) >= _LONG), key=len):
+            if group and (len(group) + 1) * len(word) > _CELLS:
+                self._expect_long(group, total)
+                group = []
+            group.append(b" " + word)
+        if group:
+            self._expect_long(group, total)
         return total[:-1]
 
+    def _expect_long(self, words: list[bytes], total: np.ndarray) -> None:
+        """The same for words of any length, ascending: forward and backward over whole words, pieces looked up stretch by stretch."""
+        lengths = np.array([len(w) for w in words])
+        rows, length, most = len(words), int(lengths[-1]), self.longest
+        text = np.zeros((rows, length + _LONG), np.uint8)
+        for i, word in enumerate(words):
+            text[i, :len(word)] = np.frombuffer(word, np.uint8)
+        padded = np.append(self.scores, -np.inf)
+        stretch, step = max(most, _CELLS // 8 // rows), max(1, _LONG - most + 1)
+
+        def arcs(at: int, end: int) -> np.ndarray:
+            """Pieces of k bytes that begin at the places `at` to `end`, as [k - 1, word, place]."""
+            out = np.full((most, rows, end - at), -1, np.int32)
+            for begin in range(at, end, step):
+                stop = min(begin + step, end)
+                for k, m in enumerate(self._matches(text[:, begin:begin + _LONG])):
+                    part = m[:, :stop - begin]
+                    out[k, :, begin - at:begin - at + part.shape[1]] = part
+            for k in range(1, most + 1):
+                out[k - 1][np.arange(at, end) + k > lengths[:, None]] = -1
+            return out
+
+        def summed(ways: np.ndarray) -> np.ndarray:
+            top = np.maximum(ways.max(0), -1e300)
+            return top + np.log(np.maximum(np.exp(ways - top).sum(0), 1e-300))
+
+        alpha, beta = np.full((rows, length + 1), -np.inf), np.full((rows, length + 1 + most), -np.inf)
+        alpha[:, 0] = 0
+        for at in range(0, length, stretch):
+            end, low = min(at + stretch, length), max(0, at + 1 - most)
+            weights = padded[arcs(low, end)]
+            for j in range(at + 1, end + 1):
+                k = np.arange(1, min(j, most) + 1)
+                alpha[:, j] = summed(alpha[:, j - k].T + weights[k - 1, :, j - k - low])
+        whole = alpha[np.arange(rows), lengths]
+        beta[np.arange(rows), lengths] = 0
+        k = np.arange(1, most + 1)
+        for at in reversed(range(0, length, stretch)):
+            end = min(at + stretch, length)
+            found = arcs(at, end)
+            weights = padded[found]
+            for j in range(end - 1, at - 1, -1):
+                beta[:, j] = np.where(j < lengths, summed(beta[:, j + k].T + weights[:, :, j - at]), beta[:, j])
+            for n, m in enumerate(found, 1):
+                share = np.exp(alpha[:, at:end] + weights[n - 1] + beta[:, at + n:end + n] - whole[:, None])
+                total += np.bincount(np.where(m < 0, len(total) - 1, m).ravel(), share.ravel(), len(total))
+
 
 def _distinct(column: pa.Array) -> tuple:
     """Distinct words of the texts of a column: hash, first begin and end, number; and text and word of each occurrence."""
