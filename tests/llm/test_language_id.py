@@ -69,3 +69,18 @@ def test_held_out_accuracy(spark):
     held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
     got = L.identify(docs.where(held), docs.where(~held), keep=("lang",)).collect()
     assert np.mean([r.lang == r.lang_pred for r in got]) > 0.99
+
+
+def test_shortcut_agrees_with_the_path():
+    """Two other languages share one penalty: A leads by 7 in the first half and B in the second, C in the sum."""
+    halves = np.array([[0.0, -20.0, -7.0]] * 1 + [[-20.0, 0.0, -7.0]] * 1)
+    assert L._stays(halves, 8.0) == -1
+    assert L.viterbi([halves], 8.0)[0].tolist() == [0, 1]
+    rng = np.random.default_rng(4)
+    stays = 0
+    for _ in range(2000):
+        scores = rng.normal(size=(rng.integers(1, 8), 4)) * 2 + rng.normal(size=4) * 2
+        alone = L._stays(scores, 8.0)
+        stays += alone >= 0
+        assert alone < 0 or (L.viterbi([scores], 8.0)[0] == alone).all()
+    assert stays > 200

@@ -149,11 +149,15 @@ def word_scores(words: Words, table: np.ndarray, bits: np.ndarray) -> np.ndarray
 
 
 def _stays(scores: np.ndarray, penalty: float) -> int:
-    """The one language that is best for the whole text, if no run of words gains more than a penalty; else -1."""
+    """The one language that is best for the whole text, if no path can be better; else -1.
+
+    A path of n runs in other languages pays n - 1 penalties at least. One run gains nothing, and n runs that each gain less
+    than half a penalty gain less than they pay.
+    """
     best = int(scores.sum(0).argmax())
     sums = np.zeros((len(scores) + 1, scores.shape[1]))
     np.cumsum(scores - scores[:, [best]], axis=0, out=sums[1:])
-    return best if (sums - np.minimum.accumulate(sums, axis=0)).max() <= penalty else -1
+    return best if (sums - np.minimum.accumulate(sums, axis=0)).max() < penalty / 2 else -1
 
 
 def viterbi(texts: list[np.ndarray], penalty: float = PENALTY) -> list[np.ndarray]:
