@@ -41,3 +41,47 @@ p AS (SELECT q.vec_id AS query_id, x.vec_id, CAST(list_sum(list_transform(list_z
     FROM v q, v x WHERE q.vec_id % 100 = 0 AND q.vec_id <> x.vec_id AND len(q.e) = len(x.e)),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
+
+# CRC-32 by its table: the register's next value for each byte, folded over the bytes of a feature.
+_CRC = """crc_table AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i::BIGINT, range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i)))"""
+_HEX = "('0x' || {0})::UBIGINT::BIGINT"
+
+
+def _features(table: str, key: str) -> str:
+    words = f"regexp_extract_all(translate(coalesce(text, ''), {_UPPER}, {_LOWER}), {_LETTERS})"
+    return f"""SELECT {key}, len(w) AS n, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
+    list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS f
+    FROM (SELECT {key}, {words} AS w FROM {table})"""
+
+
+IMPORTANCE = f"""WITH {_CRC},
+df AS MATERIALIZED ({_features("documents", "doc_id")}),
+bf AS MATERIALIZED ({_features("benchmark", "item_id")}),
+bucket AS MATERIALIZED (SELECT f, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(octet_length(encode(f))),
+    lambda i: {_HEX.format("hex(encode(f))[2 * i + 1:2 * i + 2]")})), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) % 10000 AS b
+    FROM (SELECT f FROM df UNION SELECT f FROM bf), crc_table),
+s AS (SELECT b, count(*) AS s FROM df JOIN bucket USING (f) GROUP BY 1),
+t AS (SELECT b, count(*) AS t FROM bf JOIN bucket USING (f) GROUP BY 1),
+total AS (SELECT (SELECT coalesce(sum(s), 0)::DOUBLE FROM s) AS sa, (SELECT coalesce(sum(t), 0)::DOUBLE FROM t) AS ta),
+gain AS (SELECT b, CAST(floor(1000 * ln((coalesce(t, 0) + 1::DOUBLE) * (sa + 10000) / ((coalesce(s, 0) + 1::DOUBLE) * (ta + 10000)))) AS BIGINT) AS g
+    FROM (SELECT unnest(range(10000)) AS b) LEFT JOIN s USING (b) LEFT JOIN t USING (b), total),
+d AS (SELECT doc_id, max(n) AS n, count(*) AS n_features, CAST(sum(g) AS BIGINT) AS weight FROM df JOIN bucket USING (f) JOIN gain USING (b) GROUP BY 1),
+x AS (SELECT doc_id, coalesce(n, 0) AS n, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    {_HEX.format("sha256('42:' || doc_id)[1:8]")} AS h FROM documents LEFT JOIN d USING (doc_id)),
+y AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM x),
+z AS (SELECT *, row_number() OVER (PARTITION BY n >= 20 ORDER BY score DESC, doc_id) AS r FROM y)
+SELECT doc_id, n_features, weight, score, CASE WHEN n >= 20 AND r <= (SELECT count(*) FROM x WHERE n >= 20) * 5 // 100 THEN r END AS rank FROM z"""
+
+HARD_NEGATIVES = """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS e FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT a.vec_id AS anchor_id, x.vec_id, a.label = x.label AS same,
+    CAST(list_sum(list_transform(list_zip(a.e, x.e), lambda t: t[1] * t[2])) AS BIGINT) AS score
+    FROM v a, v x WHERE a.vec_id % 100 = 0 AND a.vec_id <> x.vec_id AND len(a.e) = len(x.e)),
+pos AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM p WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+    vec_id AS negative_id, positive_score, score AS negative_score
+FROM pos JOIN p USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 10"""

@@ -5,7 +5,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavelark.llm import contamination, jaccard_join, language_id, lattice_lm, oracles, packing, secret_scan, training_order, voronoi_join, warc, weak_labels
+from wavelark.llm import (
+    contamination,
+    hard_negatives,
+    importance,
+    jaccard_join,
+    language_id,
+    lattice_lm,
+    oracles,
+    packing,
+    secret_scan,
+    token_counts,
+    training_order,
+    voronoi_join,
+    warc,
+    weak_labels,
+)
 from wavelark.llm.storage import shared_path, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +30,8 @@ ORACLES: dict[str, str] = {
     "op5_warc": oracles.WARC,
     "op6_contamination": oracles.CONTAMINATION,
     "op8_voronoi_join": oracles.VORONOI_JOIN,
+    "op12_importance": oracles.IMPORTANCE,
+    "op13_hard_negatives": oracles.HARD_NEGATIVES,
 }
 
 
@@ -92,3 +109,19 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(table(spark, sf_dir, "documents")).drop("content")
+
+
+@query
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
