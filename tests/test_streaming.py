@@ -1,14 +1,17 @@
 import json
+import random
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from wavelark.operators import context, matrix, scan_flatten, scan_validation
+from wavelark.operators import context, matrix, scan_flatten, windows
 from wavelark.operators.decisions import decide
 from wavelark.schema import DESKTOP_FEATURES
 from wavelark.sources import scans
 from wavelark.streaming import jobs
 
+T0 = datetime(2024, 1, 1)
+
 
 def drain(stream, out, checkpoint):
     (stream.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint)
@@ -53,42 +56,119 @@ def test_scans_are_scored_once(spark, frame, tmp_path):
 
 
 def test_repeats_are_dropped(spark, frame, tmp_path):
-    t = datetime(2024, 1, 1)
+    t = T0
     frame([("a", t), ("a", t + timedelta(minutes=5)), ("b", t)], "scan_id string, at timestamp").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("scan_id string, at timestamp").parquet(str(tmp_path / "in"))
     got = drain(jobs.dedupe(stream, ["scan_id"], "at"), str(tmp_path / "out"), str(tmp_path / "state"))
     assert sorted(r["scan_id"] for r in got.collect()) == ["a", "b"]
 
 
-def test_late_rows_are_dropped(spark, frame, tmp_path):
-    t = datetime(2024, 1, 1)
-    schema = "source_dataset string, session_id string, bssid string, rssi_dbm double, event_time timestamp"
+BEACON = ("source_dataset string, session_id string, bssid string, attack_type string, rssi_dbm double, channel long, advertised_channel long, "
+          "label long, is_synthetic boolean, elapsed_ms long, event_id long, event_time timestamp")
+
+
+def beacon(event, ms, bssid="b", rssi=-50.0, attack=None, label=0):
+    return ("s", "x", bssid, attack, rssi, 1, 1, label, False, ms, event, T0 + timedelta(milliseconds=ms))
+
+
+def test_chained_windows_equal_the_batch_profile(spark, frame, tmp_path):
+    """Several files and runs, rows out of order, windows without a signal, and the open windows at the end."""
+    rng = random.Random(7)
+    rows = [beacon(i, rng.randrange(0, 60_000), f"b{rng.randrange(4)}", None if rng.random() < 0.2 else -30.0 - rng.randrange(50),
+                   rng.choice([None, "x"]), rng.randrange(2)) for i in range(600)]
+    rows.sort(key=lambda r: r[9] + rng.randrange(8000))
+    parts = [rows[:200], rows[200:210], rows[210:]]
+
+    def run():
+        return drain(jobs.rssi_stream(spark.readStream.schema(BEACON).parquet(str(tmp_path / "in"))), str(tmp_path / "out"), str(tmp_path / "state"))
+
+    for part in parts:
+        frame(part, BEACON).write.mode("append").parquet(str(tmp_path / "in"))
+        run()
+    whole = frame(rows, BEACON)
+    batch = windows.rssi_temporal(windows.beacon_profile(whole))
+    open_windows = batch.count() - spark.read.parquet(str(tmp_path / "out")).count()
+    assert open_windows > 0
+    jobs.end_marker(whole, "event_time").write.mode("append").parquet(str(tmp_path / "in"))
+    got = run().withColumn("window_start_ms", (F.unix_millis("window_start") - F.lit(int(T0.timestamp() * 1000))).cast("double"))
+
+    def lines(df):
+        return sorted(str([round(v, 9) if isinstance(v, float) else v for v in r]) for r in df.select(batch.columns).collect())
+
+    assert lines(got) == lines(batch)
+
 
-    def batch(name, *seconds):
-        frame([("s", "x", "b", -50.0 - s, t + timedelta(seconds=s)) for s in seconds], schema).write.mode("append").parquet(str(tmp_path / "in"))
+def test_late_rows_are_dropped(spark, frame, tmp_path):
+    def batch(*seconds):
+        frame([beacon(s, 1000 * s, rssi=-50.0 - s) for s in seconds], BEACON).write.mode("append").parquet(str(tmp_path / "in"))
 
     def run():
-        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(BEACON).parquet(str(tmp_path / "in"))
         return drain(jobs.rssi_stream(stream), str(tmp_path / "out"), str(tmp_path / "state"))
 
-    batch("1", 0, 1, 4, 7, 30)
+    batch(0, 1, 4, 7, 30)
     first = {r["window_start"]: (r["window_count"], r["rssi_delta_db"]) for r in run().collect()}
-    assert first == {t: (3, -4.0), t + timedelta(seconds=5): (1, 0.0)}
-    batch("2", 2, 60)
-    assert {r["window_start"]: r["window_count"] for r in run().collect()}[t] == 3
+    assert first == {T0: (3, -4.0), T0 + timedelta(seconds=5): (1, 0.0)}
+    batch(2, 60)
+    assert {r["window_start"]: r["window_count"] for r in run().collect()}[T0] == 3
 
 
-def test_counter_falls_match_the_batch_check(spark, frame, tmp_path):
-    schema = "bssid_hash string, scan_index long, tsf_us long"
-    batches = [[("a", 0, 10), ("a", 1, 30), ("b", 0, 5), ("a", 1, 40), ("", 0, 1)], [("a", 2, 20), ("b", 1, 4), ("b", 2, 9)], [("a", 3, 25), ("b", 3, None)]]
+FALL = "bssid_hash string, scan_index long, tsf_us long, event_time timestamp"
 
-    def run():
-        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-        return drain(jobs.tsf_watch(stream), str(tmp_path / "out"), str(tmp_path / "state"))
-
-    for rows in batches:
-        frame(rows, schema).write.mode("append").parquet(str(tmp_path / "in"))
-        got = run()
-    assert sorted(map(tuple, got.collect())) == [("a", 1, 2, 40, 20), ("b", 0, 1, 5, 4)]
-    whole = frame([r for rows in batches for r in rows], schema)
-    assert scan_validation.tsf_continuity(whole).first()["decreasing_transitions"] == 2
+
+def fall_rows(rows, step=60):
+    return [(b, s, t, T0 + timedelta(seconds=step * s)) for b, s, t in rows]
+
+
+class Watch:
+    """A watch that is stopped and started again for every file."""
+
+    def __init__(self, spark, frame, path):
+        self.spark, self.frame, self.path = spark, frame, path
+
+    def arrive(self, rows):
+        rows = rows if hasattr(rows, "write") else self.frame(rows, FALL)
+        rows.write.mode("append").parquet(str(self.path / "in"))
+        stream = jobs.tsf_watch(self.spark.readStream.schema(FALL).parquet(str(self.path / "in")), watermark="3 minutes")
+        query = (stream.writeStream.outputMode("append").format("parquet").option("path", str(self.path / "out"))
+                 .option("checkpointLocation", str(self.path / "state")).trigger(availableNow=True).start())
+        query.awaitTermination()
+        return query
+
+    def falls(self):
+        return sorted(map(tuple, self.spark.read.parquet(str(self.path / "out")).collect()))
+
+
+def test_counter_falls_match_the_batch_check(spark, frame, tmp_path):
+    """Scans in any order within the watermark, over several files and runs."""
+    rng = random.Random(3)
+    rows = [(f"b{b}", s, rng.randrange(1000)) for b in range(5) for s in range(30) for _ in range(rng.randrange(3))]
+    rows += [("", 3, 1), (None, 4, 2), ("b0", 5, None)]
+    rows.sort(key=lambda r: r[1] + rng.random() * 2.5)
+    watch = Watch(spark, frame, tmp_path)
+    for at in range(0, len(rows), 60):
+        watch.arrive(fall_rows(rows[at:at + 60]))
+    whole = frame(fall_rows(rows), FALL)
+    query = watch.arrive(jobs.end_marker(whole, "event_time"))
+    extremes = {}
+    for b, s, t in rows:
+        if b and t is not None:
+            low, high = extremes.setdefault(b, {}).get(s, (t, t))
+            extremes[b][s] = (min(low, t), max(high, t))
+    want = [(b, x, y, scans[x][1], scans[y][0]) for b, scans in extremes.items()
+            for x, y in zip(sorted(scans), sorted(scans)[1:]) if scans[y][0] < scans[x][1]]
+    assert watch.falls() == sorted(want) and want
+    # The watermark is past all scans by more than an hour, so nothing is held any more.
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 0
+
+
+def test_counter_state_ends_an_hour_after_the_last_scan(spark, frame, tmp_path):
+    watch = Watch(spark, frame, tmp_path)
+    watch.arrive(fall_rows([("a", 0, 50), ("b", 0, 50)]))
+    held = watch.arrive(fall_rows([("b", 20, 40), ("c", 59, 7)]))
+    assert held.lastProgress["stateOperators"][0]["numRowsTotal"] == 3
+    held = watch.arrive(fall_rows([("c", 70, 5), ("b", 75, 30)]))
+    assert held.lastProgress["stateOperators"][0]["numRowsTotal"] == 2  # a was last seen 72 minutes before the watermark
+    watch.arrive(fall_rows([("a", 90, 1), ("c", 90, 9)]))
+    watch.arrive(jobs.end_marker(frame(fall_rows([("a", 90, 1)]), FALL), "event_time"))
+    assert watch.falls() == [("b", 0, 20, 50, 40), ("b", 20, 75, 40, 30), ("c", 59, 70, 7, 5)]

@@ -1,14 +1,16 @@
 from pyspark.sql import functions as F
 
 from wavelark.plans.capture_queries import scan_documents
-from wavelark.plans.catalog import query, rounded
+from wavelark.plans.catalog import query, rounded, rounded_sql
 from wavelark.plans.model_queries import KERNEL, kernel_parts, kernel_score
-from wavelark.plans.oracle_views import DESKTOP, OBS
+from wavelark.plans.oracle_views import DESKTOP, TEMPORAL
 from wavelark.plans.views import EPOCH_US, desktop_rows, observations, ticks
-from wavelark.session import fresh_path
+from wavelark.session import fresh_path, stored
 from wavelark.sources.scans import stream_scan_jsonl
 from wavelark.streaming import jobs
 
+RSSI = ["rssi_mean_dbm", "rssi_std_db", "rssi_min_dbm", "rssi_max_dbm", "rssi_delta_db"]
+
 
 def streamed(df, name):
     """Write rows to files and read those files as a stream."""
@@ -21,8 +23,25 @@ def collected(stream, name):
     """Run a stream over what is there and hand back what it wrote."""
     spark = stream.sparkSession
     out = fresh_path(spark, name)
-    (stream.writeStream.outputMode("append").format("parquet").option("path", out)
-     .option("checkpointLocation", fresh_path(spark, f"{name}-state")).trigger(availableNow=True).start().awaitTermination())
+    drained(stream, out, fresh_path(spark, f"{name}-state"))
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+def drained(stream, out, state):
+    query = (stream.writeStream.outputMode("append").format("parquet").option("path", out)
+             .option("checkpointLocation", state).trigger(availableNow=True).start())
+    query.awaitTermination()
+    return query
+
+
+def replayed(df, part, parts, job, name, time="event_time"):
+    """Let rows arrive part by part, each in files of its own that a restarted stream takes up, then the end marker."""
+    spark = df.sparkSession
+    source, out, state = (fresh_path(spark, f"{name}-{x}") for x in ("source", "out", "state"))
+    for arriving in [*(df.where(part == i) for i in range(parts)), jobs.end_marker(df, time)]:
+        arriving.write.mode("append").parquet(source)
+        stream = job(spark.readStream.schema(df.schema).parquet(source))
+        drained(stream, out, state)
     return spark.read.schema(stream.schema).parquet(out)
 
 
@@ -45,23 +64,23 @@ def stream_deduplication(spark, sf_dir):
     return collected(jobs.dedupe(streamed(twice, "repeated"), ["event_id"], "event_time"), "deduplicated").drop("event_time")
 
 
-@query("stream_rssi_profile", f"""WITH {OBS}, t AS (SELECT *, CAST(substr(session_id, 6, 2) AS BIGINT) * 15000 + elapsed_ms AS ms FROM obs),
-w AS (SELECT ms // 5000 * 5000 AS window_start_ms, source_dataset, session_id, substr(sha256(source_dataset || '|' || bssid), 1, 20) AS network_identity_id,
-    round(avg(rssi_dbm), 9) AS rssi_mean_dbm, round(min(rssi_dbm), 9) AS rssi_min_dbm, round(max(rssi_dbm), 9) AS rssi_max_dbm, count(*) AS window_count FROM t GROUP BY 1, 2, 3, 4)
-SELECT * FROM w WHERE window_start_ms + 5000 <= (SELECT max(ms) - 10000 FROM t)""")
+@query("stream_rssi_profile", f"""WITH {TEMPORAL} {rounded_sql("temporal", *RSSI)}""")
 def stream_rssi_profile(spark, sf_dir):
-    ms = F.substring("session_id", 6, 2).cast("long") * 15_000 + F.col("elapsed_ms")
-    rows = observations(spark, sf_dir).withColumn("event_time", F.timestamp_millis(ms))
-    out = collected(jobs.rssi_stream(streamed(rows, "timed")), "rssi")
-    shown = out.select(F.unix_millis("window_start").alias("window_start_ms"), "source_dataset", "session_id",
-                       "network_identity_id", "rssi_mean_dbm", "rssi_min_dbm", "rssi_max_dbm", "window_count")
-    return rounded(shown, "rssi_mean_dbm", "rssi_min_dbm", "rssi_max_dbm")
+    session_ms = F.substring("session_id", 6, 2).cast("long") * 15_000
+    rows = observations(spark, sf_dir).withColumn("event_time", F.timestamp_millis(session_ms + F.col("elapsed_ms")))
+    third = F.least(F.floor(F.substring("session_id", 6, 2).cast("int") / 4), F.lit(2))
+    out = replayed(stored(rows, "timed"), third, 3, jobs.rssi_stream, "rssi")
+    start = F.unix_millis("window_start") - session_ms
+    return rounded(out.withColumn("window_start_ms", start.cast("double")).drop("window_start", "window_end"), *RSSI)
 
 
+# Scans of a network that are more than an hour apart are not compared.
 @query("stream_tsf_watch", f"""WITH {DESKTOP}, s AS (SELECT bssid_hash, CAST(substr(session_id, 6, 2) AS BIGINT) * 12 + scan_index AS scan, min(tsf_us) AS low, max(tsf_us) AS high FROM desk GROUP BY 1, 2),
 l AS (SELECT bssid_hash, lag(scan) OVER w AS previous_scan, scan AS scan_index, lag(high) OVER w AS previous_tsf_us, low AS tsf_us FROM s WINDOW w AS (PARTITION BY bssid_hash ORDER BY scan))
-SELECT * FROM l WHERE tsf_us < previous_tsf_us""")
+SELECT * FROM l WHERE tsf_us < previous_tsf_us AND scan_index - previous_scan <= 60""")
 def stream_tsf_watch(spark, sf_dir):
-    rows = desktop_rows(spark, sf_dir).select(
-        "bssid_hash", (F.substring("session_id", 6, 2).cast("long") * 12 + F.col("scan_index")).alias("scan_index"), "tsf_us")
-    return collected(jobs.tsf_watch(streamed(rows, "counters")), "falls")
+    scan = F.substring("session_id", 6, 2).cast("long") * 12 + F.col("scan_index")
+    rows = desktop_rows(spark, sf_dir).select("bssid_hash", scan.alias("scan_index"), "tsf_us", F.timestamp_seconds(scan * 60 + EPOCH_US // 1_000_000).alias("event_time"))
+    # Each part reaches ten scans into the next one, dealt to either by a hash, so scans arrive out of order.
+    third = F.least(F.floor((F.col("scan_index") + F.pmod(F.xxhash64("bssid_hash", "tsf_us"), F.lit(10))) / 50), F.lit(2))
+    return replayed(stored(rows, "counters"), third, 3, lambda stream: jobs.tsf_watch(stream, watermark="20 minutes"), "falls")

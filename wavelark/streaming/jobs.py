@@ -13,6 +13,7 @@ from wavelark.functions.identity import stable_group_id
 from wavelark.operators.context import Reference
 from wavelark.operators.decisions import decide
 from wavelark.operators.scan_flatten import flatten_scans
+from wavelark.operators.windows import GROUP_KEYS, MISSING_BSSID
 from wavelark.schema import DESKTOP_FEATURES
 
 
@@ -56,53 +57,102 @@ def score_stream(scans: DataFrame, ref: Reference, scaler: DataFrame, scorer: Ca
             .trigger(availableNow=True).start())
 
 
-def rssi_stream(stream: DataFrame, time: str = "event_time", window: str = "5 seconds",
-                watermark: str = "10 seconds") -> DataFrame:
-    """Tumbling RSSI statistics per network on event time; later rows than the watermark are dropped."""
-    keyed = stream.withWatermark(time, watermark).withColumn(
-        "network_identity_id", stable_group_id(F.col("source_dataset"), F.col("bssid")))
-    return keyed.groupBy(F.window(time, window).alias("w"), "source_dataset", "session_id", "network_identity_id").agg(
-        F.avg("rssi_dbm").alias("rssi_mean_dbm"), F.stddev_pop("rssi_dbm").alias("rssi_std_db"),
-        F.min("rssi_dbm").alias("rssi_min_dbm"), F.max("rssi_dbm").alias("rssi_max_dbm"),
-        (F.max_by("rssi_dbm", time) - F.min_by("rssi_dbm", time)).alias("rssi_delta_db"),
-        F.count("rssi_dbm").alias("window_count"),
-    ).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *[
-        "source_dataset", "session_id", "network_identity_id", "rssi_mean_dbm", "rssi_std_db", "rssi_min_dbm",
-        "rssi_max_dbm", "rssi_delta_db", "window_count"])
+def end_marker(rows: DataFrame, time: str, after: str = "1 day") -> DataFrame:
+    """The last row of a finished source: NULLs, and a time far behind all others.
+
+    Written as the last file of the source, it lets the watermark pass every open window and timer. No operator here emits it.
+    """
+    late = rows.agg((F.max(time) + F.expr(f"INTERVAL {after}")).alias(time))
+    return late.select(*[F.col(time) if f.name == time else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema])
 
 
-def _watch(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Holds the last scan of one BSSID and its highest counter; emits every fall.
+def beacon_stream(stream: DataFrame, time: str = "event_time", watermark: str = "10 seconds") -> DataFrame:
+    """Mean signal of every network group per second of event time, with the label of the earliest beacon.
 
-    A batch may come in several chunks, so it is folded to the extremes of each scan first. Scans
-    older than the held one are late and ignored.
+    Later beacons than the watermark are dropped. Windows lie on the event clock, so they equal the batch profile of
+    elapsed times where sessions begin on whole windows.
     """
-    extremes: dict[int, tuple[int, int]] = {}
-    for pdf in batches:
-        folded = pdf.groupby("scan_index")["tsf_us"].agg(["min", "max"])
-        for scan, low, high in folded.itertuples():
-            held = extremes.get(scan, (low, high))
-            extremes[scan] = (min(low, held[0]), max(high, held[1]))
-    last = state.get if state.exists else None
-    falls = []
-    for scan in sorted(extremes):
-        low, high = extremes[scan]
-        if last is None or scan > last[0]:
-            if last is not None and low < last[1]:
+    keyed = stream.withWatermark(time, watermark).withColumns({
+        "_attack": F.coalesce(F.col("attack_type"), F.lit("")), "_bssid": F.coalesce("bssid", F.lit(MISSING_BSSID)),
+        "_order": F.struct("elapsed_ms", "event_id")})
+    means = keyed.groupBy(F.window(time, "1 second").alias("w"), *GROUP_KEYS).agg(
+        F.avg("rssi_dbm").alias("rssi_mean_dbm"), F.min_by("label", "_order").alias("label"),
+        F.min_by("is_synthetic", "_order").alias("is_synthetic"))
+    return means.where(F.col("rssi_mean_dbm").isNotNull()).select(
+        "w", "source_dataset", "session_id", stable_group_id(F.col("source_dataset"), F.col("_bssid")).alias("network_identity_id"),
+        stable_group_id(*[F.col(c) for c in GROUP_KEYS]).alias("network_group_id"), "_attack", "label", "is_synthetic", "rssi_mean_dbm")
+
+
+def rssi_stream(stream: DataFrame, time: str = "event_time", watermark: str = "10 seconds") -> DataFrame:
+    """Five-second signal statistics over the one-second means, as in the batch profile: two event-time aggregations in
+    one stream. A window is emitted once the watermark passed it; `end_marker` closes those at the end."""
+    second = F.col("w.start")
+    return beacon_stream(stream, time, watermark).groupBy(
+        F.window(F.window_time("w"), "5 seconds").alias("w5"), "source_dataset", "session_id", "network_identity_id", "network_group_id",
+        "_attack", "label", "is_synthetic").agg(
+        F.avg("rssi_mean_dbm").alias("mean"), F.stddev_pop("rssi_mean_dbm").alias("rssi_std_db"),
+        F.min("rssi_mean_dbm").alias("rssi_min_dbm"), F.max("rssi_mean_dbm").alias("rssi_max_dbm"),
+        (F.max_by("rssi_mean_dbm", second) - F.min_by("rssi_mean_dbm", second)).alias("rssi_delta_db"),
+        F.count(F.lit(1)).alias("window_count"),
+    ).select(F.col("w5.start").alias("window_start"), F.col("w5.end").alias("window_end"), "source_dataset", "session_id",
+             "network_identity_id", "network_group_id", "label", F.nullif("_attack", F.lit("")).alias("attack_type"), "is_synthetic",
+             F.col("mean").alias("rssi_mean_dbm"), "rssi_std_db", "rssi_min_dbm", "rssi_max_dbm", "rssi_delta_db", "window_count")
+
+
+FALLS = "bssid_hash string, previous_scan long, scan_index long, previous_tsf_us long, tsf_us long"
+# The last final scan of a BSSID, and the scans the watermark has not passed yet.
+WATCHED = "scan long, tsf long, at long, scans array<long>, lows array<long>, highs array<long>, times array<long>"
+
+
+def _watch(keep_ms: int):
+    def watch(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """Holds one BSSID's last scan and its highest counter, and emits every fall to the next scan.
+
+        A scan is final once the watermark passed it, so scans may arrive in any order and in any number of files; until then it
+        is folded to its extremes. With nothing open, the state ends when the watermark is `keep_ms` past the last scan.
+        """
+        held = state.get if state.exists else (None, None, None, [], [], [], [])
+        last = tuple(held[:3]) if held[0] is not None else None
+        open_scans = {scan: (low, high, at) for scan, low, high, at in zip(*held[3:])}
+        for pdf in batches:
+            if not key[0]:
+                continue  # the end marker, and rows without a BSSID
+            folded = pdf[pdf["tsf_us"].notna()].groupby("scan_index").agg(low=("tsf_us", "min"), high=("tsf_us", "max"), at=("ms", "min"))
+            for scan, low, high, at in folded.itertuples():
+                old = open_scans.get(scan, (low, high, at))
+                open_scans[int(scan)] = (int(min(low, old[0])), int(max(high, old[1])), int(min(at, old[2])))
+        if not key[0]:
+            return
+        watermark, falls = state.getCurrentWatermarkMs(), []
+        for scan in sorted((s for s in open_scans if open_scans[s][2] <= watermark), key=lambda s: (open_scans[s][2], s)):
+            low, high, at = open_scans.pop(scan)
+            if last is not None and scan == last[0]:
+                last = (scan, max(high, last[1]), last[2])
+                continue
+            if last is not None and at - last[2] <= keep_ms and low < last[1]:
                 falls.append((key[0], last[0], scan, last[1], low))
-            last = (int(scan), int(high))
-        elif scan == last[0]:
-            last = (last[0], max(last[1], int(high)))
-    if last is not None:
-        state.update(last)
-    if falls:
-        yield pd.DataFrame(falls, columns=["bssid_hash", "previous_scan", "scan_index", "previous_tsf_us", "tsf_us"])
-
-
-def tsf_watch(stream: DataFrame) -> DataFrame:
-    """Falls of the uptime counter per BSSID from one scan to the next, as in the batch check."""
-    rows = stream.where((F.col("bssid_hash") != "") & F.col("tsf_us").isNotNull()).select(
-        "bssid_hash", F.col("scan_index").cast("long"), F.col("tsf_us").cast("long"))
+            last = (scan, high, at)
+        timer = min((at for _, _, at in open_scans.values()), default=None if last is None else last[2] + keep_ms)
+        if timer is None or (not open_scans and timer <= watermark):
+            if state.exists:
+                state.remove()
+        else:
+            columns = [[int(x) for x in c] for c in zip(*((s, *v) for s, v in open_scans.items()))] or [[], [], [], []]
+            state.update((*(last or (None, None, None)), *columns))
+            state.setTimeoutTimestamp(max(timer, watermark + 1))
+        if falls:
+            yield pd.DataFrame(falls, columns=["bssid_hash", "previous_scan", "scan_index", "previous_tsf_us", "tsf_us"])
+    return watch
+
+
+def tsf_watch(stream: DataFrame, time: str = "event_time", watermark: str = "10 seconds", keep: str = "1 hour") -> DataFrame:
+    """Falls of the uptime counter per BSSID from one scan to the next, as in the batch check.
+
+    Falls across a gap of more than `keep` are not looked for; that bounds the state to the BSSIDs seen within it.
+    """
+    rows = stream.withWatermark(time, watermark).select(
+        "bssid_hash", F.col("scan_index").cast("long").alias("scan_index"), F.col("tsf_us").cast("long").alias("tsf_us"), time,
+        F.unix_millis(time).alias("ms"))
+    keep_ms = int(pd.Timedelta(keep).total_seconds() * 1000)
     return rows.groupBy("bssid_hash").applyInPandasWithState(
-        _watch, "bssid_hash string, previous_scan long, scan_index long, previous_tsf_us long, tsf_us long",
-        "scan long, tsf long", "append", GroupStateTimeout.NoTimeout)
+        _watch(keep_ms), FALLS, WATCHED, "append", GroupStateTimeout.EventTimeTimeout)
