@@ -120,3 +120,19 @@ def folded_quantiles(folded: DataFrame, value: str, quantiles: dict[str, float],
 
 def exact_quantiles(df: DataFrame, value: str, quantiles: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
     return folded_quantiles(fold_values(df, value, by), value, quantiles, by)
+
+
+def numbered(df: DataFrame, column: str, first: int = 0) -> DataFrame:
+    """Consecutive numbers in the order of the partitions and of the rows within them.
+
+    The rows are written once, so that their order is fixed; only the row counts of the partitions are added up.
+    """
+    rows = stored(df.withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_at", 33)
+    offsets, before = [], first
+    for r in rows.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").toLocalIterator():
+        offsets.append((r["p"], before))
+        before += r["n"]
+    starts = df.sparkSession.createDataFrame(offsets, "_part long, _start long")
+    return rows.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn(
+        column, F.col("_start") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at", "_part", "_start")
