@@ -71,8 +71,8 @@ def test_without_help_of_stars(docs, rows, monkeypatch):
 
 
 def test_common_shingles_are_salted(docs, rows, monkeypatch):
-    real = J._ranks
-    monkeypatch.setattr(J, "_ranks", lambda table: real(table) + 1)
+    real = J.bucket_ranks
+    monkeypatch.setattr(J, "bucket_ranks", lambda counts: (real(counts)[0], 0))
     assert found(docs(rows)) == brute(rows)
 
 
@@ -87,10 +87,69 @@ def test_missing_and_repeated_rows(docs):
     got = sorted(J.similar_groups(df).collect(), key=str)
     assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in got) == [
         (0, 2, 0), (1, 2, 1), (2, 2, 1), (2, 2, 1), (3, 0, 3)]
-    kept = J.one_of_each_group(df, J.similar_groups(df))
-    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 3] and kept.columns == df.columns
-    again = docs([(7, "x y z"), (7, "x y z"), (8, "p q")])
-    assert sorted(r.doc_id for r in J.one_of_each_group(again, J.similar_groups(again)).collect()) == [7, 8]
+
+
+def texts(df, **options):
+    return sorted(((r.doc_id, r.text) for r in J.one_of_each_group(df, **options).collect()), key=str)
+
+
+def test_one_of_each_group_loses_no_text(docs, prose):
+    """Rows are told by id and text: a text that shares an id with a copy stays."""
+    a, b, c, d = (prose(i, 60) for i in range(4))
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, d)]
+    assert texts(docs(rows)) == sorted([(1, a), (2, b), (3, c), (3, d)], key=str)
+    got = J.similar_groups(docs(rows), size=5, percent=80).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 1), (2, 2), (3, 3), (3, 3)]
+
+
+def test_one_of_each_group_with_missing_and_repeated_rows(docs, prose):
+    a, b = prose(1, 60), prose(2, 60)
+    near = " ".join(a.split()[:58])
+    rows = [(None, a), (None, a), (5, a), (5, a), (6, near), (6, None), (7, ""), (7, ""), (8, b), (8, b + " end"), (9, " ")]
+    got = texts(docs(rows))
+    eight = [r for r in got if r[0] == 8]
+    assert len(eight) == 1 and eight[0][1].startswith(b)
+    assert [r for r in got if r[0] != 8] == sorted([(None, a), (None, a), (5, a), (6, None), (7, ""), (7, ""), (9, " ")], key=str)
+    df = docs(rows).withColumnsRenamed({"key": "_gone", "value": "_digest"})
+    assert J.one_of_each_group(df).columns == df.columns and J.one_of_each_group(df).count() == len(got)
+    assert J.one_of_each_group(docs([])).collect() == []
+
+
+def candidates(df, monkeypatch, size=4):
+    """Pairs that the prefix tiles hand on to the exact step."""
+    seen, real = [], J._tile_candidates
+    monkeypatch.setattr(J, "_tile_candidates", lambda *a: seen.append(real(*a)) or seen[0])
+    result = found(df, size=size)
+    return result, seen[0].count()
+
+
+def test_shingle_spread_thinly_over_many_partitions(docs, prose, monkeypatch):
+    """A passage that every document holds is common in the sum, though a task sees it once or twice."""
+    passage = prose(999, 40)
+    rows = [(i, passage + " " + prose(10 + i, 50)) for i in range(128)]
+    result, pairs = candidates(docs(rows, parts=64), monkeypatch)
+    assert result == brute(rows) and pairs == 0
+
+
+def test_long_texts_that_share_boilerplate_only(docs, prose, monkeypatch):
+    """Bitmaps grow with the sets, so long texts of one band do not all pass."""
+    passage = prose(999, 150)
+    rows = [(i, passage + " " + prose(10 + i, 2200)) for i in range(24)] + [(50, passage + " " + prose(10, 2200) + " end")]
+    result, pairs = candidates(docs(rows), monkeypatch)
+    assert result == brute(rows) and pairs <= 1
+
+
+def test_bitmaps_of_different_lengths():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 2**63, 1200, dtype=np.uint64)
+    for n, m in [(1000, 1100), (500, 520), (1200, 1020)]:
+        x, y = np.unique(base[:n]), np.unique(base[-m:])
+        bits = [J._signature(v)[2] for v in (x, y)]
+        apart = len(np.setxor1d(x, y))
+        assert J.differing_bits(*bits) <= apart and J.differing_bits(*bits[::-1]) == J.differing_bits(*bits)
+        assert (apart - J.differing_bits(*bits)) % 2 == 0
 
 
 def test_empty_table(docs):

@@ -22,6 +22,9 @@ CONTRACT = {
     "op7_lattice_lm": {"doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"},
     "op8_voronoi_join": {"query_id", "rank", "vec_id", "score"},
     "op9_language_id": {"doc_id", "held_out", "lang_pred", "score"},
+    "op11_token_counts": {"doc_id", "n_bytes", "n_tokens", "over_limit"},
+    "op12_importance": {"doc_id", "n_features", "weight", "score", "rank"},
+    "op13_hard_negatives": {"anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"},
 }
 
 
@@ -45,8 +48,8 @@ def test_query(spark, con, name):
             assert sorted(r.doc_id for r in rows) == sorted(i for i, in ids)
 
 
-def test_ten_operators_are_registered():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+def test_thirteen_operators_are_registered():
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_pipeline(spark, prose, tmp_path):

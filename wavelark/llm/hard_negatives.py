@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavelark.llm.storage import sized, stored
+from wavelark.operators.ordering import numbered
 
 POSITIVES, NEGATIVES = 5, 10
 #: Negative scores reach from LOW to HIGH hundredths of the positive's score.
@@ -143,9 +144,8 @@ def _blocks(folded: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     total = folded.count()
     order = [F.size("v"), F.col("label"), F.get("v", F.lit(0)), F.get("v", F.lit(1)), F.col("ids")[0]]
     dealt = folded.repartitionByRange(max(1, math.ceil(total / size)), *order).sortWithinPartitions(*order)
-    placed = stored(dealt.withColumn("_at", F.monotonically_increasing_id()), "placed")
-    within = F.col("_at").bitwiseAND((1 << 33) - 1)
-    rows = placed.select(F.size("v").alias("n"), (F.shiftright("_at", 33) * (1 << 31) + F.floor(within / size)).alias("block"), "v", "label", "ids")
+    # Blocks follow the whole order, however many ranges it was dealt into.
+    rows = numbered(dealt, "at").select(F.size("v").alias("n"), F.floor(F.col("at") / size).alias("block"), "v", "label", "ids")
 
     def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,7 +225,7 @@ def mine(vectors: DataFrame, is_anchor: Column, positives: int = POSITIVES, nega
         F.transform(vector_column, lambda x: F.floor(F.lit(scale) * x.cast("double"))).alias("v"),
         F.coalesce(is_anchor, F.lit(False)).alias("asks")), "vectors")
     asked = rows.where("asks").select("id", "v", "label").distinct()
-    queries = stored(asked.groupBy("v", "label").agg(F.min("id").alias("query")), "queries")
+    queries = numbered(asked.select("v", "label").distinct(), "query")
     of_query = stored(asked.join(queries, ["v", "label"]).select(F.col("id").alias("anchor_id"), "query"), "anchors")
     blocks, boxes = _blocks(stored(_folded(rows, max(positives + 1, negatives)), "folded"), data_block)
     whole = F.array(F.struct(F.lit(-2**63).cast("long").alias("low"), F.lit(2**63 - 1).cast("long").alias("high"))).alias("windows")

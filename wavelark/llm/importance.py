@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from wavelark.llm.storage import stored
 from wavelark.llm.words import slices, text_buffer
+from wavelark.operators.ordering import numbered
 
 BUCKETS = 10_000
 PERCENT = 5
@@ -194,17 +195,8 @@ def resample(docs: DataFrame, target: DataFrame, id_column: str = "doc_id", text
     scored = stored(_weighed(docs, gains, part).withColumn("score", F.col("weight") + F.floor(F.lit(-1000.0) * F.ln(-F.ln(noise)))), "scored")
     takes_part = (F.col("n_words") >= min_words) & F.col("score").isNotNull()
     draw = scored.where(takes_part).count() * percent // 100
-    # One global order in ranges; the number of a row within its range and the sizes of the ranges before give its rank.
-    # The row number ends the order, so that rows alike do not pile up in one range.
+    # One global order in ranges. The row number ends the order, so that rows alike do not pile up in one range.
     ordered = scored.withColumns({"_out": ~takes_part, "_row": F.monotonically_increasing_id()})
     order = [F.col("_out"), F.desc("score"), F.col("doc_id"), F.col("_row")]
-    placed = stored(ordered.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ordered")
-    part_of, within = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
-    before, offsets = 0, []
-    for r in placed.groupBy(part_of.alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect():
-        offsets += [F.lit(r["p"]), F.lit(before)]
-        before += r["n"]
-    if not offsets:
-        return placed.select("doc_id", "n_features", "weight", "score", F.lit(None).cast("long").alias("rank"))
-    rank = F.create_map(*offsets)[part_of] + within + 1
-    return placed.select("doc_id", "n_features", "weight", "score", F.when(~F.col("_out") & (rank <= draw), rank).cast("long").alias("rank"))
+    placed = numbered(ordered.repartitionByRange(*order).sortWithinPartitions(*order), "rank", 1)
+    return placed.select("doc_id", "n_features", "weight", "score", F.when(~F.col("_out") & (F.col("rank") <= draw), F.col("rank")).cast("long").alias("rank"))

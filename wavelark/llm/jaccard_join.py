@@ -1,13 +1,14 @@
 """Exact similarity join of documents on word shingles (operator 4).
 
-1. One pass turns every text into its shingle set: size, digest, bin minima and a toggled bitmap.
-   Equal sets are folded to the row with the smallest id.
+1. One pass turns every text into its shingle set: size, digest, bin minima and a toggled bitmap whose length follows the
+   size. Equal sets are folded to the row with the smallest id. The same pass counts shingles by hash bucket; the counts of all
+   tasks are summed.
 2. Stars: sets that share a bin minimum are compared with the most central set of that group only.
    This joins large families of near copies with a number of comparisons in proportion to their size.
 3. Completeness: two sets above the threshold share shingles of their prefixes, the first few shingles in one
-   global order (rare before common), and the more the larger they are. Sets that meet in a prefix shingle are
-   put into tiles of one size band each; in a tile, the bit count of two xored bitmaps bounds the overlap
-   from above, and only pairs of different components that pass and meet often enough go on.
+   global order (rare buckets before common ones), and the more the larger they are. Sets that meet in a prefix shingle are
+   put into tiles of one size band each, as narrow rows. Pairs of different components that meet often enough get their
+   bitmaps, whose differing bits bound the overlap from above.
 4. Candidates of 2 and 3 are decided by intersecting the sorted shingles of the two texts.
 
 No step lists all pairs of a group whose members are already known to be connected.
@@ -26,42 +27,59 @@ from wavelark.llm.storage import sized, stored
 from wavelark.llm.words import mix, shingle_set, slices, word_hashes
 
 BINS = 8
-BITMAP_WORDS = 8
+MIN_BITS, MAX_BITS = 512, 1 << 20
 _BUCKET_BITS = 20
+_RANGE = 4096
 _SALTS = 8
 _SHARED = 64
 
 
-def _signature(values: np.ndarray) -> tuple[bytes, list, list[int]]:
-    """Digest, smallest value per bin, and bitmap in which every shingle toggles one bit."""
+def _digest(values: np.ndarray) -> bytes:
+    mixed = mix(values ^ np.uint64(0x5851F42D4C957F2D))
+    return np.array([values.sum(dtype=np.uint64), mixed.sum(dtype=np.uint64)], np.uint64).tobytes()
+
+
+def _signature(values: np.ndarray) -> tuple[bytes, list, bytes]:
+    """Digest, smallest value per bin, and bitmap of at least as many bits as shingles, in which every shingle toggles one."""
     mixed = mix(values ^ np.uint64(0x5851F42D4C957F2D))
-    digest = np.array([values.sum(dtype=np.uint64), mixed.sum(dtype=np.uint64)], np.uint64).tobytes()
     bins = (mixed & np.uint64(BINS - 1)).astype(np.int64)
     minima = np.full(BINS, np.iinfo(np.uint64).max, np.uint64)
     np.minimum.at(minima, bins, mixed)
     present = np.zeros(BINS, bool)
     present[bins] = True
-    bits = np.bincount((mixed >> np.uint64(32)).astype(np.int64) % (64 * BITMAP_WORDS), minlength=64 * BITMAP_WORDS) & 1
-    return (digest, [int(m) if p else None for m, p in zip(minima.view(np.int64), present)],
-            np.packbits(bits.astype(np.uint8)).view(np.int64).tolist())
+    length = min(max(MIN_BITS, 1 << int(len(values) - 1).bit_length()), MAX_BITS)
+    bits = np.bincount((mixed >> np.uint64(32)).astype(np.int64) & (length - 1), minlength=length) & 1
+    return (_digest(values), [int(m) if p else None for m, p in zip(minima.view(np.int64), present)],
+            np.packbits(bits.astype(np.uint8)).tobytes())
+
+
+def differing_bits(a: bytes, b: bytes) -> int:
+    """Differing bits of two bitmaps; the longer one is folded to the length of the shorter, which keeps every toggle."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) < len(y):
+        x, y = y, x
+    if len(x) > len(y):
+        x = np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def shingle_table(docs: DataFrame, size: int) -> DataFrame:
-    """A row per document (doc_id, n, digest, minima, bits), and rows (bucket, docs) of hash buckets that hold
-    far more documents than others, as found by a single task."""
+    """A row per document (doc_id, n, digest, minima, bits), and per task rows (range, counts): how many documents hold a
+    shingle of each hash bucket, a range of buckets a row."""
+    listed = T.ArrayType(T.LongType())
     schema = T.StructType([
         docs.schema["doc_id"], T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()),
-        T.StructField("minima", T.ArrayType(T.LongType())), T.StructField("bits", T.ArrayType(T.LongType())),
-        T.StructField("bucket", T.LongType()), T.StructField("docs", T.LongType())])
+        T.StructField("minima", listed), T.StructField("bits", T.BinaryType()),
+        T.StructField("range", T.LongType()), T.StructField("counts", listed)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, total, kind = np.zeros(1 << _BUCKET_BITS, np.int64), 0, pa.int64()
-        listed = pa.list_(pa.int64())
+        counts, kind = np.zeros(1 << _BUCKET_BITS, np.int64), pa.int64()
+        many = pa.list_(pa.int64())
 
-        def rows(ids, sizes, digests, minima, bits, buckets, held):
+        def rows(ids, sizes, digests, minima, bits, ranges, held):
             return pa.RecordBatch.from_arrays([
-                pa.array(ids, kind), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(minima, listed),
-                pa.array(bits, listed), pa.array(buckets, pa.int64()), pa.array(held, pa.int64())], names=schema.names)
+                pa.array(ids, kind), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(minima, many),
+                pa.array(bits, pa.binary()), pa.array(ranges, pa.int64()), pa.array(held, many)], names=schema.names)
 
         for batch in slices(batches, "text"):
             kind = batch.schema.field(0).type
@@ -75,25 +93,50 @@ def shingle_table(docs: DataFrame, size: int) -> DataFrame:
                 minima.append(m)
                 bits.append(b)
                 np.add.at(counts, (values >> np.uint64(64 - _BUCKET_BITS)).astype(np.int64), 1)
-                total += len(values)
             none = [None] * batch.num_rows
             yield rows(batch.column(0).to_pylist(), sizes, digests, minima, bits, none, none)
-        heavy = np.flatnonzero(counts > 16 + 4 * total / len(counts))
-        none = [None] * len(heavy)
-        yield rows(none, none, none, none, none, heavy, counts[heavy])
+        table = counts.reshape(-1, _RANGE)
+        held = np.flatnonzero(table.any(axis=1))
+        none = [None] * len(held)
+        yield rows(none, none, none, none, none, held, [table[i].tolist() for i in held])
 
     return docs.mapInArrow(run, schema)
 
 
-def _ranks(table: DataFrame) -> np.ndarray:
-    """Commonness class of every hash bucket; at most 2 ** 20 rows reach the driver."""
-    found = table.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("docs").alias("docs")).toPandas()
-    ranks = np.zeros(1 << _BUCKET_BITS, np.uint8)
-    ranks[found["bucket"].to_numpy(np.int64)] = np.log2(found["docs"].to_numpy(np.float64)).astype(np.uint8)
-    return ranks
+def bucket_counts(table: DataFrame) -> np.ndarray:
+    """Documents per bucket over the whole table; the driver gets one number for each of the 2 ** 20 buckets."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((1 << _BUCKET_BITS) // _RANGE * _RANGE, np.int64).reshape(-1, _RANGE)
+        for batch in batches:
+            if batch.num_rows:
+                rows = batch.column(1).flatten().to_numpy().reshape(-1, _RANGE)
+                np.add.at(total, batch.column(0).to_numpy(), rows)
+        held = np.flatnonzero(total.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array([total[i].tobytes() for i in held], pa.binary())], names=["range", "sums"])
+
+    def add(parts: pa.Table) -> pa.Table:
+        total = np.zeros(_RANGE, np.int64)
+        for own in parts.column("sums").to_pylist():
+            total += np.frombuffer(own, np.int64)
+        return pa.table([parts.column("range").slice(0, 1), pa.array([total.tobytes()], pa.binary())], names=["range", "sums"])
+
+    kind = "range long, sums binary"
+    sums = table.where("range IS NOT NULL").select("range", "counts").mapInArrow(run, kind).groupBy("range").applyInArrow(add, kind)
+    out = np.zeros(1 << _BUCKET_BITS, np.int64)
+    for r in sums.collect():
+        out[r["range"] * _RANGE:(r["range"] + 1) * _RANGE] = np.frombuffer(r["sums"], np.int64)
+    return out
+
+
+def bucket_ranks(counts: np.ndarray) -> tuple[np.ndarray, int]:
+    """Rank of every bucket by its documents, in quarters of a power of two, and the rank from which buckets are common."""
+    def rank(x):
+        return np.floor(4 * np.log2(np.maximum(x, 1).astype(np.float64))).astype(np.uint8)
+
+    return rank(counts), int(rank(np.array([16 + 4 * counts.mean()]))[0])
 
 
-def _prefixes(docs: DataFrame, size: int, percent: int, ranks: np.ndarray) -> DataFrame:
+def _prefixes(docs: DataFrame, size: int, percent: int, ranks: tuple[np.ndarray, int]) -> DataFrame:
     """(key, doc_id, content, common): the shingles of which similar sets of n or more share at least 1 + n // _SHARED."""
     schema = T.StructType([
         T.StructField("key", T.LongType()), docs.schema["doc_id"], T.StructField("content", T.LongType()),
@@ -101,7 +144,7 @@ def _prefixes(docs: DataFrame, size: int, percent: int, ranks: np.ndarray) -> Da
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = shared.value
+        ranks, many = shared.value
         for batch in slices(batches, "text"):
             words, at = word_hashes(batch.column(1))
             keys, contents, lengths, common = [], [], [], []
@@ -110,12 +153,10 @@ def _prefixes(docs: DataFrame, size: int, percent: int, ranks: np.ndarray) -> Da
                 n = len(values)
                 take = n - (percent * n + 99) // 100 + 1 + n // _SHARED if n else 0
                 rank = ranks[(values >> np.uint64(64 - _BUCKET_BITS)).astype(np.int64)]
-                plain = np.flatnonzero(rank == 0)[:take]
-                if len(plain) < take:
-                    rest = np.flatnonzero(rank)
-                    plain = np.concatenate([plain, rest[np.argsort(rank[rest], kind="stable")][:take - len(plain)]])
-                keys.append(values[plain])
-                common.append(rank[plain] > 0)
+                # Sorted by value already, so a stable order by rank is the global order.
+                first = np.argsort(rank, kind="stable")[:take]
+                keys.append(values[first])
+                common.append(rank[first] >= many)
                 contents.append(mix(values.sum(dtype=np.uint64, keepdims=True))[0] if n else 0)
                 lengths.append(take)
             ids = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), lengths)))
@@ -159,11 +200,20 @@ def _shared_keys(rows: DataFrame) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, rows.schema)
 
 
-def _overlap_possible(percent: int, n1: str, n2: str, bits1: str, bits2: str) -> Column:
-    """Overlap is at most half of (sizes - differing bits); compares that bound with the threshold in integers."""
-    n = F.col(n1) + F.col(n2)
-    differing = sum((F.bit_count(F.col(bits1)[i].bitwiseXOR(F.col(bits2)[i])) for i in range(BITMAP_WORDS)), F.lit(0))
-    return F.lit(100 + percent) * (n - differing) >= F.lit(2 * percent) * n
+def _overlap_possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that can reach the threshold: overlap is at most half of (sizes - differing bits)."""
+    side = sets.select("doc_id", "n", "bits")
+    rows = pairs.join(side.toDF("a", "n1", "bits1"), "a").join(side.toDF("b", "n2", "bits2"), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            apart = np.array([differing_bits(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())], np.int64)
+            keep = (100 + percent) * (n - apart) >= 2 * percent * n
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
+
+    kind = sets.schema["doc_id"].dataType.simpleString()
+    return rows.where(_sizes_fit(percent, "n1", "n2")).select("a", "b", "n1", "n2", "bits1", "bits2").mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def _sizes_fit(percent: int, n1: str, n2: str) -> Column:
@@ -180,35 +230,31 @@ def _star_candidates(sets: DataFrame, percent: int) -> DataFrame:
     leaders = rows.join(weight, "doc_id").groupBy(*group).agg(
         F.max(F.struct("weight", (-F.col("doc_id")).alias("id"))).alias("best")).select(*group, (-F.col("best.id")).alias("b"))
     pairs = rows.join(leaders, group).select(F.col("doc_id").alias("a"), "b").where("a <> b").distinct()
-    side = sets.select("doc_id", "n", "bits")
-    return (
-        pairs.join(side.toDF("a", "n1", "bits1"), "a").join(side.toDF("b", "n2", "bits2"), "b")
-        .where(_sizes_fit(percent, "n1", "n2") & _overlap_possible(percent, "n1", "n2", "bits1", "bits2")).select("a", "b")
-    )
+    return _overlap_possible(pairs, sets, percent)
 
 
 def _tile_candidates(prefixes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of different components that share a prefix key and pass the bitmap bound."""
+    """(a, b) of different components that share enough prefix keys and pass the bitmap bound."""
     rare = _shared_keys(prefixes.where(~F.col("common")))
     rows = stored(rare.unionByName(prefixes.where("common")).drop("content").join(
-        sets.select("doc_id", "n", "bits", "component"), "doc_id"), "prefixes")
+        sets.select("doc_id", "n", "component"), "doc_id"), "prefixes")
     crossing = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     rows = rows.join(crossing, "key")
     # Bands are a little wider than the ratio of sizes that can match, so a pair lies in one band or in neighbours.
     band = F.floor(F.log("n") / F.log(F.lit(100 / (percent - 1)))).cast("int")
     salt = F.when(F.col("common"), F.pmod(F.xxhash64("doc_id"), F.lit(_SALTS))).otherwise(F.lit(0)).cast("int")
     smaller = rows.select("key", band.alias("tile"), salt.alias("salt"), F.col("doc_id").alias("a"), F.col("n").alias("n1"),
-                          F.col("bits").alias("bits1"), F.col("component").alias("c1"))
+                          F.col("component").alias("c1"))
     salts = F.when(F.col("common"), F.sequence(F.lit(0), F.lit(_SALTS - 1))).otherwise(F.array(F.lit(0)))
     larger = rows.select("key", F.explode(F.array(band, band - 1)).alias("tile"), salts.alias("salts"), F.col("doc_id").alias("b"),
-                         F.col("n").alias("n2"), F.col("bits").alias("bits2"), F.col("component").alias("c2"))
+                         F.col("n").alias("n2"), F.col("component").alias("c2"))
     larger = larger.withColumn("salt", F.explode("salts")).drop("salts")
     ordered = (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("a") < F.col("b")))
-    return smaller.hint("merge").join(larger, ["key", "tile", "salt"]).where(
-        (F.col("c1") != F.col("c2")) & ordered & _sizes_fit(percent, "n1", "n2")
-        & _overlap_possible(percent, "n1", "n2", "bits1", "bits2")).groupBy("a", "b").agg(
-        F.count(F.lit(1)).alias("shared"), F.min("n1").alias("n")).where(
+    met = smaller.hint("merge").join(larger, ["key", "tile", "salt"]).where(
+        (F.col("c1") != F.col("c2")) & ordered & _sizes_fit(percent, "n1", "n2"))
+    often = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min("n1").alias("n")).where(
         F.col("shared") >= 1 + F.floor(F.col("n") / _SHARED)).select("a", "b")
+    return _overlap_possible(stored(often, "met"), sets, percent)
 
 
 def _linked(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -234,49 +280,111 @@ def _linked(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataF
     return rows.select("a", "b", "text_a", "text_b").mapInArrow(run, schema).distinct()
 
 
-def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 4,
-                   percent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row.
+def _with_digest(docs: DataFrame, size: int, text_column: str) -> DataFrame:
+    """Adds `_digest` and `_n` of each row's shingle set; null and 0 for a text without words."""
+    schema = T.StructType([*docs.schema, T.StructField("_digest", T.BinaryType()), T.StructField("_n", T.LongType())])
+    at_text = docs.columns.index(text_column)
 
-    Sets are the distinct runs of `size` words between ASCII white space, A-Z in lower case; a shorter text is
-    one run. Two sets are linked when 100 * intersection >= `percent` * union; a component is named by its
-    smallest id. Texts without words (null, empty, blank) have no shingle and are their own component. Rows
-    without an id link nothing and have a null component; rows that share an id are one node. Texts of any
-    length are read whole. Ids are integers; other columns are not read.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text_column):
+            words, at = word_hashes(batch.column(at_text))
+            sets = [shingle_set(words[at[i]:at[i + 1]], size) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array([_digest(v) if len(v) else None for v in sets], pa.binary()), pa.array([len(v) for v in sets], pa.int64())],
+                names=schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def _nodes(sets: DataFrame, rows: DataFrame, docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """Gives each set a number of its own: its smallest id, or a number below all ids where that id has several texts.
+
+    Returns the sets with `first` (smallest id) and `doc_id` (the number), and the texts by that number.
     """
-    docs = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
+    text = F.struct("digest", "n")
+    per_id = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(text).alias("x"), F.max(text).alias("y"))
+    shared = stored(per_id.where("x <> y").select(F.col("doc_id").cast("long").alias("doc_id")), "shared")
+    if shared.isEmpty():
+        return sets.withColumn("first", F.col("doc_id")), docs
+    lowest = sets.agg(F.min("doc_id")).first()[0]
+    odd = stored(sets.join(sized(shared), "doc_id", "left_semi").withColumn("_at", F.monotonically_increasing_id()), "odd")
+    odd = odd.withColumn("first", F.col("doc_id")).withColumn("doc_id", (F.lit(min(lowest, 0) - 1) - F.col("_at")).cast("long")).drop("_at")
+    numbered = stored(sets.join(sized(shared), "doc_id", "left_anti").withColumn("first", F.col("doc_id")).unionByName(odd), "nodes")
+    owner = odd.select(F.col("first"), F.col("digest").alias("_digest"), F.col("n").alias("_n"), F.col("doc_id").alias("_node"))
+    texts = _with_digest(docs.join(sized(shared), "doc_id", "left_semi"), size, "text").withColumnRenamed("doc_id", "first")
+    moved = texts.join(owner, ["first", "_digest", "_n"]).select(F.col("_node").alias("doc_id"), "text")
+    return numbered, docs.join(sized(shared), "doc_id", "left_anti").unionByName(moved)
+
+
+def _grouped(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, digest) of the rows, and (digest, n, first, component_id, final) of the sets with words; `first` is the set's
+    smallest id, `final` tells components apart, also those whose smallest ids are equal."""
     table = stored(shingle_table(docs, size), "shingles")
-    rows = table.where("bucket IS NULL").drop("bucket", "docs")
-    alone = (F.col("n") == 0) | F.col("doc_id").isNull()
-    folded = rows.where(~alone).groupBy("digest", "n").agg(
+    rows = table.where("range IS NULL").drop("range", "counts")
+    folded = rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("digest", "n").agg(
         F.min_by(F.struct("minima", "bits"), "doc_id").alias("s"), F.min("doc_id").alias("doc_id"))
-    sets = stored(folded.select("digest", "n", "doc_id", "s.minima", "s.bits"), "sets")
-    texts = docs.where(F.col("doc_id").isNotNull())
+    sets = stored(folded.select("digest", "n", F.col("doc_id").cast("long").alias("doc_id"), "s.minima", "s.bits"), "sets")
+    sets, texts = _nodes(sets, rows, docs.where(F.col("doc_id").isNotNull()).withColumn("doc_id", F.col("doc_id").cast("long")), size)
 
     stars = stored(_linked(texts, _star_candidates(sets, percent), size, percent), "links")
-    first = components(stars, "a", "b")
-    labelled = stored(sets.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-        "digest", "n", "doc_id", "bits", F.coalesce("component", "doc_id").alias("component")), "labelled")
-    prefixes = _prefixes(texts, size, percent, _ranks(table))
+    near = components(stars, "a", "b")
+    labelled = stored(sets.join(near.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
+        "digest", "n", "doc_id", "first", "bits", F.coalesce("component", "doc_id").alias("component")), "labelled")
+    prefixes = _prefixes(texts, size, percent, bucket_ranks(bucket_counts(table)))
     pairs = _tile_candidates(prefixes, labelled, percent)
     links = _linked(texts, pairs, size, percent).unionByName(
         labelled.select(F.col("doc_id").alias("a"), F.col("component").alias("b")).where("a <> b"))
     last = components(links, "a", "b")
-    names = labelled.join(last.withColumnRenamed("component", "final").withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-        "digest", "n", F.coalesce("final", "doc_id").alias("component_id"))
-    return rows.where(~alone).join(names, ["digest", "n"]).select(
-        "doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(
+    named = labelled.join(last.withColumnRenamed("component", "final").withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
+        "digest", "n", "first", F.coalesce("final", "doc_id").alias("final"))
+    least = named.groupBy("final").agg(F.min("first").alias("component_id"))
+    return rows, stored(named.join(least, "final").select("digest", "n", "first", "component_id", "final"), "named")
+
+
+def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 4,
+                   percent: int = 85) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row.
+
+    Sets are the distinct runs of `size` words between ASCII white space, A-Z in lower case; a shorter text is
+    one run. Two sets are linked when 100 * intersection >= `percent` * union; a component is named by its
+    smallest id. Texts without words (null, empty, blank) have no shingle and are their own component. Rows
+    without an id link nothing and have a null component; rows that share an id but not a text are documents of
+    their own. Texts of any length are read whole; an empty table gives no row. Ids are integers; other columns are not read.
+    """
+    rows, named = _grouped(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")), size, percent)
+    alone = (F.col("n") == 0) | F.col("doc_id").isNull()
+    kind = docs.schema[id_column].dataType
+    return rows.where(~alone).join(named, ["digest", "n"]).select(
+        "doc_id", F.col("n").alias("n_shingles"), F.col("component_id").cast(kind)).unionByName(
         rows.where(alone).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def one_of_each_group(docs: DataFrame, groups: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """The rows of `docs` whose id names its component, once each."""
-    seen = stored(groups.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("rows")), "groups")
-    copies = sized(stored(seen.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_copy")), "copies"))
-    kept = docs.join(copies, F.col(id_column) == F.col("_copy"), "left_anti")
-    repeated = stored(seen.where((F.col("rows") > 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_again")), "repeated")
-    if repeated.isEmpty():
-        return kept
-    again = F.col(id_column) == F.col("_again")
-    return kept.join(sized(repeated), again, "left_anti").unionByName(
-        kept.join(sized(repeated), again, "left_semi").dropDuplicates([id_column]))
+def one_of_each_group(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of `docs` without those that are linked with another row that stays.
+
+    Of each component the row with the smallest id stays; of several texts under that id, one; of repeated rows, one.
+    A row is told by its id and text, so texts that share an id with a copy stay. Rows without an id and texts
+    without words are linked with nothing and all stay. Columns are those of `docs`, whatever their names.
+    """
+    named = dict(zip(docs.columns, (f"c{i}" for i in range(len(docs.columns)))))
+    own, ident, text = docs.toDF(*named.values()), named[id_column], named[text_column]
+    rows, sets = _grouped(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")), size, percent)
+    # The set that stays of each component: its smallest id, and of several sets under it the smallest digest.
+    stays = stored(sets.groupBy("final").agg(F.min(F.struct("first", "digest", "n")).alias("s")).select("s.*"), "stays")
+    words = rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
+    kept = F.col("kept.first").isNotNull() & (F.col("kept.first") == F.col("doc_id"))
+    marked = words.join(stays.alias("kept"), ["digest", "n"], "left").select("doc_id", "digest", kept.alias("keep"))
+    per_id = stored(marked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max("keep").alias("some")), "per-id")
+    gone = sized(stored(per_id.where(~F.col("some")).select(F.col("doc_id").alias("_gone")), "gone"))
+    several = stored(per_id.where("some AND rows > 1").select(F.col("doc_id").alias("_several")), "several")
+    empty = rows.where((F.col("n") == 0) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_several"))
+    # Ids with words that go entirely may still have rows without words, which stay.
+    mixed = stored(empty.join(gone, F.col("_several") == F.col("_gone"), "left_semi").distinct(), "mixed")
+    plain = own.join(gone, F.col(ident) == F.col("_gone"), "left_anti")
+    if several.isEmpty() and mixed.isEmpty():
+        return plain.toDF(*docs.columns)
+    doubtful = sized(stored(several.unionByName(mixed).distinct(), "doubtful"))
+    told = _with_digest(own.join(doubtful, F.col(ident) == F.col("_several"), "left_semi"), size, text)
+    hit = told.where("_n > 0").join(stays, (F.col("_digest") == F.col("digest")) & (F.col("_n") == F.col("n")) & (F.col(ident) == F.col("first")), "left_semi")
+    one = hit.dropDuplicates([ident, "_digest", "_n"]).unionByName(told.where("_n = 0")).drop("_digest", "_n")
+    return plain.join(doubtful, F.col(ident) == F.col("_several"), "left_anti").unionByName(one).toDF(*docs.columns)
