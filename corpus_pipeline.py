@@ -21,8 +21,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest id of each group of linked documents."""
-    groups = jaccard_join.similar_groups(docs, size=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
-    return jaccard_join.one_of_each_group(docs, groups)
+    return jaccard_join.one_of_each_group(docs, size=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
