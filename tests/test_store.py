@@ -29,9 +29,8 @@ MODELS = "id long, version_name string, algorithm string, threshold double, crea
 
 @pytest.fixture
 def db(spark, frame, tmp_path):
-    tables = store.persist_scans(frame(scored(), SCORED))
-    tables["model_version"] = frame([(1, "v1", "x", 0.1, T0, True), (2, "v2", "x", 0.2, T0, False)], MODELS)
-    store.append_scans(tables, str(tmp_path))
+    models = frame([(1, "v1", "x", 0.1, T0, True), (2, "v2", "x", 0.2, T0, False)], MODELS)
+    store.ingest(frame(scored(), SCORED), str(tmp_path), models=models)
     return store.read_store(spark, str(tmp_path))
 
 
@@ -52,9 +51,73 @@ def test_scans_without_networks(frame):
     assert got["empty"] == (0, 2) and set(got) == {"scan0", "empty"}
 
 
-def test_pages_read_the_partitions_of_their_dates(db):
-    plan = history.list_scans(db, 2, 0)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("PartitionFilters: [isnotnull(scan_date") >= 2
+TOLD = "scan_id string, observed_at_utc timestamp, interface_count long"
+
+
+def names(spark, root, table="scan_session"):
+    return sorted(r["id"] for r in store.read_store(spark, root)[table].select("id").collect())
+
+
+def test_repeated_scans_are_refused_also_without_networks(spark, frame, tmp_path):
+    root, none = str(tmp_path), frame(scored(0), SCORED)
+    store.ingest(none, root, scans=frame([("empty", T0, 2)], TOLD))
+    assert names(spark, root) == ["empty"] and names(spark, root, "network_observation") == []
+    for rows, told in [(none, [("empty", T0, 2)]), (frame(scored(1), SCORED), [("scan0", T0, 1), ("empty", T0 + timedelta(minutes=1), 2)])]:
+        with pytest.raises(ValueError, match="stored already"):
+            store.ingest(rows, root, scans=frame(told, TOLD))
+    with pytest.raises(Exception, match="stored already"):
+        store.persist_scans(none, store.read_store(spark, root)["scan_session"], frame([("empty", T0, 2)], TOLD))["scan_session"].collect()
+    store.ingest(frame(scored(1), SCORED), root, scans=frame([("scan0", T0, 1), ("empty", T0, 2)], TOLD), repeated="skip")
+    assert names(spark, root) == ["empty", "scan0"] and names(spark, root, "detection") == [1, 2, 3]
+
+
+def test_a_batch_appears_as_a_whole(spark, frame, tmp_path, monkeypatch):
+    """An interrupted batch shows nothing; tried again it is written once, and once more it changes nothing."""
+    root, real = str(tmp_path), store._commit
+    store.ingest(frame(scored(1), SCORED), root, batch="one")
+    later = frame([r for r in scored(3) if r[0] != "scan0"], SCORED)
+
+    def killed(*a):
+        raise RuntimeError("killed")
+
+    monkeypatch.setattr(store, "_commit", killed)
+    with pytest.raises(RuntimeError):
+        store.ingest(later, root, batch="two")
+    assert names(spark, root) == ["scan0"] and names(spark, root, "network_observation") == [1, 2, 3, 4]
+    monkeypatch.setattr(store, "_commit", real)
+    for _ in range(2):
+        store.ingest(later, root, batch="two")
+    assert names(spark, root) == ["scan0", "scan1", "scan2"] and names(spark, root, "network_observation") == list(range(1, 13))
+    done = {(r["batch"], str(r["scan_date"]), r["scans"], r["observations"], r["first_id"], r["last_id"]) for r in store.manifest(spark, root).collect()}
+    assert done == {("one", "2024-01-01", 1, 4, 1, 4), ("two", "2024-01-01", 2, 8, 5, 12)}
+
+
+def test_observations_are_numbered_on(spark, frame, tmp_path):
+    root = str(tmp_path)
+    for name in ("scan0", "scan1"):
+        rows = [r for r in scored(2) if r[0] == name]
+        store.ingest(frame(rows, SCORED).drop("observation_id"), root)
+    assert names(spark, root, "network_observation") == list(range(1, 9))
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pages_and_ids_read_the_partitions_of_their_dates(spark, frame, tmp_path):
+    """Four days in four batches; a page, a scan and a detection lead to the partitions of their days."""
+    root = str(tmp_path)
+    for day in range(4):
+        rows = [(f"d{day}-{r[0]}", r[1] + timedelta(days=day), r[2] + 100 * day, *r[3:]) for r in scored()]
+        store.ingest(frame(rows, SCORED), root, models=frame([(1, "v1", "x", 0.1, T0, True)], MODELS) if day == 0 else None)
+    db = store.read_store(spark, root)
+    # Ids that rise with the days: only one day's partition may be scanned, whatever else the tables hold.
+    found = history.detection_detail(db, 205)
+    assert one(found)["observation_id"] == 205 and "2024-01-03" in plan(found) and "2024-01-02" not in plan(found)
+    assert one(history.scan_detail(db, "d1-scan2"))["detection_count"] == 3
+    assert history.dates_of(db, "first_scan", "last_scan", "d1-scan2") == [T0.date() + timedelta(days=1)]
+    assert "PartitionFilters: [isnotnull(scan_date" in plan(history.list_scans(db, 2, 0))
+    assert history.detection_detail(db, 999).collect() == [] and history.scan_detail(db, "no").collect() == []
 
 
 def test_model_upsert(frame):

@@ -2,12 +2,13 @@ import json
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from wavelark.operators import context, matrix, scan_flatten, windows
-from wavelark.operators.decisions import decide
+from wavelark.operators.decisions import REASONS, decide
 from wavelark.schema import DESKTOP_FEATURES
-from wavelark.sources import scans
+from wavelark.sources import scans, store
 from wavelark.streaming import jobs
 
 T0 = datetime(2024, 1, 1)
@@ -19,17 +20,17 @@ def drain(stream, out, checkpoint):
     return stream.sparkSession.read.schema(stream.schema).parquet(out)
 
 
-def document(index, bssid, security="WPA2"):
+def document(index, bssid=None, security="WPA2"):
     entry = {"ssid_hash": "S", "bssid_hash": bssid, "security_type": security, "security_strength": 3 if security == "WPA2" else 0}
     return {"session_id": "s", "scan_index": index, "captured_at_utc": "2024-01-01T00:00:00Z",
-            "interfaces": [{"interface": {"guid": "g"}, "bss_entries": [entry]}]}
+            "interfaces": [{"interface": {"guid": "g"}, "bss_entries": [entry] if bssid else []}]}
 
 
 def write(path, docs):
     path.write_text("".join(json.dumps(d) + "\n" for d in docs))
 
 
-def test_scans_are_scored_once(spark, frame, tmp_path):
+def test_scans_are_stored_once(spark, frame, tmp_path, monkeypatch):
     ref = context.build_desktop_reference(frame(
         [("r", "S", "B", "WPA2", 3)], "session_id string, ssid_hash string, bssid_hash string, security_type string, security_strength long"))
     scaler = matrix.fit_scaler(frame([(1.0, 0.0, 0.0, 0.0)], ", ".join(f"{f} double" for f in DESKTOP_FEATURES)), DESKTOP_FEATURES)
@@ -43,16 +44,28 @@ def test_scans_are_scored_once(spark, frame, tmp_path):
     def run():
         jobs.score_stream(scans.stream_scan_jsonl(spark, str(source)), ref, scaler, scorer, 0.5, str(out), str(tmp_path / "state")).awaitTermination()
 
-    write(source / "1.jsonl", [document(0, "B"), document(1, "N", "OPEN"), document(0, "B")])
+    write(source / "1.jsonl", [document(0, "B"), document(1, "N", "OPEN"), document(0, "B"), document(7)])
     run()
-    write(source / "2.jsonl", [document(1, "N", "OPEN"), document(2, "N")])
+    # The second file repeats scans, with and without networks; its batch is interrupted before it is committed.
+    write(source / "2.jsonl", [document(1, "N", "OPEN"), document(2, "N"), document(7)])
+    real = store._commit
+    monkeypatch.setattr(store, "_commit", lambda *a: 1 / 0)
+    with pytest.raises(Exception, match="ZeroDivisionError"):
+        run()
+    assert store.read_store(spark, str(out))["network_observation"].count() == 2
+    monkeypatch.setattr(store, "_commit", real)
     run()
-    got = spark.read.parquet(str(out / "detection")).orderBy("scan_index").collect()
-    assert [(r["scan_index"], r["is_anomaly"], r["anomaly_score"]) for r in got] == [(0, False, 0.0), (1, True, 2.0), (2, True, 1.0)]
-    assert spark.read.parquet(str(out / "scan_session")).count() == 3
+    db = store.read_store(spark, str(out))
+    assert {n: db[n].count() for n in ("scan_session", "network_observation", "network_features", "detection")} == {
+        "scan_session": 4, "network_observation": 3, "network_features": 3, "detection": 3}
+    assert {r["id"]: (r["total_networks"], r["interface_count"]) for r in db["scan_session"].collect()} == {
+        "s-0": (1, 1), "s-1": (1, 1), "s-2": (1, 1), "s-7": (0, 1)}
+    got = db["detection"].orderBy("scan_session_id").collect()
+    assert [(r["scan_session_id"], r["is_anomaly"], r["anomaly_score"]) for r in got] == [("s-0", False, 0.0), ("s-1", True, 2.0), ("s-2", True, 1.0)]
+    assert sorted(r["id"] for r in got) == [1, 2, 3] and got[0]["reason"] == REASONS["low"] and got[1]["reason"] == REASONS["high"]
     whole = scan_flatten.flatten_scans(scans.read_scan_jsonl(spark, str(source)).dropDuplicates(["scan_index"]), F.col("session_id"), "x")
-    batch = decide(whole, ref, scaler, scorer, 0.5).orderBy("scan_index").collect()
-    assert [(r["scan_index"], r["is_anomaly"]) for r in batch] == [(r["scan_index"], r["is_anomaly"]) for r in got]
+    batch = decide(whole, ref, scaler, scorer, 0.5, model_version="v1").orderBy("scan_index").collect()
+    assert [r["is_anomaly"] for r in batch] == [r["is_anomaly"] for r in got] and {r["model_version"] for r in batch} == {"v1"}
 
 
 def test_repeats_are_dropped(spark, frame, tmp_path):

@@ -6,21 +6,23 @@ from wavelark.plans.catalog import query, rounded
 from wavelark.plans.context_queries import desktop_reference
 from wavelark.plans.oracle_views import DESKTOP_CONTEXT
 from wavelark.plans.views import desktop_rows
-from wavelark.session import fresh_path
+from wavelark.session import fresh_path, stored
 from wavelark.sources import store
 
 STORE = DESKTOP_CONTEXT + """,
 st0 AS (SELECT d.*, o.ssid, o.bssid, d.session_id || '-' || lpad(CAST(scan_index AS VARCHAR), 2, '0') AS scan_id,
     sha256(interface_guid || '|' || o.bssid) AS network_id, CASE WHEN d.session_id < 'sess_05' THEN 1 ELSE 2 END AS model_version_id,
-    CASE WHEN feature_complete THEN 2 * bssid_changed + 0.5::DOUBLE * security_changed - 0.25::DOUBLE * security_strength_delta + d.rssi_dbm / -1000 END AS anomaly_score
+    event_id % 97 <> 0 AS analysed, CASE WHEN feature_complete THEN 2 * bssid_changed + 0.5::DOUBLE * security_changed - 0.25::DOUBLE * security_strength_delta + d.rssi_dbm / -1000 END AS anomaly_score
     FROM dctx d JOIN obs o USING (event_id)),
 st AS (SELECT *, min(epoch_us(captured_at_utc)) OVER (PARTITION BY scan_id) AS observed_us, anomaly_score > 0.2 AS is_anomaly,
     CASE WHEN NOT feature_complete THEN 'unavailable' WHEN anomaly_score > 0.2 THEN 'high' ELSE 'low' END AS suspicion_level FROM st0),
 scan AS (SELECT scan_id AS id, min(observed_us) AS observed_us, count(*) AS total_networks, count(DISTINCT interface_guid) AS interface_count,
-    count(*) AS feature_count, count(*) AS detection_count, count(*) FILTER (is_anomaly) AS anomaly_count,
-    count(*) FILTER (NOT is_anomaly) AS normal_count, count(*) FILTER (is_anomaly IS NULL) AS insufficient_history_count FROM st GROUP BY 1),
+    count(*) FILTER (analysed) AS feature_count, count(*) FILTER (analysed) AS detection_count, count(*) FILTER (analysed AND is_anomaly) AS anomaly_count,
+    count(*) FILTER (analysed AND NOT is_anomaly) AS normal_count, count(*) FILTER (analysed AND is_anomaly IS NULL) AS insufficient_history_count FROM st GROUP BY 1
+    UNION ALL SELECT session_id || '-none', min(epoch_us(captured_at_utc)), 0, 2, 0, 0, 0, 0, 0 FROM desk GROUP BY session_id),
+det AS (SELECT * FROM st WHERE analysed),
 model AS (SELECT CASE WHEN session_id < 'sess_05' THEN 1 ELSE 2 END AS id, CASE WHEN session_id < 'sess_05' THEN 'desktop-a' ELSE 'desktop-b' END AS version_name,
-    min(epoch_us(captured_at_utc)) AS created_us, min(session_id) >= 'sess_05' AS active, count(*) AS detection_count FROM st0 GROUP BY 1, 2)
+    min(epoch_us(captured_at_utc)) AS created_us, min(session_id) >= 'sess_05' AS active, count(*) FILTER (analysed) AS detection_count FROM st0 GROUP BY 1, 2)
 """
 
 
@@ -33,7 +35,7 @@ def scored_scans(spark, sf_dir):
     scored = rows.withColumns({
         "scan_id": scan, "observation_id": F.col("event_id"), "observed_at_utc": F.col("captured_at_utc"),
         "network_id": network_id(F.col("interface_guid"), F.col("bssid")),
-        "status": F.when(ready, "ready").otherwise("insufficient_history"),
+        "status": F.when(F.col("event_id") % 97 == 0, "unavailable").when(ready, "ready").otherwise("insufficient_history"),
         "anomaly_score": F.when(ready, score), "threshold": F.when(ready, F.lit(0.2)),
         "model_version_id": F.when(F.col("session_id") < "sess_05", 1).otherwise(2).cast("long")})
     times = scored.groupBy("scan_id").agg(F.min("captured_at_utc").alias("observed_at_utc"))
@@ -42,6 +44,15 @@ def scored_scans(spark, sf_dir):
         "suspicion_level": F.when(~ready, "unavailable").when(F.col("anomaly_score") > 0.2, "high").otherwise("low")})
 
 
+def told_scans(spark, sf_dir):
+    """All scans with their times, and one in every session that saw no network."""
+    rows = desktop_rows(spark, sf_dir)
+    scan = F.concat_ws("-", "session_id", F.lpad(F.col("scan_index").cast("string"), 2, "0"))
+    seen = rows.groupBy(scan.alias("scan_id")).agg(F.min("captured_at_utc").alias("observed_at_utc"))
+    none = rows.groupBy(F.concat("session_id", F.lit("-none")).alias("scan_id")).agg(F.min("captured_at_utc").alias("observed_at_utc"))
+    return seen.withColumn("interface_count", F.lit(None).cast("long")).unionByName(none.withColumn("interface_count", F.lit(2).cast("long")))
+
+
 def versions(spark, sf_dir):
     name = F.when(F.col("session_id") < "sess_05", "desktop-a").otherwise("desktop-b")
     return desktop_rows(spark, sf_dir).groupBy(name.alias("version_name")).agg(
@@ -61,8 +72,7 @@ def registry(spark, sf_dir):
 def database(spark, sf_dir):
     """The store of one data folder, written anew for every query."""
     root = fresh_path(spark, "store")
-    tables = store.persist_scans(scored_scans(spark, sf_dir))
-    store.append_scans({**tables, "model_version": registry(spark, sf_dir)}, root)
+    store.ingest(scored_scans(spark, sf_dir), root, scans=told_scans(spark, sf_dir), models=registry(spark, sf_dir))
     return store.read_store(spark, root)
 
 
@@ -79,31 +89,32 @@ def model_registry(spark, sf_dir):
 
 @query("persisted_scans", f"""WITH {STORE} SELECT id, observed_us, total_networks, interface_count FROM scan""")
 def persisted_scans(spark, sf_dir):
-    return micros(store.persist_scans(scored_scans(spark, sf_dir))["scan_session"].drop("scan_date"), observed_at_utc="observed_us")
+    return micros(database(spark, sf_dir)["scan_session"].select("id", "observed_at_utc", "total_networks", "interface_count"), observed_at_utc="observed_us")
 
 
 @query("persisted_observations", f"""WITH {STORE} SELECT event_id AS id, scan_id AS scan_session_id, network_id,
     sha256('interface-guid|' || interface_guid) AS interface_guid_hash, ssid_hash, sha256('bssid|' || bssid) AS bssid_hash, tsf_us, security_type FROM st""")
 def persisted_observations(spark, sf_dir):
-    return store.persist_scans(scored_scans(spark, sf_dir))["network_observation"].select(
+    return database(spark, sf_dir)["network_observation"].select(
         "id", "scan_session_id", "network_id", "interface_guid_hash", "ssid_hash", "bssid_hash", "tsf_us", "security_type")
 
 
 @query("persisted_detections", f"""WITH {STORE} SELECT event_id AS id, scan_id AS scan_session_id, model_version_id, round(anomaly_score, 9) + 0.0 AS anomaly_score,
-    is_anomaly, suspicion_level, observed_us AS created_us FROM st""")
+    is_anomaly, suspicion_level, observed_us AS created_us FROM det""")
 def persisted_detections(spark, sf_dir):
-    # A second run against the scans already stored adds nothing.
-    first = store.persist_scans(scored_scans(spark, sf_dir))
-    again = store.persist_scans(scored_scans(spark, sf_dir), first["scan_session"], repeated="skip")
-    both = first["detection"].unionByName(again["detection"])
-    return micros(rounded(both.select("id", "scan_session_id", "model_version_id", "anomaly_score", "is_anomaly",
+    # Half of the sessions, then all: the scans stored already are left out, also those without a network.
+    root, scored, told = fresh_path(spark, "store"), stored(scored_scans(spark, sf_dir), "scored"), told_scans(spark, sf_dir)
+    early = F.col("scan_id") < "sess_06"
+    store.ingest(scored.where(early), root, scans=told.where(early), models=registry(spark, sf_dir))
+    store.ingest(scored, root, scans=told, repeated="skip")
+    return micros(rounded(store.read_store(spark, root)["detection"].select("id", "scan_session_id", "model_version_id", "anomaly_score", "is_anomaly",
                                       "suspicion_level", "created_at_utc"), "anomaly_score"), created_at_utc="created_us")
 
 
 @query("persisted_features", f"""WITH {STORE} SELECT event_id AS id, event_id AS network_observation_id, ssid_bssid_count, bssid_changed,
-    security_changed, security_strength_delta, context_available, context_resolution, feature_complete FROM st""")
+    security_changed, security_strength_delta, context_available, context_resolution, feature_complete FROM det""")
 def persisted_features(spark, sf_dir):
-    return store.persist_scans(scored_scans(spark, sf_dir))["network_features"].drop("scan_session_id", "scan_date")
+    return database(spark, sf_dir)["network_features"].drop("scan_session_id", "scan_date")
 
 
 @query("scan_history", f"""WITH {STORE} SELECT * EXCLUDE (normal_count) FROM scan ORDER BY observed_us DESC, id DESC LIMIT 25 OFFSET 10""")
@@ -117,28 +128,30 @@ def scan_detail(spark, sf_dir):
 
 
 @query("scan_observations", f"""WITH {STORE} SELECT event_id AS id, ssid_hash, sha256('bssid|' || bssid) AS bssid_hash, ssid_bssid_count, bssid_changed,
-    context_resolution, event_id AS detection_id, is_anomaly, suspicion_level FROM st WHERE scan_id = 'sess_06-05' ORDER BY event_id LIMIT 50 OFFSET 2""")
+    context_resolution, event_id AS detection_id, is_anomaly, suspicion_level FROM det WHERE scan_id = 'sess_06-05'
+    UNION ALL SELECT event_id, ssid_hash, sha256('bssid|' || bssid), NULL, NULL, NULL, NULL, NULL, NULL FROM st WHERE scan_id = 'sess_06-05' AND NOT analysed
+    ORDER BY 1 LIMIT 50 OFFSET 2""")
 def scan_observations(spark, sf_dir):
     return history.scan_observations(database(spark, sf_dir), "sess_06-05", 50, 2).select(
         "id", "ssid_hash", "bssid_hash", "ssid_bssid_count", "bssid_changed", "context_resolution", "detection_id",
         "is_anomaly", "suspicion_level")
 
 
-@query("anomaly_history", f"""WITH {STORE} SELECT event_id AS id, scan_id AS scan_session_id, round(anomaly_score, 9) AS anomaly_score FROM st
+@query("anomaly_history", f"""WITH {STORE} SELECT event_id AS id, scan_id AS scan_session_id, round(anomaly_score, 9) AS anomaly_score FROM det
 WHERE is_anomaly AND suspicion_level = 'high' AND model_version_id = 2 ORDER BY observed_us DESC, event_id DESC LIMIT 100""")
 def anomaly_history(spark, sf_dir):
     rows = history.list_detections(database(spark, sf_dir), 100, 0, True, "high", 2)
     return rounded(rows.select("id", "scan_session_id", "anomaly_score"), "anomaly_score")
 
 
-@query("detection_total", f"WITH {STORE} SELECT count(*) AS total FROM st WHERE is_anomaly = false")
+@query("detection_total", f"WITH {STORE} SELECT count(*) AS total FROM det WHERE is_anomaly = false")
 def detection_total(spark, sf_dir):
     return history.total(history.filter_detections(database(spark, sf_dir), is_anomaly=False))
 
 
 @query("detection_detail", f"""WITH {STORE} SELECT event_id AS detection_id, scan_id AS detection_scan_session_id, suspicion_level AS detection_suspicion_level,
-    st.network_id AS observation_network_id, security_changed, m.version_name, m.active, m.detection_count
-FROM st JOIN model m ON m.id = st.model_version_id WHERE event_id = 700""")
+    det.network_id AS observation_network_id, security_changed, m.version_name, m.active, m.detection_count
+FROM det JOIN model m ON m.id = det.model_version_id WHERE event_id = 700""")
 def detection_detail(spark, sf_dir):
     return history.detection_detail(database(spark, sf_dir), 700).select(
         "detection_id", "detection_scan_session_id", "detection_suspicion_level", "observation_network_id",
@@ -157,18 +170,19 @@ def model_detail(spark, sf_dir):
 
 
 @query("dashboard_overview", f"""WITH {STORE} SELECT (SELECT count(*) FROM scan) AS scan_count, count(*) AS observation_count,
-    count(DISTINCT network_id) AS unique_network_count, count(*) AS feature_count, count(*) AS detection_count,
-    count(*) FILTER (is_anomaly) AS anomaly_count, count(*) FILTER (NOT is_anomaly) AS normal_count,
-    count(*) FILTER (is_anomaly IS NULL) AS insufficient_history_count, (SELECT count(*) FROM model) AS model_version_count,
-    1.0::DOUBLE AS analysis_coverage_rate, round(count(*) FILTER (is_anomaly) / count(is_anomaly), 9) AS anomaly_rate_among_decided,
-    max(observed_us) AS latest_scan_us, max(observed_us) AS latest_detection_us FROM st""")
+    count(DISTINCT network_id) AS unique_network_count, count(*) FILTER (analysed) AS feature_count, count(*) FILTER (analysed) AS detection_count,
+    count(*) FILTER (analysed AND is_anomaly) AS anomaly_count, count(*) FILTER (analysed AND NOT is_anomaly) AS normal_count,
+    count(*) FILTER (analysed AND is_anomaly IS NULL) AS insufficient_history_count, (SELECT count(*) FROM model) AS model_version_count,
+    round(count(*) FILTER (analysed) / count(*), 9) AS analysis_coverage_rate,
+    round(count(*) FILTER (analysed AND is_anomaly) / count(is_anomaly) FILTER (analysed), 9) AS anomaly_rate_among_decided,
+    (SELECT max(observed_us) FROM scan) AS latest_scan_us, max(observed_us) FILTER (analysed) AS latest_detection_us FROM st""")
 def dashboard_overview(spark, sf_dir):
     row = rounded(dashboard.overview(database(spark, sf_dir)), "analysis_coverage_rate", "anomaly_rate_among_decided")
     return micros(row, latest_scan_at_utc="latest_scan_us", latest_detection_at_utc="latest_detection_us")
 
 
-@query("suspicion_distribution", f"""WITH {STORE} SELECT l.v AS suspicion_level, count(st.event_id) AS detections
-FROM (VALUES ('low'), ('medium'), ('high'), ('unavailable')) l(v) LEFT JOIN st ON st.suspicion_level = l.v GROUP BY 1""")
+@query("suspicion_distribution", f"""WITH {STORE} SELECT l.v AS suspicion_level, count(det.event_id) AS detections
+FROM (VALUES ('low'), ('medium'), ('high'), ('unavailable')) l(v) LEFT JOIN det ON det.suspicion_level = l.v GROUP BY 1""")
 def suspicion_distribution(spark, sf_dir):
     return dashboard.suspicion_distribution(database(spark, sf_dir))
 
@@ -179,7 +193,7 @@ def scan_trends(spark, sf_dir):
     return micros(dashboard.trends(database(spark, sf_dir), 30), observed_at_utc="observed_us")
 
 
-@query("recent_detections", f"""WITH {STORE} SELECT event_id AS id, scan_id AS scan_session_id, suspicion_level FROM st ORDER BY observed_us DESC, event_id DESC LIMIT 5""")
+@query("recent_detections", f"""WITH {STORE} SELECT event_id AS id, scan_id AS scan_session_id, suspicion_level FROM det ORDER BY observed_us DESC, event_id DESC LIMIT 5""")
 def recent_detections(spark, sf_dir):
     return dashboard.recent(database(spark, sf_dir))["detections"].select("id", "scan_session_id", "suspicion_level")
 
@@ -190,7 +204,7 @@ def active_model(spark, sf_dir):
 
 
 @query("latest_activity", f"""WITH {STORE}, s AS (SELECT * FROM scan ORDER BY observed_us DESC, id DESC LIMIT 1),
-d AS (SELECT * FROM st ORDER BY observed_us DESC, event_id DESC LIMIT 1)
+d AS (SELECT * FROM det ORDER BY observed_us DESC, event_id DESC LIMIT 1)
 SELECT s.observed_us AS latest_scan_us, s.total_networks AS latest_scan_network_count, s.detection_count AS latest_scan_detection_count,
     s.anomaly_count AS latest_scan_anomaly_count, s.insufficient_history_count AS latest_scan_insufficient_history_count,
     d.observed_us AS latest_detection_us, d.suspicion_level AS latest_detection_suspicion_level, d.is_anomaly AS latest_detection_is_anomaly,

@@ -1,44 +1,72 @@
-"""The scan store: five tables written append-only, and the model registry.
+"""The scan store: five tables in batches, a manifest that commits them, and the model registry.
 
-The four scan tables are partitioned by the date of the scan and clustered by scan, so that a page of scans reads the
-files of its dates only.
+A batch writes a folder of its own in every table, partitioned by the date of the scan and clustered by scan, and is committed by
+one row per date in the manifest, written last. Readers see committed folders only, so the tables of a batch appear together; a batch
+that was interrupted is written to new folders, and nothing a reader may hold is replaced. The manifest's ranges of ids lead from an id to its dates.
 """
 
-from pyspark.sql import DataFrame, Window
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wavelark.functions.identity import hash_identifier
 from wavelark.operators.checks import require_columns
+from wavelark.operators.ordering import numbered
+from wavelark.session import stored
 
-# Tables and columns of the store.
+# Tables and columns of the store, with their types.
 TABLES = ["scan_session", "network_observation", "network_features", "detection", "model_version"]
-SCAN_COLUMNS = ["negotiated_api_version", "interface_count", "total_networks"]
-OBSERVATION_COLUMNS = [
-    "ssid_not_broadcast", "rssi_dbm", "link_quality", "beacon_interval_ms", "tsf_us", "host_timestamp_100ns",
-    "center_frequency_khz", "ds_parameter_channel", "security_type", "security_strength", "security_source",
-    "phy_type", "bss_type", "supported_rates_mbps",
-]
+SCAN_COLUMNS = {"negotiated_api_version": "string", "interface_count": "long", "total_networks": "long"}
+OBSERVATION_COLUMNS = {
+    "ssid_not_broadcast": "boolean", "rssi_dbm": "double", "link_quality": "long", "beacon_interval_ms": "double", "tsf_us": "long",
+    "host_timestamp_100ns": "long", "center_frequency_khz": "long", "ds_parameter_channel": "long", "security_type": "string",
+    "security_strength": "long", "security_source": "string", "phy_type": "string", "bss_type": "string",
+    "supported_rates_mbps": "array<double>",
+}
 FEATURE_COLUMNS = ["ssid_bssid_count", "bssid_changed", "security_changed", "security_strength_delta"]
-DETECTION_COLUMNS = ["anomaly_score", "threshold", "is_anomaly", "suspicion_level", "reason", "inference_ms"]
+DETECTION_COLUMNS = {"anomaly_score": "double", "threshold": "double", "is_anomaly": "boolean", "suspicion_level": "string", "reason": "string",
+                     "inference_ms": "double"}
+MANIFEST = ("batch string, folder string, scan_date date, scans long, observations long, first_scan string, last_scan string, first_id long, last_id long")
+
+SCHEMAS = {
+    "scan_session": {"id": "string", "observed_at_utc": "timestamp", **SCAN_COLUMNS},
+    "network_observation": {"id": "long", **dict.fromkeys(["scan_session_id", "network_id", "interface_guid_hash", "ssid_hash", "bssid_hash"], "string"),
+                            **OBSERVATION_COLUMNS},
+    "network_features": {"id": "long", "network_observation_id": "long", **dict.fromkeys(FEATURE_COLUMNS, "double"), "context_available": "boolean",
+                         "context_resolution": "string", "feature_complete": "boolean", "scan_session_id": "string"},
+    "detection": {"id": "long", "scan_session_id": "string", "network_observation_id": "long", "model_version_id": "long", **DETECTION_COLUMNS,
+                  "created_at_utc": "timestamp"},
+}
+
+
+def _with(df: DataFrame, names: dict[str, str]) -> list[Column]:
+    return [(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in names.items()]
 
 
-def _with(df: DataFrame, names: list[str]) -> list:
-    return [F.col(c) if c in df.columns else F.lit(None).alias(c) for c in names]
+def _refused(df: DataFrame, held: DataFrame) -> DataFrame:
+    """Fails on the first row of a scan that is stored already."""
+    marked = df.join(held.distinct().withColumn("_held", F.lit(True)), "scan_id", "left")
+    return marked.withColumn("scan_id", F.when(F.col("_held"), F.raise_error(F.lit("scan is stored already"))).otherwise(
+        F.col("scan_id"))).drop("_held")
 
 
 def persist_scans(scored: DataFrame, existing_scans: DataFrame | None = None, scans: DataFrame | None = None,
                   repeated: str = "fail") -> dict[str, DataFrame]:
     """Split scored observations into the four scan tables.
 
-    Needs one row per observation with a unique, rising `observation_id`, its scan's id and time,
-    clear ssid/bssid/interface_guid and the analysis columns. `scans` (scan_id, observed_at_utc and, where told,
-    interface_count and total_networks) names all scans, also those that saw no network. A scan that is stored
-    already is refused, or left out with `repeated="skip"`.
+    Needs one row per observation with a unique, rising `observation_id`, its scan's id and time, the interface,
+    ssid/bssid in clear or as ssid_hash/bssid_hash, and the analysis columns. `scans` (scan_id, observed_at_utc and, where told,
+    interface_count, total_networks and negotiated_api_version) names all scans, also those that saw no network. A scan that is
+    stored already is refused, whether it saw networks or not, or left out with `repeated="skip"`.
     """
     if repeated not in ("fail", "skip"):
         raise ValueError("repeated scans either fail or are skipped")
-    require_columns(scored, ["scan_id", "observed_at_utc", "observation_id", "network_id", "interface_guid", "ssid",
-                             "bssid", "ssid_not_broadcast", "status", "model_version_id"], "scan store")
+    require_columns(scored, ["scan_id", "observed_at_utc", "observation_id", "network_id", "interface_guid",
+                             "ssid_not_broadcast", "status", "model_version_id"], "scan store")
+    clear = "bssid" in scored.columns
+    require_columns(scored, ["ssid", "bssid"] if clear else ["ssid_hash", "bssid_hash"], "scan store")
     rows = scored.withColumn("scan_date", F.to_date("observed_at_utc"))
     if existing_scans is not None:
         held = existing_scans.select(F.col("id").alias("scan_id"))
@@ -46,55 +74,152 @@ def persist_scans(scored: DataFrame, existing_scans: DataFrame | None = None, sc
             rows = rows.join(held, "scan_id", "left_anti")
             scans = scans.join(held, "scan_id", "left_anti") if scans is not None else None
         else:
-            seen = rows.join(held.distinct().withColumn("_held", F.lit(True)), "scan_id", "left")
-            rows = seen.withColumn("scan_id", F.when(F.col("_held"), F.raise_error(F.lit("scan is stored already"))).otherwise(
-                F.col("scan_id"))).drop("_held")
-    named = ~F.coalesce("ssid_not_broadcast", F.lit(False)) & (F.coalesce("ssid", F.lit("")) != "")
+            rows, scans = _refused(rows, held), _refused(scans, held) if scans is not None else None
     seen = rows.groupBy(F.col("scan_id").alias("id")).agg(
         F.min("observed_at_utc").alias("observed_at_utc"), F.count(F.lit(1)).alias("total_networks"),
         F.count_distinct("interface_guid").alias("interface_count"),
         *[F.first(c, True).alias(c) for c in ("negotiated_api_version",) if c in rows.columns])
     if scans is not None:
-        told = [c for c in ("interface_count", "total_networks") if c in scans.columns]
         s, o = scans.withColumnRenamed("scan_id", "id").alias("s"), seen.alias("o")
-        none = F.lit(0).cast("long")
-        seen = s.join(o, F.col("s.id") == F.col("o.id"), "left").select(
-            "s.id", "s.observed_at_utc", *[F.coalesce(f"s.{c}" if c in told else f"o.{c}", f"o.{c}", none).alias(c)
-                                           for c in ("total_networks", "interface_count")],
-            *[f"o.{c}" for c in seen.columns if c == "negotiated_api_version"])
-    seen = seen.withColumn("scan_date", F.to_date("observed_at_utc"))
+
+        def told(c):
+            known = [F.col(f"{side}.{c}") for side, df in (("s", scans), ("o", seen)) if c in df.columns]
+            return F.coalesce(*known, *([F.lit(0)] if c in ("total_networks", "interface_count") else [F.lit(None)]))
+
+        seen = s.join(o, F.col("s.id") == F.col("o.id"), "left").select("s.id", "s.observed_at_utc", *[told(c).alias(c) for c in SCAN_COLUMNS])
+    seen = seen.select("id", "observed_at_utc", *_with(seen, SCAN_COLUMNS), F.to_date("observed_at_utc").alias("scan_date"))
+    if clear:
+        named = ~F.coalesce("ssid_not_broadcast", F.lit(False)) & (F.coalesce("ssid", F.lit("")) != "")
+        ssid, bssid = F.when(named, hash_identifier("ssid", F.col("ssid"))), hash_identifier("bssid", F.col("bssid"))
+    else:
+        ssid, bssid = F.when(~F.coalesce("ssid_not_broadcast", F.lit(False)), F.col("ssid_hash")), F.col("bssid_hash")
     observation = rows.select(
         F.col("observation_id").alias("id"), F.col("scan_id").alias("scan_session_id"), "network_id",
         hash_identifier("interface-guid", F.col("interface_guid")).alias("interface_guid_hash"),
-        F.when(named, hash_identifier("ssid", F.col("ssid"))).alias("ssid_hash"),
-        hash_identifier("bssid", F.col("bssid")).alias("bssid_hash"), *_with(rows, OBSERVATION_COLUMNS), "scan_date")
+        ssid.alias("ssid_hash"), bssid.alias("bssid_hash"), *_with(rows, OBSERVATION_COLUMNS), "scan_date")
     analysed = F.col("status").isin("ready", "insufficient_history")
     features = rows.where(analysed).select(
-        F.col("observation_id").alias("id"), F.col("observation_id").alias("network_observation_id"), *FEATURE_COLUMNS,
-        F.coalesce("context_available", F.lit(False)).alias("context_available"),
+        F.col("observation_id").alias("id"), F.col("observation_id").alias("network_observation_id"),
+        *_with(rows, dict.fromkeys(FEATURE_COLUMNS, "double")), F.coalesce("context_available", F.lit(False)).alias("context_available"),
         F.coalesce("context_resolution", F.lit("unresolved")).alias("context_resolution"),
         F.coalesce("feature_complete", F.lit(False)).alias("feature_complete"), F.col("scan_id").alias("scan_session_id"), "scan_date")
     detection = rows.where(analysed & F.col("model_version_id").isNotNull()).select(
         F.col("observation_id").alias("id"), F.col("scan_id").alias("scan_session_id"),
-        F.col("observation_id").alias("network_observation_id"), "model_version_id",
+        F.col("observation_id").alias("network_observation_id"), F.col("model_version_id").cast("long").alias("model_version_id"),
         *_with(rows, DETECTION_COLUMNS), F.col("observed_at_utc").alias("created_at_utc"), "scan_date")
     return {"scan_session": seen, "network_observation": observation, "network_features": features,
             "detection": detection}
 
 
-def append_scans(tables: dict[str, DataFrame], root: str) -> None:
+def append_scans(tables: dict[str, DataFrame], root: str, batch: str | None = None) -> str:
+    """Writes the tables as one batch and commits it."""
+    folder = uuid.uuid4().hex
+    batch = batch or folder
     for name, df in tables.items():
+        path = f"{root}/{name}/folder=f-{folder}"
         if "scan_date" in df.columns:
             scan = "id" if name == "scan_session" else "scan_session_id"
             # A task holds few dates, and a file the scans of a range, so that both kinds of filter skip files.
-            df.repartitionByRange("scan_date", scan).sortWithinPartitions("scan_date", scan).write.mode("append").partitionBy(
-                "scan_date").parquet(f"{root}/{name}")
+            df.repartitionByRange("scan_date", scan).sortWithinPartitions("scan_date", scan).write.partitionBy(
+                "scan_date").parquet(path)
         else:
-            df.write.mode("append").parquet(f"{root}/{name}")
-
-
-def read_store(spark, root: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{root}/{name}") for name in TABLES}
+            df.write.parquet(path)
+    _commit(tables, root, batch, f"f-{folder}")
+    return batch
+
+
+def _commit(tables: dict[str, DataFrame], root: str, batch: str, folder: str) -> None:
+    """One small file that appears at once; what it does not name does not exist for readers."""
+    spark = next(iter(tables.values())).sparkSession
+    found = {}
+    for name, id_column, counts in (("scan_session", "id", ("scans", "scan")), ("network_observation", "id", ("observations", "id"))):
+        if name in tables:
+            found[name] = tables[name].groupBy("scan_date").agg(
+                F.count(F.lit(1)).alias(counts[0]), F.min(id_column).alias(f"first_{counts[1]}"), F.max(id_column).alias(f"last_{counts[1]}"))
+    names = ["scan_date", "scans", "observations", "first_scan", "last_scan", "first_id", "last_id"]
+    rows = None
+    for df in found.values():
+        rows = df if rows is None else rows.join(df, "scan_date", "full")
+    rows = [] if rows is None else [tuple(r[c] if c in r else None for c in names) for r in rows.toLocalIterator()]
+    table = spark.createDataFrame([(batch, folder, *r) for r in rows or [(None,) * 7]], MANIFEST)
+    table.coalesce(1).write.parquet(f"{root}/manifest/part={folder}")
+
+
+def manifest(spark: SparkSession, root: str) -> DataFrame | None:
+    """Committed batches with their dates, counts and ranges of ids; None before the first one."""
+    try:
+        return spark.read.schema(f"{MANIFEST}, part string").parquet(f"{root}/manifest").drop("part")
+    except AnalysisException:
+        return None
+
+
+def stored_scans(spark: SparkSession, root: str, dates: DataFrame) -> DataFrame | None:
+    """Ids of the scans stored between the first and the last of the given dates; only those partitions are read."""
+    done = manifest(spark, root)
+    span = dates.agg(F.min("scan_date").alias("a"), F.max("scan_date").alias("b")).first()
+    if done is None or span["a"] is None:
+        return None
+    return _committed(spark, root, "scan_session", done).where(F.col("scan_date").between(span["a"], span["b"])).select("id")
+
+
+def ingest(scored: DataFrame, root: str, scans: DataFrame | None = None, repeated: str = "fail", batch: str | None = None,
+           models: DataFrame | None = None) -> str:
+    """Stores one batch of scored scans; computed once, whatever the number of tables.
+
+    A batch committed before is left alone, so a retried caller changes nothing. Repeated scans are looked for among those of the same
+    dates; with `repeated="fail"` they are refused before anything is written. Without `observation_id`, observations are
+    numbered on from the largest stored one. One writer at a time.
+    """
+    spark = scored.sparkSession
+    done = manifest(spark, root)
+    if batch is not None and done is not None and not done.where(F.col("batch") == batch).isEmpty():
+        return batch
+    if "observation_id" not in scored.columns:
+        last = None if done is None else done.agg(F.max("last_id").alias("m")).first()["m"]
+        scored = numbered(scored, "observation_id", 1 + (last or 0))
+    else:
+        scored = stored(scored, "scored-scans")
+    told = scored.select("scan_id", "observed_at_utc") if scans is None else stored(scans, "scans").select("scan_id", "observed_at_utc").unionByName(
+        scored.select("scan_id", "observed_at_utc"))
+    held = stored_scans(spark, root, told.select(F.to_date("observed_at_utc").alias("scan_date")))
+    if held is not None:
+        held = stored(held.join(told.select(F.col("scan_id").alias("id")), "id", "left_semi").distinct(), "repeated-scans")
+        if repeated == "fail" and not held.isEmpty():
+            raise ValueError("scan is stored already")
+    tables = persist_scans(scored, held, scans, repeated)
+    return append_scans({**tables, **({} if models is None else {"model_version": models})}, root, batch)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    try:
+        return bool(spark.read.parquet(path).columns)
+    except AnalysisException:
+        return False
+
+
+def _committed(spark: SparkSession, root: str, name: str, done: DataFrame) -> DataFrame:
+    read = spark.read
+    if name in SCHEMAS:
+        read = read.schema(", ".join(f"{c} {t}" for c, t in [*SCHEMAS[name].items(), ("folder", "string"), ("scan_date", "date")]))
+    folders = done.select(F.col("folder").alias("_folder")).distinct()
+    return read.parquet(f"{root}/{name}").join(folders, F.col("folder") == F.col("_folder"), "left_semi").drop("folder")
+
+
+def read_store(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The committed rows of all tables, and the manifest."""
+    done = manifest(spark, root)
+    if done is None:
+        raise ValueError(f"{root} holds no committed batch")
+    held = [name for name in TABLES if name != "model_version" or _exists(spark, f"{root}/{name}")]
+    return {**{name: _committed(spark, root, name, done) for name in held}, "manifest": done}
+
+
+def dates_of(db: dict[str, DataFrame], first: str, last: str, value) -> list | None:
+    """Dates whose range of ids holds the value; few, as ids rise with time. None if the store has no manifest."""
+    if "manifest" not in db:
+        return None
+    hit = db["manifest"].where((F.col(first) <= F.lit(value)) & (F.lit(value) <= F.col(last)))
+    return [r["scan_date"] for r in hit.select("scan_date").distinct().toLocalIterator()]
 
 
 def upsert_model_version(registry: DataFrame, new: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """The same computations over streams."""
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -7,14 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.utils import AnalysisException
 
-from wavelark.functions.identity import stable_group_id
+from wavelark.functions.identity import network_id, stable_group_id
 from wavelark.operators.context import Reference
 from wavelark.operators.decisions import decide
 from wavelark.operators.scan_flatten import flatten_scans
 from wavelark.operators.windows import GROUP_KEYS, MISSING_BSSID
-from wavelark.schema import DESKTOP_FEATURES
+from wavelark.session import stored
+from wavelark.sources import store
 
 
 def dedupe(stream: DataFrame, keys: list[str], time: str, watermark: str = "1 hour") -> DataFrame:
@@ -22,36 +23,30 @@ def dedupe(stream: DataFrame, keys: list[str], time: str, watermark: str = "1 ho
     return stream.withWatermark(time, watermark).dropDuplicatesWithinWatermark(keys)
 
 
-def _existing(spark, path: str, batch: int) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path).where(F.col("batch") != batch)
-    except AnalysisException:
-        return None
-
-
 def score_stream(scans: DataFrame, ref: Reference, scaler: DataFrame, scorer: Callable[[DataFrame], DataFrame],
-                 threshold: Column | float, out: str, checkpoint: str,
-                 environment: str = "unknown") -> StreamingQuery:
-    """Score each batch of scan documents and append scans and decisions under `out`.
+                 threshold: Column | float, out: str, checkpoint: str, environment: str = "unknown",
+                 model_version_id: int | None = 1, model_version: str | None = None) -> StreamingQuery:
+    """Score each batch of scan documents and store its scans, observations, features and detections under `out`.
 
-    A batch owns its own folder and replaces it when it is retried, so results are written once. A
-    scan (session and index) that an earlier batch stored is left out.
+    A batch is committed as a whole once all four tables are written; one that was interrupted is written again, and one that was
+    committed is left alone. A scan (session and index) that is stored already is left out, also if it saw no network.
     """
+    # Batches of another stream into the same store have other names.
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+
     def handle(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.withColumn("scan_id", F.concat_ws("-", "session_id", "scan_index")).dropDuplicates(["scan_id"])
-        stored = _existing(spark, f"{out}/scan_session", number)
-        if stored is not None:
-            fresh = fresh.join(stored.select("scan_id"), "scan_id", "left_anti")
+        scan_id = F.concat_ws("-", "session_id", "scan_index")
+        fresh = stored(batch.withColumn("scan_id", scan_id).dropDuplicates(["scan_id"]), "scan-batch")
+        held = store.stored_scans(spark, out, fresh.select(F.to_date("captured_at_utc").alias("scan_date")))
+        if held is not None:
+            fresh = fresh.join(held.withColumnRenamed("id", "scan_id"), "scan_id", "left_anti")
         rows = flatten_scans(fresh, F.col("session_id"), environment)
-        rows = rows.withColumn("scan_id", F.concat_ws("-", "session_id", "scan_index"))
-        scored = decide(rows, ref, scaler, scorer, threshold)
-        decisions = scored.select(
-            "scan_id", "session_id", "scan_index", "captured_at_utc", "ssid_hash", "bssid_hash", "security_type",
-            "context_resolution", *DESKTOP_FEATURES, "status", "anomaly_score", "is_anomaly", "suspicion_level")
-        decisions.write.mode("overwrite").parquet(f"{out}/detection/batch={number}")
-        # Scans are recorded last and mark the batch as complete.
-        fresh.select("scan_id", "captured_at_utc").write.mode("overwrite").parquet(f"{out}/scan_session/batch={number}")
+        rows = decide(rows, ref, scaler, scorer, threshold, model_version=model_version).withColumns({
+            "scan_id": scan_id, "observed_at_utc": F.col("captured_at_utc"), "network_id": network_id(F.col("interface_guid"), F.col("bssid_hash")),
+            "model_version_id": F.lit(model_version_id).cast("long")})
+        told = fresh.select("scan_id", F.col("captured_at_utc").alias("observed_at_utc"), F.size("interfaces").cast("long").alias("interface_count"))
+        store.ingest(rows, out, scans=told, repeated="skip", batch=f"s-{stream}-{number}")
 
     return (scans.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
