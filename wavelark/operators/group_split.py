@@ -3,19 +3,22 @@
 Groups go, largest first, to the split with the largest relative deficit. Between groups of one
 size that is a merge of three falling deficit sequences, so the state before every *size* fixes
 the split of every group of that size. Only the sizes are walked one after another - distinct
-sizes are at most the square root of twice the row count - and all groups are placed in parallel.
+sizes are at most the square root of twice the row count. All groups are then placed at once: a binary search
+over arrays finds each one's place in the merge, and where deficits tie, the up to three groups that share a tie
+settle it by their hashes.
 """
 
 import hashlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavelark.operators.checks import require_columns
-from wavelark.operators.ordering import with_position, with_previous
+from wavelark.operators.ordering import with_position
 from wavelark.schema import SPLIT_SEED
 from wavelark.session import stored
 
@@ -24,64 +27,67 @@ SPLITS = ["train", "validation", "test"]
 NETWORK_GROUPED_SOURCES = ["mendeley_rogue_ap"]
 
 
-def _tie_hash(seed, group, split):
-    return hashlib.sha256(f"{seed}|{group}|{split}".encode()).hexdigest()[:16]
+def _above(value: np.ndarray, inclusive: bool, size, held, target) -> np.ndarray:
+    """How many terms of one falling deficit sequence lie above a value (or at it)."""
+    floor = np.maximum(target, 1.0)
 
+    def holds(j):
+        score = (target - (held + j * size)) / floor
+        return score >= value if inclusive else score > value
 
-def _choose(seed, group, open_splits):
-    return min(open_splits, key=lambda i: _tie_hash(seed, group, SPLITS[i]))
+    # The division is off by at most a step or two; the terms themselves decide.
+    j = np.maximum((target - held - value * floor) / size, 0).astype(np.int64)
+    while (back := (j > 0) & ~holds(np.maximum(j - 1, 0))).any():
+        j = j - back
+    while (on := holds(j)).any():
+        j = j + on
+    return j
 
 
-def _state_after(picks, size, held, targets, recent, seed):
-    """Counts per split after `picks` groups of one size, and the splits tied for the next one.
+def merge_place(position: np.ndarray, size: np.ndarray, held: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row: terms of the three sequences that come before its place in their merge, and which are tied at it.
 
-    `recent` are the ids of the last groups before that position, newest first.
+    `held` and `targets` have a column per split. Rows are independent of each other, and all are solved at once.
     """
-    floors = [max(t, 1.0) for t in targets]
-
-    def score(i, j):
-        return (targets[i] - (held[i] + j * size)) / floors[i]
+    size, columns = size.astype(np.float64), range(held.shape[1])
+    best = None
+    for i in columns:
+        floor = np.maximum(targets[:, i], 1.0)
+        low, high = np.zeros(len(position), np.int64), position.astype(np.int64).copy()
+        while (open_ := low < high).any():
+            middle = (low + high) // 2
+            value = (targets[:, i] - (held[:, i] + middle * size)) / floor
+            enough = sum(_above(value, True, size, held[:, k], targets[:, k]) for k in columns) > position
+            high = np.where(open_ & enough, middle, high)
+            low = np.where(open_ & ~enough, middle + 1, low)
+        value = (targets[:, i] - (held[:, i] + low * size)) / floor
+        best = value if best is None else np.maximum(best, value)
+    before = np.column_stack([_above(best, False, size, held[:, k], targets[:, k]) for k in columns])
+    score = (targets - (held + before * size[:, None])) / np.maximum(targets, 1.0)
+    return before, score == best[:, None]
 
-    def above(i, value, inclusive):
-        j = max(int((targets[i] - held[i] - value * floors[i]) / size), 0)
-        holds = (lambda x: x >= value) if inclusive else (lambda x: x > value)
-        while j > 0 and not holds(score(i, j - 1)):
-            j -= 1
-        while holds(score(i, j)):
-            j += 1
-        return j
 
-    best = None
-    for i in range(3):
-        low, high = 0, picks
-        while low < high:
-            mid = (low + high) // 2
-            if sum(above(k, score(i, mid), True) for k in range(3)) > picks:
-                high = mid
-            else:
-                low = mid + 1
-        value = score(i, low)
-        best = value if best is None or value > best else best
-    counts = [above(i, best, False) for i in range(3)]
-    tied = [i for i in range(3) if score(i, counts[i]) == best]
-    for group in reversed(recent[: picks - sum(counts)]):
-        taken = _choose(seed, group, tied)
-        counts[taken] += 1
-        tied.remove(taken)
-    return counts, tied
+def _tie_hash(seed, group, split):
+    return hashlib.sha256(f"{seed}|{group}|{split}".encode()).hexdigest()[:16]
 
 
 def _walk_sizes(ratios, seed):
     def walk(sizes: pd.DataFrame) -> pd.DataFrame:
         sizes = sizes.sort_values("size", ascending=False)
         total = float((sizes["size"] * sizes["groups"]).sum())
-        targets = [total * r for r in ratios]
-        held, out = [0.0, 0.0, 0.0], []
-        for row in sizes.itertuples(index=False):
-            out.append(list(held))
-            recent = [g for g in (row.last_group, row.second_last) if g is not None]
-            counts, _ = _state_after(int(row.groups), float(row.size), held, targets, recent, seed)
-            held = [h + c * float(row.size) for h, c in zip(held, counts)]
+        targets = np.array([[total * r for r in ratios]])
+        held, out = np.zeros((1, 3)), []
+        for size, groups, last, second in zip(sizes["size"], sizes["groups"], sizes["last_group"], sizes["second_last"]):
+            out.append(held[0].tolist())
+            counts, tied = merge_place(np.array([groups]), np.array([size]), held, targets)
+            counts, open_ = counts[0].copy(), np.flatnonzero(tied[0]).tolist()
+            # Groups of a tie that the next size goes on with.
+            begun = int(groups - counts.sum())
+            for group in ([second, last] if begun == 2 else [last])[:begun]:
+                taken = min(open_, key=lambda i: _tie_hash(seed, group, SPLITS[i]))
+                counts[taken] += 1
+                open_.remove(taken)
+            held = held + counts * float(size)
         states = np.array(out)
         return pd.DataFrame({
             "source_dataset": sizes["source_dataset"], "size": sizes["size"], "total": total,
@@ -89,22 +95,25 @@ def _walk_sizes(ratios, seed):
     return walk
 
 
-def _place(ratios, seed):
-    def place(batches):
+def _place(ratios):
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            splits = []
-            for g in batch.itertuples(index=False):
-                recent = [x for x in (g.before_1, g.before_2) if isinstance(x, str)]
-                targets = [g.total * r for r in ratios]
-                _, tied = _state_after(int(g.position), float(g.size), [g.held_0, g.held_1, g.held_2],
-                                       targets, recent, seed)
-                splits.append(SPLITS[_choose(seed, g.split_group_id, tied)])
-            yield batch[["source_dataset", "split_group_id"]].assign(split=splits)
+            if not batch.num_rows:
+                continue
+            position, size, total = (batch.column(n).to_numpy() for n in ("position", "size", "total"))
+            held = np.column_stack([batch.column(f"held_{i}").to_numpy() for i in range(3)])
+            before, tied = merge_place(position, size, held, total[:, None] * np.array(ratios))
+            turn = position - before.sum(axis=1)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("source_dataset"), batch.column("split_group_id"), batch.column("size"), pa.array(position - turn),
+                 pa.array(turn.astype(np.int32)), *(pa.array(tied[:, i]) for i in range(3))],
+                names=["source_dataset", "split_group_id", "size", "tie", "turn", "tied_0", "tied_1", "tied_2"])
     return place
 
 
 def group_split(df: DataFrame, ratios: Sequence[float] = (0.70, 0.15, 0.15),
                 seed: int = SPLIT_SEED) -> DataFrame:
+    """Adds split, split_group_type and split_group_id. The rows are read twice; store those that are costly to compute."""
     require_columns(df, ["source_dataset", "session_id", "network_identity_id"], "group split")
     kind = F.when(F.col("source_dataset").isin(NETWORK_GROUPED_SOURCES), "network_identity_id").otherwise("session_id")
     group = F.when(kind == "network_identity_id", F.col("network_identity_id")).otherwise(F.col("session_id"))
@@ -114,16 +123,29 @@ def group_split(df: DataFrame, ratios: Sequence[float] = (0.70, 0.15, 0.15),
     sizes = stored(sizes.withColumn("_hash", F.substring(
         F.sha2(F.concat(F.lit(f"{seed}|"), "split_group_id"), 256), 1, 16)), "group-sizes")
     keys, order = ["source_dataset", "size"], ["_hash", "split_group_id"]
-    block = F.substring("_hash", 1, 2)
-    placed = with_position(sizes, keys, [F.col(c) for c in order], block, "position", "groups")
-    chained = with_previous(placed, keys, order, block, {"before_1": "split_group_id"})
-    chained = stored(with_previous(chained, keys, order, block, {"before_2": "before_1"}), "group-order")
-    last = chained.where(F.col("position") == F.col("groups") - 1).select(
-        *keys, "groups", F.col("split_group_id").alias("last_group"), F.col("before_1").alias("second_last"))
+    placed = stored(with_position(sizes, keys, [F.col(c) for c in order], F.substring("_hash", 1, 2), "position", "groups"), "group-order")
+    at_end = F.col("groups") - F.col("position")
+    last = placed.where(at_end <= 2).groupBy(*keys, "groups").agg(
+        F.max(F.when(at_end == 1, F.col("split_group_id"))).alias("last_group"),
+        F.max(F.when(at_end == 2, F.col("split_group_id"))).alias("second_last"))
     states = last.groupBy("source_dataset").applyInPandas(
         _walk_sizes(list(ratios), seed),
         "source_dataset string, size long, total double, held_0 double, held_1 double, held_2 double")
-    assigned = chained.join(states, keys).mapInPandas(
-        _place(list(ratios), seed), "source_dataset string, split_group_id string, split string")
-    return rows.join(assigned, ["source_dataset", "split_group_id"]).select(
+    merged = placed.join(states, keys).mapInArrow(
+        _place(list(ratios)), "source_dataset string, split_group_id string, size long, tie long, turn int, tied_0 boolean, tied_1 boolean, tied_2 boolean")
+    # The groups of one tie, at most one per split, choose in order among the tied splits that are left.
+    open_splits = F.filter(F.array(*[F.when(F.col(f"tied_{i}"), F.struct(
+        F.substring(F.sha2(F.concat(F.lit(f"{seed}|"), "split_group_id", F.lit(f"|{name}")), 256), 1, 16).alias("hash"),
+        F.lit(name).alias("split"))) for i, name in enumerate(SPLITS)]), lambda x: x.isNotNull())
+    in_tie = Window.partitionBy(*keys, "tie").orderBy("turn")
+
+    def without(*taken):
+        return F.array_min(F.filter("_open", lambda x: ~F.array_contains(F.array(*taken), x["split"])))["split"]
+
+    chosen = merged.withColumn("_open", open_splits).withColumn("_first", F.array_min("_open")["split"])
+    chosen = chosen.withColumn("_head", F.first("_first").over(in_tie)).withColumn(
+        "_second", F.when(F.col("turn") == 1, without("_head")))
+    chosen = chosen.withColumn("_next", F.lag("_second").over(in_tie)).withColumn(
+        "split", F.when(F.col("turn") == 0, F.col("_first")).when(F.col("turn") == 1, F.col("_second")).otherwise(without("_head", "_next")))
+    return rows.join(chosen.select("source_dataset", "split_group_id", "split"), ["source_dataset", "split_group_id"]).select(
         *df.columns, "split", "split_group_type", "split_group_id")

@@ -8,7 +8,7 @@ from wavelark.plans.catalog import query, rounded
 from wavelark.plans.context_queries import desktop_features, desktop_reference, reference
 from wavelark.plans.oracle_views import CONTEXT, DESKTOP_CONTEXT, OBS, TEMPORAL
 from wavelark.plans.views import desktop_rows, observations
-from wavelark.schema import CONTEXTUAL_FULL_V1, DESKTOP_FEATURES, RADIO_FEATURE_SETS
+from wavelark.schema import CONTEXTUAL_FULL_V1, DESKTOP_FEATURES, RADIO_FEATURE_SETS, SPLIT_SEED
 from wavelark.session import stored
 
 
@@ -29,9 +29,23 @@ def contextual_split(spark, sf_dir):
     return splits.contextual_split(observations(spark, sf_dir)).select("event_id", "session_id", "context_split")
 
 
-@query("group_split")
+# The greedy rule group by group, largest first, over the state of the three splits.
+@query("group_split", f"""WITH RECURSIVE {TEMPORAL}, s AS (SELECT source_dataset, network_identity_id, session_id, window_start_ms,
+    CASE WHEN source_dataset = 'mendeley_rogue_ap' THEN 'network_identity_id' ELSE 'session_id' END AS split_group_type,
+    CASE WHEN source_dataset = 'mendeley_rogue_ap' THEN network_identity_id ELSE session_id END AS split_group_id FROM temporal),
+g AS (SELECT source_dataset, split_group_id, count(*)::DOUBLE AS size FROM s GROUP BY 1, 2),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY source_dataset ORDER BY size DESC, substr(sha256('{SPLIT_SEED}|' || split_group_id), 1, 16), split_group_id) AS n,
+    sum(size) OVER (PARTITION BY source_dataset) AS total,
+    list_transform(['train', 'validation', 'test'], lambda x: substr(sha256('{SPLIT_SEED}|' || split_group_id || '|' || x), 1, 16)) AS tie FROM g),
+walk AS (SELECT DISTINCT source_dataset, 0::BIGINT AS n, [0::DOUBLE, 0::DOUBLE, 0::DOUBLE] AS held, 0::BIGINT AS pick FROM o
+    UNION ALL SELECT source_dataset, n, list_transform(held, lambda h, i: CASE WHEN i = pick THEN h + size ELSE h END), pick FROM (
+        SELECT *, list_sort(list_transform(list_filter([1, 2, 3], lambda i: d[i] = list_max(d)), lambda i: {{'hash': tie[i], 'i': i}}))[1].i::BIGINT AS pick FROM (
+            SELECT o.*, held, list_transform([0.70::DOUBLE, 0.15::DOUBLE, 0.15::DOUBLE], lambda r, i: (total * r - held[i]) / greatest(total * r, 1)) AS d
+            FROM walk w JOIN o ON o.source_dataset = w.source_dataset AND o.n = w.n + 1)))
+SELECT source_dataset, network_identity_id, session_id, window_start_ms, ['train', 'validation', 'test'][pick] AS split, split_group_type, split_group_id
+FROM s JOIN o USING (source_dataset, split_group_id) JOIN walk USING (source_dataset, n)""")
 def group_split_rows(spark, sf_dir):
-    return group_split.group_split(temporal(spark, sf_dir)).select(
+    return group_split.group_split(stored(temporal(spark, sf_dir), "temporal")).select(
         "source_dataset", "network_identity_id", "session_id", "window_start_ms", "split", "split_group_type",
         "split_group_id")
 
