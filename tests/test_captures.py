@@ -1,5 +1,7 @@
 import os
+import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,6 +191,30 @@ def test_security_posture(frame, blob, capability, kind, source, channel, trunca
     assert r["security_strength"] == elements.STRENGTH[kind]
 
 
+def test_walk_equals_a_plain_reading(frame):
+    """Random blobs, cut anywhere; empty and missing ones; elements without a payload; slices of a column."""
+    rng = random.Random(5)
+    blobs = [None, b"", b"\x00", b"\x03\x00", b"\x03\x05ab"]
+    for _ in range(300):
+        blob = b"".join(bytes([rng.choice([0, 3, 48, 221]), n]) + rng.randbytes(n) for n in [rng.choice([0, 0, 1, 4, 30, 255]) for _ in range(rng.randrange(9))])
+        blobs.append(blob[:rng.randrange(len(blob) + 1)] if rng.random() < 0.5 else blob)
+
+    def plain(blob):
+        out, at, blob = [], 0, blob or b""
+        while at + 2 <= len(blob) and at + 2 + blob[at + 1] <= len(blob):
+            out.append((blob[at], blob[at + 2:at + 2 + blob[at + 1]]))
+            at += 2 + blob[at + 1]
+        return out, at < len(blob)
+
+    rows = elements.with_elements(frame(list(enumerate(blobs)), "capture_id long, ie_blob binary")).collect()
+    assert {r["capture_id"]: ([(e["element_id"], bytes(e["data"])) for e in r["elements"]], r["truncated"]) for r in rows} == dict(enumerate(map(plain, blobs)))
+    part = pa.array(blobs, pa.binary()).slice(7, 50)
+    blob, kind, begin, end, _ = elements.walk_elements(part)
+    data, _ = elements.buffer_of(part)
+    assert [(b, k, data[x:y].tobytes()) for b, k, x, y in zip(blob, kind, begin, end)] == [
+        (i, k, d) for i, own in enumerate(blobs[7:57]) for k, d in plain(own)[0]]
+
+
 def test_elements_in_order(frame):
     df = frame([(1, bytearray.fromhex("0001410300"), 0), (2, None, 0)], "capture_id long, ie_blob binary, capability_info int")
     got = [(r["capture_id"], r["position"], r["element_id"], r["data"]) for r in elements.explode_elements(df).orderBy("capture_id", "position").collect()]

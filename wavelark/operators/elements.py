@@ -1,6 +1,7 @@
 """Information elements of raw captures and the security they announce."""
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,17 +23,45 @@ PARSED = T.StructType([
 ])
 
 
-@F.pandas_udf(PARSED)
-def _split_elements(blobs: pd.Series) -> pd.DataFrame:
-    def split(blob):
-        found, at, blob = [], 0, blob or b""
-        while at + 2 <= len(blob) and at + 2 + blob[at + 1] <= len(blob):
-            end = at + 2 + blob[at + 1]
-            found.append({"element_id": blob[at], "data": bytes(blob[at + 2:end])})
-            at = end
-        return found, at < len(blob)
-
-    return pd.DataFrame([split(b) for b in blobs], columns=["elements", "truncated"])
+def walk_elements(blobs: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All elements of a column of blobs: blob, element id, begin and end of the payload in the buffer, by blob and place;
+    and whether bytes are left over in each blob. All blobs are walked in step, one element of each at a time."""
+    data, offsets = buffer_of(blobs)
+    at, end = offsets[:-1].copy(), offsets[1:]
+    found, active = [], np.arange(len(blobs))
+    while len(active):
+        here, stop = at[active], end[active]
+        room = here + 2 <= stop
+        active, here, stop = active[room], here[room], stop[room]
+        after = here + 2 + data[here + 1].astype(np.int64)
+        whole = after <= stop
+        active, here, after = active[whole], here[whole], after[whole]
+        found.append((active, data[here], here + 2, after))
+        at[active] = after
+    blob, kind, begin, stop = (np.concatenate(x) for x in zip(*found)) if found else [np.zeros(0, np.int64)] * 4
+    order = np.argsort(blob, kind="stable")
+    return blob[order], kind[order], begin[order], stop[order], at < end
+
+
+def buffer_of(blobs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of a binary column and the place where each blob begins (one more at the end); NULL is empty."""
+    blobs = blobs.fill_null(b"") if blobs.null_count else blobs
+    _, offsets, data = blobs.cast(pa.large_binary()).buffers()
+    places = np.frombuffer(offsets, np.int64)[blobs.offset:blobs.offset + len(blobs) + 1]
+    return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), places
+
+
+@F.arrow_udf(PARSED)
+def _split_elements(blobs: pa.Array) -> pa.Array:
+    blob, kind, begin, end, truncated = walk_elements(blobs)
+    data, _ = buffer_of(blobs)
+    length = end - begin
+    ends = np.concatenate([[0], np.cumsum(length)])
+    taken = np.repeat(begin - ends[:-1], length) + np.arange(ends[-1])
+    payload = pa.Array.from_buffers(pa.binary(), len(kind), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data[taken])])
+    elements = pa.StructArray.from_arrays([pa.array(kind.astype(np.int32)), payload], names=["element_id", "data"])
+    lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(blob, np.arange(len(blobs) + 1)).astype(np.int32)), elements)
+    return pa.StructArray.from_arrays([lists, pa.array(truncated)], names=["elements", "truncated"])
 
 
 def with_elements(captures: DataFrame) -> DataFrame:
