@@ -157,8 +157,10 @@ def test_scan_documents(spark, frame, tmp_path):
     with pytest.raises(Exception, match="number of target rows"):
         scan_flatten.flatten_controlled(docs, manifest.withColumn("matched_observation_count", F.lit(3))).collect()
     write(f"{tmp_path}/broken.jsonl", '{"scan_index": \n')
+    with pytest.raises(ValueError, match="malformed.*broken.jsonl line 1$"):
+        scans.read_scan_jsonl(spark, f"{tmp_path}/broken.jsonl")
     with pytest.raises(Exception, match="(?i)malformed"):
-        scans.read_scan_jsonl(spark, f"{tmp_path}/broken.jsonl").collect()
+        scans.read_scan_jsonl(spark, f"{tmp_path}/broken.jsonl", located=False).collect()
     write(f"{tmp_path}/null.jsonl", '{"session_id": "s", "interfaces": [{"bss_entries": [{"rssi_dbm": 1}]}]}\n')
     with pytest.raises(Exception, match="NULL in bssid_hash"):
         scan_flatten.flatten_scans(scans.read_scan_jsonl(spark, f"{tmp_path}/null.jsonl"), "s", "x").collect()
@@ -191,6 +193,23 @@ def test_security_posture(frame, blob, capability, kind, source, channel, trunca
     assert r["security_strength"] == elements.STRENGTH[kind]
 
 
+def test_broken_lines_are_located_over_splits(spark, tmp_path):
+    """Lines are numbered through all splits of a file, blank lines included."""
+    good = '{"session_id": "s", "scan_index": 1, "interfaces": []}'
+    for name, broken in (("a", {4, 900}), ("b", {1500})):
+        lines = ["{not json" if i in broken else "" if i % 50 == 7 else good for i in range(1, 2001)]
+        write(f"{tmp_path}/scans/{name}.jsonl", "\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        got = [(os.path.basename(r["file"]), r["line"]) for r in scans.broken_lines(spark, f"{tmp_path}/scans").orderBy("file", "line").collect()]
+        assert spark.read.text(f"{tmp_path}/scans").rdd.getNumPartitions() > 4
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == [("a.jsonl", 4), ("a.jsonl", 900), ("b.jsonl", 1500)]
+    with pytest.raises(ValueError, match="a.jsonl line 4, .*a.jsonl line 900, .*b.jsonl line 1500"):
+        scans.read_scan_jsonl(spark, f"{tmp_path}/scans")
+
+
 def test_walk_equals_a_plain_reading(frame):
     """Random blobs, cut anywhere; empty and missing ones; elements without a payload; slices of a column."""
     rng = random.Random(5)

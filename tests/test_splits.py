@@ -5,7 +5,7 @@ import pytest
 from pyspark.errors import SparkRuntimeException
 from pyspark.sql import functions as F
 
-from wavelark.operators import group_split, splits
+from wavelark.operators import group_split, ordering, splits, windows
 
 
 def stable(value, seed):
@@ -52,7 +52,7 @@ def test_no_group_in_two_splits(frame):
 def test_contextual_split_sizes(frame):
     rows = [(f"s{i % 2}", float(i // 2) if i % 10 else None, i) for i in range(40)]
     df = frame(rows, "session_id string, elapsed_ms double, event_id long")
-    got = splits.contextual_split(df, block_ms=3).groupBy("session_id", "context_split").count().collect()
+    got = splits.contextual_split(df).groupBy("session_id", "context_split").count().collect()
     assert {(r[0], r[1]): r[2] for r in got if r[0] == "s0"} == {
         ("s0", "reference"): 8, ("s0", "model_train"): 6, ("s0", "validation"): 3, ("s0", "test_normal"): 3}
     last = splits.contextual_split(df).where(F.col("elapsed_ms").isNull()).select("context_split").distinct().collect()
@@ -61,6 +61,26 @@ def test_contextual_split_sizes(frame):
         splits.contextual_split(df, (0.5, 0.3, 0.1, 0.2))
 
 
+def test_crowded_second_is_cut(spark, frame):
+    """Nine rows in ten lie in one session and one instant; ranges of the order share them out."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = spark.range(40_000).selectExpr(
+            "CASE WHEN id % 10 = 0 THEN concat('s', id % 7) ELSE 'hot' END AS session_id",
+            "CASE WHEN id % 10 = 0 THEN id % 1000 ELSE 5 END AS elapsed_ms", "hash(id) AS event_id")
+        order = [F.col("elapsed_ms").asc_nulls_last(), F.col("event_id")]
+        blocks = ordering.dealt(rows, ["session_id"], order).groupBy("_block").count().collect()
+        sizes = sorted(r["count"] for r in blocks)
+        assert len(sizes) >= 4 and sizes[-1] < 3 * sizes[len(sizes) // 2]
+        got = {(r[0], r[1]): r[2] for r in splits.contextual_split(rows).groupBy("session_id", "context_split").count().collect()}
+        assert [got["hot", s] for s in splits.CONTEXT_SPLITS] == [14_400, 10_800, 5400, 5400]
+        beacons = rows.selectExpr("'x' AS source_dataset", "session_id", "'b' AS bssid", "elapsed_ms", "event_id", "CAST(NULL AS STRING) AS attack_type")
+        gaps = windows.inter_beacon_gap(beacons).groupBy("session_id").agg(F.count("inter_beacon_ms").alias("n"), F.sum("inter_beacon_ms").alias("s"))
+        assert {r["session_id"]: (r["n"], r["s"]) for r in gaps.collect()}["hot"] == (35_999, 0.0)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def test_balanced_sources(frame):
     rows = [("a", i) for i in range(10)] + [("b", 100 + i) for i in range(4)]
     df = frame(rows, "source_dataset string, value long")

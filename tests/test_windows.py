@@ -64,11 +64,15 @@ def test_profile_matches_brute_force(frame):
             key(want, "g", "c", "m", "s", "w")
 
 
-def test_gap_blocks_do_not_matter(frame):
+def test_gap_blocks_do_not_matter(spark, frame):
     rows = [beacon(float(t), -50.0, event_id=i) for i, t in enumerate([5, 5, 130_000, 7, 61_000, 900_000])]
     df = frame(rows, BEACON)
-    wide = {r["event_id"]: r["inter_beacon_ms"] for r in windows.inter_beacon_gap(df, block_ms=10**9).collect()}
-    narrow = {r["event_id"]: r["inter_beacon_ms"] for r in windows.inter_beacon_gap(df, block_ms=1000).collect()}
+    found = []
+    for ranges in ("1", "9"):
+        spark.conf.set("spark.sql.shuffle.partitions", ranges)
+        found.append({r["event_id"]: r["inter_beacon_ms"] for r in windows.inter_beacon_gap(df).collect()})
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    wide, narrow = found
     assert wide == narrow == {0: None, 1: 0.0, 3: 2.0, 4: 60_993.0, 2: 69_000.0, 5: 770_000.0}
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavelark.functions.text import strip
-from wavelark.operators.ordering import with_position
+from wavelark.operators.ordering import dealt, with_position
 
 SEARCHED = ["ssid", "bssid", "security_type", "phy_type", "suspicion_level"]
 # Order of the levels and the text shown for a network without a name.
@@ -43,12 +43,12 @@ def sort(df: DataFrame, mode: str = "default") -> DataFrame:
 
 
 def positions(df: DataFrame, mode: str, tie: str) -> DataFrame:
-    """Adds the place of every network in an order by level or signal, counted through in blocks of one dBm."""
-    signal = F.coalesce(F.least(F.greatest(F.floor(-F.col("rssi_dbm")), F.lit(0)), F.lit(998)), F.lit(999))
-    blocks = {"default": signal, "signal_desc": signal, "suspicion_desc": (4 - _level()) * 1000 + signal}
-    if mode not in blocks:
-        raise ValueError(f"no positions for order {mode}")
-    return with_position(df, [], [*_order(mode), F.col(tie)], blocks[mode])
+    """Adds the place of every network in any of the orders, by ranges of the order, so that no task sorts them all.
+
+    `tie` tells networks apart that are equal otherwise.
+    """
+    order = [*_order(mode), F.col(tie)]
+    return with_position(dealt(df, [], order), [], order, F.col("_block"))
 
 
 def suspicion_counts(df: DataFrame) -> DataFrame:

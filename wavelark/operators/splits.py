@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavelark.operators.checks import require_columns
-from wavelark.operators.ordering import with_position
+from wavelark.operators.ordering import dealt, with_position
 from wavelark.schema import SPLIT_SEED
 
 CONTEXT_SPLITS = ["reference", "model_train", "validation", "test_normal"]
@@ -16,14 +16,13 @@ FURTHER_SESSIONS = ["model_train", "model_train", "validation", "test_normal"]
 
 
 def contextual_split(df: DataFrame, ratios: Sequence[float] = (0.40, 0.30, 0.15, 0.15),
-                     tie_break: str = "event_id", block_ms: int = 1000) -> DataFrame:
-    """Cut every session, in time order, into reference, train, validation and test rows."""
+                     tie_break: str = "event_id") -> DataFrame:
+    """Cut every session, in the order of time and `tie_break`, into reference, train, validation and test rows."""
     require_columns(df, ["session_id", "elapsed_ms", tie_break], "contextual split")
     if abs(sum(ratios) - 1.0) > 1e-8:
         raise ValueError("split ratios must add up to 1")
-    block = F.coalesce(F.floor(F.col("elapsed_ms") / block_ms), F.lit(2**62))
-    placed = with_position(df, ["session_id"], [F.col("elapsed_ms").asc_nulls_last(), F.col(tie_break)],
-                           block, "_at", "_size")
+    order = [F.col("elapsed_ms").asc_nulls_last(), F.col(tie_break)]
+    placed = with_position(dealt(df, ["session_id"], order), ["session_id"], order, F.col("_block"), "_at", "_size")
     counts = [F.floor(F.col("_size") * F.lit(float(r))) for r in ratios[:3]]
     ends = [counts[0], counts[0] + counts[1], counts[0] + counts[1] + counts[2]]
     split = F.when(F.col("_at") < ends[0], CONTEXT_SPLITS[0])

@@ -9,7 +9,7 @@ from wavelark.functions.identity import stable_group_id
 from wavelark.functions.radio import channel_to_frequency_mhz, wifi_band
 from wavelark.functions.text import number
 from wavelark.operators.checks import optional, require_columns
-from wavelark.operators.ordering import with_previous
+from wavelark.operators.ordering import dealt, with_previous
 
 MISSING_BSSID = "__MISSING_BSSID__"
 GROUP_KEYS = ["source_dataset", "session_id", "_attack", "_bssid"]
@@ -34,16 +34,17 @@ def _window_start(column: str, width_ms: int) -> Column:
     return F.floor(F.col(column) / F.lit(float(width_ms))) * F.lit(float(width_ms))
 
 
-def inter_beacon_gap(df: DataFrame, tie_break: Sequence[str] = ("event_id",),
-                     block_ms: int = 60_000) -> DataFrame:
-    """Time since the previous beacon of the same source, session, attack and BSSID."""
+def inter_beacon_gap(df: DataFrame, tie_break: Sequence[str] = ("event_id",)) -> DataFrame:
+    """Time since the previous beacon of the same source, session, attack and BSSID.
+
+    A network is cut into ranges of time and `tie_break`, wherever its rows are dense.
+    """
     require_columns(df, ["source_dataset", "session_id", "elapsed_ms", "bssid"], "beacon gap")
-    rows = _with_group_keys(df)
     # Rows without a time come last and have no gap of their own.
-    block = F.coalesce(F.floor(F.col("elapsed_ms") / block_ms), F.lit(2**62))
-    order = ["elapsed_ms", *[c for c in tie_break if c in df.columns]]
+    order = [F.col("elapsed_ms").asc_nulls_last(), *[F.col(c) for c in tie_break if c in df.columns]]
+    rows = dealt(_with_group_keys(df), GROUP_KEYS, order)
     return (
-        with_previous(rows, GROUP_KEYS, order, block, {"_before": "elapsed_ms"})
+        with_previous(rows, GROUP_KEYS, order, F.col("_block"), {"_before": "elapsed_ms"})
         .withColumn("inter_beacon_ms", F.col("elapsed_ms") - F.col("_before"))
         .drop("_before", "_attack", "_bssid")
     )

@@ -233,6 +233,15 @@ def network_order(spark, sf_dir):
     return networks.positions(listed(spark, sf_dir), "suspicion_desc", "event_id").select("event_id", "suspicion_level", "position")
 
 
+# Names with accents and in capitals beside plain ones: the collation tells neither apart.
+@query("network_name_order", f"""WITH {STORE}, n AS (SELECT *, CASE event_id % 3 WHEN 0 THEN upper(ssid) WHEN 1 THEN replace(ssid, 'e', 'é') ELSE ssid END AS shown FROM st)
+SELECT event_id, row_number() OVER (ORDER BY strip_accents(lower(coalesce(shown, 'SSID não transmitido'))), rssi_dbm DESC, lower(coalesce(shown, '')), bssid, event_id) - 1 AS position FROM n""")
+def network_name_order(spark, sf_dir):
+    n = F.col("event_id") % 3
+    named = listed(spark, sf_dir).withColumn("ssid", F.when(n == 0, F.upper("ssid")).when(n == 1, F.replace("ssid", F.lit("e"), F.lit("é"))).otherwise(F.col("ssid")))
+    return networks.positions(named, "ssid_asc", "event_id").select("event_id", "position")
+
+
 @query("network_suspicion_counts", f"""WITH {STORE} SELECT l.v AS suspicion_level, count(st.event_id) AS networks
 FROM (VALUES ('low'), ('medium'), ('high'), ('unavailable')) l(v) LEFT JOIN st ON st.suspicion_level = l.v GROUP BY 1""")
 def network_suspicion_counts(spark, sf_dir):
