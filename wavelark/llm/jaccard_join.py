@@ -7,8 +7,9 @@
    This joins large families of near copies with a number of comparisons in proportion to their size.
 3. Completeness: two sets above the threshold share shingles of their prefixes, the first few shingles in one
    global order (rare buckets before common ones), and the more the larger they are. Sets that meet in a prefix shingle are
-   put into tiles of one size band each, as narrow rows. Pairs of different components that meet often enough get their
-   bitmaps, whose differing bits bound the overlap from above.
+   put into tiles of one size band each, as narrow rows with the bitmap folded to a few words. Differing bits bound the overlap
+   from above: first those of the folded bitmaps, which tell small sets apart, then, for pairs of different components that
+   meet often enough, those of the whole ones.
 4. Candidates of 2 and 3 are decided by intersecting the sorted shingles of the two texts.
 
 No step lists all pairs of a group whose members are already known to be connected.
@@ -28,6 +29,7 @@ from wavelark.llm.words import mix, shingle_set, slices, word_hashes
 
 BINS = 8
 MIN_BITS, MAX_BITS = 512, 1 << 20
+SKETCH_WORDS = 4
 _BUCKET_BITS = 20
 _RANGE = 4096
 _SALTS = 8
@@ -39,8 +41,14 @@ def _digest(values: np.ndarray) -> bytes:
     return np.array([values.sum(dtype=np.uint64), mixed.sum(dtype=np.uint64)], np.uint64).tobytes()
 
 
-def _signature(values: np.ndarray) -> tuple[bytes, list, bytes]:
-    """Digest, smallest value per bin, and bitmap of at least as many bits as shingles, in which every shingle toggles one."""
+def _folded_bits(bits: np.ndarray, words: int) -> np.ndarray:
+    """A bitmap folded to fewer words of 64 bits; every toggle is kept, so differing bits still bound differing shingles."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, 8 * words), axis=0)
+
+
+def _signature(values: np.ndarray) -> tuple[bytes, list, bytes, list]:
+    """Digest, smallest value per bin, bitmap of at least as many bits as shingles in which every shingle toggles one, and
+    the bitmap folded to `SKETCH_WORDS`."""
     mixed = mix(values ^ np.uint64(0x5851F42D4C957F2D))
     bins = (mixed & np.uint64(BINS - 1)).astype(np.int64)
     minima = np.full(BINS, np.iinfo(np.uint64).max, np.uint64)
@@ -49,8 +57,9 @@ def _signature(values: np.ndarray) -> tuple[bytes, list, bytes]:
     present[bins] = True
     length = min(max(MIN_BITS, 1 << int(len(values) - 1).bit_length()), MAX_BITS)
     bits = np.bincount((mixed >> np.uint64(32)).astype(np.int64) & (length - 1), minlength=length) & 1
+    packed = np.packbits(bits.astype(np.uint8))
     return (_digest(values), [int(m) if p else None for m, p in zip(minima.view(np.int64), present)],
-            np.packbits(bits.astype(np.uint8)).tobytes())
+            packed.tobytes(), _folded_bits(packed, SKETCH_WORDS).view(np.int64).tolist())
 
 
 def differing_bits(a: bytes, b: bytes) -> int:
@@ -59,46 +68,43 @@ def differing_bits(a: bytes, b: bytes) -> int:
     if len(x) < len(y):
         x, y = y, x
     if len(x) > len(y):
-        x = np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0)
+        x = _folded_bits(x, len(y) // 8)
     return int(np.bitwise_count(x ^ y).sum())
 
 
 def shingle_table(docs: DataFrame, size: int) -> DataFrame:
-    """A row per document (doc_id, n, digest, minima, bits), and per task rows (range, counts): how many documents hold a
+    """A row per document (doc_id, n, digest, minima, bits, sketch), and per task rows (range, counts): how many documents hold a
     shingle of each hash bucket, a range of buckets a row."""
     listed = T.ArrayType(T.LongType())
     schema = T.StructType([
         docs.schema["doc_id"], T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()),
-        T.StructField("minima", listed), T.StructField("bits", T.BinaryType()),
+        T.StructField("minima", listed), T.StructField("bits", T.BinaryType()), T.StructField("sketch", listed),
         T.StructField("range", T.LongType()), T.StructField("counts", listed)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, kind = np.zeros(1 << _BUCKET_BITS, np.int64), pa.int64()
         many = pa.list_(pa.int64())
 
-        def rows(ids, sizes, digests, minima, bits, ranges, held):
+        def rows(ids, sizes, digests, minima, bits, sketches, ranges, held):
             return pa.RecordBatch.from_arrays([
                 pa.array(ids, kind), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(minima, many),
-                pa.array(bits, pa.binary()), pa.array(ranges, pa.int64()), pa.array(held, many)], names=schema.names)
+                pa.array(bits, pa.binary()), pa.array(sketches, many), pa.array(ranges, pa.int64()), pa.array(held, many)], names=schema.names)
 
         for batch in slices(batches, "text"):
             kind = batch.schema.field(0).type
             words, at = word_hashes(batch.column(1))
-            sizes, digests, minima, bits = [], [], [], []
+            sizes, signatures = [], []
             for i in range(batch.num_rows):
                 values = shingle_set(words[at[i]:at[i + 1]], size)
                 sizes.append(len(values))
-                d, m, b = _signature(values) if len(values) else (None, None, None)
-                digests.append(d)
-                minima.append(m)
-                bits.append(b)
+                signatures.append(_signature(values) if len(values) else (None,) * 4)
                 np.add.at(counts, (values >> np.uint64(64 - _BUCKET_BITS)).astype(np.int64), 1)
             none = [None] * batch.num_rows
-            yield rows(batch.column(0).to_pylist(), sizes, digests, minima, bits, none, none)
+            yield rows(batch.column(0).to_pylist(), sizes, *map(list, zip(*signatures)), none, none)
         table = counts.reshape(-1, _RANGE)
         held = np.flatnonzero(table.any(axis=1))
         none = [None] * len(held)
-        yield rows(none, none, none, none, none, held, [table[i].tolist() for i in held])
+        yield rows(none, none, none, none, none, none, held, [table[i].tolist() for i in held])
 
     return docs.mapInArrow(run, schema)
 
@@ -216,6 +222,13 @@ def _overlap_possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFr
     return rows.where(_sizes_fit(percent, "n1", "n2")).select("a", "b", "n1", "n2", "bits1", "bits2").mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def _sketches_allow(percent: int) -> Column:
+    """The same bound from the folded bitmaps s1 and s2 of a row."""
+    n = F.col("n1") + F.col("n2")
+    apart = sum((F.bit_count(F.col("s1")[i].bitwiseXOR(F.col("s2")[i])) for i in range(SKETCH_WORDS)), F.lit(0))
+    return F.lit(100 + percent) * (n - apart) >= F.lit(2 * percent) * n
+
+
 def _sizes_fit(percent: int, n1: str, n2: str) -> Column:
     return (F.lit(100) * F.least(n1, n2) >= F.lit(percent) * F.greatest(n1, n2))
 
@@ -237,21 +250,21 @@ def _tile_candidates(prefixes: DataFrame, sets: DataFrame, percent: int) -> Data
     """(a, b) of different components that share enough prefix keys and pass the bitmap bound."""
     rare = _shared_keys(prefixes.where(~F.col("common")))
     rows = stored(rare.unionByName(prefixes.where("common")).drop("content").join(
-        sets.select("doc_id", "n", "component"), "doc_id"), "prefixes")
+        sets.select("doc_id", "n", "component", "sketch"), "doc_id"), "prefixes")
     crossing = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     rows = rows.join(crossing, "key")
     # Bands are a little wider than the ratio of sizes that can match, so a pair lies in one band or in neighbours.
     band = F.floor(F.log("n") / F.log(F.lit(100 / (percent - 1)))).cast("int")
     salt = F.when(F.col("common"), F.pmod(F.xxhash64("doc_id"), F.lit(_SALTS))).otherwise(F.lit(0)).cast("int")
     smaller = rows.select("key", band.alias("tile"), salt.alias("salt"), F.col("doc_id").alias("a"), F.col("n").alias("n1"),
-                          F.col("component").alias("c1"))
+                          F.col("component").alias("c1"), F.col("sketch").alias("s1"))
     salts = F.when(F.col("common"), F.sequence(F.lit(0), F.lit(_SALTS - 1))).otherwise(F.array(F.lit(0)))
     larger = rows.select("key", F.explode(F.array(band, band - 1)).alias("tile"), salts.alias("salts"), F.col("doc_id").alias("b"),
-                         F.col("n").alias("n2"), F.col("component").alias("c2"))
+                         F.col("n").alias("n2"), F.col("component").alias("c2"), F.col("sketch").alias("s2"))
     larger = larger.withColumn("salt", F.explode("salts")).drop("salts")
     ordered = (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("a") < F.col("b")))
     met = smaller.hint("merge").join(larger, ["key", "tile", "salt"]).where(
-        (F.col("c1") != F.col("c2")) & ordered & _sizes_fit(percent, "n1", "n2"))
+        (F.col("c1") != F.col("c2")) & ordered & _sizes_fit(percent, "n1", "n2") & _sketches_allow(percent))
     often = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min("n1").alias("n")).where(
         F.col("shared") >= 1 + F.floor(F.col("n") / _SHARED)).select("a", "b")
     return _overlap_possible(stored(often, "met"), sets, percent)
@@ -322,14 +335,14 @@ def _grouped(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataF
     table = stored(shingle_table(docs, size), "shingles")
     rows = table.where("range IS NULL").drop("range", "counts")
     folded = rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("digest", "n").agg(
-        F.min_by(F.struct("minima", "bits"), "doc_id").alias("s"), F.min("doc_id").alias("doc_id"))
-    sets = stored(folded.select("digest", "n", F.col("doc_id").cast("long").alias("doc_id"), "s.minima", "s.bits"), "sets")
+        F.min_by(F.struct("minima", "bits", "sketch"), "doc_id").alias("s"), F.min("doc_id").alias("doc_id"))
+    sets = stored(folded.select("digest", "n", F.col("doc_id").cast("long").alias("doc_id"), "s.minima", "s.bits", "s.sketch"), "sets")
     sets, texts = _nodes(sets, rows, docs.where(F.col("doc_id").isNotNull()).withColumn("doc_id", F.col("doc_id").cast("long")), size)
 
     stars = stored(_linked(texts, _star_candidates(sets, percent), size, percent), "links")
     near = components(stars, "a", "b")
     labelled = stored(sets.join(near.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-        "digest", "n", "doc_id", "first", "bits", F.coalesce("component", "doc_id").alias("component")), "labelled")
+        "digest", "n", "doc_id", "first", "bits", "sketch", F.coalesce("component", "doc_id").alias("component")), "labelled")
     prefixes = _prefixes(texts, size, percent, bucket_ranks(bucket_counts(table)))
     pairs = _tile_candidates(prefixes, labelled, percent)
     links = _linked(texts, pairs, size, percent).unionByName(
