@@ -1,5 +1,6 @@
 import pytest
 from pyspark.errors import SparkRuntimeException
+from pyspark.sql import functions as F
 
 from tests.conftest import one
 from wavelark.operators import channels, context, tsf
@@ -100,3 +101,39 @@ def test_counter_reference_is_scoped_to_session(frame):
     assert [g["tsf_reference_monotonic_violation"] for g in got] == [0.0, 1.0, None]
     assert [g["tsf_delta_from_reference_max_ms"] for g in got] == [1.0, -1.5, None]
     assert [g["tsf_reference_available"] for g in got] == [True, True, False]
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    """A reference above the broadcast limit, and joins as they are without help at run time."""
+    keys = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 << 20))
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_large_reference_with_missing_and_heavy_keys(spark, no_broadcast):
+    """Nine rows in ten have no SSID, half of the rest share one, and one BSSID is everywhere."""
+    ref = context.freeze(context.build_desktop_reference(spark.range(3000).selectExpr(
+        "concat('s', id % 300) AS ssid_hash", "concat('b', id % 1500) AS bssid_hash", "CASE WHEN id % 3 = 0 THEN 'WPA' ELSE 'WPA2' END AS security_type",
+        "id % 4 AS security_strength", "'r' AS session_id")))
+    rows = spark.range(20_000).selectExpr(
+        "id", "CASE WHEN id % 10 > 0 THEN NULL WHEN id % 20 = 0 THEN 's7' ELSE concat('s', id % 4000) END AS ssid_hash",
+        "CASE WHEN id % 3 = 0 THEN 'b11' WHEN id % 3 = 1 THEN NULL ELSE concat('b', id % 2000) END AS bssid_hash", "'WPA' AS security_type", "2 AS security_strength")
+    assert not context._small(ref.profiles)
+    assert context.heavy_keys(rows, "ssid_hash") == ["s7"] and context.heavy_keys(rows, "bssid_hash") == ["b11"]
+    spread = context.transform_desktop(rows, ref)
+    plan = spread._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+    got = sorted(map(str, spread.collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 << 20))
+    assert context._small(ref.profiles, ref.owners, ref.members)
+    assert got == sorted(map(str, context.transform_desktop(rows, ref).collect()))
+    # What one partition of the join gets: even shares of the rows without a key and of the heavy ones.
+    salt = F.when(F.col("ssid_hash").isNull() | (F.col("ssid_hash") == "s7"), F.pmod(F.monotonically_increasing_id(), F.lit(context.SPREAD))).otherwise(F.lit(0))
+    dealt = rows.withColumns({"k": F.coalesce("ssid_hash", F.lit("")), "salt": salt.cast("int")}).repartition(16, "salt", "k")
+    sizes = sorted(r["count"] for r in dealt.groupBy(F.spark_partition_id().alias("p")).count().collect())
+    assert sizes[-1] < 3 * sizes[len(sizes) // 2]

@@ -92,21 +92,63 @@ def _renamed(df: DataFrame, prefix: str) -> DataFrame:
     return df.select([F.col(c).alias(prefix + c) for c in df.columns])
 
 
+#: A key is heavy if more than one row in so many holds it; heavy and missing keys are spread over `SPREAD` partitions.
+HEAVY_SHARE, SPREAD = 500, 64
+
+
+def _small(*tables: DataFrame) -> bool:
+    """Whether Spark will send the tables whole to every executor, by its own estimate and limit."""
+    limit = tables[0].sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return all(t._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= limit for t in tables)
+
+
+def heavy_keys(rows: DataFrame, column: str) -> list:
+    """The keys held by more than one row in `HEAVY_SHARE`: fewer than that many, counted with partial sums per task."""
+    counts = rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    limit = rows.count() // HEAVY_SHARE
+    return [r[column] for r in counts.where(F.col("n") > limit).select(column).collect()]
+
+
+def _spread_join(rows: DataFrame, table: DataFrame, on: dict[str, str], by: str, heavy: list) -> DataFrame:
+    """Left join of many rows with a table too large to broadcast, on equal keys (`on`: row column -> table column).
+
+    Rows without the key `by` match nothing and are dealt out evenly; rows of its heavy keys are dealt out over copies of the
+    table's rows of those keys. The other keys are joined as they are.
+    """
+    spread = F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)).cast("int")
+    left = rows.withColumn("_spread", spread)
+    salt = F.when(F.col(by).isNull() | F.col(by).isin(heavy), F.col("_spread")).otherwise(F.lit(0))
+    left = left.withColumns({"_salt": salt, **{f"_on_{c}": F.coalesce(c, F.lit("")) for c in on}})
+    copies = F.when(F.col(on[by]).isin(heavy), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
+    right = table.withColumn("_at", F.explode(copies))
+    same = (F.col("_salt") == F.col("_at"))
+    for c, t in on.items():
+        same = same & (F.col(f"_on_{c}") == F.col(t))
+    return left.join(right, same, "left").drop("_spread", "_salt", "_at", *[f"_on_{c}" for c in on])
+
+
 def _resolve(rows: DataFrame, ref: Reference, direct: str, fallback: str, unknown: str) -> DataFrame:
     """Adds the profile fields of the resolved SSID as `ref_*`, the resolution and `known_bssid`.
 
     A BSSID resolved through its only SSID is a member of that SSID by construction, so
-    membership is looked up only for the SSID the row itself names.
+    membership is looked up only for the SSID the row itself names. References that are too large to be
+    broadcast are joined with missing and heavy keys spread out.
     """
     own = _renamed(ref.profiles, "own_")
     by_bssid = _renamed(ref.owners, "via_")
     pair = _renamed(ref.members, "pair_")
-    joined = (
-        rows.join(own, F.col("ssid_hash") == F.col("own_ssid_hash"), "left")
-        .join(by_bssid, F.col("bssid_hash") == F.col("via_bssid_hash"), "left")
-        .join(pair, (F.col("ssid_hash") == F.col("pair_ssid_hash"))
-              & (F.col("bssid_hash") == F.col("pair_bssid_hash")), "left")
-    )
+    if _small(ref.profiles, ref.owners, ref.members):
+        joined = (
+            rows.join(own, F.col("ssid_hash") == F.col("own_ssid_hash"), "left")
+            .join(by_bssid, F.col("bssid_hash") == F.col("via_bssid_hash"), "left")
+            .join(pair, (F.col("ssid_hash") == F.col("pair_ssid_hash"))
+                  & (F.col("bssid_hash") == F.col("pair_bssid_hash")), "left")
+        )
+    else:
+        ssids, bssids = heavy_keys(rows, "ssid_hash"), heavy_keys(rows, "bssid_hash")
+        joined = _spread_join(rows, own, {"ssid_hash": "own_ssid_hash"}, "ssid_hash", ssids)
+        joined = _spread_join(joined, by_bssid, {"bssid_hash": "via_bssid_hash"}, "bssid_hash", bssids)
+        joined = _spread_join(joined, pair, {"ssid_hash": "pair_ssid_hash", "bssid_hash": "pair_bssid_hash"}, "bssid_hash", bssids)
     named, via = F.col("own_ssid_hash").isNotNull(), F.col("via_ssid_hash").isNotNull()
     picked = {
         f"ref_{c}": F.when(named, F.col(f"own_{c}")).otherwise(F.col(f"via_{c}"))

@@ -46,7 +46,7 @@ def bssid_ssid_map(spark, sf_dir):
 @query("context_resolution", f"""WITH {CONTEXT} SELECT event_id, ssid_hash, bssid_hash, resolved_ssid_hash, context_resolution,
     context_resolution <> 'none' AS context_available FROM resolved""")
 def context_resolution(spark, sf_dir):
-    return context.resolve_context(observations(spark, sf_dir), reference(spark, sf_dir)).select(
+    return context.resolve_context(observations(spark, sf_dir), context.freeze(reference(spark, sf_dir))).select(
         "event_id", "ssid_hash", "bssid_hash", "resolved_ssid_hash", "context_resolution", "context_available")
 
 
@@ -59,7 +59,7 @@ def contextual_features(spark, sf_dir):
 @query("contextual_core_v2", f"""WITH {CONTEXT} SELECT ssid_bssid_count, bssid_changed, security_changed,
     security_strength_delta, is_hidden FROM ctx WHERE feature_complete""")
 def contextual_core_v2(spark, sf_dir):
-    features = context.transform_contextual(observations(spark, sf_dir), reference(spark, sf_dir))
+    features = context.transform_contextual(observations(spark, sf_dir), context.freeze(reference(spark, sf_dir)))
     return context.select_core_v2(features.where("feature_complete"))
 
 
@@ -75,7 +75,7 @@ cset AS (SELECT ssid_hash, list_sort(list(adv)) AS channels FROM cpair GROUP BY
 
 @query("advertised_channel_reference", f"WITH {CHANNEL} SELECT ssid_hash, array_to_string(channels, ',') AS channels FROM cset")
 def advertised_channel_reference(spark, sf_dir):
-    ref = channels.build_channel_reference(early(observations(spark, sf_dir)))
+    ref = context.freeze(channels.build_channel_reference(early(observations(spark, sf_dir))))
     return ref.profiles.select("ssid_hash", F.array_join(F.col("channels").cast("array<string>"), ",").alias("channels"))
 
 
@@ -88,7 +88,7 @@ SELECT event_id, channel AS capture_channel, adv AS advertised_channel, CAST(cha
 FROM x LEFT JOIN cset c ON c.ssid_hash = x.r""")
 def channel_semantics(spark, sf_dir):
     rows = observations(spark, sf_dir)
-    out = channels.transform_channels(rows, channels.build_channel_reference(early(rows)))
+    out = channels.transform_channels(rows, context.freeze(channels.build_channel_reference(early(rows))))
     return out.select("event_id", "capture_channel", "advertised_channel", "capture_advertised_mismatch",
                       "advertised_channel_changed")
 

@@ -97,7 +97,7 @@ def session_split_plan(spark, sf_dir):
     is_hidden, label, source_dataset, session_id, elapsed_ms, ssid_hash, bssid_hash, context_available, context_resolution, feature_complete,
     ssid_missing, configured_beacon_interval_delta_ms, attack_type, is_synthetic FROM ctx WHERE feature_complete""")
 def contextual_matrix(spark, sf_dir):
-    features = context.transform_contextual(observations(spark, sf_dir), reference(spark, sf_dir))
+    features = context.transform_contextual(observations(spark, sf_dir), context.freeze(reference(spark, sf_dir)))
     return matrix.feature_matrix(features.where("feature_complete"), CONTEXTUAL_FULL_V1)
 
 
