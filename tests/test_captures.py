@@ -156,6 +156,10 @@ def test_scan_documents(spark, frame, tmp_path):
         scan_flatten.flatten_controlled(docs, manifest.where("session_id <> 's'")).collect()
     with pytest.raises(Exception, match="number of target rows"):
         scan_flatten.flatten_controlled(docs, manifest.withColumn("matched_observation_count", F.lit(3))).collect()
+    absent = manifest.unionByName(frame([("gone", "lab", "evil", "t", 2), ("quiet", "lab", "evil", "t", 0)], manifest.schema))
+    with pytest.raises(Exception, match="no observation"):
+        scan_flatten.flatten_controlled(docs, absent).collect()
+    assert scan_flatten.flatten_controlled(docs, absent.where("session_id <> 'gone'")).count() == 2
     write(f"{tmp_path}/broken.jsonl", '{"scan_index": \n')
     with pytest.raises(ValueError, match="malformed.*broken.jsonl line 1$"):
         scans.read_scan_jsonl(spark, f"{tmp_path}/broken.jsonl")

@@ -1,10 +1,11 @@
 from datetime import datetime
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import one
-from wavelark.operators import integrity, scan_validation
+from wavelark.operators import evaluation, integrity, scan_validation
 
 ROW = ("source_dataset string, session_id string, environment string, captured_at_utc timestamp, scan_index long, ssid_hash string, "
        "bssid_hash string, security_type string, security_strength long, label long, attack_type string, is_synthetic boolean")
@@ -40,6 +41,25 @@ def test_clean_and_faulty_sessions(frame):
     assert "empty_session" in got["empty"]
 
 
+def test_warnings_and_foreign_rows(frame):
+    rows = [row("a"), row("b", minute=1, captured_at_utc=None), row("c", minute=2), row("c", minute=3)]
+    df = frame(rows, ROW).withColumn("folder", F.when(F.col("session_id") == "c", "d").otherwise(F.col("session_id")))
+    got = {r["session_id"]: r for r in integrity.preflight(df, manifest(frame, "a", "b", "d"), folder="folder").collect()}
+    assert (got["a"]["warnings"], got["b"]["warnings"]) == ([], ["captured_at_utc_unavailable"])
+    assert got["a"]["blockers"] == [] and got["d"]["blockers"] == ["row_session_id_mismatch"]
+
+
+def test_status_tells_environment_blockers_and_overlap(frame):
+    rows = [r for i, s in enumerate("abcde") for r in (row(s, minute=10 * i, scan=i), row(s, minute=10 * i + (12 if s == "b" else 5), scan=i))]
+    rows += [row("x", label=1, minute=59, environment="lab")]
+    checked = integrity.preflight(frame(rows, ROW), manifest(frame, *"abcdex"))
+    covered = frame([("a", False), ("b", True), ("c", False)], "split string, below_minimum boolean")
+    r = one(integrity.preflight_status(checked, covered))
+    assert (r["environment"], r["warnings"]) == ("home", ["temporal_overlap_between_sessions"])
+    assert r["blockers"] == ["candidate_reference_eligible_rate_below_070", "row_label_not_zero"]
+    assert one(integrity.preflight_status(checked.where("session_id <> 'b'"), covered))["warnings"] == []
+
+
 def test_clear_and_missing_columns(frame):
     df = frame([row("s")], ROW)
     got = integrity.preflight(df.withColumn("ssid", F.lit("x")), manifest(frame, "s")).first()["blockers"]
@@ -132,3 +152,32 @@ def test_coverage_and_numbers(frame):
     numbers = {r["field"]: (r["count"], r["min"], r["max"], r["mean"]) for r in scan_validation.numeric_summary(scans(frame, [0, 5])).collect()}
     assert numbers["tsf_us"] == (2, 0.0, 5.0, 2.5)
     assert {r["value"]: r["count"] for r in scan_validation.value_counts(scans(frame, [0, 5]), "security_type").collect()} == {"WPA2": 2}
+
+
+CONTROLLED = ("session_id string, environment string, bssid_hash string, label long, is_attack_target boolean, session_label long, "
+              "is_synthetic boolean, source_dataset string, attack_type string")
+
+
+def test_controlled_gates(frame):
+    """Each rule broken once; an environment that differs blocks, everything else refuses the rows."""
+    def rows(name, *changes):
+        plain = dict(session_id=name, environment="home", bssid_hash="t", label=1, is_attack_target=True, session_label=1, is_synthetic=False,
+                     source_dataset="own_windows_attack", attack_type="evil")
+        return [plain, dict(plain, bssid_hash="n", label=0, is_attack_target=False), *[dict(plain, **c) for c in changes]]
+
+    cases = {"good": [{}], "attack_environment_mismatch": [{"environment": "lab"}], "label_not_binary": [{"label": 2, "is_attack_target": None}],
+             "session_label_not_one": [{"session_label": 0}], "label_differs_from_target_flag": [{"is_attack_target": False}],
+             "bssid_hash_missing": [{"bssid_hash": None}], "synthetic_rows": [{"is_synthetic": True}],
+             "source_dataset_not_own_windows_attack": [{"source_dataset": "x"}], "attack_type_missing": [{"attack_type": None}],
+             "several_target_bssids": [{"bssid_hash": "u"}]}
+    all_rows = [r for name, changes in cases.items() for r in rows(name, *changes)] + rows("target_not_observed")[1:]
+    df = frame(all_rows, CONTROLLED)
+    gates = evaluation.controlled_gates(df, "home")
+    got = {r["session_id"]: (r["broken"], r["passes"]) for r in gates.collect()}
+    assert got.pop("good") == ([], True)
+    also = {"label_not_binary": ["label_differs_from_target_flag"]}
+    assert got == {name: (sorted([name, *also.get(name, [])]), False) for name in [*cases, "target_not_observed"] if name != "good"}
+    ok = df.where("session_id IN ('good', 'attack_environment_mismatch')")
+    assert evaluation.refuse_broken(ok, gates).count() == 6
+    with pytest.raises(Exception, match="synthetic_rows: synthetic_rows"):
+        evaluation.refuse_broken(df.where("session_id = 'synthetic_rows'"), gates).collect()

@@ -115,6 +115,43 @@ def score_distribution(scores: DataFrame, group: Sequence[str] | str, threshold,
     return _spread(fold_values(scores, score, keys), keys, threshold, {"score_median": 0.5, **(quantiles or {})}, score)
 
 
+def controlled_gates(rows: DataFrame, environment: str) -> DataFrame:
+    """Per controlled session the sorted list of rules its rows break; none of them may be evaluated while there is one.
+
+    Labels are 0 or 1 and equal the target flag; the session label is 1; exactly one BSSID is the target, and it was seen; every row
+    has a BSSID and an attack type, is real, comes from controlled capture, and was taken where the normal rows were.
+    """
+    label, flag_ = F.col("label").cast("long"), F.coalesce("is_attack_target", F.lit(False))
+
+    def any_of(condition):
+        return F.count_if(F.coalesce(condition, F.lit(True))) > 0
+
+    target = label == 1
+    place = F.nullif(F.trim("environment"), F.lit(""))
+    # Fold to target BSSIDs first, so that a session of any size is counted on a small table.
+    folded = rows.groupBy("session_id", F.when(target, F.col("bssid_hash")).alias("_target"), place.alias("_place")).agg(
+        F.count_if(target).alias("targets"), *[c.alias(n) for n, c in {
+            "label_not_binary": any_of(~label.isin(0, 1)), "session_label_not_one": any_of(F.col("session_label") != 1),
+            "label_differs_from_target_flag": any_of(label != flag_.cast("long")), "bssid_hash_missing": any_of(F.col("bssid_hash").isNull()),
+            "synthetic_rows": any_of(F.col("is_synthetic")), "source_dataset_not_own_windows_attack": any_of(F.col("source_dataset") != "own_windows_attack"),
+            "attack_type_missing": any_of(F.col("attack_type").isNull())}.items()])
+    names = [c for c in folded.columns if c not in ("session_id", "_target", "_place", "targets")]
+    broken = folded.groupBy("session_id").agg(
+        *[F.max(n).alias(n) for n in names], (F.sum("targets") == 0).alias("target_not_observed"),
+        (F.count_distinct("_target") > 1).alias("several_target_bssids"),
+        (~F.coalesce((F.min("_place") == environment) & (F.max("_place") == environment), F.lit(False))).alias("attack_environment_mismatch"))
+    listed = F.sort_array(F.array_compact(F.array(*[F.when(F.col(n), n) for n in broken.columns if n != "session_id"])))
+    return broken.select("session_id", listed.alias("broken"), (F.size(listed) == 0).alias("passes"))
+
+
+def refuse_broken(rows: DataFrame, gates: DataFrame) -> DataFrame:
+    """The rows, of which those of a session that breaks a rule fail the job; an environment that differs only blocks."""
+    marked = rows.join(F.broadcast(gates.where(~F.col("passes")).select("session_id", "broken")), "session_id", "left")
+    refused = F.array_except("broken", F.array(F.lit("attack_environment_mismatch")))
+    checked = F.when(F.size(refused) > 0, F.raise_error(F.concat("session_id", F.lit(": "), F.array_join(refused, ", ")))).otherwise(F.col("session_id"))
+    return marked.withColumn("session_id", checked).drop("broken").select(rows.columns)
+
+
 def controlled_eligibility(features: DataFrame, environment: str, min_rate: float = 0.70) -> DataFrame:
     """Usable rows per controlled session and overall (`session_id` NULL), with the gates."""
     ok = F.col("context_available") & F.col("feature_complete")

@@ -57,12 +57,16 @@ def _blocked(name: str, condition: Column) -> Column:
     return F.when(F.coalesce(condition, F.lit(False)), F.lit(name))
 
 
-def preflight(obs: DataFrame, manifests: DataFrame) -> DataFrame:
-    """One row per session with its measures and the sorted list of blockers.
+def preflight(obs: DataFrame, manifests: DataFrame, folder: str | None = None) -> DataFrame:
+    """One row per session with its measures, the sorted list of blockers and the warnings.
 
     `manifests` has a row per session (session_id and any of scan_count, rows, runtime_ready,
-    environment, label, attack_present, source_dataset); a session without rows is `empty_session`.
+    environment, label, attack_present, source_dataset); a session without rows is `empty_session`. With `folder`, sessions are told
+    by that column, and rows whose own session_id differs from it block the session.
     """
+    foreign = F.lit(False) if folder is None else ~F.col("_named").eqNullSafe(F.col("session_id"))
+    if folder is not None:
+        obs = obs.withColumn("_named", F.col("session_id").cast("string")).withColumn("session_id", F.col(folder)).drop(folder)
     have = set(obs.columns)
     missing = [c for c in REQUIRED if c not in have]
     clear = [c for c in CLEAR_IDENTIFIERS if c in have]
@@ -82,11 +86,12 @@ def preflight(obs: DataFrame, manifests: DataFrame) -> DataFrame:
         breach("label", label != 0).alias("_label"),
         F.count_if(attack.isNotNull() & (strip(attack) != "")).alias("_attack"),
         breach("is_synthetic", strict_boolean(optional(obs, "is_synthetic"))).alias("_synthetic"),
+        F.count_if(foreign).alias("_foreign"),
         F.count_if(ssid.isNotNull() & ~ssid.rlike(SHA256)).alias("_ssid_form"),
         F.count_if(bssid.isNotNull() & ~bssid.rlike(SHA256)).alias("_bssid_form"),
         F.min(optional(obs, "captured_at_utc", "timestamp")).alias("_start"),
         F.max(optional(obs, "captured_at_utc", "timestamp")).alias("_end"))
-    sums = ["rows", "_bssids", "_complete", "_source", "_label", "_attack", "_synthetic", "_ssid_form", "_bssid_form"]
+    sums = ["rows", "_bssids", "_complete", "_source", "_label", "_attack", "_synthetic", "_foreign", "_ssid_form", "_bssid_form"]
     measured = folded.groupBy("session_id").agg(
         *[F.sum(c).alias(c) for c in sums], F.count_distinct("_place").alias("_places"),
         F.min("_place").alias("_place"), F.min("_start").alias("time_start_utc"), F.max("_end").alias("time_end_utc"))
@@ -121,12 +126,13 @@ def preflight(obs: DataFrame, manifests: DataFrame) -> DataFrame:
         _blocked("row_attack_type_present", F.col("_attack") > 0),
         _blocked("row_is_synthetic_not_false", F.col("_synthetic") > 0),
         _blocked("row_label_not_zero", F.col("_label") > 0),
+        _blocked("row_session_id_mismatch", F.col("_foreign") > 0),
         _blocked("row_source_dataset_not_own_windows", F.col("_source") > 0),
         _blocked("runtime_ready_false", ~manifest("runtime_ready")),
         _blocked("scan_count_below_runtime_minimum", manifest("scan_count") < MINIMUM_SCANS),
         _blocked("ssid_hash_not_sha256", F.col("_ssid_form") > 0),
     ))
-    duplicates = duplicate_groups(fingerprint(obs)).select("session_id", F.lit("duplicate_session_content").alias("_copy"))
+    duplicates = duplicate_groups(fingerprint(obs.drop("_named"))).select("session_id", F.lit("duplicate_session_content").alias("_copy"))
     return s.withColumns({
         "environment": F.when(places == 1, place).otherwise(F.nullif(strip(manifest("environment")), F.lit(""))),
         "bssid_hash_coverage": bssid_coverage, "desktop_candidate_completeness": completeness,
@@ -136,7 +142,9 @@ def preflight(obs: DataFrame, manifests: DataFrame) -> DataFrame:
     ).select(
         "session_id", "environment", "rows", manifest("scan_count").alias("scan_count"),
         "bssid_hash_coverage", "desktop_candidate_completeness", "time_start_utc", "time_end_utc",
-        "blockers", (F.size("blockers") == 0).alias("valid"))
+        "blockers", (F.size("blockers") == 0).alias("valid"),
+        # Fixed value: warning name.
+        F.array_compact(F.array(_blocked("captured_at_utc_unavailable", F.col("time_start_utc").isNull() | F.col("time_end_utc").isNull()))).alias("warnings"))
 
 
 def overlap_pairs(sessions: DataFrame, bucket: str = "1 hour") -> DataFrame:
@@ -197,25 +205,35 @@ def coverage_dry_run(obs: DataFrame, sessions: DataFrame, seed: int = SPLIT_SEED
 
 
 def preflight_status(checked: DataFrame, covered: DataFrame) -> DataFrame:
-    """The one status of a whole preflight; earlier reasons win."""
-    duplicate = F.array_contains("blockers", "duplicate_session_content")
+    """One row: counts, the one status (earlier reasons win), the common environment, all blockers and the warnings."""
+    duplicate, usable = F.array_contains("blockers", "duplicate_session_content"), F.col("valid")
+    place = F.when(usable, F.col("environment"))
     counts = checked.agg(
-        F.count(F.lit(1)).alias("sessions"), F.count_if("valid").alias("valid_sessions"),
-        F.count_if(~F.col("valid")).alias("invalid_sessions"), F.count_if(duplicate).alias("duplicate_sessions"),
+        F.count(F.lit(1)).alias("sessions"), F.count_if(usable).alias("valid_sessions"),
+        F.count_if(~usable).alias("invalid_sessions"), F.count_if(duplicate).alias("duplicate_sessions"),
         # Two different environments exist exactly when the smallest and largest differ.
-        F.coalesce(F.min(F.when(F.col("valid"), F.col("environment"))) != F.max(F.when(F.col("valid"), F.col("environment"))),
-                   F.lit(False)).alias("mixed_environments"))
+        F.coalesce(F.min(place) != F.max(place), F.lit(False)).alias("mixed_environments"),
+        F.when(F.min(place) == F.max(place), F.min(place)).alias("environment"),
+        F.array_distinct(F.flatten(F.collect_set("blockers"))).alias("_found"))
     low = covered.agg(F.count(F.lit(1)).alias("n"), F.count_if("below_minimum").alias("low")).select(
         ((F.col("n") < 3) | (F.col("low") > 0)).alias("x")).scalar()
-    # Status names.
-    return counts.withColumn("status", (
-        F.when(F.col("sessions") == 0, "blocked_no_real_sessions")
+    overlap = F.lit(False)
+    if {"time_start_utc", "time_end_utc"} <= set(checked.columns):
+        overlap = F.coalesce(overlap_counts(checked.where(usable)).agg(F.max("overlapping_sessions").alias("n")).scalar() > 0, F.lit(False))
+    enough = F.col("valid_sessions") >= MINIMUM_SESSIONS
+    # Names of statuses, blockers and warnings.
+    return counts.withColumns({
+        "status": F.when(F.col("sessions") == 0, "blocked_no_real_sessions")
         .when(F.col("duplicate_sessions") > 0, "blocked_duplicate_session_content")
         .when(F.col("invalid_sessions") > 0, "blocked_invalid_sessions")
-        .when(F.col("valid_sessions") < MINIMUM_SESSIONS, "blocked_insufficient_valid_sessions")
+        .when(~enough, "blocked_insufficient_valid_sessions")
         .when(F.col("mixed_environments"), "blocked_mixed_normal_environments")
         .when(low, "blocked_candidate_reference_coverage")
-        .otherwise("ready_for_split_freeze")))
+        .otherwise("ready_for_split_freeze"),
+        "blockers": F.sort_array(F.array_compact(F.concat("_found", F.array(
+            _blocked("multiple_environments_in_desktop_candidate_v1_normal_cohort", F.col("mixed_environments")),
+            _blocked("candidate_reference_eligible_rate_below_070", enough & ~F.col("mixed_environments") & low))))),
+        "warnings": F.array_compact(F.array(_blocked("temporal_overlap_between_sessions", overlap)))}).drop("_found")
 
 
 def frozen_drift(current: DataFrame, frozen: DataFrame) -> DataFrame:

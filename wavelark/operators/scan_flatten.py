@@ -39,15 +39,19 @@ def flatten_controlled(scans: DataFrame, manifest: DataFrame) -> DataFrame:
     """Observations of controlled sessions.
 
     The job fails if a session has no manifest, if the label disagrees with the target flag or the target flag with the
-    manifest's target, and if a session holds another number of target rows than its manifest promises.
+    manifest's target, and if a session holds another number of target rows than its manifest promises, or no row at all where it
+    promises some.
     """
     promised = F.col("matched_observation_count") if "matched_observation_count" in manifest.columns else F.lit(None).cast("long")
     told = manifest.select("session_id", "environment", "attack_type", "target_bssid_hash", promised.alias("_promised"), F.lit(True).alias("_told"))
     rows = _entries(scans)
     found = rows.groupBy("session_id").agg(
         F.count_if(F.coalesce(F.col("_entry.is_attack_target"), F.lit(False))).alias("_targets"))
-    rows = rows.join(told.join(found, "session_id"), "session_id", "left")
-    refused = F.when(F.col("_told").isNull(), F.raise_error(F.lit("controlled session without a manifest"))).when(
+    # A promise without any row keeps a row of its own to fail on; other sessions without rows are no matter.
+    rows = rows.join(told.join(found, "session_id", "left"), "session_id", "full").where(
+        F.col("_entry").isNotNull() | (F.coalesce("_promised", F.lit(0)) > 0))
+    refused = F.when(F.col("_entry").isNull(), F.raise_error(F.lit("controlled session: targets are promised, but there is no observation"))).when(
+        F.col("_told").isNull(), F.raise_error(F.lit("controlled session without a manifest"))).when(
         F.col("_targets") != F.col("_promised"), F.raise_error(F.lit("controlled session: number of target rows differs from the manifest")))
     label = F.coalesce(F.col("_entry.observation_label"), F.lit(-1))
     target = F.coalesce(F.col("_entry.is_attack_target"), F.lit(False))

@@ -4,6 +4,7 @@ from wavelark.operators import integrity, scan_validation, splits
 from wavelark.plans.catalog import query, rounded
 from wavelark.plans.oracle_views import DESKTOP
 from wavelark.plans.views import desktop_rows
+from wavelark.session import stored
 from wavelark.sources.sessions import session_rollup
 
 ROLLUP_SQL = """
@@ -20,7 +21,7 @@ def rollup(spark, sf_dir):
 # Sessions with faults: lost BSSIDs, a wrong label, two places, a short session and a renamed copy.
 FAULTY = DESKTOP + """,
 faulty0 AS (SELECT session_id, CASE WHEN session_id = 'sess_04' AND channel_ > 9 THEN 'lab' ELSE environment END AS environment,
-    captured_at_utc, scan_index, ssid_hash, CASE WHEN session_id = 'sess_02' AND scan_index = 0 THEN NULL ELSE bssid_hash END AS bssid_hash,
+    CASE WHEN session_id <> 'sess_05' THEN captured_at_utc END AS captured_at_utc, scan_index, ssid_hash, CASE WHEN session_id = 'sess_02' AND scan_index = 0 THEN NULL ELSE bssid_hash END AS bssid_hash,
     security_type, security_strength, source_dataset, CASE WHEN session_id = 'sess_01' AND scan_index = 1 THEN 1 ELSE 0 END AS label,
     attack_type, is_synthetic FROM (SELECT *, (center_frequency_khz // 1000 - 2407) // 5 AS channel_ FROM desk)
     WHERE session_id <> 'sess_03' OR scan_index < 2),
@@ -35,6 +36,7 @@ def faulty(spark, sf_dir):
     session, scan = F.col("session_id"), F.col("scan_index")
     rows = desktop_rows(spark, sf_dir).where((session != "sess_03") | (scan < 2)).withColumns({
         "environment": F.when((session == "sess_04") & (F.col("center_frequency_khz") > 2_452_000), "lab").otherwise(F.col("environment")),
+        "captured_at_utc": F.when(session != "sess_05", F.col("captured_at_utc")),
         "bssid_hash": F.when((session != "sess_02") | (scan != 0), F.col("bssid_hash")),
         "label": F.when((session == "sess_01") & (scan == 1), 1).otherwise(0).cast("long"),
     }).select(*FAULTY_COLUMNS)
@@ -76,20 +78,21 @@ def duplicate_content(spark, sf_dir):
 PREFLIGHT = f"""WITH {FAULTY},
 s AS (SELECT session_id, CASE WHEN count(DISTINCT environment) = 1 THEN min(environment) END AS environment, count(*) AS "rows",
     count(bssid_hash) / count(*) AS cov, count(*) FILTER (ssid_hash IS NOT NULL AND bssid_hash IS NOT NULL) / count(*) AS comp,
-    count(DISTINCT environment) AS envs, max(label) AS lab FROM faulty GROUP BY 1),
+    count(DISTINCT environment) AS envs, max(label) AS lab, CASE WHEN count(captured_at_utc) = 0 THEN 'captured_at_utc_unavailable' ELSE '' END AS warnings
+    FROM faulty GROUP BY 1),
 pre AS (SELECT s.session_id, s.environment, "rows", scan_count, round(cov, 9) AS bssid_hash_coverage, round(comp, 9) AS desktop_candidate_completeness,
     concat_ws(',', CASE WHEN cov < 0.99 THEN 'bssid_hash_coverage_below_099' END,
         CASE WHEN comp < 0.7 THEN 'desktop_candidate_completeness_below_070' END,
         CASE WHEN s.session_id IN ('sess_00', 'sess_90') THEN 'duplicate_session_content' END,
         CASE WHEN envs > 1 THEN 'multiple_environments_in_session' END, CASE WHEN lab <> 0 THEN 'row_label_not_zero' END,
-        CASE WHEN scan_count < 3 THEN 'scan_count_below_runtime_minimum' END) AS blockers FROM s JOIN fman USING (session_id))"""
+        CASE WHEN scan_count < 3 THEN 'scan_count_below_runtime_minimum' END) AS blockers, warnings FROM s JOIN fman USING (session_id))"""
 
 
 @query("session_preflight", f"{PREFLIGHT} SELECT *, blockers = '' AS valid FROM pre")
 def session_preflight(spark, sf_dir):
     rows = faulty(spark, sf_dir)
     out = integrity.preflight(rows, manifests(rows)).drop("time_start_utc", "time_end_utc")
-    return rounded(out.withColumn("blockers", F.array_join("blockers", ",")),
+    return rounded(out.withColumns({c: F.array_join(c, ",") for c in ("blockers", "warnings")}),
                    "bssid_hash_coverage", "desktop_candidate_completeness")
 
 
@@ -138,15 +141,28 @@ def reference_dry_run(spark, sf_dir):
     return rounded(integrity.coverage_dry_run(*plan_rows(spark, sf_dir)), "eligible_rate")
 
 
-@query("preflight_status", f"""{DRY_RUN}, g AS (SELECT count(*) AS sessions, count(*) FILTER (runtime_ready) AS valid_sessions FROM roll),
-lowc AS (SELECT count(*) FILTER (eligible / "rows" < 0.7) AS l FROM cv)
-SELECT sessions, valid_sessions, sessions - valid_sessions AS invalid_sessions, 0 AS duplicate_sessions, false AS mixed_environments,
+# The whole capture, and the capture with faults: copies, lost identifiers, a second place.
+@query("preflight_status", f"""{DRY_RUN}, {PREFLIGHT.removeprefix(f"WITH {DESKTOP},")}, g AS (SELECT count(*) AS sessions, count(*) FILTER (runtime_ready) AS valid_sessions FROM roll),
+lowc AS (SELECT count(*) FILTER (eligible / "rows" < 0.7) AS l FROM cv),
+fg AS (SELECT count(*) AS sessions, count(*) FILTER (blockers = '') AS valid, count(*) FILTER (contains(blockers, 'duplicate')) AS copies FROM pre),
+fb AS (SELECT list(DISTINCT b) AS found FROM (SELECT unnest(string_split(blockers, ',')) AS b FROM pre WHERE blockers <> '')),
+fe AS (SELECT count(DISTINCT environment) > 1 AS mixed, CASE WHEN count(DISTINCT environment) = 1 THEN min(environment) END AS environment FROM pre WHERE blockers = '')
+SELECT 'whole' AS capture, sessions, valid_sessions, sessions - valid_sessions AS invalid_sessions, 0 AS duplicate_sessions, false AS mixed_environments, 'home' AS environment,
     CASE WHEN sessions > valid_sessions THEN 'blocked_invalid_sessions' WHEN valid_sessions < 5 THEN 'blocked_insufficient_valid_sessions'
-    WHEN l > 0 THEN 'blocked_candidate_reference_coverage' ELSE 'ready_for_split_freeze' END AS status FROM g, lowc""")
+    WHEN l > 0 THEN 'blocked_candidate_reference_coverage' ELSE 'ready_for_split_freeze' END AS status,
+    CASE WHEN l > 0 AND valid_sessions >= 5 THEN 'candidate_reference_eligible_rate_below_070' ELSE '' END AS blockers, '' AS warnings FROM g, lowc
+UNION ALL SELECT 'faulty', sessions, valid, sessions - valid, copies, mixed, environment, CASE WHEN copies > 0 THEN 'blocked_duplicate_session_content'
+    WHEN sessions > valid THEN 'blocked_invalid_sessions' ELSE 'other' END,
+    array_to_string(list_sort(list_concat(found, CASE WHEN valid >= 5 AND NOT mixed AND l > 0 THEN ['candidate_reference_eligible_rate_below_070'] ELSE [] END)), ','), ''
+    FROM fg, fb, fe, lowc""")
 def preflight_status(spark, sf_dir):
     rows, sessions = plan_rows(spark, sf_dir)
-    checked = integrity.preflight(rows, sessions)
-    return integrity.preflight_status(checked, integrity.coverage_dry_run(rows, sessions))
+    broken = stored(faulty(spark, sf_dir), "faulty")
+    covered = stored(integrity.coverage_dry_run(rows, sessions), "covered")
+    found = {"whole": integrity.preflight_status(integrity.preflight(rows, sessions), covered),
+             "faulty": integrity.preflight_status(integrity.preflight(broken, manifests(broken)), covered)}
+    both = [df.select(F.lit(name).alias("capture"), "*").withColumns({c: F.array_join(c, ",") for c in ("blockers", "warnings")}) for name, df in found.items()]
+    return both[0].unionByName(both[1])
 
 
 # Frozen: the clean sessions up to sess_07 with their plan; current: the faulty ones without sess_06.

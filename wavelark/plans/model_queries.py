@@ -219,31 +219,55 @@ def score_distribution(spark, sf_dir):
     return rounded(out, "score_mean", "score_std", "score_min", "score_max", "threshold_exceedance_rate", "score_median")
 
 
-# Controlled sessions: late sessions, whose target is the BSSID with the smallest hash in the session.
+# Controlled sessions: late sessions, whose target is the BSSID with the smallest hash in the session. One of them was taken
+# elsewhere, and in another a second BSSID is labelled.
 CONTROLLED = DESKTOP_CONTEXT + """,
-tgt AS (SELECT session_id, min(bssid_hash) AS target FROM desk WHERE session_id >= 'sess_05' GROUP BY 1),
-ctl AS (SELECT d.* EXCLUDE (label), CAST(d.bssid_hash = t.target AS BIGINT) AS label FROM dctx d JOIN tgt t USING (session_id))
+tgt AS (SELECT session_id, min(bssid_hash) AS target, max(bssid_hash) AS second FROM desk WHERE session_id >= 'sess_05' GROUP BY 1),
+ctl AS (SELECT d.* EXCLUDE (label, environment), CAST(d.bssid_hash = t.target OR (session_id = 'sess_07' AND d.bssid_hash = t.second) AS BIGINT) AS label,
+    CASE WHEN session_id = 'sess_06' THEN 'lab' ELSE 'home' END AS environment FROM dctx d JOIN tgt t USING (session_id))
 """
 
 
+def controlled_rows(spark, sf_dir):
+    rows, session = desktop_features(spark, sf_dir).where(F.col("session_id") >= "sess_05"), F.col("session_id")
+    targets = rows.groupBy("session_id").agg(F.min("bssid_hash").alias("target"), F.max("bssid_hash").alias("second"))
+    hit = (F.col("bssid_hash") == F.col("target")) | ((session == "sess_07") & (F.col("bssid_hash") == F.col("second")))
+    return rows.join(targets, "session_id").withColumns({
+        "label": hit.cast("long"), "environment": F.when(session == "sess_06", "lab").otherwise("home")})
+
+
 @query("controlled_eligibility", f"""WITH {CONTROLLED},
 g AS (SELECT session_id, count(*) AS "rows", sum(label)::BIGINT AS attack_rows, count(*) FILTER (context_available) AS context_available,
     count(*) FILTER (feature_complete) AS eligible, count(*) FILTER (feature_complete AND label = 1) AS eligible_attack,
-    min(bssid_hash) FILTER (label = 1) AS target_bssid_hash FROM ctl GROUP BY 1
+    min(bssid_hash) FILTER (label = 1) AS target_bssid_hash, bool_and(environment = 'home') AS environment_matches,
+    count(DISTINCT bssid_hash) FILTER (label = 1) = 1 AS single_target FROM ctl GROUP BY 1
     UNION ALL SELECT NULL, count(*), sum(label)::BIGINT, count(*) FILTER (context_available), count(*) FILTER (feature_complete),
-    count(*) FILTER (feature_complete AND label = 1), NULL FROM ctl)
-SELECT *, true AS environment_matches, true AS single_target, "rows" - attack_rows AS normal_rows, eligible - eligible_attack AS eligible_normal,
+    count(*) FILTER (feature_complete AND label = 1), NULL, bool_and(environment = 'home'),
+    (SELECT bool_and(n = 1) FROM (SELECT count(DISTINCT bssid_hash) FILTER (label = 1) AS n FROM ctl GROUP BY session_id)) FROM ctl)
+SELECT *, "rows" - attack_rows AS normal_rows, eligible - eligible_attack AS eligible_normal,
     round(eligible / "rows", 9) AS eligible_rate, round(eligible_attack / attack_rows, 9) AS attack_target_eligible_rate,
     eligible > 0 AND eligible / "rows" >= 0.7 AS coverage_passes,
     eligible_attack > 0 AND eligible_attack / attack_rows >= 0.7 AS target_coverage_passes FROM g""")
 def controlled_eligibility(spark, sf_dir):
-    rows = desktop_features(spark, sf_dir).where(F.col("session_id") >= "sess_05")
-    targets = rows.groupBy("session_id").agg(F.min("bssid_hash").alias("target"))
-    labelled = rows.join(targets, "session_id").withColumn("label", (F.col("bssid_hash") == F.col("target")).cast("long"))
-    out = evaluation.controlled_eligibility(labelled, "home")
+    out = evaluation.controlled_eligibility(controlled_rows(spark, sf_dir), "home")
     return rounded(out, "eligible_rate", "attack_target_eligible_rate")
 
 
+# Sessions that break one rule each, beside the two faults above; row by row where a rule is about rows.
+@query("controlled_gates", f"""WITH {CONTROLLED}, r AS (SELECT session_id, bssid_hash, environment, CASE WHEN session_id = 'sess_08' THEN 0 ELSE label END AS label,
+    CASE WHEN session_id = 'sess_08' THEN false ELSE label = 1 END AS flag_, session_id = 'sess_05' AND event_id % 7 = 0 AS fake, session_id = 'sess_09' AND event_id % 5 = 0 AS odd FROM ctl)
+SELECT session_id, concat_ws(',', CASE WHEN bool_or(environment <> 'home') THEN 'attack_environment_mismatch' END, CASE WHEN bool_or(odd) THEN 'attack_type_missing' END,
+    CASE WHEN count(DISTINCT bssid_hash) FILTER (label = 1) > 1 THEN 'several_target_bssids' END, CASE WHEN bool_or(fake) THEN 'synthetic_rows' END,
+    CASE WHEN sum(label) = 0 THEN 'target_not_observed' END) AS broken FROM r GROUP BY 1""")
+def controlled_gates(spark, sf_dir):
+    session, late = F.col("session_id"), F.col("session_id") == "sess_08"
+    rows = controlled_rows(spark, sf_dir).withColumn("label", F.when(late, F.lit(0).cast("long")).otherwise(F.col("label"))).withColumns({
+        "session_label": F.lit(1), "is_attack_target": F.col("label") == 1, "source_dataset": F.lit("own_windows_attack"),
+        "is_synthetic": (session == "sess_05") & (F.col("event_id") % 7 == 0),
+        "attack_type": F.when((session != "sess_09") | (F.col("event_id") % 5 != 0), "evil_twin")})
+    return evaluation.controlled_gates(rows, "home").select("session_id", F.array_join("broken", ",").alias("broken"))
+
+
 SUSPICION = DESKTOP_CONTEXT + """,
 sus0 AS (SELECT *, context_available AND feature_complete AS ok, bssid_changed <> 0 AS b, security_changed <> 0 AS s, security_strength_delta < 0 AS w,
     2 * CAST(bssid_changed <> 0 AS BIGINT) + 2 * CAST(security_changed <> 0 AS BIGINT) + CAST(security_strength_delta < 0 AS BIGINT) AS pts FROM dctx),
