@@ -5,6 +5,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,22 +81,28 @@ def _expand(x: np.ndarray, omega: np.ndarray, offset: np.ndarray) -> np.ndarray:
     return np.sqrt(2.0 / len(offset)) * np.cos(x @ omega.T + offset)
 
 
+#: Tasks add their sums up in so many groups; the driver adds those.
+GROUPS = 16
+
+
 def _tail_sums(features, omega, offset, weights, low, width):
-    """Per task: weight and feature sums of the rows in each score bin."""
+    """Per task one row: weight and feature sums of the rows in each score bin, as one block of numbers."""
     def sums(batches):
-        mass = np.zeros(BINS)
-        total = np.zeros((BINS, len(offset)))
+        block = np.zeros((BINS, 1 + len(offset)))
         for batch in batches:
             phi = _expand(batch[features].to_numpy(float), omega, offset)
             n = batch["n"].to_numpy(float)
             at = np.clip(((phi @ weights - low) / width).astype(int), 0, BINS - 1)
-            mass += np.bincount(at, n, BINS)
-            np.add.at(total, at, phi * n[:, None])
-        used = np.flatnonzero(mass)
-        yield pd.DataFrame({"bin": used, "mass": mass[used], "total": list(total[used])})
+            block[:, 0] += np.bincount(at, n, BINS)
+            np.add.at(block[:, 1:], at, phi * n[:, None])
+        yield pd.DataFrame({"part": [TaskContext.get().partitionId() % GROUPS], "block": [block.tobytes()]})
     return sums
 
 
+def _added(blocks: pd.DataFrame) -> pd.DataFrame:
+    total = sum(np.frombuffer(b) for b in blocks["block"])
+    return pd.DataFrame({"part": blocks["part"].iloc[:1], "block": [total.tobytes()]})
+
 
 def fit_one_class(df: DataFrame, features: Sequence[str], nu: float = 0.05, gamma: float | str = "scale",
                   rff: int = 256, iters: int = 40, seed: int = SPLIT_SEED) -> OneClassModel:
@@ -115,14 +122,10 @@ def fit_one_class(df: DataFrame, features: Sequence[str], nu: float = 0.05, gamm
     weights, reach = np.zeros(rff), 1.0
     for step in range(iters + 1):
         low, span = -reach, 2.0 * reach / BINS
-        bins = folded.mapInPandas(
-            _tail_sums(features, omega, offset, weights, low, span), "bin long, mass double, total array<double>")
-        cells = bins.select("bin", "mass", F.posexplode("total").alias("i", "x")).groupBy("bin", "i").agg(
-            F.sum("x").alias("x"), F.sum("mass").alias("mass")).toPandas()
-        sums = np.zeros((BINS, rff))
-        sums[cells["bin"], cells["i"]] = cells["x"]
-        mass = np.zeros(BINS)
-        mass[cells["bin"]] = cells["mass"]
+        kind = "part int, block binary"
+        blocks = folded.mapInPandas(_tail_sums(features, omega, offset, weights, low, span), kind).groupBy("part").applyInPandas(_added, kind)
+        total = sum((np.frombuffer(r["block"]) for r in blocks.collect()), np.zeros(BINS * (1 + rff))).reshape(BINS, 1 + rff)
+        mass, sums = total[:, 0], total[:, 1:]
         share = np.clip(nu * mass.sum() - np.concatenate([[0.0], np.cumsum(mass)[:-1]]), 0.0, mass)
         portion = np.divide(share, mass, out=np.zeros(BINS), where=mass > 0)
         tail = portion @ sums / share.sum()

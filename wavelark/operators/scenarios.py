@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 from wavelark.functions.text import tolerant_true
 from wavelark.operators.checks import rate, require_columns
 from wavelark.operators.context import Reference, eligible, transform_desktop
-from wavelark.operators.evaluation import _cut, score_distribution
+from wavelark.operators.evaluation import _cut, _spread
+from wavelark.operators.ordering import fold_values
+from wavelark.session import stored
 
 # Security choices from weakest to strongest.
 SECURITY_CHOICES = [("OPEN", 0.0), ("LEGACY_PRIVACY", 1.0), ("WPA2_OR_NEWER", 3.0)]
@@ -120,12 +122,19 @@ def evaluate_scenarios(scored: DataFrame, test_sessions: DataFrame, threshold) -
     wrong = F.col("_allowed").isNull() | ~tolerant_true(F.col("is_synthetic"))
     checked = joined.withColumn("scenario_type", F.when(wrong, F.raise_error(
         F.lit("scenarios: row is not synthetic or not from a test session"))).otherwise(F.col("scenario_type")))
-    ok = eligible()
-    inputs = checked.groupBy("scenario_type").agg(
-        F.count(F.lit(1)).alias("input_rows"), F.count_if(ok).alias("eligible_rows"),
-        F.count_if(~ok).alias("not_evaluable_rows"),
-        F.count_if(ok & (F.col("anomaly_score") > _cut(threshold))).alias("anomaly_count"))
-    spread = score_distribution(checked.where(ok), "scenario_type", threshold, {"score_p95": 0.95})
+    # One fold of scores serves all counts and quantiles, so that rows are generated and scored once.
+    kinds = ["scenario_type", "_ok", "anomaly_score"]
+    folded = stored(checked.withColumn("_ok", eligible()).groupBy(*kinds).agg(F.count(F.lit(1)).alias("n")), "scenario-scores")
+    over = F.col("_ok") & (F.col("anomaly_score") > _cut(threshold))
+
+    def rows(condition):
+        return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0).cast("long"))
+
+    inputs = folded.groupBy("scenario_type").agg(
+        F.sum("n").alias("input_rows"), rows(F.col("_ok")).alias("eligible_rows"),
+        rows(~F.col("_ok")).alias("not_evaluable_rows"), rows(over).alias("anomaly_count"))
+    scores = fold_values(folded.where("_ok"), "anomaly_score", ["scenario_type"], {"n": F.col("n")})
+    spread = _spread(scores, ["scenario_type"], threshold, {"score_median": 0.5, "score_p95": 0.95}, "anomaly_score")
     both = inputs.join(spread.drop("rows", "score_std", "threshold_exceedance_count", "threshold_exceedance_rate"),
                        "scenario_type", "left").withColumns({
         "normal_count": F.col("eligible_rows") - F.col("anomaly_count"),
