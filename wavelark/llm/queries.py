@@ -21,7 +21,7 @@ from wavelark.llm import (
     warc,
     weak_labels,
 )
-from wavelark.llm.storage import shared_path, stored
+from wavelark.llm.storage import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -52,7 +52,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "shards")
-    placed = stored(training_order.materialise(training_order.token_sequences(table(spark, sf_dir, "documents")), path), "placed")
+    placed = training_order.materialise(training_order.token_sequences(table(spark, sf_dir, "documents")), path)
     read = training_order.read_slots(spark, path).select("slot", F.crc32("ids").alias("ids_crc32"))
     # Spark takes what is read from the shards for small, as it comes from a range of numbers.
     return placed.join(read.hint("merge"), "slot")

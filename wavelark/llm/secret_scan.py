@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wavelark.llm.storage import sized, stored
+from wavelark.llm.storage import drawn, sized, stored
 from wavelark.llm.words import BLOCK, SPACED, slices, text_buffer, word_spans
 
 #: Labelled findings that train the forest, in expectation.
@@ -334,7 +334,9 @@ def find_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     if labelled is None:
         ruled = found.where("rule IS NOT NULL")
         share = min(1.0, sample / max(1, ruled.count()))
-        labelled = ruled.where(F.rand(5) < share).select("features", F.col("rule").alias("label"))
+        # The candidates of one text are told apart by their place; copies of it count once.
+        chosen = ruled.where(drawn(share, "content", "start")).dropDuplicates(["content", "start"])
+        labelled = chosen.select("features", F.col("rule").alias("label"))
     forest = train(labelled)
     if forest is None:
         scored = found.withColumn("probability", F.coalesce(F.col("rule"), F.lit(0)).cast("double"))

@@ -26,3 +26,17 @@ BROADCAST_ROWS = 1_000_000
 def sized(keys: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Marks a stored table of narrow rows for broadcasting if it is counted to be small; else joins shuffle."""
     return F.broadcast(keys) if keys.count() <= rows else keys
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system: a plain one belongs to Spark's default file system, as in Spark's own readers."""
+    if "://" in path:
+        return path
+    plain = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = plain.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(plain).toString()
+    return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
+
+
+def drawn(share: float, *columns: str):
+    """Whether a row belongs to a sample of the given share, by a hash of its contents: the same rows however they are partitioned."""
+    return F.pmod(F.xxhash64(*columns, F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30))

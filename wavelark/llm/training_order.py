@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wavelark.llm.storage import shared_path, sized, stored
+from wavelark.llm.storage import qualified, shared_path, sized, stored
 from wavelark.llm.tokens import default_vocabulary, encoder
 from wavelark.llm.words import mix, slices
 
@@ -115,10 +115,13 @@ def _slot(index: Column, total: int, key: str) -> Column:
 def materialise(sequences: DataFrame, path: str, key: str = "epoch-0", shard_slots: int = 16_384, stride: int = 2048) -> DataFrame:
     """Writes all sequences below `path` and returns (slot, shard, part, number, filled, doc_ids), one row each.
 
-    `sequences` has part and number (gapless from 0 in its part) besides ids of `stride` bytes. Shard files hold
-    `shard_slots` strides each and are moved into place when complete, so a repeated task replaces its own file.
+    `sequences` has part and number (gapless from 0 in its part) besides ids of `stride` bytes; equal rows are sequences of their
+    own, and an empty table gives an empty set. Shard files hold `shard_slots` strides each and are moved into place when complete,
+    so a repeated task replaces its own file. The layout that readers follow is written last: until then they see the set that was
+    there before, if any, as the shards of every run have names of their own. A plain path belongs to Spark's default file system.
     """
     spark = sequences.sparkSession
+    path, run = qualified(spark, path), uuid.uuid4().hex[:12]
     table = shared_path(spark, "sequences")
     sequences.write.option("compression", "zstd").parquet(table)
     rows = spark.read.schema(sequences.schema).parquet(table)
@@ -128,10 +131,8 @@ def materialise(sequences: DataFrame, path: str, key: str = "epoch-0", shard_slo
     first = parts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).select("part", "first")
     first = sized(stored(first, "first"))
     total = rows.count()
-    store, root = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    store, root = fs.FileSystem.from_uri(path)
     store.create_dir(root, recursive=True)
-    with store.open_output_stream(f"{root}/{_LAYOUT}") as out:
-        out.write(json.dumps({"total": total, "stride": stride, "shard_slots": shard_slots, "key": key}).encode())
     shards = max(1, -(-total // shard_slots))
     placed = rows.join(first, "part").withColumn("slot", _slot(F.col("first") + F.col("number"), max(total, 1), key))
     schema = T.StructType([*T.StructType.fromDDL("slot long, shard long, part long, number long, filled long").fields, sequences.schema["doc_ids"]])
@@ -156,7 +157,7 @@ def materialise(sequences: DataFrame, path: str, key: str = "epoch-0", shard_slo
                 *(pa.ListArray.from_arrays(pa.array(ends), rows.column(c)) for c in details)], names=packed.names)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+        store, root = fs.FileSystem.from_uri(path)
         held: dict[int, np.ndarray] = {}
         filled: dict[int, int] = {}
         for batch in batches:
@@ -178,30 +179,35 @@ def materialise(sequences: DataFrame, path: str, key: str = "epoch-0", shard_slo
             name = f"_shard-{uuid.uuid4().hex}"
             with store.open_output_stream(f"{root}/{name}") as out:
                 out.write(data)
-            store.move(f"{root}/{name}", f"{root}/shard-{shard:08d}.bin")
+            store.move(f"{root}/{name}", f"{root}/shard-{run}-{shard:08d}.bin")
 
-    return (placed.select(*details, "ids").mapInArrow(bundle, packed)
-            .repartitionById(shards, F.col("shard")).mapInArrow(write, schema))
+    done = stored(placed.select(*details, "ids").mapInArrow(bundle, packed).repartitionById(shards, F.col("shard")).mapInArrow(write, schema), "placed")
+    layout = f"{root}/_layout-{run}"
+    with store.open_output_stream(layout) as out:
+        out.write(json.dumps({"total": total, "stride": stride, "shard_slots": shard_slots, "key": key, "run": run}).encode())
+    store.move(layout, f"{root}/{_LAYOUT}")
+    return done
 
 
 def read_slots(spark: SparkSession, path: str, begin: int = 0, end: int | None = None, run_slots: int = 4096) -> DataFrame:
     """(slot, ids) of a range of slots, read in order by seeking; a task reads up to `run_slots` of one shard."""
-    store, root = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    path = qualified(spark, path)
+    store, root = fs.FileSystem.from_uri(path)
     with store.open_input_stream(f"{root}/{_LAYOUT}") as f:
         layout = json.loads(f.read())
-    stride, per_shard = layout["stride"], layout["shard_slots"]
+    stride, per_shard, run = layout["stride"], layout["shard_slots"], layout["run"]
     end = layout["total"] if end is None else min(end, layout["total"])
     begin = max(begin, 0)
     runs = max(1, -(-max(0, end - begin) // run_slots))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+        store, root = fs.FileSystem.from_uri(path)
         for batch in batches:
             for number in batch.column(0).to_pylist():
                 at, stop = begin + number * run_slots, min(end, begin + (number + 1) * run_slots)
                 while at < stop:
                     upto = min(stop, (at // per_shard + 1) * per_shard)
-                    with store.open_input_file(f"{root}/shard-{at // per_shard:08d}.bin") as f:
+                    with store.open_input_file(f"{root}/shard-{run}-{at // per_shard:08d}.bin") as f:
                         f.seek(at % per_shard * stride)
                         for base in range(at, upto, 1024):
                             n = min(1024, upto - base)

@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, WriterCommitMessage)
 
+from wavelark.llm.storage import qualified
+
 FIELDS = ("record_type", "record_id", "refers_to", "target_uri", "date", "payload_digest")
 SCHEMA = ", ".join(f"{f} string" for f in FIELDS) + ", content_length long, payload_length long, payload binary"
 _ARROW = pa.schema([(f, pa.string()) for f in FIELDS] + [
@@ -37,7 +39,7 @@ _BATCH_BYTES = 8 << 20
 
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
-    """File system and path; plain paths are local ones."""
+    """File system and path; plain paths are local ones (`write_pages` and `read_archive` give theirs in full)."""
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
@@ -296,8 +298,10 @@ def write_pages(pages: DataFrame, path: str, min_bytes: int = 0, id_column: str
     """Archives `pages`, one record each: of equal payloads of at least `min_bytes`, the smallest id is the response.
 
     A null html is an empty payload, a null url is left out; repeated rows of the smallest id are all responses; rows
-    without an id are responses that nothing refers to. An empty table writes an empty archive.
+    without an id are responses that nothing refers to. An empty table writes an empty archive. Payloads of any length are
+    written whole; other columns are not read. A plain path belongs to Spark's default file system.
     """
+    path = qualified(pages.sparkSession, path)
     rows = pages.select(F.col(id_column).alias("id"), F.col(url_column).alias("target_uri"),
                         F.coalesce(F.encode(html_column, "UTF-8"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("payload_digest", base32_sha1(F.col("payload")))
@@ -320,6 +324,7 @@ def register(spark: SparkSession) -> None:
 def read_archive(spark: SparkSession, path: str, payload: bool = True, split_bytes: int = 128 << 20) -> DataFrame:
     """Records of all archives below `path`; payloads of revisits, and of all records on demand, stay unread."""
     register(spark)
+    path = qualified(spark, path)
     return spark.read.format("warc").option("payload", str(payload).lower()).option("splitBytes", split_bytes).load(path)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wavelark.llm.storage import stored
+from wavelark.llm.storage import drawn, stored
 from wavelark.llm.words import SPACED, mix, slices, text_buffer, word_spans
 
 NOTHING, GOOD, BAD = 0, 1, 2
@@ -153,9 +153,10 @@ def fit_labels(docs: DataFrame) -> tuple[LabelModel, int]:
 
 
 def fit_scorer(docs: DataFrame, model: LabelModel, rows: int, sample: int = SAMPLE, rounds: int = 150) -> np.ndarray:
-    """Weights of the linear scorer, and its bias at the end, from about `sample` documents drawn at random with a fixed seed."""
+    """Weights of the linear scorer, and its bias at the end, from about `sample` documents drawn by a hash of
+    their text. Equal texts count once, so that a text with many copies neither fills the sample nor is missing from it."""
     share = min(1.0, sample / max(rows, 1))
-    chosen = docs.select("text").where(F.rand(3) < share) if share < 1 else docs.select("text")
+    chosen = docs.select("text").where(drawn(share, "text")).distinct()
 
     def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
