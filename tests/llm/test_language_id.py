@@ -84,3 +84,20 @@ def test_shortcut_agrees_with_the_path():
         stays += alone >= 0
         assert alone < 0 or (L.viterbi([scores], 8.0)[0] == alone).all()
     assert stays > 200
+
+
+def test_bounds_and_clashes(docs):
+    df = docs([(i, "some words here", f"l{i}") for i in range(5)])
+    with pytest.raises(ValueError, match="more than 4 languages"):
+        L.identify(df, df, most=4)
+    with pytest.raises(ValueError, match="cannot be kept"):
+        L.identify(df.withColumnRenamed("key", "score"), df, keep=("score",))
+    assert len(L.identify(df, df, most=5).collect()) == 5 and L.identify(docs([]), df).collect() == []
+
+
+def test_words_go_to_their_language(docs):
+    """Words go to the language they were learnt from, however often they were seen."""
+    few, many = docs([(1, "alpha beta", "x"), (2, "gamma delta", "y")]), docs([(1, "alpha beta " * 9, "x"), (2, "gamma delta", "y")])
+    for learnt in (few, many):
+        got = {r.doc_id: r.lang_pred for r in L.identify(docs([(5, "alpha"), (6, "delta gamma"), (7, "beta beta")]), learnt).collect()}
+        assert got == {5: "x", 6: "y", 7: "x"}

@@ -17,6 +17,8 @@ from wavelark.llm.words import Alphabet, slices, text_buffer, word_spans
 
 LETTERS_ONLY = Alphabet(bytes(b for b in range(128) if not chr(b).isalpha()))
 PENALTY = 8.0
+#: The table has 196 608 scores of four bytes a language.
+MOST_LANGUAGES = 400
 UNKNOWN = "und"
 _BITS = 16
 _KINDS = 3
@@ -91,12 +93,14 @@ class Words:
         return np.arange(total) + begin, which
 
 
-def train(texts: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
+def train(texts: DataFrame, most: int = MOST_LANGUAGES) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, score table (feature, language) and script bits of each language from rows (text, lang).
 
-    The driver reads at most one count per hashed feature and language.
+    The driver reads at most one count per hashed feature and language; more than `most` languages are refused.
     """
     scripts = len(SCRIPTS)
+    if texts.select("lang").distinct().limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} languages to learn")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
@@ -201,15 +205,20 @@ def viterbi(texts: list[np.ndarray], penalty: float = PENALTY) -> list[np.ndarra
 
 
 def identify(docs: DataFrame, training: DataFrame, id_column: str = "doc_id", text_column: str = "text",
-             penalty: float = PENALTY, keep: tuple[str, ...] = ()) -> DataFrame:
+             penalty: float = PENALTY, keep: tuple[str, ...] = (), most: int = MOST_LANGUAGES) -> DataFrame:
     """(doc_id, *keep, lang_pred, score, spans) of every row, learnt from the rows (text, lang) of `training`.
 
     `spans` lists (start, end, lang) in characters; `score` is the share of the letters that lie in spans of
     the predicted language, 0 to 1. Null texts and texts without letters are `und` with score 0 and no span, as is
-    everything if nothing was learnt. Equal scores go to the language that sorts first. Repeated rows get equal results;
-    ids may be null; only the named columns are read.
+    everything if nothing was learnt. Equal scores go to the language that sorts first, and so do letters of scripts beyond the
+    table. Repeated rows get equal results; an empty table gives no row; texts of any length are read whole; ids may be null; only the named columns are read, and `keep`
+    may not name a result. The table of scores travels to every task: more than `most` languages are refused.
     """
-    languages, table, bits = train(training.where("text IS NOT NULL AND lang IS NOT NULL"))
+    if clash := {"doc_id", "lang_pred", "score", "spans"} & set(keep):
+        raise ValueError(f"columns of the result cannot be kept: {sorted(clash)}")
+    languages, table, bits = train(training.where("text IS NOT NULL AND lang IS NOT NULL"), most)
+    # A slice holds a number per word and language.
+    at_once = max(1 << 14, (1 << 20) * 16 // max(16, len(languages)))
     schema = T.StructType([docs.schema[id_column], *(docs.schema[c] for c in keep), *T.StructType.fromDDL(
         "lang_pred string, score double, spans array<struct<start: long, end: long, lang: string>>").fields])
     schema.fields[0] = T.StructField("doc_id", schema.fields[0].dataType)
@@ -218,7 +227,7 @@ def identify(docs: DataFrame, training: DataFrame, id_column: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, table, bits = shared.value
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", at_once):
             words = Words(batch.column("text"))
             scores = word_scores(words, table, bits) if languages else np.zeros((len(words.size), 1))
             parts = [scores[a:b] for a, b in zip(words.first[:-1], words.first[1:])]
