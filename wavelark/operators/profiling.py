@@ -25,6 +25,11 @@ def profile_beacons(normal: DataFrame) -> DataFrame:
         F.sort_array(F.collect_set("_interval")).alias("beacon_interval_unique"))
 
 
+def beacon_intervals(normal: DataFrame) -> DataFrame:
+    """Every interval that occurs and its rows, one row each, however many there are."""
+    return normal.groupBy(number(F.col("BeaconInterval")).alias("beacon_interval")).agg(F.count(F.lit(1)).alias("rows"))
+
+
 def attack_counts(processed: DataFrame) -> DataFrame:
     return processed.where(number(F.col("is_rogue")) == 1).groupBy("_rogue_type").agg(F.count(F.lit(1)).alias("rows"))
 
@@ -52,6 +57,14 @@ def aggregate_values(raw: DataFrame) -> DataFrame:
         F.sort_array(F.collect_set("c")).alias("client_count_values"))
 
 
+def aggregate_value_counts(raw: DataFrame) -> DataFrame:
+    """(field, value, rows) of the traces, frequencies and client counts that occur, one row each, however many there are."""
+    fields = {"trace": F.col("traceNr").cast("string"), "frequency_mhz": number(F.col("channelFreq")).cast("string"),
+              "clients": number(F.col("nrClients")).cast("long").cast("string")}
+    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("field"), c.alias("value")) for n, c in fields.items()])).alias("p")
+    return raw.select(pairs).select("p.*").where(F.col("value").isNotNull()).groupBy("field", "value").agg(F.count(F.lit(1)).alias("rows"))
+
+
 def profile_fingerprints(samples: DataFrame) -> DataFrame:
     """Per collection and overall (`is_total`): sessions, samples, readings, APs, missing channels, RSSI range.
 

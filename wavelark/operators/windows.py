@@ -10,6 +10,7 @@ from wavelark.functions.radio import channel_to_frequency_mhz, wifi_band
 from wavelark.functions.text import number
 from wavelark.operators.checks import optional, require_columns
 from wavelark.operators.ordering import dealt, with_previous
+from wavelark.sources.tables import write_once
 
 MISSING_BSSID = "__MISSING_BSSID__"
 GROUP_KEYS = ["source_dataset", "session_id", "_attack", "_bssid"]
@@ -189,3 +190,21 @@ def build_profiles(normal: DataFrame, aggregates: DataFrame,
     for name in list(out):
         out[name.replace("beacon_1s", "rssi_5s")] = rssi_temporal(out[name])
     return out
+
+
+def write_profiles(normal: DataFrame, aggregates: DataFrame, root: str, attack: DataFrame | None = None) -> dict[str, str]:
+    """Writes every profile of one run below `root` and returns the paths by name.
+
+    The one-second profiles are computed once: the five-second ones read what was written. A table that is there
+    already is refused.
+    """
+    spark, paths = normal.sparkSession, {}
+    for name, df in build_profiles(normal, aggregates, attack).items():
+        if "beacon_1s" in name:
+            paths[name] = f"{root}/{name}"
+            write_once(df, paths[name])
+    for name in list(paths):
+        coarse = name.replace("beacon_1s", "rssi_5s")
+        paths[coarse] = f"{root}/{coarse}"
+        write_once(rssi_temporal(spark.read.parquet(paths[name])), paths[coarse])
+    return paths

@@ -17,7 +17,7 @@ def raw_beacons(spark, sf_dir):
         "event_id", "session_id", c("elapsed_ms").cast(TEXT).alias("Timestamp_ms"), c("ssid").alias("SSID"), c("bssid").alias("BSSID"),
         c("rssi_dbm").cast(TEXT).alias("RSSI"), c("channel").cast(TEXT).alias("Channel"),
         c("advertised_channel").cast(TEXT).alias("DSChannel"), F.when(c("event_id") % 3 == 0, "NaN").otherwise("20").alias("HTChannelWidth"),
-        F.lit("100").alias("BeaconInterval"), c("beacon_timestamp_us").cast(TEXT).alias("BeaconTimestamp"),
+        F.when(c("event_id") % 11 == 0, "n/a").when(c("event_id") % 4 == 1, "200").otherwise("100").alias("BeaconInterval"), c("beacon_timestamp_us").cast(TEXT).alias("BeaconTimestamp"),
         F.when(c("event_id") % 9 == 0, "wpa2-ent").otherwise(F.concat(F.lit(" "), F.lower("security_type"))).alias("Encryption"),
         (c("security_type") != "OPEN").cast("int").cast(TEXT).alias("Privacy"), F.lit("1").alias("HasHT"),
         F.when(c("event_id") % 5 == 0, "bad").otherwise(c("event_id").cast(TEXT)).alias("SequenceNumber"),
@@ -29,7 +29,7 @@ def raw_beacons(spark, sf_dir):
 def beacon_sql(where: str, session: str, label: int, attack: str, synthetic: str) -> str:
     return f"""WITH {OBS} SELECT {session} AS session_id, CAST(elapsed_ms AS DOUBLE) AS elapsed_ms, ssid, bssid, round(rssi_dbm, 9) AS rssi_dbm, channel,
     CASE WHEN advertised_channel > 0 THEN advertised_channel END AS advertised_channel, {freq('channel')} AS frequency_mhz,
-    CASE WHEN event_id % 3 <> 0 THEN 20 END AS channel_width_mhz, 102.4::DOUBLE AS beacon_interval_ms,
+    CASE WHEN event_id % 3 <> 0 THEN 20 END AS channel_width_mhz, CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 4 = 1 THEN 204.8 ELSE 102.4 END::DOUBLE AS beacon_interval_ms,
     CASE WHEN event_id % 9 = 0 THEN 'OTHER' ELSE security_type END AS security_type, security_type <> 'OPEN' AS privacy_enabled,
     CASE WHEN event_id % 5 <> 0 THEN event_id END AS sequence_number, is_hidden, 240 AS frame_length_bytes, {label} AS label,
     {attack} AS attack_type, {synthetic} AS is_synthetic FROM obs{where}"""
@@ -119,14 +119,24 @@ def aggregate_profile_1s(spark, sf_dir):
     return rounded(windows.aggregate_profile(aggregates(spark, sf_dir)), "rssi_mean_dbm")
 
 
-@query("profile_build")
+PROFILE_KEYS = "source_dataset, session_id, coalesce(attack_type, ''), bssid"
+
+
+@query("profile_build", f"""WITH {OBS}, {AGGREGATE[AGGREGATE.index("agg0 AS"):]}, used AS (SELECT * FROM agg
+    WHERE wifi_standard = '802.11n' AND rssi_dbm IS NOT NULL AND measured_inter_beacon_ms IS NOT NULL)
+SELECT 'normal_beacon_1s' AS profile, count(*) AS "rows" FROM (SELECT DISTINCT {PROFILE_KEYS}, elapsed_ms // 1000 FROM obs WHERE label = 0)
+UNION ALL SELECT 'normal_rssi_5s', count(*) FROM (SELECT DISTINCT {PROFILE_KEYS}, elapsed_ms // 5000 FROM obs WHERE label = 0)
+UNION ALL SELECT 'attack_beacon_1s', count(*) FROM (SELECT DISTINCT {PROFILE_KEYS}, elapsed_ms // 1000 FROM obs WHERE label = 1)
+UNION ALL SELECT 'attack_rssi_5s', count(*) FROM (SELECT DISTINCT {PROFILE_KEYS}, elapsed_ms // 5000 FROM obs WHERE label = 1)
+UNION ALL SELECT 'aggregate_beacon_1s', count(*) FROM used
+UNION ALL SELECT 'aggregate_rssi_5s', count(*) FROM (SELECT DISTINCT session_id, ap_id, floor(floor(elapsed_ms / 1000) * 1000 / 5000) FROM used)""")
 def profile_build(spark, sf_dir):
-    """Row count of every profile of one build."""
+    """Row count of every profile that one build wrote."""
     rows = observations(spark, sf_dir)
-    made = windows.build_profiles(rows.where("label = 0"), aggregates(spark, sf_dir), rows.where("label = 1"))
+    paths = windows.write_profiles(rows.where("label = 0"), aggregates(spark, sf_dir), fresh_path(spark, "profiles"), rows.where("label = 1"))
     out = None
-    for name, df in made.items():
-        row = df.agg(F.count(F.lit(1)).alias("rows")).withColumn("profile", F.lit(name))
+    for name, path in paths.items():
+        row = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows")).withColumn("profile", F.lit(name))
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -145,13 +155,26 @@ def aggregate_dataset_values(spark, sf_dir):
 
 @query("beacon_dataset_profile", f"""WITH {OBS} SELECT count(*) AS normal_rows, count(DISTINCT session_id) AS sessions, count(DISTINCT bssid) AS unique_bssids,
     count(DISTINCT ssid) AS unique_ssids, count(*) FILTER (ssid IS NULL) AS missing_ssid, round(min(rssi_dbm), 9) AS rssi_min_dbm, round(max(rssi_dbm), 9) AS rssi_max_dbm,
-    min(channel) AS channel_min, max(channel) AS channel_max, '100.0' AS beacon_interval_unique FROM obs""")
+    min(channel) AS channel_min, max(channel) AS channel_max, (SELECT string_agg(v, ',' ORDER BY v) FROM (SELECT DISTINCT CASE WHEN event_id % 4 = 1 THEN '200.0' ELSE '100.0' END AS v
+        FROM obs WHERE event_id % 11 <> 0)) AS beacon_interval_unique FROM obs""")
 def beacon_dataset_profile(spark, sf_dir):
     row = profiling.profile_beacons(raw_beacons(spark, sf_dir))
     return rounded(row.withColumn("beacon_interval_unique", F.array_join(F.col("beacon_interval_unique").cast("array<string>"), ",")),
                    "rssi_min_dbm", "rssi_max_dbm")
 
 
+@query("beacon_interval_counts", f"""WITH {OBS} SELECT CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 4 = 1 THEN 200 ELSE 100 END::DOUBLE AS beacon_interval,
+    count(*) AS "rows" FROM obs GROUP BY 1""")
+def beacon_interval_counts(spark, sf_dir):
+    return profiling.beacon_intervals(raw_beacons(spark, sf_dir))
+
+
+@query("aggregate_value_counts", f"""WITH {AGGREGATE} SELECT 'trace' AS field, trace AS value, count(*) AS "rows" FROM agg0 GROUP BY 2
+UNION ALL SELECT 'frequency_mhz', '2437.0', count(*) FROM agg0 UNION ALL SELECT 'clients', CAST(user_id % 3 AS VARCHAR), count(*) FROM agg0 GROUP BY 2""")
+def aggregate_value_counts(spark, sf_dir):
+    return profiling.aggregate_value_counts(raw_aggregates(spark, sf_dir))
+
+
 @query("attack_counts", f"WITH {OBS} SELECT attack_type AS _rogue_type, count(*) AS \"rows\" FROM obs WHERE label = 1 GROUP BY 1")
 def attack_counts(spark, sf_dir):
     return profiling.attack_counts(raw_beacons(spark, sf_dir))

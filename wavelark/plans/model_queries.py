@@ -462,3 +462,57 @@ def source_leakage_probe(spark, sf_dir):
         part = leakage.source_leakage(train, held, name).withColumn("feature_set", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+# Small models given in full, so that SQL can score with them what the fitted ones score above.
+TERMS = [([0.03, 0.2, -0.01, 0.02, 0.1, 0.3], 0.4, 0.5), ([-0.02, 0.05, 0.04, -0.03, -0.2, 0.1], 1.7, -0.25), ([0.01, -0.3, 0.02, 0.02, 0.05, -0.4], 3.1, 0.75)]
+TERMS_SQL = " + ".join(
+    f"{w} * sqrt(2 / {len(TERMS)}::DOUBLE) * cos({' + '.join(f'{o} * {f}' for o, f in zip(omega, COMPLETE))} + {offset})" for omega, offset, w in TERMS)
+
+
+@query("random_feature_scores", f"WITH {TEMPORAL} SELECT network_group_id, window_start_ms, label, round(0.1::DOUBLE - ({TERMS_SQL}), 7) + 0.0 AS anomaly_score FROM temporal")
+def random_feature_scores(spark, sf_dir):
+    terms = spark.createDataFrame([(i, *t) for i, t in enumerate(TERMS)], "term long, omega array<double>, offset double, weight double")
+    model = oneclass.OneClassModel(terms, spark.createDataFrame([(0.1,)], "rho double"), tuple(COMPLETE))
+    scored = oneclass.score_random_features(temporal(spark, sf_dir), model)
+    return rounded(scored.select("network_group_id", "window_start_ms", "label", "anomaly_score"), "anomaly_score", digits=7)
+
+
+# Nodes (tree, node, feature, cut, rows in the node): leaves have no feature.
+TREES = [(0, 0, 0, -55.0, 8), (0, 1, -1, 0.0, 5), (0, 2, 5, 2.5, 3), (0, 5, -1, 0.0, 1), (0, 6, -1, 0.0, 2), (1, 0, 1, 3.0, 8), (1, 1, -1, 0.0, 7), (1, 2, -1, 0.0, 1)]
+
+
+def mean_path(n):
+    """Mean depth of an unsuccessful search among n rows, as SQL."""
+    return f"(2 * (ln({n} - 1.0) + 0.5772156649015329) - 2 * ({n} - 1.0) / {n})" if n > 2 else str(float(n == 2))
+
+
+def walked(tree, node=0, depth=0):
+    """One tree as nested cases: the depth of the leaf a row ends in, and what its rows would add."""
+    _, _, feature, cut, size = next(t for t in TREES if t[:2] == (tree, node))
+    if feature < 0:
+        return f"({depth} + {mean_path(size)})"
+    return f"CASE WHEN {COMPLETE[feature]} > {cut} THEN {walked(tree, 2 * node + 2, depth + 1)} ELSE {walked(tree, 2 * node + 1, depth + 1)} END"
+
+
+@query("forest_scores", f"""WITH {TEMPORAL} SELECT network_group_id, window_start_ms, label,
+    round(2 ** (-(({walked(0)}) + ({walked(1)})) / 2 / {mean_path(8)}) - 0.5, 7) + 0.0 AS anomaly_score FROM temporal""")
+def forest_scores(spark, sf_dir):
+    nodes = spark.createDataFrame([(*t, 8) for t in TREES], forest.NODES)
+    scored = forest.score_forest(temporal(spark, sf_dir), nodes, COMPLETE)
+    return rounded(scored.select("network_group_id", "window_start_ms", "label", "anomaly_score"), "anomaly_score", digits=7)
+
+
+MEANS = [-60.0, 2.0, -70.0, -50.0, 0.5, 2.0]
+LOADINGS = [(0.6, 0.0), (0.0, 0.8), (0.6, 0.1), (0.5, -0.1), (0.1, 0.5), (0.1, 0.3)]
+CENTRED = [f"({f} - {m})" for f, m in zip(COMPLETE, MEANS)]
+AXES_SQL = ", ".join("(" + " + ".join(f"{c} * {w[j]}" for c, w in zip(CENTRED, LOADINGS)) + f") AS z{j}" for j in range(2))
+ERROR_SQL = " + ".join(f"({c} - (z0 * {w[0]} + z1 * {w[1]})) ** 2" for c, w in zip(CENTRED, LOADINGS))
+
+
+@query("reconstruction_scores", f"""WITH {TEMPORAL}, z AS (SELECT *, {AXES_SQL} FROM temporal)
+SELECT network_group_id, window_start_ms, label, round(({ERROR_SQL}) / 6, 9) + 0.0 AS anomaly_score FROM z""")
+def reconstruction_scores(spark, sf_dir):
+    model = reconstruction.ReconstructionModel(tuple(COMPLETE), tuple(MEANS), tuple(LOADINGS))
+    scored = reconstruction.score_reconstruction(temporal(spark, sf_dir), model)
+    return rounded(scored.select("network_group_id", "window_start_ms", "label", "anomaly_score"), "anomaly_score", digits=9)

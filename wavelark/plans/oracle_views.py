@@ -18,7 +18,7 @@ obs AS (SELECT event_id,
     CAST(-30.0 AS DOUBLE) - least(value, CAST(90.0 AS DOUBLE)) AS rssi_dbm,
     user_id % 13 + 1 AS channel,
     CASE WHEN k % 7 = 0 THEN 0 WHEN k % 11 = 0 THEN 14 ELSE user_id % 13 + 1 END AS advertised_channel,
-    CAST(102.4 AS DOUBLE) AS configured_beacon_interval_ms,
+    CAST(CASE WHEN k % 8 = 5 THEN 204.8 WHEN k % 16 = 3 THEN 51.2 ELSE 102.4 END AS DOUBLE) AS configured_beacon_interval_ms,
     CASE WHEN d_sec THEN 'OPEN' WHEN user_id % 5 = 0 THEN 'WPA' ELSE 'WPA2' END AS security_type,
     k % 10 = 0 AS is_hidden,
     CASE WHEN k % 17 = 0 THEN us % 1000000 ELSE rem END AS beacon_timestamp_us,

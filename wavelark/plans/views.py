@@ -48,7 +48,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(-30.0) - F.least("value", F.lit(90.0))).alias("rssi_dbm"),
         channel.alias("channel"),
         F.when(k % 7 == 0, 0).when(k % 11 == 0, 14).otherwise(channel).alias("advertised_channel"),
-        F.lit(102.4).alias("configured_beacon_interval_ms"),
+        F.when(k % 8 == 5, 204.8).when(k % 16 == 3, 51.2).otherwise(102.4).alias("configured_beacon_interval_ms"),
         F.when(F.col("d_sec"), "OPEN").when(user % 5 == 0, "WPA").otherwise("WPA2").alias("security_type"),
         (k % 10 == 0).alias("is_hidden"),
         F.when(k % 17 == 0, F.col("us") % 1_000_000).otherwise(F.col("rem")).alias("beacon_timestamp_us"),
