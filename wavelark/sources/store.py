@@ -111,17 +111,20 @@ def persist_scans(scored: DataFrame, existing_scans: DataFrame | None = None, sc
             "detection": detection}
 
 
-def append_scans(tables: dict[str, DataFrame], root: str, batch: str | None = None) -> str:
-    """Writes the tables as one batch and commits it."""
+def _clustered(df: DataFrame, scan: str) -> DataFrame:
+    """A task holds few dates, and a file the scans of a range, so that filters of both kinds skip files."""
+    return df.repartitionByRange("scan_date", scan).sortWithinPartitions("scan_date", scan)
+
+
+def append_scans(tables: dict[str, DataFrame], root: str, batch: str | None = None, clustered: tuple[str, ...] = ()) -> str:
+    """Writes the tables as one batch and commits it. Tables named in `clustered` lie in the order of dates and scans already."""
     folder = uuid.uuid4().hex
     batch = batch or folder
     for name, df in tables.items():
         path = f"{root}/{name}/folder=f-{folder}"
         if "scan_date" in df.columns:
-            scan = "id" if name == "scan_session" else "scan_session_id"
-            # A task holds few dates, and a file the scans of a range, so that both kinds of filter skip files.
-            df.repartitionByRange("scan_date", scan).sortWithinPartitions("scan_date", scan).write.partitionBy(
-                "scan_date").parquet(path)
+            rows = df if name in clustered else _clustered(df, "id" if name == "scan_session" else "scan_session_id")
+            rows.write.partitionBy("scan_date").parquet(path)
         else:
             df.write.parquet(path)
     _commit(tables, root, batch, f"f-{folder}")
@@ -156,8 +159,10 @@ def manifest(spark: SparkSession, root: str) -> DataFrame | None:
 def stored_scans(spark: SparkSession, root: str, dates: DataFrame) -> DataFrame | None:
     """Ids of the scans stored between the first and the last of the given dates; only those partitions are read."""
     done = manifest(spark, root)
+    if done is None:
+        return None
     span = dates.agg(F.min("scan_date").alias("a"), F.max("scan_date").alias("b")).first()
-    if done is None or span["a"] is None:
+    if span["a"] is None:
         return None
     return _committed(spark, root, "scan_session", done).where(F.col("scan_date").between(span["a"], span["b"])).select("id")
 
@@ -174,6 +179,8 @@ def ingest(scored: DataFrame, root: str, scans: DataFrame | None = None, repeate
     done = manifest(spark, root)
     if batch is not None and done is not None and not done.where(F.col("batch") == batch).isEmpty():
         return batch
+    # Ordered once; the tables are projections that keep the order.
+    scored = _clustered(scored.withColumn("scan_date", F.to_date("observed_at_utc")), "scan_id").drop("scan_date")
     if "observation_id" not in scored.columns:
         last = None if done is None else done.agg(F.max("last_id").alias("m")).first()["m"]
         scored = numbered(scored, "observation_id", 1 + (last or 0))
@@ -187,7 +194,8 @@ def ingest(scored: DataFrame, root: str, scans: DataFrame | None = None, repeate
         if repeated == "fail" and not held.isEmpty():
             raise ValueError("scan is stored already")
     tables = persist_scans(scored, held, scans, repeated)
-    return append_scans({**tables, **({} if models is None else {"model_version": models})}, root, batch)
+    return append_scans({**tables, **({} if models is None else {"model_version": models})}, root, batch,
+                        ("network_observation", "network_features", "detection"))
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
