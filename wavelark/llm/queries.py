@@ -21,7 +21,7 @@ from wavelark.llm import (
     warc,
     weak_labels,
 )
-from wavelark.llm.storage import shared_path
+from wavelark.llm.storage import shared_path, text_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -41,7 +41,7 @@ def query(fn: Query) -> Query:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return text_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 @query

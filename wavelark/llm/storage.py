@@ -36,6 +36,19 @@ def qualified(spark: SparkSession, path: str) -> str:
     full = plain.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(plain).toString()
     return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
 
+#: Rows and bytes of an Arrow batch of texts, at most.
+TEXT_BATCH_ROWS, TEXT_BATCH_BYTES = 2000, 8 << 20
+
+
+def text_batches(spark: SparkSession) -> SparkSession:
+    """Rows of texts are large: smaller Arrow batches than Spark's default bound what executors and their workers hold at once."""
+    for name, most in (("maxRecordsPerBatch", TEXT_BATCH_ROWS), ("maxBytesPerBatch", TEXT_BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        held = int("".join(c for c in spark.conf.get(key) if c.isdigit() or c == "-"))
+        if not 0 < held <= most:
+            spark.conf.set(key, str(most))
+    return spark
+
 
 def drawn(share: float, *columns: str):
     """Whether a row belongs to a sample of the given share, by a hash of its contents: the same rows however they are partitioned."""
