@@ -102,3 +102,30 @@ def test_evaluation_against_control(frame):
     for bad in (("hypothetical_control", "other", True, True, True, 0.0), ("hypothetical_control", "t", False, True, True, 0.0)):
         with pytest.raises(SparkRuntimeException, match="test session"):
             scenarios.evaluate_scenarios(frame([bad], schema), tests, 1.0).collect()
+
+
+def test_many_scenarios_stay_spread(spark, frame):
+    """Rows that keep their address have nothing to look up: no exchange of the rows puts them all in one task."""
+    rows, _ = setup(frame)
+    ref = context.freeze(context.build_desktop_reference(rows.where("event_id = 7")))
+    base = scenarios.baseline_rows(context.transform_desktop(rows.where("event_id = 7"), ref))
+    made = scenarios.generate_scenarios(base, ref)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+    assert made.count() == 5
+
+
+def test_scenarios_against_a_reference_that_is_not_broadcast(spark, frame):
+    rows, ref = setup(frame)
+    ref = context.freeze(ref)
+    base = scenarios.baseline_rows(context.transform_desktop(rows, ref))
+    want = sorted(map(tuple, scenarios.generate_scenarios(base, ref).collect()), key=str)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = scenarios.generate_scenarios(base, ref)
+        assert sorted(map(tuple, made.collect()), key=str) == want and len(want) == 5
+        # The joins with the members and with the taken addresses go by a salt too.
+        assert made._jdf.queryExecution().optimizedPlan().toString().count("_salt") >= 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
