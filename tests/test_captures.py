@@ -253,3 +253,13 @@ def test_tables(spark, tmp_path):
             tables.write_once(df, path, fmt)
     with pytest.raises(ValueError):
         tables.read_table(spark, "x.xlsx")
+
+
+def test_a_large_controlled_session_is_not_sent_to_one_task(spark, frame, tmp_path):
+    write(f"{tmp_path}/s.jsonl", "".join(DOCUMENT % (f"t{i % 2}", 1 - i % 2, "false" if i % 2 else "true") + "\n" for i in range(40)))
+    manifest = frame([("s", "lab", "evil", "t0", 20), ("quiet", "lab", "evil", "t0", 0)],
+                     "session_id string, environment string, attack_type string, target_bssid_hash string, matched_observation_count long")
+    rows = scan_flatten.flatten_controlled(scans.read_scan_jsonl(spark, f"{tmp_path}/s.jsonl"), manifest)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "FullOuter" not in plan
+    assert rows.count() == 80 and rows.where("label = 1").count() == 20

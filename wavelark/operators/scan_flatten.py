@@ -4,7 +4,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavelark.operators.checks import present_or_fail
+from wavelark.operators.context import left_join
 from wavelark.schema import CONTROLLED_COLUMNS, DESKTOP_TYPES, project
+from wavelark.session import stored
 
 ENTRY = ["ssid_hash", "bssid_hash", "ssid_not_broadcast", "rssi_dbm", "link_quality", "beacon_interval_ms", "tsf_us",
          "host_timestamp_100ns", "center_frequency_khz", "ds_parameter_channel", "security_type", "security_strength",
@@ -46,10 +48,13 @@ def flatten_controlled(scans: DataFrame, manifest: DataFrame) -> DataFrame:
     told = manifest.select("session_id", "environment", "attack_type", "target_bssid_hash", promised.alias("_promised"), F.lit(True).alias("_told"))
     rows = _entries(scans)
     found = rows.groupBy("session_id").agg(
-        F.count_if(F.coalesce(F.col("_entry.is_attack_target"), F.lit(False))).alias("_targets"))
+        F.count_if(F.coalesce(F.col("_entry.is_attack_target"), F.lit(False))).alias("_targets"), F.lit(True).alias("_heard"))
+    # One row a session, written once: a session of any number of rows is joined with it where its rows are.
+    told = stored(told.join(found, "session_id", "left"), "controlled-sessions")
     # A promise without any row keeps a row of its own to fail on; other sessions without rows are no matter.
-    rows = rows.join(told.join(found, "session_id", "left"), "session_id", "full").where(
-        F.col("_entry").isNotNull() | (F.coalesce("_promised", F.lit(0)) > 0))
+    empty = told.where(F.col("_heard").isNull() & (F.coalesce("_promised", F.lit(0)) > 0))
+    rows = left_join(rows.drop(*[c for c in told.columns if c != "session_id"]), told.withColumnRenamed("session_id", "_session"),
+                     {"session_id": "_session"}, "session_id").drop("_session").unionByName(empty, allowMissingColumns=True)
     refused = F.when(F.col("_entry").isNull(), F.raise_error(F.lit("controlled session: targets are promised, but there is no observation"))).when(
         F.col("_told").isNull(), F.raise_error(F.lit("controlled session without a manifest"))).when(
         F.col("_targets") != F.col("_promised"), F.raise_error(F.lit("controlled session: number of target rows differs from the manifest")))

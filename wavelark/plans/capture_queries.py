@@ -4,7 +4,7 @@ from wavelark.operators import elements, normalize, profiling, scan_flatten, win
 from wavelark.plans.catalog import query, rounded
 from wavelark.plans.oracle_views import DESKTOP, OBS, band, freq
 from wavelark.plans.views import EPOCH_US, desktop_rows, observations, ticks
-from wavelark.session import fresh_path
+from wavelark.session import fresh_path, stored
 from wavelark.sources import aligned, captures, scans, tables
 
 TEXT = "string"
@@ -368,14 +368,14 @@ ct AS (SELECT d.*, d.bssid_hash = target AS hit, target FROM desk d JOIN tg USIN
 
 def manifest(spark, sf_dir):
     rows = desktop_rows(spark, sf_dir)
-    targets = rows.groupBy("session_id").agg(F.min("bssid_hash").alias("target_bssid_hash"))
+    targets = stored(rows.groupBy("session_id").agg(F.min("bssid_hash").alias("target_bssid_hash")), "targets")
     counts = rows.join(targets, "session_id").groupBy("session_id", "target_bssid_hash").agg(
         F.count_if(F.col("bssid_hash") == F.col("target_bssid_hash")).alias("matched_observation_count"))
     return counts.withColumns({"environment": F.lit("lab"), "attack_type": F.lit("evil_twin")})
 
 
 def controlled(spark, sf_dir):
-    told = manifest(spark, sf_dir)
+    told = stored(manifest(spark, sf_dir), "manifest")
     docs = scan_documents(spark, sf_dir).join(told.select("session_id", "target_bssid_hash"), "session_id")
     marked = F.transform("interfaces", lambda i: i.withField("bss_entries", F.transform(i["bss_entries"], lambda e: e.withField(
         "is_attack_target", e["bssid_hash"] == F.col("target_bssid_hash")).withField(
