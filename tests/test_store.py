@@ -189,3 +189,23 @@ def test_networks(frame):
     assert names(networks.sort(df, "ssid_asc")) == ["bb:03", "aa:01", "aa:02"]
     assert names(networks.sort(df, "suspicion_desc")) == ["aa:01", "bb:03", "aa:02"]
     assert {r[0]: r[1] for r in networks.suspicion_counts(df).collect()} == {"high": 1, "medium": 0, "unavailable": 1, "low": 1}
+
+
+def test_a_large_scan_lies_in_several_ranges(spark, frame):
+    rows = frame([("scan0", T0, i, f"net{i}") for i in range(4000)], "scan_id string, observed_at_utc timestamp, observation_id long, network_id string")
+    dated = rows.selectExpr("*", "to_date(observed_at_utc) AS scan_date")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        spread = store._clustered(dated, "scan_id", "observation_id")
+        sizes = [n for n in spread.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect() if n]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sum(sizes) == 4000 and max(sizes) < 3000
+
+
+def test_only_columns_of_the_tables_are_ordered(spark, frame, tmp_path):
+    rows = frame(scored(), SCORED).selectExpr("*", "'unread' AS ssid_hash", "'unread' AS bssid_hash", "'unread' AS context_ssid_hash")
+    assert set(rows.columns) - set(store._needed(rows).columns) == {"ssid_hash", "bssid_hash", "context_ssid_hash"}
+    store.ingest(rows, str(tmp_path))
+    db = store.read_store(spark, str(tmp_path))
+    assert db["network_observation"].count() == 12 and db["network_observation"].where("bssid_hash = 'unread'").count() == 0

@@ -38,7 +38,7 @@ def scored_scans(spark, sf_dir):
         "status": F.when(F.col("event_id") % 97 == 0, "unavailable").when(ready, "ready").otherwise("insufficient_history"),
         "anomaly_score": F.when(ready, score), "threshold": F.when(ready, F.lit(0.2)),
         "model_version_id": F.when(F.col("session_id") < "sess_05", 1).otherwise(2).cast("long")})
-    times = scored.groupBy("scan_id").agg(F.min("captured_at_utc").alias("observed_at_utc"))
+    times = stored(scored.groupBy("scan_id").agg(F.min("captured_at_utc").alias("observed_at_utc")), "scan-times")
     return scored.drop("observed_at_utc").join(times, "scan_id").withColumns({
         "is_anomaly": F.when(ready, F.col("anomaly_score") > 0.2),
         "suspicion_level": F.when(~ready, "unavailable").when(F.col("anomaly_score") > 0.2, "high").otherwise("low")})

@@ -111,9 +111,19 @@ def persist_scans(scored: DataFrame, existing_scans: DataFrame | None = None, sc
             "detection": detection}
 
 
-def _clustered(df: DataFrame, scan: str) -> DataFrame:
-    """A task holds few dates, and a file the scans of a range, so that filters of both kinds skip files."""
-    return df.repartitionByRange("scan_date", scan).sortWithinPartitions("scan_date", scan)
+def _clustered(df: DataFrame, scan: str, within: str | None = None) -> DataFrame:
+    """A task holds few dates, and a file the scans of a range, so that filters of both kinds skip files. The rows of a large
+    scan are told apart by `within` and may lie in several files."""
+    return df.repartitionByRange("scan_date", scan, *([within] if within else [])).sortWithinPartitions("scan_date", scan)
+
+
+def _needed(scored: DataFrame) -> DataFrame:
+    """The columns that the tables are made of; of clear and hashed identifiers only those that are read."""
+    hashed = [] if "bssid" in scored.columns else ["ssid_hash", "bssid_hash"]
+    names = {"scan_id", "observed_at_utc", "observation_id", "network_id", "interface_guid", "ssid", "bssid", "status", "model_version_id",
+             "context_available", "context_resolution", "feature_complete", "negotiated_api_version", *hashed, *OBSERVATION_COLUMNS,
+             *FEATURE_COLUMNS, *DETECTION_COLUMNS}
+    return scored.select(*[c for c in scored.columns if c in names])
 
 
 def append_scans(tables: dict[str, DataFrame], root: str, batch: str | None = None, clustered: tuple[str, ...] = ()) -> str:
@@ -123,7 +133,7 @@ def append_scans(tables: dict[str, DataFrame], root: str, batch: str | None = No
     for name, df in tables.items():
         path = f"{root}/{name}/folder=f-{folder}"
         if "scan_date" in df.columns:
-            rows = df if name in clustered else _clustered(df, "id" if name == "scan_session" else "scan_session_id")
+            rows = df if name in clustered else _clustered(df, "id") if name == "scan_session" else _clustered(df, "scan_session_id", "id")
             rows.write.partitionBy("scan_date").parquet(path)
         else:
             df.write.parquet(path)
@@ -179,8 +189,9 @@ def ingest(scored: DataFrame, root: str, scans: DataFrame | None = None, repeate
     done = manifest(spark, root)
     if batch is not None and done is not None and not done.where(F.col("batch") == batch).isEmpty():
         return batch
-    # Ordered once; the tables are projections that keep the order.
-    scored = _clustered(scored.withColumn("scan_date", F.to_date("observed_at_utc")), "scan_id").drop("scan_date")
+    # Written before it is ordered, as the borders of the ranges are sampled; ordered once, the tables are projections that keep the order.
+    scored = stored(_needed(scored), "scored").withColumn("scan_date", F.to_date("observed_at_utc"))
+    scored = _clustered(scored, "scan_id", "observation_id" if "observation_id" in scored.columns else "network_id").drop("scan_date")
     if "observation_id" not in scored.columns:
         last = None if done is None else done.agg(F.max("last_id").alias("m")).first()["m"]
         scored = numbered(scored, "observation_id", 1 + (last or 0))
