@@ -185,3 +185,15 @@ def test_counter_state_ends_an_hour_after_the_last_scan(spark, frame, tmp_path):
     watch.arrive(fall_rows([("a", 90, 1), ("c", 90, 9)]))
     watch.arrive(jobs.end_marker(frame(fall_rows([("a", 90, 1)]), FALL), "event_time"))
     assert watch.falls() == [("b", 0, 20, 50, 40), ("b", 20, 75, 40, 30), ("c", 59, 70, 7, 5)]
+
+
+def test_counters_of_many_networks_share_few_states(spark, frame, tmp_path, monkeypatch):
+    """A bucket keeps its networks apart, whatever they share, and rows without a network hold no state."""
+    monkeypatch.setattr(jobs, "WATCH_BUCKETS", 2)
+    watch = Watch(spark, frame, tmp_path)
+    held = watch.arrive(fall_rows([(f"b{i}", 0, 50 + i) for i in range(40)] + [(None, 1, 3), ("", 1, 3)]))
+    assert 0 < held.lastProgress["stateOperators"][0]["numRowsTotal"] <= 2
+    watch.arrive(fall_rows([(f"b{i}", 5, 70) for i in range(0, 40, 2)] + [("b1", 3, 9), ("b1", 3, 90)]))
+    query = watch.arrive(jobs.end_marker(frame(fall_rows([("b1", 5, 1)]), FALL), "event_time"))
+    assert watch.falls() == [("b1", 0, 3, 51, 9)] + sorted((f"b{i}", 0, 5, 50 + i, 70) for i in range(22, 40, 2))
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 0

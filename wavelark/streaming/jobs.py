@@ -95,46 +95,53 @@ def rssi_stream(stream: DataFrame, time: str = "event_time", watermark: str = "1
 
 
 FALLS = "bssid_hash string, previous_scan long, scan_index long, previous_tsf_us long, tsf_us long"
-# The last final scan of a BSSID, and the scans the watermark has not passed yet.
-WATCHED = "scan long, tsf long, at long, scans array<long>, lows array<long>, highs array<long>, times array<long>"
+# Per bucket of BSSIDs: the last final scan of each, and the scans the watermark has not passed yet.
+WATCHED = ("names array<string>, scans array<long>, tsfs array<long>, ats array<long>, "
+           "open_names array<string>, open_scans array<long>, lows array<long>, highs array<long>, times array<long>")
+#: BSSIDs share the state and the calls of a bucket, as a call costs much more than the rows of one BSSID.
+WATCH_BUCKETS = 2048
 
 
 def _watch(keep_ms: int):
     def watch(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        """Holds one BSSID's last scan and its highest counter, and emits every fall to the next scan.
+        """Holds the last scan of every BSSID of a bucket and its highest counter, and emits every fall to the next scan.
 
         A scan is final once the watermark passed it, so scans may arrive in any order and in any number of files; until then it
-        is folded to its extremes. With nothing open, the state ends when the watermark is `keep_ms` past the last scan.
+        is folded to its extremes. A BSSID with nothing open is dropped when the watermark is `keep_ms` past its last scan.
         """
-        held = state.get if state.exists else (None, None, None, [], [], [], [])
-        last = tuple(held[:3]) if held[0] is not None else None
-        open_scans = {scan: (low, high, at) for scan, low, high, at in zip(*held[3:])}
+        held = state.get if state.exists else ([],) * 9
+        last = {name: tuple(scan) for name, *scan in zip(*held[:4])}
+        open_scans = {(name, scan): tuple(rest) for name, scan, *rest in zip(*held[4:])}
         for pdf in batches:
-            if not key[0]:
-                continue  # the end marker, and rows without a BSSID
-            folded = pdf[pdf["tsf_us"].notna()].groupby("scan_index").agg(low=("tsf_us", "min"), high=("tsf_us", "max"), at=("ms", "min"))
-            for scan, low, high, at in folded.itertuples():
-                old = open_scans.get(scan, (low, high, at))
-                open_scans[int(scan)] = (int(min(low, old[0])), int(max(high, old[1])), int(min(at, old[2])))
-        if not key[0]:
-            return
+            # The end marker and rows without a BSSID take no part.
+            rows = pdf[pdf["tsf_us"].notna() & pdf["bssid_hash"].notna() & (pdf["bssid_hash"] != "")]
+            if rows.empty:
+                continue
+            folded = rows.groupby(["bssid_hash", "scan_index"]).agg({"tsf_us": ["min", "max"], "ms": "min"})
+            for (name, scan), low, high, at in folded.itertuples(name=None):
+                old = open_scans.get((name, int(scan)), (low, high, at))
+                open_scans[name, int(scan)] = (int(min(low, old[0])), int(max(high, old[1])), int(min(at, old[2])))
         watermark, falls = state.getCurrentWatermarkMs(), []
-        for scan in sorted((s for s in open_scans if open_scans[s][2] <= watermark), key=lambda s: (open_scans[s][2], s)):
-            low, high, at = open_scans.pop(scan)
-            if last is not None and scan == last[0]:
-                last = (scan, max(high, last[1]), last[2])
+        for name, scan in sorted((s for s in open_scans if open_scans[s][2] <= watermark), key=lambda s: (open_scans[s][2], s[1])):
+            low, high, at = open_scans.pop((name, scan))
+            before = last.get(name)
+            if before is not None and scan == before[0]:
+                last[name] = (scan, max(high, before[1]), before[2])
                 continue
-            if last is not None and at - last[2] <= keep_ms and low < last[1]:
-                falls.append((key[0], last[0], scan, last[1], low))
-            last = (scan, high, at)
-        timer = min((at for _, _, at in open_scans.values()), default=None if last is None else last[2] + keep_ms)
-        if timer is None or (not open_scans and timer <= watermark):
+            if before is not None and at - before[2] <= keep_ms and low < before[1]:
+                falls.append((name, before[0], scan, before[1], low))
+            last[name] = (scan, high, at)
+        waiting = {name for name, _ in open_scans}
+        last = {name: scan for name, scan in last.items() if name in waiting or scan[2] + keep_ms > watermark}
+        if not last and not open_scans:
             if state.exists:
                 state.remove()
         else:
-            columns = [[int(x) for x in c] for c in zip(*((s, *v) for s, v in open_scans.items()))] or [[], [], [], []]
-            state.update((*(last or (None, None, None)), *columns))
-            state.setTimeoutTimestamp(max(timer, watermark + 1))
+            closed = [[*c] for c in zip(*((name, *scan) for name, scan in last.items()))] or [[]] * 4
+            opened = [[*c] for c in zip(*((*s, *v) for s, v in open_scans.items()))] or [[]] * 5
+            state.update((*closed, *opened))
+            timers = [at for _, _, at in open_scans.values()] + [at + keep_ms for name, (_, _, at) in last.items() if name not in waiting]
+            state.setTimeoutTimestamp(max(min(timers), watermark + 1))
         if falls:
             yield pd.DataFrame(falls, columns=["bssid_hash", "previous_scan", "scan_index", "previous_tsf_us", "tsf_us"])
     return watch
@@ -143,11 +150,13 @@ def _watch(keep_ms: int):
 def tsf_watch(stream: DataFrame, time: str = "event_time", watermark: str = "10 seconds", keep: str = "1 hour") -> DataFrame:
     """Falls of the uptime counter per BSSID from one scan to the next, as in the batch check.
 
-    Falls across a gap of more than `keep` are not looked for; that bounds the state to the BSSIDs seen within it.
+    Falls across a gap of more than `keep` are not looked for; that bounds the state to the BSSIDs seen within it. Rows
+    without a BSSID are dealt out over all buckets.
     """
+    bucket = F.pmod(F.when(F.coalesce("bssid_hash", F.lit("")) != "", F.xxhash64("bssid_hash")).otherwise(F.xxhash64(time, "tsf_us")), F.lit(WATCH_BUCKETS))
     rows = stream.withWatermark(time, watermark).select(
-        "bssid_hash", F.col("scan_index").cast("long").alias("scan_index"), F.col("tsf_us").cast("long").alias("tsf_us"), time,
+        bucket.alias("bucket"), "bssid_hash", F.col("scan_index").cast("long").alias("scan_index"), F.col("tsf_us").cast("long").alias("tsf_us"), time,
         F.unix_millis(time).alias("ms"))
     keep_ms = int(pd.Timedelta(keep).total_seconds() * 1000)
-    return rows.groupBy("bssid_hash").applyInPandasWithState(
+    return rows.groupBy("bucket").applyInPandasWithState(
         _watch(keep_ms), FALLS, WATCHED, "append", GroupStateTimeout.EventTimeTimeout)
