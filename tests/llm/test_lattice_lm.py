@@ -51,6 +51,29 @@ def test_expected_uses(lattice):
     assert (uses >= 0).all()
 
 
+def test_words_of_usual_length_take_no_logarithms(lattice, monkeypatch):
+    model, pieces = lattice
+    words = [b"the", b"then", b"a", b"aaaaa", "été".encode(), b"thethethe", b"x" * 20]
+    assert model.plain > 20
+    with monkeypatch.context() as m:
+        m.setattr(model, "plain", 0)
+        slow = model.expected(words)
+        assert np.allclose(model.score(words), [spelled(pieces, model.stop, b" " + w) for w in words])
+    monkeypatch.setattr(model, "_forward", None)
+    assert np.allclose(model.expected(words), slow)
+    assert np.allclose(model.score(words), [spelled(pieces, model.stop, b" " + w) for w in words])
+
+
+def test_improbable_words_keep_their_score():
+    """Bytes so rare that a double cannot hold the product: such words are walked in logarithms."""
+    scores = np.full(256, -90.0)
+    scores[ord("a")] = 0.0
+    model = M.Lattice([bytes([b]) for b in range(256)], scores, 0.0)
+    assert model.plain == 6
+    assert np.allclose(model.score([b"xyz", b"x" * 6, b"x" * 30, b"a" * 30]), [-360, -630, -2790, -90])
+    assert np.allclose(model.expected([b"x" * 30])[[ord(" "), ord("x")]], [1, 30])
+
+
 def test_expected_uses_of_long_words(lattice, monkeypatch):
     """Words without a space for 96 bytes and more fit the pieces like all others."""
     model, pieces = lattice

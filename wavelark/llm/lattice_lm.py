@@ -2,7 +2,7 @@
 
 The pieces and their first scores come from an existing vocabulary; expectation-maximisation over the distinct
 words of the training documents fits the scores to the corpus. A word is a lattice of all pieces that match inside it,
-and a forward recursion in log space gives its marginal probability. A word of the training documents is one more arc of
+and a forward recursion, in log space for long words, gives its marginal probability. A word of the training documents is one more arc of
 its lattice, from begin to end: its count less a discount, and the discounts of all words are the weight of spelling
 a word out of pieces. Pieces never cross a word's begin, so the probability of a document is the product over its
 words and its end, and the probabilities of all texts sum up to no more than 1.
@@ -37,6 +37,8 @@ _LONG = 96
 #: Bytes of long words whose lattices are walked side by side.
 _CELLS = 1 << 18
 _FILTER_BITS = 20
+#: Natural logarithm of one over the least probability that is walked as it is; words that may be less probable are walked in logarithms.
+_DEPTH = 600.0
 _VALUES = np.random.default_rng(77).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = 0x9E3779B97F4A7C15
 _UP = np.array([pow(_STEP, i, 1 << 64) for i in range(_LONG + 1)], np.uint64)
@@ -80,12 +82,19 @@ class Lattice:
 
     def __init__(self, pieces: list[bytes], scores: np.ndarray, stop: float):
         self.scores, self.stop = scores, stop
+        self.chances = np.append(np.exp(scores), 0.0)
+        # Up to this length no word is less probable than a double can hold: single bytes are pieces, so it has a spelling of them.
+        self.plain = int(_DEPTH / max(1e-9, -scores.min()))
         self.longest = max(map(len, pieces))
         keys = np.array([self._hash(np.frombuffer(p, np.uint8)) for p in pieces], np.uint64)
-        self.order = np.argsort(keys)
+        self.order = np.argsort(keys).astype(np.int32)
         self.keys = keys[self.order]
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
-        self.filter[(self.keys >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
+        slots = (self.keys >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
+        self.filter[slots] = True
+        # Keys of a slot lie side by side: the first place of each slot, and the keys of the fullest one.
+        self.first = np.searchsorted(slots, np.arange(1 << _FILTER_BITS)).astype(np.int32)
+        self.depth = int(np.bincount(slots).max())
 
     @staticmethod
     def _hash(piece: np.ndarray) -> int:
@@ -94,10 +103,14 @@ class Lattice:
     def _find(self, hashes: np.ndarray) -> np.ndarray:
         """Piece numbers, -1 where a substring is no piece."""
         out = np.full(hashes.shape, -1, np.int32)
-        maybe = self.filter[(hashes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)]
-        wanted = hashes[maybe]
-        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
-        out[maybe] = np.where(self.keys[at] == wanted, self.order[at], -1)
+        slots = (hashes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
+        maybe = self.filter[slots]
+        wanted, first = hashes[maybe], self.first[slots[maybe]]
+        pieces = np.full(wanted.shape, -1, np.int32)
+        for step in range(self.depth):
+            at = np.minimum(first + step, len(self.keys) - 1)
+            pieces = np.where(self.keys[at] == wanted, self.order[at], pieces)
+        out[maybe] = pieces
         return out
 
     def _matches(self, words: np.ndarray) -> list[np.ndarray]:
@@ -117,19 +130,54 @@ class Lattice:
             alpha[:, j] = top + np.log(np.exp(ways - top).sum(0))
         return alpha
 
+    def _weights(self, found: list[np.ndarray]) -> list[np.ndarray | None]:
+        """Probabilities of the pieces as [place, word] for k = 1, 2, ...; None where no word has a piece of that length."""
+        return [self.chances.take(np.ascontiguousarray(m.T)) if (m >= 0).any() else None for m in found]
+
+    def _chances(self, weights: list[np.ndarray | None], rows: int, length: int) -> np.ndarray:
+        """The forward recursion without logarithms, as [place, word], for words of at most `plain` bytes."""
+        alpha = np.zeros((length + 1, rows))
+        alpha[0] = 1
+        for j in range(1, length + 1):
+            for k in range(1, min(j, len(weights)) + 1):
+                if weights[k - 1] is not None:
+                    alpha[j] += alpha[j - k] * weights[k - 1][j - k]
+        return alpha
+
+    def _expect_plain(self, found: list[np.ndarray], rows: int, length: int, total: np.ndarray) -> None:
+        """Adds the expected uses in words of at most `plain` bytes."""
+        weights = self._weights(found)
+        alpha = self._chances(weights, rows, length)
+        beta = np.zeros((length + 1, rows))
+        # A spelling's share of its word: the last place starts with one over the word's probability.
+        beta[length] = 1 / alpha[length]
+        for j in range(length - 1, -1, -1):
+            for k in range(1, min(length - j, len(weights)) + 1):
+                if weights[k - 1] is not None:
+                    beta[j] += beta[j + k] * weights[k - 1][j]
+        for k, (m, w) in enumerate(zip(found, weights), 1):
+            if w is not None:
+                place, row = np.nonzero(m.T >= 0)
+                share = alpha[place, row] * w[place, row] * beta[place + k, row]
+                total += np.bincount(m[row, place], share, len(total))
+
     def _by_length(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
         for length in np.unique(lengths[lengths <= _LONG]):
             members = np.flatnonzero(lengths == length)
             for i in range(0, len(members), _AT_ONCE):
                 part = members[i:i + _AT_ONCE]
-                yield part, np.frombuffer(b"".join(b" " + words[m] for m in part), np.uint8).reshape(len(part), length)
+                yield part, np.frombuffer(b" " + b" ".join([words[m] for m in part]), np.uint8).reshape(len(part), length)
 
     def score(self, words: list[bytes]) -> np.ndarray:
         """Natural log of each word's marginal probability of being spelled out of pieces."""
         out = np.zeros(len(words))
         for part, block in self._by_length(words):
-            out[part] = self._forward(self._matches(block), *block.shape)[:, -1] + self.stop
+            found = self._matches(block)
+            if block.shape[1] <= self.plain:
+                out[part] = np.log(self._chances(self._weights(found), *block.shape)[-1]) + self.stop
+            else:
+                out[part] = self._forward(found, *block.shape)[:, -1] + self.stop
         for i, word in enumerate(words):
             if len(word) >= _LONG:
                 out[i] = self._score_long(b" " + word) + self.stop
@@ -159,6 +207,9 @@ class Lattice:
         padded = np.append(self.scores, -np.inf)
         for part, block in self._by_length(words):
             found, (rows, length) = self._matches(block), block.shape
+            if length <= self.plain:
+                self._expect_plain(found, rows, length, total)
+                continue
             alpha = self._forward(found, rows, length)
             beta = np.full((rows, length + 1), -np.inf)
             beta[:, length] = 0
