@@ -123,6 +123,21 @@ def candidates(df, monkeypatch, size=4):
     return result, seen[0].count()
 
 
+def test_similar_texts_below_the_threshold_meet_a_few_times(docs, prose, monkeypatch):
+    """Texts that share most of their prefixes are not met once for every shared shingle, neither below nor above the threshold."""
+    rng, base = random.Random(7), prose(3, 900)
+    rows = [(i, family(rng, base, 30)) for i in range(24)] + [(100 + i, family(rng, base, 4)) for i in range(4)]
+    seen, real = [], J._meetings
+    monkeypatch.setattr(J, "_meetings", lambda *a: seen.append(real(*a)) or seen[0])
+    monkeypatch.setattr(J, "_star_candidates", lambda sets, percent: sets.selectExpr("doc_id AS a", "doc_id AS b").where("false"))
+    result = found(docs(rows))
+    assert result == brute(rows) and len({r[2] for r in result}) > 20
+    met = [(r.a, r.b) for r in seen[0].collect()]
+    assert all((100 + i, 100 + j) in met or (100 + j, 100 + i) in met for i in range(4) for j in range(i))
+    # Every pair shares far more than ten shingles of the prefixes; the six pairs of near copies may meet in all of theirs.
+    assert len([p for p in met if min(p) < 100]) <= 10 * len(rows)
+
+
 def test_shingle_spread_thinly_over_many_partitions(docs, prose, monkeypatch):
     """A passage that every document holds is common in the sum, though a task sees it once or twice."""
     passage = prose(999, 40)

@@ -7,7 +7,9 @@
    This joins large families of near copies with a number of comparisons in proportion to their size.
 3. Completeness: two sets above the threshold share shingles of their prefixes, the first few shingles in one
    global order (rare buckets before common ones), and the more the larger they are. Sets that meet in a prefix shingle are
-   put into tiles of one size band each, as narrow rows with the bitmap folded to a few words. Differing bits bound the overlap
+   put into tiles of one size band each, as narrow rows with the bitmap folded to a few words. A meeting counts only if the
+   shingle comes early enough in both sets: the shingles before it that are not shared are limited by the sizes of the pair, so
+   sets that share most of their prefixes meet a few times instead of once for every shingle. Differing bits bound the overlap
    from above: first those of the folded bitmaps, which tell small sets apart, then, for pairs of different components that
    meet often enough, those of the whole ones.
 4. Candidates of 2 and 3 are decided by intersecting the sorted shingles of the two texts.
@@ -143,10 +145,11 @@ def bucket_ranks(counts: np.ndarray) -> tuple[np.ndarray, int]:
 
 
 def _prefixes(docs: DataFrame, size: int, percent: int, ranks: tuple[np.ndarray, int]) -> DataFrame:
-    """(key, doc_id, content, common): the shingles of which similar sets of n or more share at least 1 + n // _SHARED."""
+    """(key, doc_id, content, common, at): the shingles of which similar sets of n or more share at least 1 + n // _SHARED, and their
+    places in the order."""
     schema = T.StructType([
         T.StructField("key", T.LongType()), docs.schema["doc_id"], T.StructField("content", T.LongType()),
-        T.StructField("common", T.BooleanType())])
+        T.StructField("common", T.BooleanType()), T.StructField("at", T.IntegerType())])
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,8 +171,8 @@ def _prefixes(docs: DataFrame, size: int, percent: int, ranks: tuple[np.ndarray,
             ids = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), lengths)))
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.concatenate(keys).view(np.int64)), ids,
-                pa.array(np.repeat(np.array(contents, np.uint64), lengths).view(np.int64)), pa.array(np.concatenate(common))],
-                names=schema.names)
+                pa.array(np.repeat(np.array(contents, np.uint64), lengths).view(np.int64)), pa.array(np.concatenate(common)),
+                pa.array(np.concatenate([np.arange(take, dtype=np.int32) for take in lengths]))], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -233,6 +236,16 @@ def _sizes_fit(percent: int, n1: str, n2: str) -> Column:
     return (F.lit(100) * F.least(n1, n2) >= F.lit(percent) * F.greatest(n1, n2))
 
 
+def _early(percent: int, n: str, at: str) -> Column:
+    """Whether a shared shingle can be among the first 1 + min(n1, n2) // _SHARED shared ones of a similar pair.
+
+    Before the k-th shared one stand k - 1 shared and at most n - overlap others, and the overlap is at least
+    percent * (n1 + n2) / (100 + percent).
+    """
+    more = F.floor(F.least("n1", "n2") / _SHARED)
+    return F.lit(percent) * (F.col("n1") + F.col("n2")) <= F.lit(100 + percent) * (F.col(n) + more - F.col(at))
+
+
 def _star_candidates(sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): each set with the most central set of its minimum groups."""
     minima = sets.select("doc_id", F.posexplode("minima").alias("bin", "value")).where("value IS NOT NULL")
@@ -246,26 +259,30 @@ def _star_candidates(sets: DataFrame, percent: int) -> DataFrame:
     return _overlap_possible(pairs, sets, percent)
 
 
-def _tile_candidates(prefixes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of different components that share enough prefix keys and pass the bitmap bound."""
-    rare = _shared_keys(prefixes.where(~F.col("common")))
-    rows = stored(rare.unionByName(prefixes.where("common")).drop("content").join(
-        sets.select("doc_id", "n", "component", "sketch"), "doc_id"), "prefixes")
-    crossing = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    rows = rows.join(crossing, "key")
+def _meetings(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b, n1, n2) for each early prefix key that two sets of different components share, if sizes and folded bitmaps allow it."""
     # Bands are a little wider than the ratio of sizes that can match, so a pair lies in one band or in neighbours.
     band = F.floor(F.log("n") / F.log(F.lit(100 / (percent - 1)))).cast("int")
     salt = F.when(F.col("common"), F.pmod(F.xxhash64("doc_id"), F.lit(_SALTS))).otherwise(F.lit(0)).cast("int")
     smaller = rows.select("key", band.alias("tile"), salt.alias("salt"), F.col("doc_id").alias("a"), F.col("n").alias("n1"),
-                          F.col("component").alias("c1"), F.col("sketch").alias("s1"))
+                          F.col("component").alias("c1"), F.col("sketch").alias("s1"), F.col("at").alias("at1"))
     salts = F.when(F.col("common"), F.sequence(F.lit(0), F.lit(_SALTS - 1))).otherwise(F.array(F.lit(0)))
     larger = rows.select("key", F.explode(F.array(band, band - 1)).alias("tile"), salts.alias("salts"), F.col("doc_id").alias("b"),
-                         F.col("n").alias("n2"), F.col("component").alias("c2"), F.col("sketch").alias("s2"))
+                         F.col("n").alias("n2"), F.col("component").alias("c2"), F.col("sketch").alias("s2"), F.col("at").alias("at2"))
     larger = larger.withColumn("salt", F.explode("salts")).drop("salts")
     ordered = (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("a") < F.col("b")))
-    met = smaller.hint("merge").join(larger, ["key", "tile", "salt"]).where(
-        (F.col("c1") != F.col("c2")) & ordered & _sizes_fit(percent, "n1", "n2") & _sketches_allow(percent))
-    often = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min("n1").alias("n")).where(
+    return smaller.hint("merge").join(larger, ["key", "tile", "salt"]).where(
+        (F.col("c1") != F.col("c2")) & ordered & _sizes_fit(percent, "n1", "n2")
+        & _early(percent, "n1", "at1") & _early(percent, "n2", "at2") & _sketches_allow(percent)).select("a", "b", "n1", "n2")
+
+
+def _tile_candidates(prefixes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of different components that share enough prefix keys and pass the bitmap bound."""
+    rare = _shared_keys(prefixes.where(~F.col("common")))
+    rows = stored(rare.unionByName(prefixes.where("common")).drop("content").join(
+        sets.select("doc_id", "n", "component", "sketch"), "doc_id"), "prefixes")
+    crossing = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    often = _meetings(rows.join(crossing, "key"), percent).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min("n1").alias("n")).where(
         F.col("shared") >= 1 + F.floor(F.col("n") / _SHARED)).select("a", "b")
     return _overlap_possible(stored(often, "met"), sets, percent)
 
