@@ -1,6 +1,8 @@
+import uuid
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import one
 from wavelark.operators import dashboard, history, networks
@@ -51,9 +53,39 @@ def test_scans_without_networks(frame):
     assert got["empty"] == (0, 2) and set(got) == {"scan0", "empty"}
 
 
+def test_numbers_told_of_every_scan_are_not_counted_in_the_rows(frame):
+    whole = "scan_id string, observed_at_utc timestamp, interface_count long not null, total_networks long not null"
+    told = [("scan0", T0, 2, 4), ("empty", T0, 1, 0)]
+    tables = store.persist_scans(frame(scored(1), SCORED), scans=frame(told, whole))
+    assert {(r["id"], r["interface_count"], r["total_networks"]) for r in tables["scan_session"].collect()} == {("scan0", 2, 4), ("empty", 1, 0)}
+    assert "Aggregate" not in tables["scan_session"]._jdf.queryExecution().optimizedPlan().toString()
+    # A number that is missing, or may be, is counted.
+    for columns in (whole.replace(" not null", ""), whole.rsplit(",", 1)[0]):
+        scans = frame([("scan0", T0, 2, None)[:columns.count(",") + 1]], columns)
+        assert [(r["interface_count"], r["total_networks"]) for r in store.persist_scans(frame(scored(1), SCORED), scans=scans)["scan_session"].collect()] == [(2, 4)]
+
+
 TOLD = "scan_id string, observed_at_utc timestamp, interface_count long"
 
 
+def test_the_manifest_tells_what_was_written(spark, frame, tmp_path):
+    """Ids that another evaluation would draw anew."""
+    drawn = F.udf(lambda: uuid.uuid4().hex).asNondeterministic()
+    sessions = frame([(T0, None, 1, 0)] * 5, "observed_at_utc timestamp, negotiated_api_version string, interface_count long, total_networks long").select(
+        drawn().alias("id"), "*", F.to_date("observed_at_utc").alias("scan_date"))
+    store.append_scans({"scan_session": sessions}, str(tmp_path), "one")
+    ids = sorted(r["id"] for r in spark.read.parquet(f"{tmp_path}/scan_session").collect())
+    done = one(store.manifest(spark, str(tmp_path)))
+    assert (done["scans"], done["first_scan"], done["last_scan"]) == (5, ids[0], ids[-1])
+
+
+def test_scans_the_caller_left_out_are_not_looked_for(spark, frame, tmp_path):
+    store.ingest(frame(scored(1), SCORED), str(tmp_path), repeated="left out")
+    later = [r for r in scored(2) if r[0] != "scan0"]
+    store.ingest(frame(later, SCORED), str(tmp_path), scans=frame([("scan1", T0 + timedelta(hours=1), 1)], TOLD), repeated="left out")
+    assert names(spark, str(tmp_path)) == ["scan0", "scan1"] and names(spark, str(tmp_path), "network_observation") == list(range(1, 9))
+
+
 def names(spark, root, table="scan_session"):
     return sorted(r["id"] for r in store.read_store(spark, root)[table].select("id").collect())
 

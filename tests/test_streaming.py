@@ -68,6 +68,38 @@ def test_scans_are_stored_once(spark, frame, tmp_path, monkeypatch):
     assert [r["is_anomaly"] for r in batch] == [r["is_anomaly"] for r in got] and {r["model_version"] for r in batch} == {"v1"}
 
 
+def test_stored_scans_have_the_numbers_of_their_documents(spark, frame, tmp_path):
+    """Several interfaces, missing lists, and repeats within a batch, of which the first document counts; nothing is sorted for that."""
+    ref = context.build_desktop_reference(frame(
+        [("r", "S", "B", "WPA2", 3)], "session_id string, ssid_hash string, bssid_hash string, security_type string, security_strength long"))
+    scaler = matrix.fit_scaler(frame([(1.0, 0.0, 0.0, 0.0)], ", ".join(f"{f} double" for f in DESKTOP_FEATURES)), DESKTOP_FEATURES)
+    source, out = tmp_path / "in", tmp_path / "out"
+    source.mkdir()
+    many, none, quiet = document(0, "B"), document(1), document(2)
+    many["interfaces"] += [{"interface": {"guid": "h"}, "bss_entries": 2 * document(0, "N")["interfaces"][0]["bss_entries"]}, {"interface": {"guid": "i"}}]
+    none["interfaces"] = None
+    write(source / "1.jsonl", [many, none, quiet, document(0, "X"), many, document(2, "B")])
+    plans, real = [], jobs.stored
+
+    def noted(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return real(df, name)
+
+    jobs.stored = noted
+    try:
+        jobs.score_stream(scans.stream_scan_jsonl(spark, str(source)), ref, scaler, lambda df: df.withColumn("anomaly_score", F.col("bssid_changed")), 0.5,
+                          str(out), str(tmp_path / "state")).awaitTermination()
+    finally:
+        jobs.stored = real
+    db = store.read_store(spark, str(out))
+    assert {r["id"]: (r["total_networks"], r["interface_count"]) for r in db["scan_session"].collect()} == {"s-0": (3, 3), "s-1": (0, 0), "s-2": (0, 1)}
+    assert sorted((r["scan_session_id"], r["bssid_hash"]) for r in db["network_observation"].collect()) == [("s-0", "B"), ("s-0", "N"), ("s-0", "N")]
+    assert [r.asDict() for r in db["manifest"].select("scans", "observations", "first_scan", "last_scan", "first_id", "last_id").collect()] == [
+        {"scans": 3, "observations": 3, "first_scan": "s-0", "last_scan": "s-2", "first_id": 1, "last_id": 3}]
+    arrived = dict(plans)["scan-batch"]
+    assert "Sort" not in arrived and "Exchange" not in arrived
+
+
 def test_repeats_are_dropped(spark, frame, tmp_path):
     t = T0
     frame([("a", t), ("a", t + timedelta(minutes=5)), ("b", t)], "scan_id string, at timestamp").write.parquet(str(tmp_path / "in"))

@@ -57,9 +57,9 @@ def replayed(df, part, parts, job, name, time="event_time"):
 FROM dctx d JOIN (SELECT event_id, score FROM kscore) USING (event_id)
 UNION ALL SELECT session_id || '--1', min(epoch_us(captured_at_utc)), 0, 1, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM desk GROUP BY session_id""")
 def scan_stream_scoring(spark, sf_dir):
-    docs = stored(scan_documents(spark, sf_dir), "documents")
+    docs = scan_documents(spark, sf_dir)
     nothing = F.array(F.struct(F.struct(F.lit("quiet").alias("guid")).alias("interface"), F.array().cast("array<string>").alias("bss_entries")))
-    quiet = docs.groupBy("session_id").agg(F.min("captured_at_utc").alias("captured_at_utc")).withColumns(
+    quiet = stored(docs.groupBy("session_id").agg(F.min("captured_at_utc").alias("captured_at_utc")), "quiet").withColumns(
         {"scan_index": F.lit(-1).cast("long"), "interfaces": nothing})
     path, out, state = (fresh_path(spark, f"scan-stream-{x}") for x in ("in", "out", "state"))
     _, ref, scaler, support = kernel_parts(spark, sf_dir)
@@ -70,11 +70,13 @@ def scan_stream_scoring(spark, sf_dir):
         quiet.write.mode("append").json(path)
         jobs.score_stream(stream_scan_jsonl(spark, path), ref, scaler, kernel_score(support), 0.25, out, state, "home").awaitTermination()
     db = store.read_store(spark, out)
-    rows = db["network_observation"].select("id", F.col("scan_session_id").alias("scan_id"), "network_id", "ssid_hash", "bssid_hash", "tsf_us")
+    rows = db["network_observation"].select("id", "network_id", "ssid_hash", "bssid_hash", "tsf_us")
     features = db["network_features"].select("id", *DESKTOP_FEATURES, "context_resolution", "feature_complete")
-    found = rows.join(features, "id").join(db["detection"].select("id", "anomaly_score", "is_anomaly", "reason"), "id").drop("id")
+    found = rows.join(features, "id").join(db["detection"].select("id", "anomaly_score", "is_anomaly", "reason"), "id")
     scans = db["scan_session"].select(F.col("id").alias("scan_id"), F.unix_micros("observed_at_utc").alias("observed_us"), "total_networks", "interface_count")
-    return scans.join(found, "scan_id", "left")
+    # Scans meet the ids of their observations first, so the wide rows are dealt out once.
+    of_scan = db["network_observation"].select("id", F.col("scan_session_id").alias("scan_id"))
+    return scans.join(of_scan, "scan_id", "left").join(found, "id", "left").drop("id")
 
 
 @query("stream_deduplication", "SELECT event_id, user_id FROM events")

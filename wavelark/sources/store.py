@@ -58,8 +58,9 @@ def persist_scans(scored: DataFrame, existing_scans: DataFrame | None = None, sc
 
     Needs one row per observation with a unique, rising `observation_id`, its scan's id and time, the interface,
     ssid/bssid in clear or as ssid_hash/bssid_hash, and the analysis columns. `scans` (scan_id, observed_at_utc and, where told,
-    interface_count, total_networks and negotiated_api_version) names all scans, also those that saw no network. A scan that is
-    stored already is refused, whether it saw networks or not, or left out with `repeated="skip"`.
+    interface_count, total_networks and negotiated_api_version) names all scans, also those that saw no network; numbers in columns
+    that hold no NULL by their type are not looked for in the rows. A scan that is stored already is refused, whether it saw networks
+    or not, or left out with `repeated="skip"`.
     """
     if repeated not in ("fail", "skip"):
         raise ValueError("repeated scans either fail or are skipped")
@@ -79,7 +80,11 @@ def persist_scans(scored: DataFrame, existing_scans: DataFrame | None = None, sc
         F.min("observed_at_utc").alias("observed_at_utc"), F.count(F.lit(1)).alias("total_networks"),
         F.count_distinct("interface_guid").alias("interface_count"),
         *[F.first(c, True).alias(c) for c in ("negotiated_api_version",) if c in rows.columns])
-    if scans is not None:
+    whole = [] if scans is None else [f.name for f in scans.schema if not f.nullable]
+    if {"interface_count", "total_networks"} <= {*whole} and ("negotiated_api_version" in whole or "negotiated_api_version" not in rows.columns):
+        # All is told of every scan, so the rows need not be counted.
+        seen = scans.withColumnRenamed("scan_id", "id")
+    elif scans is not None:
         s, o = scans.withColumnRenamed("scan_id", "id").alias("s"), seen.alias("o")
 
         def told(c):
@@ -130,20 +135,25 @@ def append_scans(tables: dict[str, DataFrame], root: str, batch: str | None = No
     """Writes the tables as one batch and commits it. Tables named in `clustered` lie in the order of dates and scans already."""
     folder = uuid.uuid4().hex
     batch = batch or folder
+    written = {}
     for name, df in tables.items():
         path = f"{root}/{name}/folder=f-{folder}"
+        written[name] = path
         if "scan_date" in df.columns:
             rows = df if name in clustered else _clustered(df, "id") if name == "scan_session" else _clustered(df, "scan_session_id", "id")
             rows.write.partitionBy("scan_date").parquet(path)
         else:
             df.write.parquet(path)
-    _commit(tables, root, batch, f"f-{folder}")
+    # Counted in the files, so that the rows are not computed again.
+    spark = next(iter(tables.values())).sparkSession
+    kinds = {name: {**SCHEMAS[name], "scan_date": "date"} for name in ("scan_session", "network_observation") if name in tables}
+    read = {name: spark.read.schema(", ".join(f"{c} {t}" for c, t in kind.items())).parquet(written[name]) for name, kind in kinds.items()}
+    _commit(spark, read, root, batch, f"f-{folder}")
     return batch
 
 
-def _commit(tables: dict[str, DataFrame], root: str, batch: str, folder: str) -> None:
+def _commit(spark: SparkSession, tables: dict[str, DataFrame], root: str, batch: str, folder: str) -> None:
     """One small file that appears at once; what it does not name does not exist for readers."""
-    spark = next(iter(tables.values())).sparkSession
     found = {}
     for name, id_column, counts in (("scan_session", "id", ("scans", "scan")), ("network_observation", "id", ("observations", "id"))):
         if name in tables:
@@ -182,8 +192,8 @@ def ingest(scored: DataFrame, root: str, scans: DataFrame | None = None, repeate
     """Stores one batch of scored scans; computed once, whatever the number of tables.
 
     A batch committed before is left alone, so a retried caller changes nothing. Repeated scans are looked for among those of the same
-    dates; with `repeated="fail"` they are refused before anything is written. Without `observation_id`, observations are
-    numbered on from the largest stored one. One writer at a time.
+    dates; with `repeated="fail"` they are refused before anything is written, and `repeated="left out"` says that the caller has left
+    them out already. Without `observation_id`, observations are numbered on from the largest stored one. One writer at a time.
     """
     spark = scored.sparkSession
     done = manifest(spark, root)
@@ -197,14 +207,16 @@ def ingest(scored: DataFrame, root: str, scans: DataFrame | None = None, repeate
         scored = numbered(scored, "observation_id", 1 + (last or 0))
     else:
         scored = stored(scored, "scored-scans")
-    told = scored.select("scan_id", "observed_at_utc") if scans is None else stored(scans, "scans").select("scan_id", "observed_at_utc").unionByName(
-        scored.select("scan_id", "observed_at_utc"))
-    held = stored_scans(spark, root, told.select(F.to_date("observed_at_utc").alias("scan_date")))
-    if held is not None:
-        held = stored(held.join(told.select(F.col("scan_id").alias("id")), "id", "left_semi").distinct(), "repeated-scans")
-        if repeated == "fail" and not held.isEmpty():
-            raise ValueError("scan is stored already")
-    tables = persist_scans(scored, held, scans, repeated)
+    held = None
+    if repeated != "left out":
+        told = scored.select("scan_id", "observed_at_utc") if scans is None else stored(scans, "scans").select("scan_id", "observed_at_utc").unionByName(
+            scored.select("scan_id", "observed_at_utc"))
+        held = stored_scans(spark, root, told.select(F.to_date("observed_at_utc").alias("scan_date")))
+        if held is not None:
+            held = stored(held.join(told.select(F.col("scan_id").alias("id")), "id", "left_semi").distinct(), "repeated-scans")
+            if repeated == "fail" and not held.isEmpty():
+                raise ValueError("scan is stored already")
+    tables = persist_scans(scored, held, scans, "skip" if repeated == "left out" else repeated)
     return append_scans({**tables, **({} if models is None else {"model_version": models})}, root, batch,
                         ("network_observation", "network_features", "detection"))
 

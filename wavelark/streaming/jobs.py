@@ -37,16 +37,24 @@ def score_stream(scans: DataFrame, ref: Reference, scaler: DataFrame, scorer: Ca
     def handle(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         scan_id = F.concat_ws("-", "session_id", "scan_index")
-        fresh = stored(batch.withColumn("scan_id", scan_id).dropDuplicates(["scan_id"]), "scan-batch")
-        held = store.stored_scans(spark, out, fresh.select(F.to_date("captured_at_utc").alias("scan_date")))
+        # Parsed once and written as it came; which documents count is found on ids and places alone.
+        networks = F.aggregate("interfaces", F.lit(0).cast("long"), lambda n, i: n + F.greatest(F.size(i["bss_entries"]), F.lit(0)))
+        arrived = stored(batch.withColumns({"scan_id": scan_id, "_at": F.monotonically_increasing_id(), "_networks": networks,
+                                            "_interfaces": F.size("interfaces").cast("long")}), "scan-batch")
+        kept = arrived.groupBy("scan_id").agg(F.min("_at").alias("_at"))
+        held = store.stored_scans(spark, out, arrived.select(F.to_date("captured_at_utc").alias("scan_date")))
         if held is not None:
-            fresh = fresh.join(held.withColumnRenamed("id", "scan_id"), "scan_id", "left_anti")
+            kept = kept.join(held.withColumnRenamed("id", "scan_id"), "scan_id", "left_anti")
+        # Few documents are repeats as a rule, so these are told by their places, not the others; the table is broadcast where it is small.
+        repeats = stored(arrived.select("_at").join(kept.select("_at"), "_at", "left_anti"), "scan-repeats")
+        fresh = arrived.join(repeats, "_at", "left_anti").drop("_at")
         rows = flatten_scans(fresh, F.col("session_id"), environment)
         rows = decide(rows, ref, scaler, scorer, threshold, model_version=model_version).withColumns({
             "scan_id": scan_id, "observed_at_utc": F.col("captured_at_utc"), "network_id": network_id(F.col("interface_guid"), F.col("bssid_hash")),
             "model_version_id": F.lit(model_version_id).cast("long")})
-        told = fresh.select("scan_id", F.col("captured_at_utc").alias("observed_at_utc"), F.size("interfaces").cast("long").alias("interface_count"))
-        store.ingest(rows, out, scans=told, repeated="skip", batch=f"s-{stream}-{number}")
+        told = fresh.select("scan_id", F.col("captured_at_utc").alias("observed_at_utc"), *[
+            F.coalesce(c, F.lit(0)).alias(n) for c, n in (("_interfaces", "interface_count"), ("_networks", "total_networks"))])
+        store.ingest(rows, out, scans=told, repeated="left out", batch=f"s-{stream}-{number}")
 
     return (scans.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
